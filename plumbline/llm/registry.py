@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, language, packing, secrets, simhash, toxicity, url_filter
+from plumbline.llm import edit_counts, exact_dedup, language, media, packing, pieces, secrets, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document; counts before and after, and how many pre-tokens the edits re-encoded."""
+    docs = _table(spark, sf_dir, "documents")
+    edited = docs.select("doc_id", "text", edit_counts.sample_edits(F.col("text")).alias("edits"))
+    return edit_counts.count_tokens(edited).select("doc_id", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,6 +48,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed)
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.coded(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +63,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPAM_HOSTS = r"(^|\.)(spam-farm|cheap-pills)\."
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_toxicity, op4_secret_scan, op5_language_id, op6_exact_dedup, op7_url_filter, op10_simhash)
+    f.__name__: f
+    for f in (op1_packing, op2_edit_counts, op3_toxicity, op4_secret_scan, op5_language_id, op6_exact_dedup, op7_url_filter, op8_media, op9_sentencepiece, op10_simhash)
+
 }
 
 _SPAN = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
