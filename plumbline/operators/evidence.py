@@ -38,10 +38,10 @@ def aggregate_results(points: DataFrame, evidence: DataFrame, threshold: float =
 
 def assess(candidates: DataFrame) -> DataFrame:
     """Score and decision of each candidate from four signs: id read well, id in the survey, context nearby, contradiction."""
-    bonus = lambda c, v: F.when(F.coalesce(F.col(c), F.lit(False)), v).otherwise(0.0)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), bonus("id_read", 0.42) + bonus("in_survey", 0.28) + bonus("context", 0.18) + bonus("agrees", 0.12) - bonus("contradicts", 0.30)))
-    rows = candidates.withColumn("score", score)
-    return rows.withColumn("decision", F.when(F.col("score") >= 0.88, "AUTO_ACCEPT").when(F.col("score") >= 0.58, "REVIEW").otherwise("REJECT"))
+    bonus = lambda c, v: F.when(F.coalesce(F.col(c), F.lit(False)), v).otherwise(0)
+    hundredths = F.greatest(F.lit(0), F.least(F.lit(100), bonus("id_read", 42) + bonus("in_survey", 28) + bonus("context", 18) + bonus("agrees", 12) - bonus("contradicts", 30)))
+    rows = candidates.withColumn("score", hundredths / 100.0)
+    return rows.withColumn("decision", F.when(hundredths >= 88, "AUTO_ACCEPT").when(hundredths >= 58, "REVIEW").otherwise("REJECT"))
 
 
 #: Page kinds and the words that speak for them, with weights.

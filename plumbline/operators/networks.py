@@ -20,7 +20,8 @@ ELLIPSE_95 = 2.447746830680816
 def _bounded(rows: DataFrame, key: str, most: int) -> DataFrame:
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
     checked = sizes.select(key, F.when(F.col("_size") > most, F.raise_error(F.concat(F.lit(f"more than {most} rows in network "), F.col(key).cast("string")))).otherwise(F.lit(True)).alias("_fits"))
-    return rows.join(checked, key).where("_fits").drop("_fits")
+    fitting = rows.join(checked, key).where("_fits")
+    return fitting.select(*[F.col(c).alias(c) for c in rows.columns])
 
 
 def _robust(r: np.ndarray, k: float) -> np.ndarray:
@@ -65,7 +66,7 @@ def solve_levels(points: pd.DataFrame, obs: pd.DataFrame, robust: bool = False,
 def adjust_levels(points: DataFrame, observations: DataFrame, robust: bool = False) -> DataFrame:
     """Adjust every level network: points (network_id, point_id, elevation, fixed), observations (network_id, ord, from_id, to_id, delta_elevation, sigma)."""
 
-    def solve(key, p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+    def solve(key, p, o):
         out = solve_levels(p, o, robust) if len(o) else pd.DataFrame(columns=["point_id", "elevation", "sigma", "dof", "sigma0"])
         out.insert(0, "network_id", key[0])
         return out
@@ -155,7 +156,7 @@ def solve_control(points: pd.DataFrame, obs: pd.DataFrame, robust: bool = False,
 def adjust_control(points: DataFrame, observations: DataFrame, robust: bool = False) -> DataFrame:
     """Adjust every 2-D network: points (network_id, point_id, northing, easting, fixed), observations (network_id, ord, kind, from_id, to_id, target2_id, value, sigma)."""
 
-    def solve(key, p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+    def solve(key, p, o):
         out = solve_control(p, o, robust)[0]
         out.insert(0, "network_id", key[0])
         return out
@@ -169,7 +170,7 @@ def adjust_control(points: DataFrame, observations: DataFrame, robust: bool = Fa
 def snoop(points: DataFrame, observations: DataFrame, threshold: float = 3.0, most_removed: int = 3) -> DataFrame:
     """Remove the worst standardised residual while it reaches the threshold and redundancy is left: one row a removal, in order.  The input stays."""
 
-    def solve(key, p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+    def solve(key, p, o):
         rows = []
         for step in range(1, most_removed + 1):
             solved, res = solve_control(p, o)

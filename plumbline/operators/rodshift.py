@@ -66,7 +66,7 @@ def scan_chain(chainage: np.ndarray, elevation: np.ndarray, s: Settings) -> list
 def shift_events(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Events of every chain: nodes have ``chain_id``, ``seq``, ``chainage``, ``elevation``."""
 
-    def scan(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def scan(key, rows):
         rows = rows.sort_values("seq")
         seq = rows.seq.to_numpy()
         found = scan_chain(rows.chainage.to_numpy(float), rows.elevation.to_numpy(float), settings)
