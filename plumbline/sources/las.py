@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -45,23 +46,30 @@ class _Range(InputPartition):
     stop: int
 
 
+def _open(path: str):
+    """A file by local path or by URI (file, hdfs, s3, ...)."""
+    if "://" in path:
+        files, inner = pafs.FileSystem.from_uri(path)
+        return files.open_input_file(inner)
+    return pafs.LocalFileSystem().open_input_file(path)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.step = options["path"], int(options.get("rowsPerPartition", 1 << 20))
 
     def partitions(self):
-        with open(self.path, "rb") as f:
+        with _open(self.path) as f:
             count = header(f.read(375))[4]
         return [_Range(self.path, a, min(count, a + self.step)) for a in range(0, count, self.step)] or [_Range(self.path, 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
+        with _open(partition.path) as f:
             h = header(f.read(375))
             length, offset = h[2], h[3]
             for a in range(partition.start, partition.stop, 1 << 16):
                 n = min(partition.stop, a + (1 << 16)) - a
-                f.seek(offset + a * length)
-                raw = np.frombuffer(f.read(n * length), np.uint8)
+                raw = np.frombuffer(f.read_at(n * length, offset + a * length), np.uint8)
                 if len(raw) < n * length:
                     raise ValueError("the file ends before its last record")
                 xyz = raw.reshape(n, length)[:, :12].copy().view("<i4")
