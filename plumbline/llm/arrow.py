@@ -16,6 +16,18 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int") if isinstance(doc_id, str) else F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")
 
 
+def frugal(run):
+    """A batch function that gives Arrow's unused memory back when its task ends; workers live on for other stages."""
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return bounded
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and the n+1 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

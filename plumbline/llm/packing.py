@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrow import crc
+from plumbline.llm.arrow import crc, frugal
 from plumbline.llm.tokens import encode, vocabulary_paths
 from plumbline.storage import materialise
 
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, paths: tuple[str, str] | None = None, capacity: int =
             packer.close()
             yield rows.take()
 
-    placed = materialise(docs.select("doc_id", "text").mapInArrow(run, _SCHEMA.format(kind)), "pieces")
+    placed = materialise(docs.select("doc_id", "text").mapInArrow(frugal(run), _SCHEMA.format(kind)), "pieces")
     done = placed.where("left is null").drop("left")
     group = F.shiftright("sequence_id", _LOCAL_BITS + FAN_IN.bit_length() - 1)
     merged = placed.where("left is not null").withColumn("part_group", group).groupBy("part_group").applyInArrow(_merger(capacity), _SCHEMA.format(kind)).drop("left")

@@ -30,6 +30,7 @@ _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _CACHE = 1 << 19
 _LANES = 1 << 14
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = -1
 
 
@@ -40,6 +41,38 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+class SortedKeys:
+    """Sorted (mixed) hash keys; a table over their leading bits says where a probe starts."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys = self._mixed(keys)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(64 - max(4, (8 * len(keys)).bit_length()))
+        lead = (self.keys >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(lead, np.arange(1 << (64 - int(self.shift)))).astype(np.int32)
+        self.depth = int(np.bincount(lead).max()) if len(lead) else 0
+
+    @staticmethod
+    def _mixed(hashes: np.ndarray) -> np.ndarray:
+        """The hashes of short texts are small numbers; a one-to-one mix spreads them."""
+        with np.errstate(over="ignore"):
+            h = (hashes ^ hashes >> np.uint64(32)) * _MIX
+        return h ^ h >> np.uint64(29)
+
+    def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is a key, and its value (-1 if not)."""
+        hashes = self._mixed(hashes)
+        at = self.first[hashes >> self.shift]
+        found, value = np.zeros(len(hashes), bool), np.full(len(hashes), _NONE)
+        for d in range(self.depth):
+            here = np.minimum(at + d, len(self.keys) - 1)
+            hit = self.keys[here] == hashes
+            found |= hit
+            value = np.where(hit, self.values[here], value)
+        return found, value
+
+
 class Pieces:
     """The pieces of a model as sorted hash keys with their ids and scores."""
 
@@ -64,16 +97,13 @@ class Pieces:
         keys = np.array([_text_hash(names[i]) for i in self.normal], np.uint64)
         if len(np.unique(keys)) != len(keys):
             raise ValueError("piece hashes collide")
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array(self.normal, np.int64)[order]
+        self.whole = SortedKeys(keys, np.array(self.normal, np.int64))
         self.length = np.zeros(size + 1, np.int64)
-        self.codes = np.zeros((size + 1, self.longest), np.uint64)
         for i in self.normal:
             self.length[i] = len(names[i])
-            self.codes[i, : len(names[i])] = [ord(c) for c in names[i]]
         starts = {names[i][:k] for i in self.normal for k in range(1, len(names[i]) + 1)}
-        starts = sorted((_text_hash(s), self.ids.get(s, _NONE)) for s in starts)
-        self.starts, self.start_ids = np.array([h for h, _ in starts], np.uint64), np.array([i for _, i in starts], np.int64)
+        starts = [(_text_hash(s), self.ids.get(s, _NONE)) for s in starts]
+        self.starts = SortedKeys(np.array([h for h, _ in starts], np.uint64), np.array([i for _, i in starts], np.int64))
         surface = [bytes([int(n[3:5], 16)]) if b else b"" if s and i != self.unknown else (" ⁇ " if i == self.unknown else n.replace(SPACE, " ")).encode() for i, (n, s, b) in enumerate(zip(names, special, is_byte))]
         self.surface_size = np.array([len(x) for x in surface], np.int64)
         self.surface_at = np.cumsum(self.surface_size) - self.surface_size
@@ -82,9 +112,7 @@ class Pieces:
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, or -1."""
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == hashes, self.key_ids[at], _NONE)
+        return self.whole.probe(hashes)[1]
 
     def fallback(self, ch: str) -> list[int]:
         """Ids of a character that no piece covers: its bytes, or the unknown id."""
@@ -142,25 +170,27 @@ def _named(p: Pieces, word: str, cuts: list[int]) -> list[int] | None:
     return out
 
 
-def _packed(p: Pieces, words: list[str], codes: np.ndarray, prefix: np.ndarray, power: np.ndarray, mark: np.ndarray, alone) -> list[bytes]:
+def _packed(p: Pieces, words: list[str], prefix: np.ndarray, power: np.ndarray, mark: np.ndarray, alone) -> list[bytes]:
     """Ids of each word's parts between the marked cuts, as little-endian 32-bit numbers.
 
-    Parts are compared with the pieces character by character, so a hash
-    collision can't pass; words with one, or with characters outside the
-    vocabulary, are named (or solved ``alone``) one at a time.
+    The pieces' texts, joined, are compared with the words, so a hash
+    collision can't pass; if they differ, and for words with characters
+    outside the vocabulary, parts are named one at a time (or the word is
+    solved ``alone``).
     """
     row, at = np.nonzero(mark)
     inner = np.flatnonzero(row[1:] == row[:-1])
     row, a, b = row[inner], at[inner], at[inner + 1]
     with np.errstate(over="ignore"):
         ids = p.probe(prefix[row, b] - prefix[row, a] * power[b - a])
-    size, reach = b - a, np.arange(p.longest)
-    text = codes[row[:, None], np.minimum(a[:, None] + reach, codes.shape[1] - 1)]
-    odd = (p.length[ids] != size) | ((p.codes[ids] != text) & (reach < size[:, None])).any(axis=1)
-    first = np.searchsorted(row, np.arange(len(words) + 1)) * 4
-    blob, first = ids.astype("<u4").tobytes(), first.tolist()
+    first = np.searchsorted(row, np.arange(len(words) + 1))
+    odd = set(row[p.length[ids] != b - a].tolist())
+    plain = ids if not odd else ids[~np.isin(row, list(odd))]
+    if "".join(map(p.names.__getitem__, plain.tolist())) != "".join(w for r, w in enumerate(words) if r not in odd):
+        odd = set(range(len(words)))
+    blob, first = ids.astype("<u4").tobytes(), (first * 4).tolist()
     out = [blob[x:y] for x, y in zip(first, first[1:])]
-    for r in np.unique(row[odd]).tolist():
+    for r in odd:
         named = _named(p, words[r], np.flatnonzero(mark[r]).tolist())
         out[r] = array("I", alone(p, words[r]) if named is None else named).tobytes()
     return out
@@ -169,8 +199,7 @@ def _packed(p: Pieces, words: list[str], codes: np.ndarray, prefix: np.ndarray,
 def viterbi_batch(p: Pieces, words: list[str]) -> list[bytes]:
     """Best-scoring segmentations of words of one length; ties go to the longest piece at the end."""
     n = len(words[0])
-    codes = _codes(words)
-    prefix, power = _prefix(codes), _powers(n)
+    prefix, power = _prefix(_codes(words)), _powers(n)
     w = len(words)
     best = np.full((w, n + 1), -np.inf)
     back = np.zeros((w, n + 1), np.int64)
@@ -180,10 +209,7 @@ def viterbi_batch(p: Pieces, words: list[str]) -> list[bytes]:
         for k in range(1, min(p.longest, n - i) + 1):
             with np.errstate(over="ignore"):
                 hashes = prefix[row, i + k] - prefix[row, i] * power[k]
-            at = np.searchsorted(p.starts, hashes)
-            at[at == len(p.starts)] = 0
-            begins = p.starts[at] == hashes
-            ids = np.where(begins, p.start_ids[at], _NONE)
+            begins, ids = p.starts.probe(hashes)
             cand = here[row] + np.where(ids >= 0, p.score[ids], p.unk_score if k == 1 else -np.inf)
             better = cand > best[row, i + k]
             best[row[better], i + k] = cand[better]
@@ -196,7 +222,7 @@ def viterbi_batch(p: Pieces, words: list[str]) -> list[bytes]:
     while len(row):
         mark[row, at] = True
         row, at = row[at > 0], back[row, at][at > 0]
-    return _packed(p, words, codes, prefix, power, mark, viterbi_long)
+    return _packed(p, words, prefix, power, mark, viterbi_long)
 
 
 def viterbi_long(p: Pieces, word: str) -> list[int]:
@@ -222,8 +248,7 @@ def viterbi_long(p: Pieces, word: str) -> list[int]:
 def merges_batch(p: Pieces, words: list[str]) -> list[bytes]:
     """Ranked merges of words of one length: each round joins every word's best pair, the leftmost on ties."""
     n = len(words[0])
-    codes = _codes(words)
-    prefix, power = _prefix(codes), _powers(n)
+    prefix, power = _prefix(_codes(words)), _powers(n)
     live = np.arange(len(words))
     cuts = np.tile(np.arange(n + 1), (len(words), 1))
     mark = np.zeros((len(words), n + 1), bool)
@@ -261,7 +286,7 @@ def merges_batch(p: Pieces, words: list[str]) -> list[bytes]:
             if right.any():
                 r, a = row[right], at[right]
                 scores[r, a] = pair(live[r], cuts[r, a], cuts[r, a + 2])
-    return _packed(p, words, codes, prefix, power, mark, merges_long)
+    return _packed(p, words, prefix, power, mark, merges_long)
 
 
 def merges_long(p: Pieces, word: str) -> list[int]:
@@ -303,22 +328,20 @@ class Encoder:
 
     def __init__(self, p: Pieces, *methods: str):
         self.p, self.methods = p, [_METHODS[m] for m in methods]
-        self.known: list[dict[str, bytes]] = [{} for _ in methods]
+        self.known: dict[str, tuple[bytes, ...]] = {}
 
     def _learn(self, units: set[str]) -> None:
-        if len(self.known[0]) > _CACHE:
-            for known in self.known:
-                known.clear()
+        if len(self.known) > _CACHE:
+            self.known.clear()
         by_size: dict[int, list[str]] = {}
-        for u in units.difference(self.known[0]):
+        for u in units.difference(self.known):
             if len(u) <= LONG:
                 by_size.setdefault(len(u), []).append(u)
         for size, words in by_size.items():
             lanes = max(64, _LANES * 8 // size)
             for at in range(0, len(words), lanes):
                 part = words[at : at + lanes]
-                for (batch, _), known in zip(self.methods, self.known):
-                    known.update(zip(part, batch(self.p, part)))
+                self.known.update(zip(part, zip(*[batch(self.p, part) for batch, _ in self.methods])))
 
     def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each method the ids of whole texts, for a model without normalisation."""
@@ -326,11 +349,13 @@ class Encoder:
         units: set[str] = set()
         units.update(*split)
         self._learn(units)
-        longer = {u for u in units if len(u) > LONG}
-        out = []
-        for (_, long), known in zip(self.methods, self.known):
-            get = ChainMap({u: array("I", long(self.p, u)).tobytes() for u in longer}, known).__getitem__ if longer else known.__getitem__
-            out.append([np.frombuffer(b"".join(map(get, row)), np.uint32) for row in split])
+        longer = {u: tuple(array("I", long(self.p, u)).tobytes() for _, long in self.methods) for u in units if len(u) > LONG}
+        get = ChainMap(longer, self.known).__getitem__ if longer else self.known.__getitem__
+        out: list[list[np.ndarray]] = [[] for _ in self.methods]
+        for row in split:
+            found = list(map(get, row))
+            for k, ids in enumerate(out):
+                ids.append(np.frombuffer(b"".join([f[k] for f in found]), np.uint32))
         return out
 
 

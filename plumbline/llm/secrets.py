@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.arrow import parts, utf8
+from plumbline.llm.arrow import frugal, parts, utf8
 from plumbline.llm.automaton import compile_rules, scan, spans
 
 
@@ -111,7 +111,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if rules[:n_base] != BASE:
         raise ValueError("the base rules come first")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{r.kind} long' for r in BASE)}, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, {', '.join(f'n_{r.kind} long' for r in BASE)}, base_sha256 string, spans string")
 
 
 def redact_text(text: str, hits, rules: tuple[Rule, ...] = RULES) -> str:
@@ -146,7 +146,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     columns[places["n_chars"]] = pa.array(lengths, old.type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 __all__ = ["BASE", "MORE", "RULES", "Rule", "find", "redact", "redact_text", "scan_secrets"]

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.arrow import frugal
 from plumbline.operators.graph import connected_components
 from plumbline.storage import materialise
 
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, fp long")
 
 
 def _keyed(rows: DataFrame, masks: Column) -> DataFrame:
@@ -144,7 +145,7 @@ def _edges(keyed: DataFrame, most: int) -> DataFrame:
         if len(tail_path):
             yield solve(tail_path, tail_fp)
 
-    return keyed.select("path", "fp").repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+    return keyed.select("path", "fp").repartition("path").sortWithinPartitions("path").mapInArrow(frugal(run), "a long, b long")
 
 
 def close_pairs(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -27,21 +28,26 @@ def _rust_bpe(ranks_path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _added(json_path: str) -> tuple[str, ...]:
+    with open(json_path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", ()))
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(json_path: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(json_path)
-    return made, tuple(t.content for t in made.get_added_tokens_decoder().values())
+    return Tokenizer.from_file(json_path)
 
 
 def encode(text: str, paths: tuple[str, str]) -> np.ndarray:
     """Ids (unsigned 32-bit) as ``tokenizers`` gives them without special tokens added.
 
     The rank file holds the same merges and is several times faster; a text
-    that spells out an added token goes to ``tokenizers`` itself.
+    that spells out an added token goes to ``tokenizers`` itself, which is
+    loaded only then.
     """
-    tokenizer, added = _tokenizer(paths[0])
-    if any(a in text for a in added):
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    if any(a in text for a in _added(paths[0])):
+        return np.array(_tokenizer(paths[0]).encode(text, add_special_tokens=False).ids, np.uint32)
     return _rust_bpe(paths[1]).encode_to_numpy(text, allowed_special=set(), disallowed_special=())
