@@ -77,7 +77,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.05, l1: float = 4e-4, l2: float = 1e-4, rare: float = 4.0) -> Machine:
+def train(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.05, l1: float = 1e-3, l2: float = 1e-3, rare: float = 4.0) -> Machine:
     """Full-batch Adam on log loss, with an L1 pull on weights and L2 on factors; the same rows give the same machine.
 
     ``rare``: weight of a toxic row's loss, as such rows are few.
