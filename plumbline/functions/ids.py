@@ -34,22 +34,40 @@ def header_key(value: Column) -> Column:
 
 
 def code_parts(code: Column) -> Column:
-    """Struct of a field code's base, string id (its other words) and commands among BS, ES, PC, PT."""
-    words = F.filter(F.split(F.upper(F.trim(code)), r"\s+"), lambda w: w != "")
+    """Struct of a field code's base, string id and commands: the dash-separated parts of its first word; commands are BS, ES, PC, PT."""
+    word = F.split(F.trim(F.upper(F.coalesce(code, F.lit("")))), r"\s+")[0]
+    parts = F.split(word, "-")
     commands = F.array(*map(F.lit, ("BS", "ES", "PC", "PT")))
-    others = F.filter(words, lambda w: ~F.array_contains(commands, w))
-    rest = F.slice(others, 2, F.greatest(F.size(others) - 1, F.lit(0)))
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     return F.struct(
-        F.coalesce(F.try_element_at(others, F.lit(1)), F.lit("")).alias("base"),
-        F.array_join(rest, " ").alias("string_id"),
-        F.array_sort(F.array_intersect(words, commands)).alias("commands"),
+        F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit("")).alias("base"),
+        F.array_join(F.filter(rest, lambda w: ~F.array_contains(commands, w)), "-").alias("string_id"),
+        F.array_sort(F.array_intersect(rest, commands)).alias("commands"),
     )
 
 
+#: How a field note names a destination.
+_DESTINATION = r"(?i)(?:\bto\b|\bpoint\b|\bpt\b|#)\s*[:=#-]?\s*([A-Za-z0-9][A-Za-z0-9_.-]*)"
+_PLAIN = "^[A-Za-z0-9][A-Za-z0-9_.-]*$"
+
+
 def destination_ref(raw: Column) -> Column:
-    """The point that a handwritten note such as ``to 3394`` names; null if none."""
-    found = F.upper(F.regexp_extract(F.trim(raw), r"(?i)^(?:to\s+|->\s*)?#?\s*([A-Z]*\d+[A-Z]*)$", 1))
-    return F.when(found != "", found)
+    """The point that a handwritten note such as ``to 3394`` names, or a note that is one plain word itself; null if none."""
+    text = F.trim(raw)
+    found = F.regexp_extract(text, _DESTINATION, 1)
+    return F.when(found != "", found).when(text.rlike(_PLAIN), text)
+
+
+def header_variants(value: Column) -> dict[str, Column]:
+    """A header as the four readers compare it: validation, staging, inspector, survey."""
+    text = F.coalesce(value, F.lit(""))
+    low = F.lower(F.trim(text))
+    return {
+        "validation": F.lower(F.regexp_replace(F.regexp_replace(text, "^\ufeff+", ""), r"[\s_-]+", "")),
+        "staging": F.regexp_replace(F.translate(low, "- ", "__"), r"[^\p{L}\p{N}_]", ""),
+        "inspector": F.regexp_replace(low, "[^a-z0-9]+", ""),
+        "survey": F.regexp_replace(F.translate(low, " ", "_"), "[^a-z0-9_]", ""),
+    }
 
 
 def series_label(point_number: Column) -> Column:

@@ -38,12 +38,13 @@ def test_reshoot_labels(spark):
 
 
 def test_code_parts(spark):
-    got = value(spark, ids.code_parts(F.lit("ec 12 pc BS")))
-    assert (got.base, got.string_id, got.commands) == ("EC", "12", ["BS", "PC"])
+    got = value(spark, ids.code_parts(F.lit(" ec-12-pc-a-BS later words-ES")))
+    assert (got.base, got.string_id, got.commands) == ("EC", "12-A", ["BS", "PC"])
+    assert value(spark, ids.code_parts(F.lit("604"))).base == "604" and value(spark, ids.code_parts(F.lit(None).cast("string"))).base == ""
     assert value(spark, ids.code_parts(F.lit(""))).base == ""
 
 
-@pytest.mark.parametrize(("raw", "want"), [("to 3394", "3394"), ("#12a", "12A"), ("somewhere", None)])
+@pytest.mark.parametrize(("raw", "want"), [("to 3394", "3394"), ("#12a", "12a"), ("MH-7.b", "MH-7.b"), ("flows To: pt# 9", "pt"), ("two words", None), ("", None)])
 def test_destinations(spark, raw, want):
     assert value(spark, ids.destination_ref(F.lit(raw))) == want
 
@@ -107,3 +108,10 @@ def test_similarity_inverts(spark):
 
 def test_formula_injection(spark):
     assert [value(spark, ids.csv_safe(F.lit(t))) for t in ("=1+1", " @x", "plain")] == ["'=1+1", "' @x", "plain"]
+
+
+def test_header_variants(spark):
+    v = ids.header_variants(F.lit("\ufeff Northing-US (ft)_2 "))
+    got = spark.range(1).select(*[c.alias(k) for k, c in v.items()]).first().asDict()
+    assert got["validation"] == "northingus(ft)2" and got["inspector"] == "northingusft2" and got["staging"].endswith("northing_us_ft_2")
+    assert got["survey"].endswith("northingus_ft_2")
