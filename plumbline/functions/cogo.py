@@ -95,3 +95,8 @@ def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Spherical Mercator of degrees; the one projection that needs no external library."""
     r = 6378137.0
     return r * F.radians(lon), r * F.log(F.tan(math.pi / 4 + F.radians(lat) / 2))
+
+
+def inside_area(lon: Column, lat: Column, west: float, south: float, east: float, north: float) -> Column:
+    """Whether degrees lie in an area of use, borders included; null for null."""
+    return lon.between(west, east) & lat.between(south, north)

@@ -106,3 +106,20 @@ def next_reshoot_labels(base: Column, suffixes: Column, count: int) -> Column:
 def csv_safe(text: Column) -> Column:
     """Text that a spreadsheet won't read as a formula."""
     return F.when(text.rlike(r"^[\s]*[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
+
+
+#: Words of a description that suggest a role, tried in this order.
+ROLE_WORDS = (
+    ("discontinuity", "wall|barrier|headwall|wingwall|inlet|manhole|catch basin|drop box|curb"),
+    ("ditch", "ditch"),
+    ("creek", "creek|stream|channel"),
+    ("setup", "backsight|setup|control point"),
+    ("surface", "ground shot|pavement|shoulder|stripe|centerline|surface edge|breakline|gutter"),
+    ("support", "pole|sign|meter|junction|splice"),
+)
+
+
+def suggested_role(description: Column) -> Column:
+    """The first role whose words a description has; ``unknown`` for none and for null."""
+    text = F.lower(F.coalesce(description, F.lit("")))
+    return F.coalesce(*[F.when(text.rlike(words), role) for role, words in ROLE_WORDS], F.lit("unknown"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import cogo, measures
+from plumbline.functions import cogo, ids, measures
 
 
 def multiset_union(items: DataFrame, group: str, record: str, key: str) -> DataFrame:
@@ -103,6 +103,37 @@ def network_edges(pipes: DataFrame, structures: DataFrame, most_distance: float,
     return best.select("from_point", "pipe_index", "to_point", "distance", "error", "score", status.alias("status"))
 
 
+def explicit_edges(pipes: DataFrame, structures: DataFrame, most_distance: float = 1500.0, most_error: float = 25.0, reciprocal: float = 25.0) -> DataFrame:
+    """Edges that field notes name, one for each pipe whose ``connected_raw`` names a point; geometry only checks them.
+
+    Pipes have point_id, pipe_index, azimuth_deg, leader_deg, connected_raw.
+    A name is looked up as written, then without case (of several such
+    structures, the one with the largest id).  status: MISSING and SELF have
+    no edge to judge; REVIEW if written azimuth, leader, the best opposite
+    pipe or the distance is off; else STRONG.  Missing values check nothing.
+    """
+    at = structures.select("point_id", "northing", "easting")
+    named = pipes.select(F.col("point_id").alias("from_point"), "pipe_index", "azimuth_deg", "leader_deg", ids.destination_ref(F.col("connected_raw")).alias("ref")).where("ref is not null")
+    exact = at.select(F.col("point_id").alias("ref"), F.col("point_id").alias("as_written")).distinct()
+    folded = at.groupBy(F.lower("point_id").alias("low")).agg(F.max("point_id").alias("without_case"))
+    found = named.join(exact, "ref", "left").withColumn("low", F.lower("ref")).join(folded, "low", "left").withColumn("to_point", F.coalesce("as_written", "without_case"))
+    place = lambda key, tag: at.select(F.col("point_id").alias(key), F.col("northing").alias(f"n{tag}"), F.col("easting").alias(f"e{tag}"))
+    distance, azimuth = cogo.inverse(F.col("n1"), F.col("e1"), F.col("n2"), F.col("e2"))
+    rows = found.join(place("from_point", 1), "from_point", "left").join(place("to_point", 2), "to_point", "left").withColumns({"distance": distance, "bearing": azimuth})
+    off = lambda c: F.abs(measures.angle_difference(F.col("bearing"), F.col(c)))
+    rows = rows.withColumns({"bearing_error": off("azimuth_deg"), "leader_error": off("leader_deg")})
+    back = pipes.select(F.col("point_id").alias("to_point"), F.coalesce("azimuth_deg", "leader_deg").alias("back")).where("back is not null")
+    turned = rows.select("from_point", "pipe_index", "to_point", "bearing").join(back, "to_point").groupBy("from_point", "pipe_index").agg(F.min(F.abs(measures.angle_difference(F.col("bearing") + 180.0, F.col("back")))).alias("reciprocal_error"))
+    rows = rows.join(turned, ["from_point", "pipe_index"], "left")
+    over = lambda c, limit: F.coalesce(F.col(c) > limit, F.lit(False))
+    conflict = over("bearing_error", most_error) | over("leader_error", most_error) | over("reciprocal_error", reciprocal) | over("distance", most_distance)
+    status = F.when(F.col("to_point").isNull(), "MISSING").when(F.col("to_point") == F.col("from_point"), "SELF").when(conflict, "REVIEW").otherwise("STRONG")
+    judged = F.col("status").isin("REVIEW", "STRONG")
+    score = F.when(F.col("status") == "REVIEW", 65.0).when(F.col("bearing").isNotNull(), 95.0).otherwise(85.0)
+    out = rows.withColumn("status", status)
+    return out.select("from_point", "pipe_index", "ref", "to_point", *[F.when(judged, F.col(c)).alias(c) for c in ("distance", "bearing_error", "reciprocal_error")], F.when(judged, score).alias("score"), "status")
+
+
 def pipe_grades(edges: DataFrame, inverts: DataFrame, factor: float = 1.0) -> DataFrame:
     """Grade in percent from the invert at one end of an edge to that at the other; a rise is adverse."""
     a = inverts.select(F.col("point_id").alias("from_point"), F.col("pipe_index").alias("pipe_index"), F.col("invert").alias("invert_from"))

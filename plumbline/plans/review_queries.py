@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import reviews
+from plumbline.functions.ids import suggested_role
+from plumbline.operators import evidence, reviews
 from plumbline.plans.bindings import FOOT, FOOT_SQL, PLACES, places, query, r, table, version_sql, versions
 
 _LISTED = [("604", "Ground shot", "surface"), ("305", "Drop box", "discontinuity"), ("EC", "Edge", "surface")]
@@ -205,3 +206,37 @@ def l12(spark, sf):
     returned = table(spark, sf, "lineitem").where("l_orderkey % 5 > 0").selectExpr("l_orderkey AS point_id", "l_linenumber * 100000 + l_partkey AS seq", f"l_extendedprice * {FOOT} AS northing", "CAST('NaN' AS DOUBLE) AS easting", "1.0D AS elevation")
     returned = returned.join(requested.select("request_id", "point_id"), "point_id")
     return reviews.returned_deltas(requested, returned)
+
+
+_NOTED = f"""(SELECT point_id, CAST(1 AS INTEGER) AS pipe_index, CASE WHEN CAST(substr(point_id, 2) AS BIGINT) % 4 > 0 THEN azimuth END AS azimuth_deg, CASE WHEN CAST(substr(point_id, 2) AS BIGINT) % 5 = 0 THEN azimuth + 20 END AS leader_deg,
+    CASE CAST(substr(point_id, 2) AS BIGINT) % 7 WHEN 0 THEN NULL WHEN 1 THEN point_id WHEN 2 THEN 'x99' ELSE lower('P') || (CAST(substr(point_id, 2) AS BIGINT) + 3) END AS ref FROM (SELECT 'P' || point_id AS point_id, abs(elevation) * 9 AS azimuth FROM {PLACES}))"""
+
+
+@query(
+    "d6_explicit_edges",
+    f"""WITH s AS (SELECT 'P' || point_id AS point_id, CASE WHEN point_id % 11 > 0 THEN northing END AS northing, easting FROM {PLACES}), p AS (SELECT * FROM {_NOTED}),
+    f AS (SELECT p.*, coalesce(x.point_id, y.point_id) AS to_point FROM p LEFT JOIN s x ON x.point_id = ref LEFT JOIN s y ON lower(y.point_id) = lower(ref) WHERE ref IS NOT NULL),
+    d AS (SELECT f.*, sqrt((b.northing - a.northing) ** 2 + (b.easting - a.easting) ** 2) AS distance, (degrees(atan2(b.easting - a.easting, b.northing - a.northing)) + 360) % 360 AS bearing FROM f JOIN s a ON a.point_id = f.point_id LEFT JOIN s b ON b.point_id = f.to_point),
+    e AS (SELECT d.*, abs((bearing - d.azimuth_deg + 180 + 720) % 360 - 180) AS bearing_error, abs((bearing - d.leader_deg + 180 + 720) % 360 - 180) AS leader_error, abs((bearing + 180 - coalesce(q.azimuth_deg, q.leader_deg) + 180 + 720) % 360 - 180) AS reciprocal_error FROM d LEFT JOIN p q ON q.point_id = d.to_point),
+    t AS (SELECT *, CASE WHEN to_point IS NULL THEN 'MISSING' WHEN to_point = point_id THEN 'SELF' WHEN coalesce(bearing_error > 60, false) OR coalesce(leader_error > 60, false) OR coalesce(reciprocal_error > 90, false) OR coalesce(distance > 900, false) THEN 'REVIEW' ELSE 'STRONG' END AS status FROM e)
+    SELECT point_id AS from_point, pipe_index, ref, to_point, CASE WHEN status IN ('REVIEW', 'STRONG') THEN {r('distance')} END AS distance, CASE WHEN status IN ('REVIEW', 'STRONG') THEN {r('bearing_error')} END AS bearing_error, CASE WHEN status IN ('REVIEW', 'STRONG') THEN {r('reciprocal_error')} END AS reciprocal_error,
+        CASE status WHEN 'REVIEW' THEN 65.0 WHEN 'STRONG' THEN CASE WHEN bearing IS NULL THEN 85.0 ELSE 95.0 END END AS score, status FROM t""",
+)
+def d6(spark, sf):
+    rows = places(spark, sf).selectExpr("point_id AS n", "concat('P', point_id) AS point_id", "CASE WHEN point_id % 11 > 0 THEN northing END AS northing", "easting", "abs(elevation) * 9 AS azimuth")
+    pipes = rows.selectExpr(
+        "point_id", "1 AS pipe_index", "CASE WHEN n % 4 > 0 THEN azimuth END AS azimuth_deg", "CASE WHEN n % 5 = 0 THEN azimuth + 20 END AS leader_deg",
+        "CASE n % 7 WHEN 0 THEN NULL WHEN 1 THEN concat('to ', point_id) WHEN 2 THEN 'Pt# x99' ELSE concat('p', n + 3) END AS connected_raw",
+    )
+    return evidence.explicit_edges(pipes, rows, 900.0, 60.0, 90.0)
+
+
+@query(
+    "i6_suggested_roles",
+    """SELECT p_partkey, CASE WHEN regexp_matches(t, 'wall|barrier|headwall|wingwall|inlet|manhole|catch basin|drop box|curb') THEN 'discontinuity' WHEN contains(t, 'ditch') THEN 'ditch' WHEN regexp_matches(t, 'creek|stream|channel') THEN 'creek' WHEN regexp_matches(t, 'backsight|setup|control point') THEN 'setup'
+        WHEN regexp_matches(t, 'ground shot|pavement|shoulder|stripe|centerline|surface edge|breakline|gutter') THEN 'surface' WHEN regexp_matches(t, 'pole|sign|meter|junction|splice') THEN 'support' ELSE 'unknown' END AS role
+    FROM (SELECT p_partkey, lower(p_name || CASE p_partkey % 8 WHEN 0 THEN ' Wall' WHEN 1 THEN ' Ditch' WHEN 2 THEN ' Channel' WHEN 3 THEN ' SETUP' WHEN 4 THEN ' Gutter' WHEN 5 THEN ' Sign at wall' WHEN 6 THEN ' pole' ELSE '' END) AS t FROM part)""",
+)
+def i6(spark, sf):
+    parts = table(spark, sf, "part").selectExpr("p_partkey", "concat(p_name, CASE p_partkey % 8 WHEN 0 THEN ' Wall' WHEN 1 THEN ' Ditch' WHEN 2 THEN ' Channel' WHEN 3 THEN ' SETUP' WHEN 4 THEN ' Gutter' WHEN 5 THEN ' Sign at wall' WHEN 6 THEN ' pole' ELSE '' END) AS t")
+    return parts.select("p_partkey", suggested_role(F.col("t")).alias("role"))

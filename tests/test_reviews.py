@@ -1,6 +1,9 @@
 from __future__ import annotations
 
-from plumbline.operators import reviews
+from pyspark.sql import functions as F
+
+from plumbline.functions import cogo, ids
+from plumbline.operators import evidence, reviews
 
 
 def rows(df):
@@ -97,3 +100,21 @@ def test_verified_rows_need_the_stored_hash(spark):
     sources = spark.createDataFrame([(1, "h"), (2, "other")], "source_id int, sha256 string")
     source_rows = spark.createDataFrame([(1, "p", 1.0), (1, "p", 2.0), (1, "q", 3.0), (2, "q", 4.0)], "source_id int, point_id string, v double")
     assert rows(reviews.verified_rows(points, sources, source_rows).select("v")) == [(1.0,), (2.0,)]
+
+
+def test_notes_name_edges_and_geometry_checks_them(spark):
+    structures = spark.createDataFrame([("A", 0.0, 0.0), ("b", 100.0, 0.0), ("C", None, 0.0)], "point_id string, northing double, easting double")
+    pipes = spark.createDataFrame(
+        [("A", 1, 5.0, None, "to B"), ("A", 2, 90.0, None, "b"), ("A", 3, None, None, "to C"), ("A", 4, None, None, "A"), ("A", 5, None, None, "#77"), ("A", 6, None, None, None), ("A", 7, None, 170.0, "b"), ("b", 1, None, 185.0, "two words")],
+        "point_id string, pipe_index int, azimuth_deg double, leader_deg double, connected_raw string",
+    )
+    got = {r.pipe_index: (r.to_point, r.status, r.score, r.reciprocal_error) for r in evidence.explicit_edges(pipes, structures).collect()}
+    assert got == {1: ("b", "STRONG", 95.0, 5.0), 2: ("b", "REVIEW", 65.0, 5.0), 3: ("C", "STRONG", 85.0, None), 4: ("A", "SELF", None, None), 5: (None, "MISSING", None, None), 7: ("b", "REVIEW", 65.0, 5.0)}
+    assert evidence.explicit_edges(pipes.limit(0), structures).count() == 0
+
+
+def test_roles_and_areas(spark):
+    df = spark.createDataFrame([("Retaining WALL ditch", "discontinuity"), ("side ditch", "ditch"), ("Power pole", "support"), ("", "unknown"), (None, "unknown")], "t string, want string")
+    assert all(r.got == r.want for r in df.select("want", ids.suggested_role(F.col("t")).alias("got")).collect())
+    row = spark.range(1).select(*[cogo.inside_area(F.lit(x), F.lit(2.0), -1.0, 0.0, 5.0, 2.0).alias(n) for x, n in ((5.0, "a"), (5.1, "b"))]).first()
+    assert (row.a, row.b) == (True, False)
