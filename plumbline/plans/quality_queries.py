@@ -251,7 +251,7 @@ def i22(spark, sf):
 
 @query(
     "i3_point_ids",
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey || '' ELSE '00' || o_custkey END AS id, (o_custkey // 1000 * 1000) || 's' AS series, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || 'A' END AS destination FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey || '' ELSE '00' || o_custkey END AS id, (o_custkey // 1000 * 1000) || 's' AS series, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || 'a' ELSE 'unknown' END AS destination FROM orders",
 )
 def i3(spark, sf):
     rows = table(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey", "CASE WHEN o_orderkey % 2 = 0 THEN concat(o_custkey, '.0 ') ELSE concat('00', o_custkey) END AS raw", "CASE WHEN o_orderkey % 3 = 0 THEN concat('to ', o_custkey, 'a') ELSE 'unknown' END AS note")
