@@ -27,6 +27,7 @@ BUCKET = 2048
 #: Bytes of ids up to which the rows that go are broadcast.
 BROADCAST_BYTES = 32 << 20
 _CHUNK = 1 << 15
+_RAW = "__plumbline_raw_hash"
 _M64 = (1 << 64) - 1
 
 
@@ -70,7 +71,7 @@ def fingerprint_of(text: str | bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` per row: words of the ASCII-lower-cased text, hashed in runs of ``shingle`` words.
+    """``(doc_id, raw, fp)`` per row: words of the ASCII-lower-cased text, hashed in runs of ``shingle`` words; ``raw`` is the hash of the text as it is.
 
     A bit is one if it is set in over half the XXH64 values.  Fewer words than
     ``shingle`` are hashed as one run; no words (or a null text) give zero.
@@ -79,10 +80,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch in batches:
             fps = [_signed(fingerprint_of(t or "", shingle)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["doc_id", "raw", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", _raw_hash().alias("raw")).mapInArrow(frugal(run), f"doc_id {kind}, raw long, fp long")
+
+
+def _raw_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _keyed(rows: DataFrame, masks: Column) -> DataFrame:
@@ -198,6 +203,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
     joined and linked.  The last join has unique fingerprints on one side, and
     AQE may split the other where a group of copies is hot.
     """
+    found = _named(docs, shingle, most)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(docs: DataFrame, shingle: int, most: int) -> DataFrame:
+    """``(doc_id, raw, fp, component_id)`` for every row of ``docs``."""
     if not 0 <= most <= MAX_BITS:
         raise ValueError("blocks are laid out for up to three differing bits")
     marked = materialise(fingerprints(docs, shingle), "fingerprints")
@@ -207,18 +218,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
     linked = materialise(linked, "linked-fingerprints")
     ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(ids, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "fp").select("doc_id", "raw", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
     """One row of each component of near-duplicates: that with the smallest doc_id; all columns of ``docs``.
 
     Where no member has an id, and for rows that repeat the smallest id with
-    other texts, all such rows stay.  Only the ids of rows that go are joined
-    back, and they are broadcast while they are few.
+    other texts, all such rows stay.  Rows go one by one: other texts under
+    the id (or the null id) of a row that goes stay.  Only the ids and text
+    hashes of rows that go are joined back, and they are broadcast while they
+    are few.
     """
-    found = near_duplicates(docs, shingle, most)
-    gone = materialise(found.where("component_id is not null and not doc_id <=> component_id").select("doc_id").distinct(), "near-copies")
-    small = gone.count() * 16 <= BROADCAST_BYTES
-    gone = gone.withColumnRenamed("doc_id", "_gone_id")
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    found = _named(docs, shingle, most)
+    gone = materialise(found.where("component_id is not null and not doc_id <=> component_id").select("doc_id", "raw").distinct(), "near-copies")
+    small = gone.count() * 24 <= BROADCAST_BYTES
+    keyed = docs.withColumn(_RAW, _raw_hash())
+    same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed[_RAW] == gone["raw"])
+    return keyed.join(F.broadcast(gone) if small else gone, same, "left_anti").drop(_RAW)

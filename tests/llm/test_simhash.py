@@ -94,3 +94,14 @@ def test_deduplicate_keeps_the_smallest_id(spark):
     kept = simhash.deduplicate(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp", "component"]
     assert sorted(r.doc_id for r in kept.collect()) == [2, 9]
+
+
+def test_deduplicate_drops_rows_and_not_all_rows_of_an_id(spark):
+    """A near copy without an id, or under a repeated id, takes no other text of that id with it."""
+    rows = [
+        (1, "a b c d", "", ""), (None, "A b c d", "", ""), (None, "clean text that nothing else is like", "", ""), (7, "a B c d", "", ""), (7, "another clean text under the same id", "", ""), (7, None, "", ""), (3, "", "", ""),
+    ]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, SCHEMA))
+    assert kept.columns == ["doc_id", "text", "fp", "component"]
+    want = [(1, "a b c d"), (3, ""), (7, "another clean text under the same id"), (None, "clean text that nothing else is like")]
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted(want, key=repr)
