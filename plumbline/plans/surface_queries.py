@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import cogo, measures
 from plumbline.operators import evidence, graph, networks, surfaces
+from plumbline.operators.scalars import attach
 from plumbline.plans.bindings import FOOT, FOOT_SQL, PLACES, places, query, r, table
 
 
@@ -302,21 +303,32 @@ def d11(spark, sf):
 
 @query("j2_level_network")
 def j2(spark, sf):
-    """One level network a nation: its suppliers in a ring and with chords."""
+    """One level network for each eight neighbouring suppliers: a ring with chords."""
     points, obs = _rings(spark, sf)
     return networks.adjust_levels(points.withColumn("elevation", F.col("northing") / 10), obs.where("kind = 'distance'").selectExpr("network_id", "ord", "from_id", "to_id", "value / 100 AS delta_elevation", "sigma"))
 
 
 def _rings(spark, sf):
+    return rings(table(spark, sf, "supplier"))
+
+
+def rings(suppliers):
+    """All suppliers in rings of eight neighbours by key: points, and distances to the next three.
+
+    Those that are left at the end join the last ring.  Where keys are sparse a
+    ring has fewer points; under three, all are fixed and nothing is to solve.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("network_id").orderBy("s_suppkey")
-    s = table(spark, sf, "supplier").withColumn("network_id", F.col("s_suppkey") % 9).withColumns({"k": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("network_id"))}).where("k < 8")
-    s = s.withColumns({"northing": 100 * F.cos(F.radians(F.col("k") * 45)) + F.col("network_id"), "easting": 100 * F.sin(F.radians(F.col("k") * 45))})
+    own = Window.partitionBy("network_id")
+    last = suppliers.agg(F.greatest(F.floor(F.max("s_suppkey") / 8) - 1, F.lit(0)).alias("last"))
+    s = attach(suppliers.select("s_suppkey"), last).withColumn("network_id", F.least(F.floor(F.greatest(F.col("s_suppkey") - 1, F.lit(0)) / 8), F.col("last")))
+    s = s.withColumns({"k": F.row_number().over(own.orderBy("s_suppkey")) - 1, "m": F.count(F.lit(1)).over(own)}).where("m > 2")
+    s = s.withColumns({"northing": 100 * F.cos(F.radians(F.col("k") * 360 / F.col("m"))) + F.col("network_id") % 9, "easting": 100 * F.sin(F.radians(F.col("k") * 360 / F.col("m")))})
     points = s.selectExpr("network_id", "concat('S', k) AS point_id", "northing", "easting", "k < 2 AS fixed")
-    step = lambda d: s.select("network_id", "k", "northing", "easting").join(s.selectExpr("network_id", f"(k - {d} + 8) % 8 AS k", "northing AS n2", "easting AS e2"), ["network_id", "k"]).withColumn("d", F.lit(d))
-    pairs = step(1).unionByName(step(2)).unionByName(step(3))
-    obs = pairs.selectExpr("network_id", "CAST(k * 10 + d AS BIGINT) AS ord", "'distance' AS kind", "concat('S', k) AS from_id", "concat('S', (k + d) % 8) AS to_id", "'' AS target2_id", "sqrt(pow(n2 - northing, 2) + pow(e2 - easting, 2)) + (k * 7 + d * 3) % 5 * 0.01D + CASE WHEN k = 4 AND d = 2 THEN 1.0D ELSE 0.0D END AS value", "0.02D AS sigma")
+    pairs = s.withColumn("d", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("d < m").withColumn("other", (F.col("k") + F.col("d")) % F.col("m"))
+    pairs = pairs.join(s.selectExpr("network_id", "CAST(k AS BIGINT) AS other", "northing AS n2", "easting AS e2"), ["network_id", "other"])
+    obs = pairs.selectExpr("network_id", "CAST(k * 10 + d AS BIGINT) AS ord", "'distance' AS kind", "concat('S', k) AS from_id", "concat('S', other) AS to_id", "'' AS target2_id", "sqrt(pow(n2 - northing, 2) + pow(e2 - easting, 2)) + (k * 7 + d * 3) % 5 * 0.01D + CASE WHEN k = 4 AND d = 2 THEN 1.0D ELSE 0.0D END AS value", "0.02D AS sigma")
     return points, obs
 
 
@@ -327,5 +339,5 @@ def j1(spark, sf):
 
 @query("j4_snooping")
 def j4(spark, sf):
-    """Each ring has one distance that is a metre off."""
+    """Each ring of five points or more has one distance that is a metre off."""
     return networks.snoop(*_rings(spark, sf))
