@@ -66,6 +66,22 @@ def d26(spark, sf):
     return keyed.revision_match(part(False, 9000), part(True, 5000))
 
 
+_FOLDED = "CASE WHEN point_id % 5 = 0 THEN {half} ELSE point_id END AS point_id, northing, easting, elevation, description"
+
+
+@query(
+    "d26_revision_match_all",
+    f"""WITH a AS (SELECT {_FOLDED.format(half='point_id // 2')} FROM {_BASE} x), b AS (SELECT {_FOLDED.format(half='point_id // 2')} FROM {_NEW} x),
+    ga AS (SELECT point_id, count(*) AS n, min(northing) AS nn, min(easting) AS ee, min(description) AS dd FROM a GROUP BY 1), gb AS (SELECT point_id, count(*) AS n, min(northing) AS nn, min(easting) AS ee, min(description) AS dd FROM b GROUP BY 1)
+    SELECT coalesce(ga.point_id, gb.point_id) AS point_id, coalesce(ga.n, 0) AS n_base, coalesce(gb.n, 0) AS n_revised, CASE WHEN coalesce(ga.n, 0) > 1 OR coalesce(gb.n, 0) > 1 THEN 'ambiguous' WHEN ga.n IS NULL THEN 'added'
+        WHEN gb.n IS NULL THEN 'removed' WHEN ga.nn <> gb.nn OR ga.ee <> gb.ee OR ga.dd <> gb.dd THEN 'changed' ELSE 'unchanged' END AS status FROM ga FULL JOIN gb ON ga.point_id = gb.point_id""",
+)
+def d26_all(spark, sf):
+    """Both whole tables; every fifth id is halved, which makes some ids ambiguous."""
+    folded = lambda second: versions(spark, sf, second).selectExpr(*_FOLDED.format(half="point_id div 2").split(", "))
+    return keyed.revision_match(folded(False), folded(True))
+
+
 @query("h1_added_ids", f"SELECT point_id FROM {_NEW} EXCEPT SELECT point_id FROM {_BASE}")
 def h1(spark, sf):
     return versions(spark, sf, True).select("point_id").exceptAll(versions(spark, sf, False).select("point_id"))

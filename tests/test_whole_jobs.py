@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.plans import surface_queries
+from plumbline.plans.bindings import QUERIES
+from plumbline.plans.registry import ORACLE_SQL
 
 
 def test_every_supplier_is_in_a_ring(spark):
@@ -12,3 +14,19 @@ def test_every_supplier_is_in_a_ring(spark):
     sizes = {r.network_id: r["count"] for r in points.groupBy("network_id").count().collect()}
     assert sizes == {0: 8, 1: 13}
     assert obs.count() == 3 * 21 and obs.join(points.selectExpr("network_id", "point_id AS to_id"), ["network_id", "to_id"]).count() == 63
+
+
+def orders(spark, folder):
+    rows = spark.range(8990, 9050).unionByName(spark.range(1, 40)).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "id * 1.5D AS o_totalprice", "'2-HIGH' AS o_orderpriority")
+    rows.write.parquet(f"{folder}/orders.parquet")
+
+
+def test_revisions_of_all_ids_are_matched(spark, tmp_path):
+    orders(spark, tmp_path)
+    got = {r.point_id: (r.n_base, r.n_revised, r.status) for r in QUERIES["d26_revision_match_all"](spark, str(tmp_path)).collect()}
+    fold = lambda p: p // 2 if p % 5 == 0 else p
+    ids = [*range(8990, 9050), *range(1, 40)]
+    a, b = [fold(p) for p in ids if p % 13 != 1], [fold(p) for p in ids if p % 11 != 1]
+    assert {p: n[:2] for p, n in got.items()} == {p: (a.count(p), b.count(p)) for p in {*a, *b}}
+    assert {"ambiguous", "added", "removed", "changed", "unchanged"} == {n[2] for n in got.values()}
+    assert "9000" not in ORACLE_SQL["d26_revision_match_all"]
