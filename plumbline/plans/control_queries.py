@@ -159,6 +159,19 @@ def d2(spark, sf):
     return control.import_overlap(obs.where("control_id % 10 = 0"), obs.where("control_id % 20 = 0 and include"))
 
 
+@query(
+    "d2_import_overlap_all",
+    f"""WITH b AS (SELECT point_id, CASE WHEN control_id % 3 = 0 THEN northing + 1 ELSE northing END AS northing, easting, elevation FROM {CONTROL})
+    SELECT b.point_id, count(*) AS matches, CASE WHEN bool_or(abs(a.northing - b.northing) <= 1e-9 AND abs(a.easting - b.easting) <= 1e-9 AND abs(a.elevation - b.elevation) <= 1e-9) THEN 'exact' ELSE 'conflict' END AS overlap
+    FROM b JOIN {CONTROL} a ON lower(trim(a.point_id)) = lower(trim(b.point_id)) GROUP BY b.point_id""",
+)
+def d2_all(spark, sf):
+    """All rows against all rows; those of every third control come in a metre off."""
+    obs = control_observations(spark, sf)
+    moved = F.when(F.col("control_id") % 3 == 0, F.col("northing") + 1).otherwise(F.col("northing"))
+    return control.import_overlap(obs, obs.withColumn("northing", moved))
+
+
 @query(
     "l4_idempotent_insert",
     f"""WITH k AS (SELECT *, round(northing, 9) AS kn, round(easting, 9) AS ke, round(elevation, 9) AS kz FROM {CONTROL}), b AS (SELECT * FROM k WHERE NOT include),

@@ -231,6 +231,19 @@ def d25(spark, sf):
     return surfaces.station_offset(places(spark, sf).where("point_id % 3 = 0"), _segments(spark, sf), 15.0)
 
 
+@query(
+    "d25_station_offset_all",
+    f"""WITH x AS (SELECT p.point_id, s.*, n2 - n1 AS dn, e2 - e1 AS de, p.northing - n1 AS pn, p.easting - e1 AS pe FROM {PLACES} p JOIN {_SEGMENTS} s
+        ON p.northing BETWEEN least(n1, n2) - 15 AND greatest(n1, n2) + 15 AND p.easting BETWEEN least(e1, e2) - 15 AND greatest(e1, e2) + 15),
+    t AS (SELECT *, least(1, greatest(0, (pn * dn + pe * de) / (dn * dn + de * de))) AS t FROM x),
+    d AS (SELECT *, sqrt((pn - t * dn) ** 2 + (pe - t * de) ** 2) AS distance FROM t), b AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(distance, 9), seq) AS k FROM d WHERE distance <= 15)
+    SELECT point_id, seq, {r('station + t * sqrt(dn * dn + de * de)')} AS station, {r('-sign(dn * pe - de * pn) * distance')} AS "offset" FROM b WHERE k = 1""",
+)
+def d25_all(spark, sf):
+    """Every point."""
+    return surfaces.station_offset(places(spark, sf), _segments(spark, sf), 15.0)
+
+
 @query(
     "d19_crossings",
     f"""WITH s AS (SELECT * FROM {_SEGMENTS}), x AS (SELECT a.seq AS seq_a, b.seq AS seq_b, (a.e2 - a.e1) * (b.n1 - a.n1) - (a.n2 - a.n1) * (b.e1 - a.e1) AS d1, (a.e2 - a.e1) * (b.n2 - a.n1) - (a.n2 - a.n1) * (b.e2 - a.e1) AS d2,

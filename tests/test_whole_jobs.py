@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from plumbline.plans import surface_queries
@@ -30,3 +33,34 @@ def test_revisions_of_all_ids_are_matched(spark, tmp_path):
     assert {p: n[:2] for p, n in got.items()} == {p: (a.count(p), b.count(p)) for p in {*a, *b}}
     assert {"ambiguous", "added", "removed", "changed", "unchanged"} == {n[2] for n in got.values()}
     assert "9000" not in ORACLE_SQL["d26_revision_match_all"]
+
+
+def test_every_point_has_its_offset(spark, tmp_path):
+    rng = random.Random(5)
+    at = [(rng.uniform(0, 0.06), rng.uniform(0, 0.06)) for _ in range(60)]
+    frame = spark.createDataFrame([(i, [n, e, 0.0], 1) for i, (n, e) in enumerate(at)], "vec_id long, embedding array<double>, label int")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def away(p, a, b):
+        (n, e), (n1, e1), (n2, e2) = ((1000 * x for x in q) for q in (p, a, b))
+        dn, de = n2 - n1, e2 - e1
+        t = min(1, max(0, ((n - n1) * dn + (e - e1) * de) / (dn * dn + de * de)))
+        return math.hypot(n - n1 - t * dn, e - e1 - t * de)
+
+    want = {}
+    for i, p in enumerate(at):
+        distance, seq = min((away(p, at[k], at[k + 10]), k) for k in range(3, 50, 10))
+        if distance <= 15:
+            want[i] = (seq, round(distance, 4))
+    got = {r.point_id: (r.seq, abs(r.offset)) for r in QUERIES["d25_station_offset_all"](spark, str(tmp_path)).collect()}
+    assert {i: v[0] for i, v in got.items()} == {i: v[0] for i, v in want.items()} and any(i % 3 for i in got)
+    assert all(math.isclose(got[i][1], want[i][1], abs_tol=2e-4) for i in got)
+
+
+def test_every_control_is_compared_with_its_import(spark, tmp_path):
+    rows = spark.range(40).selectExpr(
+        "id % 20 AS l_partkey", "id AS l_orderkey", "1 AS l_linenumber", "2 AS l_suppkey", "id * 10.0D AS l_extendedprice", "5.0D AS l_quantity", "0.1D AS l_discount", "0.0D AS l_tax", "'R' AS l_returnflag", "DATE'2020-01-01' AS l_shipdate"
+    )
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.point_id: (r.matches, r.overlap) for r in QUERIES["d2_import_overlap_all"](spark, str(tmp_path)).collect()}
+    assert got == {f"P{k}": (4, "conflict" if k % 3 == 0 else "exact") for k in range(20)}
