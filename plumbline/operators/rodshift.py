@@ -10,11 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows to a bucket of the event groups.
+START_BUCKET = 1 << 16
+
+
 @dataclass(frozen=True)
 class Settings:
     fit_points: int = 3
@@ -27,65 +32,107 @@ class Settings:
 
 def scan_chain(chainage: np.ndarray, elevation: np.ndarray, s: Settings) -> list[tuple[int, int, float, float, bool]]:
     """Shift events of one chain: (first row, row after the last, mean shift, scatter, recovered)."""
-    events, i, k, n = [], s.fit_points, s.fit_points, len(chainage)
+    return _scan(chainage, elevation, s, s.fit_points, True)[0]
+
+
+def _scan(chainage: np.ndarray, elevation: np.ndarray, s: Settings, i: int, ended: bool) -> tuple[list[tuple[int, int, float, float, bool]], int]:
+    """Events from row ``i`` on, and the row to go on from: the end, or in a chain that hasn't ended the first row whose look-ahead isn't all there."""
+    events, k, n = [], s.fit_points, len(chainage)
 
     def line(rows):
         slope, meet = np.polyfit(chainage[rows], elevation[rows], 1)
         return slope, meet, np.abs(elevation[rows] - slope * chainage[rows] - meet).max()
 
-    while i < n:
+    while i < n and (ended or i + s.most_rows + k < n):
         before = np.arange(i - k, i)
         slope, meet, off = line(before) if np.ptp(chainage[before]) > 1e-9 else (0.0, 0.0, np.inf)
-        away = elevation - slope * chainage - meet
-        if off > s.fit_tolerance or abs(away[i]) < s.least_shift or chainage[i] - chainage[i - 1] > s.most_gap:
+        if off > s.fit_tolerance or abs(elevation[i] - slope * chainage[i] - meet) < s.least_shift or chainage[i] - chainage[i - 1] > s.most_gap:
             i += 1
             continue
+        ahead = slice(i, i + s.most_rows)
+        away = elevation[ahead] - slope * chainage[ahead] - meet
         j, recovered = i, False
         while j < n and j - i < s.most_rows and chainage[j] - chainage[j - 1] <= s.most_gap:
-            if abs(away[j]) <= s.fit_tolerance:
+            if abs(away[j - i]) <= s.fit_tolerance:
                 recovered = True
                 break
-            if j > i and abs(away[j] - np.median(away[i:j])) > s.scatter:
+            if j > i and abs(away[j - i] - np.median(away[: j - i])) > s.scatter:
                 break
             j += 1
         if recovered:
             after = np.arange(j, min(n, j + k))
             if len(after) == k:
                 slope, meet, off = line(np.r_[before, after])
-                away = elevation - slope * chainage - meet
+                away = elevation[ahead] - slope * chainage[ahead] - meet
                 recovered = off <= s.fit_tolerance
             else:
                 recovered = False
-        shift, spread = float(away[i:j].mean()), float(away[i:j].std())
+        shift, spread = float(away[: j - i].mean()), float(away[: j - i].std())
         if abs(shift) >= s.least_shift and spread <= s.scatter:
             events.append((i, j, shift, spread, recovered))
         i = max(i + 1, j + (k if recovered else 0))
-    return events
+    return events, i
 
 
 def shift_events(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Events of every chain: nodes have ``chain_id``, ``seq``, ``chainage``, ``elevation``."""
-
-    def scan(key, rows):
-        rows = rows.sort_values("seq")
-        seq = rows.seq.to_numpy()
-        found = scan_chain(rows.chainage.to_numpy(float), rows.elevation.to_numpy(float), settings)
-        return pd.DataFrame([(key[0], int(seq[a]), int(seq[b - 1]), b - a, shift, spread, ok) for a, b, shift, spread, ok in found], columns=_EVENTS)
+    """Events of every chain: nodes have ``chain_id``, ``seq``, ``chainage``, ``elevation``.
+
+    Chains are streamed in order of ``seq``: a task holds the rows that the
+    fit looks back to and the longest shift ahead, however long the chain is.
+    """
+    s = settings
+
+    def run(batches):
+        none = np.zeros(0)
+        chain, held, i = None, (none.astype(np.int64), none, none), s.fit_points
+
+        def scanned(ended):
+            nonlocal held, i
+            found, i = _scan(held[1], held[2], s, i, ended)
+            rows = [(chain[0], int(held[0][a]), int(held[0][b - 1]), b - a, shift, spread, ok) for a, b, shift, spread, ok in found]
+            held, i = tuple(x[i - s.fit_points :] for x in held), s.fit_points
+            return rows
+
+        kind = None
+        for batch in batches:
+            kind, rows, start = batch.schema.field(0).type, [], 0
+            runs = pc.run_end_encode(batch.column(0))
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3)]
+            for value, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if chain != (value,):
+                    rows += scanned(True) if chain else []
+                    chain, held, i = (value,), (none.astype(np.int64), none, none), s.fit_points
+                held = tuple(np.r_[old, new[start:end]] for old, new in zip(held, columns))
+                rows += scanned(False)
+                start = end
+            yield _batch(rows, kind)
+        if chain:
+            yield _batch(scanned(True), kind)
 
     kind = nodes.schema["chain_id"].dataType.simpleString()
-    return nodes.where("elevation is not null").groupBy("chain_id").applyInPandas(scan, f"chain_id {kind}, first_seq long, last_seq long, n_points long, shift double, scatter double, recovered boolean")
+    rows = nodes.where("elevation is not null").selectExpr("chain_id", "CAST(seq AS BIGINT) AS seq", "CAST(chainage AS DOUBLE) AS chainage", "CAST(elevation AS DOUBLE) AS elevation")
+    ordered = rows.repartition("chain_id").sortWithinPartitions("chain_id", "seq")
+    return ordered.mapInArrow(run, f"chain_id {kind}, first_seq long, last_seq long, n_points long, shift double, scatter double, recovered boolean")
+
+
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [kind, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], _EVENTS)
 
 
 _EVENTS = ["chain_id", "first_seq", "last_seq", "n_points", "shift", "scatter", "recovered"]
 
 
 def event_groups(events: DataFrame, gap: int, tolerance: float = 0.25) -> DataFrame:
-    """Candidates: events whose row ranges follow each other within ``gap`` rows and whose shifts are of one sign and rounded size; each with its score and correction."""
+    """Candidates: events whose row ranges follow each other within ``gap`` rows and whose shifts are of one sign and rounded size; each with its score and correction.
+
+    Events that start at one row are in one group, so only the distinct starts
+    of a size are put in order: in buckets of rows, of which only the ends
+    meet.
+    """
     size = F.round(F.col("shift") / (2 * tolerance)).cast("long")
-    w = Window.partitionBy("size").orderBy("first_seq", "last_seq", "chain_id")
-    reach = F.max("last_seq").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = events.withColumn("size", size).withColumn("new", (F.coalesce(F.col("first_seq") - reach > gap, F.lit(True))).cast("long"))
-    rows = rows.withColumn("grp", F.sum("new").over(w))
+    rows = events.withColumn("size", size)
+    rows = rows.join(_range_groups(rows, gap), ["size", "first_seq"])
     groups = rows.groupBy("size", "grp").agg(
         F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.countDistinct("chain_id").alias("chains"), F.sum("n_points").alias("n_points"), F.avg("shift").alias("shift"),
         F.bool_and("recovered").alias("recovered"), (F.max("shift") - F.min("shift")).alias("spread"),
@@ -96,6 +143,20 @@ def event_groups(events: DataFrame, gap: int, tolerance: float = 0.25) -> DataFr
     return rows.select("first_seq", "last_seq", "chains", "n_points", "shift", (-F.col("shift")).alias("correction"), "recovered", "score", status.alias("status"))
 
 
+def _range_groups(events: DataFrame, gap: int) -> DataFrame:
+    """``(size, first_seq, grp)`` for the distinct starts of each size."""
+    starts = events.groupBy("size", "first_seq").agg(F.max("last_seq").alias("last_seq")).withColumn("bucket", F.floor(F.col("first_seq") / START_BUCKET))
+    within = Window.partitionBy("size", "bucket").orderBy("first_seq")
+    earlier = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = starts.groupBy("size", "bucket").agg(F.max("last_seq").alias("last_seq"))
+    starts = starts.join(ends.select("size", "bucket", F.max("last_seq").over(earlier).alias("reached")), ["size", "bucket"])
+    reach = F.greatest(F.max("last_seq").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("reached"))
+    starts = starts.withColumn("new", F.coalesce(F.col("first_seq") - reach > gap, F.lit(True)).cast("long"))
+    counts = starts.groupBy("size", "bucket").agg(F.sum("new").alias("n"))
+    counts = counts.select("size", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return starts.join(counts, ["size", "bucket"]).select("size", "first_seq", (F.col("before") + F.sum("new").over(within)).alias("grp"))
+
+
 def corrected_points(points: DataFrame, corrections: DataFrame, key: str = "point_id") -> DataFrame:
     """Points with each approved correction added to the heights of the rows it names; a row with corrections that differ raises."""
     per = corrections.groupBy(key).agg(F.min("correction").alias("low"), F.max("correction").alias("high"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from plumbline.operators import rodshift
 from plumbline.plans import surface_queries
 from plumbline.plans.bindings import QUERIES
 from plumbline.plans.registry import ORACLE_SQL
@@ -64,3 +66,33 @@ def test_every_control_is_compared_with_its_import(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.point_id: (r.matches, r.overlap) for r in QUERIES["d2_import_overlap_all"](spark, str(tmp_path)).collect()}
     assert got == {f"P{k}": (4, "conflict" if k % 3 == 0 else "exact") for k in range(20)}
+
+
+def test_chains_are_streamed_and_grouped_by_row_ranges(spark, monkeypatch):
+    rng, s = np.random.default_rng(3), rodshift.Settings(most_rows=25)
+    chains = {}
+    for c in (None, 1, 2):
+        x = np.cumsum(rng.choice([10.0, 2000.0], 900, p=[0.98, 0.02]))
+        chains[c] = x, 0.01 * x + rng.normal(0, 0.01, 900) + np.repeat(rng.choice([0.0, 1.83], 60), 15)
+    rows = [(c, k, float(x), float(z)) for c, xz in chains.items() for k, (x, z) in enumerate(zip(*xz))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        monkeypatch.setattr(rodshift, "START_BUCKET", 16)
+        events = rodshift.shift_events(spark.createDataFrame(rows, "chain_id int, seq int, chainage double, elevation double"), s)
+        plan = events._jdf.queryExecution().toString()
+        got = [tuple(r) for r in events.collect()]
+        groups = sorted((r.first_seq, r.last_seq, r.n_points) for r in rodshift.event_groups(events, 5).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(c, a, b - 1, b - a, shift, spread, ok) for c, xz in chains.items() for a, b, shift, spread, ok in rodshift.scan_chain(*xz, s)]
+    assert len(want) > 30 and sorted(got, key=repr) == sorted(want, key=repr)
+    assert "FlatMapGroups" not in plan
+    expected, open_ = [], {}
+    for e in sorted(want, key=lambda e: e[1:3]):
+        size = math.floor(e[4] / 0.5 + 0.5) if e[4] > 0 else -math.floor(-e[4] / 0.5 + 0.5)
+        if size not in open_ or e[1] - open_[size][1] > 5:
+            open_[size] = [e[1], e[2], 0]
+            expected.append(open_[size])
+        open_[size][1] = max(open_[size][1], e[2])
+        open_[size][2] += e[3]
+    assert groups == sorted(map(tuple, expected))
