@@ -42,12 +42,19 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listed URLs are those of the two spam hosts that ``pages`` has."""
+    """The listed URLs are those of two of the spam hosts that ``pages`` has: the two that the SQL names."""
     pages = _table(spark, sf_dir, "pages")
     listed = pages.where(url_filter.host(F.col("url")).rlike(SPAM_HOSTS)).select("url")
     return url_filter.filter_urls(pages, listed)
 
 
+def op7_url_filter_all_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed URLs are those of all six spam hosts that ``pages`` has."""
+    pages = _table(spark, sf_dir, "pages")
+    listed = pages.where(url_filter.host(F.col("url")).rlike(ALL_SPAM_HOSTS)).select("url")
+    return url_filter.filter_urls(pages, listed)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
@@ -61,10 +68,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPAM_HOSTS = r"(^|\.)(spam-farm|cheap-pills)\."
+ALL_SPAM_HOSTS = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\."
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_edit_counts, op3_toxicity, op4_secret_scan, op5_language_id, op6_exact_dedup, op7_url_filter, op8_media, op9_sentencepiece, op10_simhash)
+    for f in (op1_packing, op2_edit_counts, op3_toxicity, op4_secret_scan, op5_language_id, op6_exact_dedup, op7_url_filter, op7_url_filter_all_hosts, op8_media, op9_sentencepiece, op10_simhash)
 
 }
 
@@ -121,3 +129,4 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN found THEN 'block' ELSE 'allow' END AS verdict, rule IS NULL AND found AS listed FROM r""",
 }
+ORACLE_SQL["op7_url_filter_all_hosts"] = ORACLE_SQL["op7_url_filter"].replace(SPAM_HOSTS, ALL_SPAM_HOSTS)

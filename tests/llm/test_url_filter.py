@@ -77,3 +77,14 @@ def test_no_python_in_the_plan(spark):
     df = url_filter.filter_urls(spark.createDataFrame([(1, "http://a.org/", "", 0)], PAGES), spark.createDataFrame([("http://a.org/",)], "url string"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_all_spam_hosts_are_listed(spark, tmp_path):
+    from plumbline.llm import registry
+
+    names = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track", "notadult-x", "tionsh"]
+    rows = [(i, f"http://blog.{n}.example.net/a", "", 0) for i, n in enumerate(names)]
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in registry.QUERIES["op7_url_filter_all_hosts"](spark, str(tmp_path)).collect()}
+    assert got == {i: "block" if i < 6 else "allow" for i in range(8)}
+    assert registry.ALL_SPAM_HOSTS in registry.ORACLE_SQL["op7_url_filter_all_hosts"]
