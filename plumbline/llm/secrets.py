@@ -7,6 +7,7 @@ the data, so it is broadcast.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -114,10 +115,17 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {kind}, {', '.join(f'n_{r.kind} long' for r in BASE)}, base_sha256 string, spans string")
 
 
+_GAP, _SIGN = r"[\x20\t\r\n\\]", r"[A-Za-z0-9+/=]"
+#: What follows a private key's BEGIN line: header fields, then all up to the END line, or without that the lines of a body.
+_KEY_REST = re.compile(rf"(?:{_GAP}*+[A-Za-z]++-[A-Za-z]++: [A-Za-z0-9,-]++)*+(?:(?:{_GAP}|{_SIGN})*+-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:{_GAP}*+{_SIGN}{{16,}}+)*+)")
+
+
 def redact_text(text: str, hits, rules: tuple[Rule, ...] = RULES) -> str:
-    """``text`` with each run of overlapping spans replaced by the kind of its first one."""
+    """``text`` with each run of overlapping spans replaced by the kind of its first one; a private key goes with its body and END line."""
     out, cursor = [], 0
     for s, r, e in hits:
+        if rules[r].kind == "pem":
+            e = _KEY_REST.match(text, e).end()
         if s >= cursor:
             out += [text[cursor:s], f"[{rules[r].kind}]"]
         cursor = max(cursor, e)

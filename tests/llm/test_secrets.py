@@ -81,3 +81,19 @@ def test_overlapping_spans_are_replaced_once():
 def test_empty_table(spark):
     assert secrets.scan_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
     assert secrets.redact(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+KEY = "MIIEpAIBAAKCAQEAx2" + "Ab9+/Zq0" * 5
+
+
+@pytest.mark.parametrize("kind", ["", "RSA "])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", " "])
+def test_private_keys_go_with_their_bodies(kind, end):
+    begin, close = f"-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----"
+    fields = f"{end}Proc-Type: 4,ENCRYPTED{end}DEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF{end}" if end != "\\n" else ""
+    whole = f"{begin}{fields}{end}{KEY}{end}{KEY}{end}a0=={end}{close}"
+    text = f"key: {whole} and, {whole}{end}more words."
+    assert secrets.redact_text(text, brute(text)) == f"key: [pem] and, [pem]{end}more words."
+    cut = f"{begin}{end}{KEY}{end}{KEY}"
+    assert secrets.redact_text(cut + ", x", brute(cut)) == "[pem], x"
+    assert secrets.redact_text(f"{begin} is a line, x", brute(begin)) == "[pem] is a line, x"
