@@ -2,7 +2,8 @@
 
 Texts are read as lower-case letters with every other character as a space
 (runs of spaces count once).  Exact 4-gram counts of all training rows are
-aggregated by Spark; the models are sorted hash arrays of fixed capacity.
+aggregated by Spark; the models are sorted hash arrays of all of them, in
+shards of languages that the driver builds and tasks load one after another.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,8 @@ from plumbline.llm.arrow import fold, frugal, parts
 from plumbline.storage import materialise
 
 ORDER = 4
-#: Most frequent 4-gram types that a language's model holds: its size bound.
-CAPACITY = 1 << 18
-#: Languages with the most training rows that a model set holds.
-LANGUAGES = 256
-#: 4-gram types of all models together, shared evenly where there are many languages: bounds what the driver gathers.
-TOTAL = 1 << 21
+#: 4-gram types of a shard of languages (or one language that has more): what the driver gathers and a task holds at once.
+SHARD = 1 << 21
 HELD_OUT = (3, 1)
 #: Training rows with this remainder of crc32 div 3 calibrate the rejection and are not counted.
 CALIBRATION = (10, 0)
@@ -226,37 +224,38 @@ def entropies(models: list[Model], texts: list[str]) -> tuple[np.ndarray, np.nda
     return bits / np.maximum(n, 1)[:, None], n, letters > 0
 
 
-def fit(docs: DataFrame) -> tuple[list[str], list[Model]]:
-    """Models of the languages in ``docs`` (text, lang), from all its rows; what comes to the driver is at most CAPACITY 4-gram types a language, and about TOTAL in all."""
+def fit(docs: DataFrame) -> tuple[list[str], list[Broadcast]]:
+    """Languages in ``docs`` (text, lang) by name, and their models from all its rows, in broadcast shards in the same order."""
     counts = materialise(count_grams(docs.where("lang is not null")), "char-grams")
-    bucket = F.floor(F.log2("n")).cast("int")
-    per_bucket = counts.groupBy("lang", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("n")).toPandas()
-    chosen = per_bucket.groupby("lang")["n"].sum().sort_values(ascending=False, kind="stable").index[:LANGUAGES]
-    most = min(CAPACITY, TOTAL // max(1, len(chosen)))
-    least = {}
-    for lang in chosen:
-        held = per_bucket[per_bucket.lang == lang].sort_values("bucket", ascending=False)
-        fits = held[held.types.cumsum() <= most]
-        least[lang] = 2 ** int(fits.bucket.min()) if len(fits) else 2 ** int(held.bucket.max())
-    langs = sorted(least)
-    keep = F.lit(False)
-    for lang in langs:
-        keep = keep | ((F.col("lang") == lang) & (F.col("n") >= least[lang]))
-    kept = counts.where(keep).toPandas()
-    models = []
-    for lang in langs:
-        own = kept[kept.lang == lang].sort_values(["high", "low"])
-        models.append(kneser_ney(own.high.to_numpy(np.int64), own.low.to_numpy(np.int64), own.n.to_numpy(np.int64)))
-    return langs, models
-
-
-def _scored(docs: DataFrame, langs: list[str], models: list[Model], extra: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    types = {r.lang: r.types for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("types")).collect()}
+    langs = sorted(types)
+    shards = []
+    for a, b in parts([types[lang] for lang in langs], SHARD):
+        kept = counts.where(F.col("lang").isin(langs[a:b])).toPandas().sort_values(["lang", "high", "low"])
+        own = dict(iter(kept.groupby("lang", sort=False)))
+        models = [kneser_ney(*(own[lang][c].to_numpy(np.int64) for c in ("high", "low", "n"))) for lang in langs[a:b]]
+        shards.append(docs.sparkSession.sparkContext.broadcast(models))
+    return langs, shards
+
+
+def _entropies(shards: list[Broadcast], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``entropies`` by the models of all shards; where there are several, one is in memory at a time."""
+    if len(shards) < 2:
+        return entropies(shards[0].value if shards else [], texts)
+    bits = []
+    for shard in shards:
+        own, n, letters = entropies(shard.value, texts)
+        bits.append(own)
+        del shard._value
+    return np.hstack(bits), n, letters
+
+
+def _scored(docs: DataFrame, langs: list[str], shards: list[Broadcast], extra: list[str]) -> DataFrame:
     names = np.array([*langs, UNKNOWN], dtype=object)
 
     def run(batches):
         for batch in batches:
-            h, n, letters = entropies(shared.value, [t or "" for t in batch.column(0).to_pylist()])
+            h, n, letters = _entropies(shards, [t or "" for t in batch.column(0).to_pylist()])
             best = h.argmin(axis=1) if len(langs) else np.zeros(len(n), int)
             best[~letters] = len(langs)
             low = h.min(axis=1) if len(langs) else np.zeros(len(n))
@@ -303,13 +302,13 @@ def calibrate(scored: DataFrame) -> dict[str, tuple[float, float, float]]:
 
 
 def _learned(docs: DataFrame):
-    """Languages, models and rejection limits from the training rows of ``docs``."""
+    """Languages, shards of models and rejection limits from the training rows of ``docs``."""
     own = _training(docs).where("doc_id is not null").select("doc_id", "text", "lang")
-    langs, models = fit(own.where(~_calibrates()))
+    langs, shards = fit(own.where(~_calibrates()))
     if not langs:
-        langs, models = fit(own)
-    limits = calibrate(_scored(own.where(_calibrates()), langs, models, ["lang"])) if langs else {}
-    return langs, models, limits
+        langs, shards = fit(own)
+    limits = calibrate(_scored(own.where(_calibrates()), langs, shards, ["lang"])) if langs else {}
+    return langs, shards, limits
 
 
 def identify(docs: DataFrame, training: DataFrame | None = None, z: float = REJECT_Z) -> DataFrame:
@@ -326,28 +325,28 @@ def identify(docs: DataFrame, training: DataFrame | None = None, z: float = REJE
     have.  Rows with a null id are not held out and never train; repeated rows
     stay; an empty table gives an empty result; other columns are not read.
     """
-    langs, models, limits = _learned(training if training is not None else docs)
+    langs, shards, limits = _learned(training if training is not None else docs)
     rows = docs.select("text", "doc_id", (fold("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"))
-    scored = _scored(rows, langs, models, ["doc_id", "held_out"])
+    scored = _scored(rows, langs, shards, ["doc_id", "held_out"])
     far = F.lit(False)
-    for lang, (mean, a, b) in sorted(limits.items()):
-        limit = mean + z * F.sqrt(F.lit(a) + F.lit(b) / F.greatest(F.col("n_scored"), F.lit(1)))
-        far = F.when(F.col("lang_pred") == lang, F.col("entropy") > limit).otherwise(far)
+    if limits:
+        mean, a, b = (F.create_map(*[x for lang, v in sorted(limits.items()) for x in (F.lit(lang), F.lit(v[k]))])[F.col("lang_pred")] for k in range(3))
+        far = F.coalesce(F.col("entropy") > mean + z * F.sqrt(a + b / F.greatest(F.col("n_scored"), F.lit(1))), F.lit(False))
     return scored.select("doc_id", "held_out", "lang_pred", "score", "entropy", ((F.col("lang_pred") == UNKNOWN) | far).alias("rejected"))
 
 
 def keep_identified(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that language ID doesn't reject, with all columns, in one pass without a join."""
-    langs, models, limits = _learned(training if training is not None else docs)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, models, limits))
+    langs, shards, limits = _learned(training if training is not None else docs)
+    shared = docs.sparkSession.sparkContext.broadcast((langs, limits))
     text_at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            langs, models, limits = shared.value
+            langs, limits = shared.value
             if not langs:
                 continue
-            h, n, letters = entropies(models, [t or "" for t in batch.column(text_at).to_pylist()])
+            h, n, letters = _entropies(shards, [t or "" for t in batch.column(text_at).to_pylist()])
             best, low = h.argmin(axis=1), h.min(axis=1)
             mean, a, b = np.array([limits.get(lang, (np.inf, 1.0, 0.0)) for lang in langs]).T
             keep = letters & (low <= mean[best] + REJECT_Z * np.sqrt(a[best] + b[best] / np.maximum(n, 1)))

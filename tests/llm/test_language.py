@@ -131,3 +131,17 @@ def test_keep_identified_agrees_with_identify(spark):
     docs = spark.createDataFrame([*corpus(), (1001, None, "aa", 0), (1003, "жжж ффф щщщ ъъъ " * 20, None, 0)], SCHEMA)
     kept = {r.doc_id for r in language.keep_identified(docs).collect()}
     assert kept == {r.doc_id for r in language.identify(docs).collect() if not r.rejected}
+
+
+def test_no_language_or_gram_is_left_out(spark, monkeypatch):
+    """More languages than a fixed number, each with two letters of its own; shards of any size give the same."""
+    rows = [(i, (chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i)) * 8, f"l{i:03}", 0) for i in range(450)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = [sorted(tuple(r) for r in language.identify(docs).collect())]
+    monkeypatch.setattr(language, "SHARD", 700)
+    got.append(sorted(tuple(r) for r in language.identify(docs).collect()))
+    assert got[0] == got[1]
+    counted = [r for r in rows if crc32(str(r[0]).encode()) % 3 != 1 and crc32(str(r[0]).encode()) // 3 % 10]
+    assert len(counted) > 256
+    predicted = {r[0]: r[2] for r in got[0]}
+    assert all(predicted[r[0]] == r[2] for r in counted)
