@@ -4,11 +4,13 @@ A byte-pair vocabulary encodes pre-tokens one by one, so a document's count is
 the sum of its pre-tokens' counts.  An edit re-splits the text only from the
 first pre-token whose match could have looked at the edited place up to where
 old and new borders meet again; only the new pre-tokens are encoded, and the
-sums on their path to the root are updated.
+sums on their path to the root are updated.  A token that the vocabulary adds
+(such as an end-of-text mark) parts the text and is a pre-token of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokens import encode, vocabulary_paths
+from plumbline.llm.tokens import added_pattern, added_tokens, count_pretoken, vocabulary_paths
 
 #: Pre-tokens in a leaf block when a tree is built; a block that grows past GROWN times that has the tree built anew.
 BLOCK = 64
@@ -40,10 +42,20 @@ class Counter(dict):
 
     def __init__(self, paths: tuple[str, str]):
         super().__init__()
-        self.paths = paths
+        self.paths, self.added = paths, added_pattern(paths[0])
+        #: Characters before an edit from which pre-tokens can change: an added token may become whole or broken, and the one before it looks ahead.
+        self.back = LOOKAHEAD + max(map(len, added_tokens(paths[0])), default=0)
+
+    def pretokens(self, text: str, start: int = 0) -> Iterator[str]:
+        """Pre-tokens of ``text`` from ``start``, where one begins."""
+        for m in self.added.finditer(text, start) if self.added else ():
+            yield from (t[0] for t in _pattern().finditer(text, start, m.start()))
+            yield m[0]
+            start = m.end()
+        yield from (t[0] for t in _pattern().finditer(text, start))
 
     def __missing__(self, token: str) -> int:
-        n = len(encode(token, self.paths))
+        n = count_pretoken(token, self.paths)
         if len(token) <= _LONG:
             if len(self) > _CACHE:
                 self.clear()
@@ -57,7 +69,7 @@ class TokenTree:
     def __init__(self, text: str, counter: Counter, leaves: tuple[list[int], list[int]] | None = None):
         self.text, self.counter = text, counter
         if leaves is None:
-            tokens = _pattern().findall(text)
+            tokens = list(counter.pretokens(text))
             leaves = ([len(t) for t in tokens], [counter[t] for t in tokens])
         self.encoded = 0
         self._build(*leaves)
@@ -105,14 +117,13 @@ class TokenTree:
             return
         shift = len(insert) - delete
         self.text = self.text[:position] + insert + self.text[position + delete :]
-        block, index, start = self._find(max(0, position - LOOKAHEAD))
+        block, index, start = self._find(max(0, position - self.counter.back))
         old, b, i = start, block, index
-        new_chars, new_counts, met = [], [], False
-        for match in _pattern().finditer(self.text, start):
-            token = match[0]
+        new_chars, new_counts, met, end = [], [], False, start
+        for token in self.counter.pretokens(self.text, start):
             new_chars.append(len(token))
             new_counts.append(self.counter[token])
-            end = match.end()
+            end += len(token)
             if end < position + len(insert):
                 continue
             while old < end - shift and b < len(self.blocks):
@@ -223,7 +234,8 @@ def apply_edits(docs: DataFrame, edits: DataFrame, paths: tuple[str, str] | None
     both = docs.select("doc_id", F.lit(0).alias("is_edit"), F.lit(None).cast("long").alias("seq"), F.coalesce("text", F.lit("")).alias("text"), *nothing).unionByName(
         edits.where("doc_id is not null").select("doc_id", F.lit(1).alias("is_edit"), F.col("seq").cast("long"), F.lit(None).cast("string").alias("text"), F.col("position").cast("int"), F.col("remove").cast("int"), "insert")
     )
-    ordered = both.repartition("doc_id").sortWithinPartitions("doc_id", "is_edit", "seq", "position", "remove", "insert")
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    ordered = both.repartition("doc_id", spread).sortWithinPartitions("doc_id", "is_edit", "seq", "position", "remove", "insert")
 
     def run(batches):
         counter = Counter(paths)
