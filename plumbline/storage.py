@@ -8,32 +8,63 @@ lost executor costs a re-read and never a recomputation of earlier rounds.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_open = threading.local()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="plumbline-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder from ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """Folder from ``spark.checkpoint.dir``; a temporary one of this process only where the setting is absent and the master is local."""
     found = spark.conf.get(_KEY, None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{_KEY} must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set(_KEY, found)
+        found = _own_dir()
     return found.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path under the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/plumbline/{tag}-{uuid.uuid4().hex}"
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, the tables that were written in it.
+
+    Operators open one for what only they read and hand the tables that their
+    result reads to the block around it.  So a caller who works up a result
+    inside a block of its own leaves nothing behind; without such a block the
+    tables that the result reads stay until they are removed by path.
+    """
+    stack = _open.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            remove(spark, path)
+
+
+def fresh_path(spark: SparkSession, tag: str, hand_on: bool = False) -> str:
+    """A path under the shared folder that nothing has used yet; it belongs to the innermost open ``scope``, or with ``hand_on`` to the one around that."""
+    path = f"{shared_dir(spark)}/plumbline/{tag}-{uuid.uuid4().hex}"
+    owners = _open.__dict__.get("stack", [])[:-1 if hand_on else None]
+    if owners:
+        owners[-1].append(path)
+    return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return it as read from there."""
-    path = fresh_path(df.sparkSession, tag)
+def materialise(df: DataFrame, tag: str, hand_on: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return it as read from there; the path is owned as in ``fresh_path``."""
+    path = fresh_path(df.sparkSession, tag, hand_on)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
