@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the decimal text of ``doc_id``, modulo ``modulus``; -1 for a null id."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int") if isinstance(doc_id, str) else F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")
 
 
 def frugal(run):

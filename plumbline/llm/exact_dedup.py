@@ -7,12 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.storage import fresh_path, materialise
+from plumbline.storage import materialise, scope
 
 #: Characters that equality ignores: space and U+0009 to U+000D.
 BLANKS = (" ", "\n", "\t", "\r", "\x0b", "\x0c")
 BROADCAST_BYTES = 32 << 20
-_RAW = "__plumbline_raw_hash"
+_RAW = ("__plumbline_raw_1", "__plumbline_raw_2")
+
+
+def raw_hashes() -> list[Column]:
+    """128 bits of the text as it is (null: empty), as ``raw_1`` and ``raw_2``."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("raw_1"), F.xxhash64(F.lit("b"), text).alias("raw_2")]
 
 
 def normalised(text: Column) -> Column:
@@ -22,8 +28,8 @@ def normalised(text: Column) -> Column:
 
 def _hashed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.length(text).cast("long").alias("n"), F.xxhash64(text).alias("raw"), normalised(F.col("text")).alias("norm"))
-    return rows.select("doc_id", "n", "raw", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("b"), "norm").alias("h2"))
+    rows = docs.select("doc_id", F.length(text).cast("long").alias("n"), *raw_hashes(), normalised(F.col("text")).alias("norm"))
+    return rows.select("doc_id", "n", "raw_1", "raw_2", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("b"), "norm").alias("h2"))
 
 
 def _keeper() -> Column:
@@ -50,17 +56,16 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     A hash with two texts is a collision, and its rows are then told apart by
     text.  No group is collected.
     """
-    return _decided(docs).drop("raw")
+    with scope(docs.sparkSession):
+        return _decided(docs).drop("raw_1", "raw_2")
 
 
 def _decided(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
+    """Decisions with the raw hashes, inside the caller's scope; they read two tables that are handed on to the block around it."""
     digests = materialise(
-        _hashed(docs).select("doc_id", "n", "raw", "h1", "h2", F.unhex(F.sha2("norm", 256)).alias("sha")), "digests"
+        _hashed(docs).select("doc_id", "n", "raw_1", "raw_2", "h1", "h2", F.unhex(F.sha2("norm", 256)).alias("sha")), "digests", hand_on=True
     )
-    path = fresh_path(spark, "hash-groups")
-    digests.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("group_size"), _keeper()).write.parquet(path)
-    groups = spark.read.parquet(path)
+    groups = materialise(digests.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("group_size"), _keeper()), "hash-groups", hand_on=True)
     repeated = materialise(groups.where("group_size > 1").select("h1", "h2"), "repeated-hashes")
     narrow = repeated.count() * 16 <= BROADCAST_BYTES
     texts = _hashed(docs).join(F.broadcast(repeated) if narrow else repeated, ["h1", "h2"], "left_semi")
@@ -68,7 +73,7 @@ def _decided(docs: DataFrame) -> DataFrame:
     by_text = materialise(
         by_text.select("h1", "h2", F.unhex(F.sha2("norm", 256)).alias("sha"), F.md5("norm").alias("md5"), "group_size", "best"), "text-groups"
     )
-    collided = by_text.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    collided = materialise(by_text.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "collided-hashes", hand_on=True)
     if collided.isEmpty():
         found = digests.join(groups, ["h1", "h2"])
     else:
@@ -80,7 +85,8 @@ def _decided(docs: DataFrame) -> DataFrame:
         F.col("group_size").cast("long").alias("group_size"),
         (F.col("doc_id").eqNullSafe(best["doc_id"]) & (F.col("n") == -best["minus_n"])).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
-        "raw",
+        "raw_1",
+        "raw_2",
     )
 
 
@@ -95,21 +101,37 @@ def _with_collisions(docs: DataFrame, digests: DataFrame, groups: DataFrame, col
     return plain.unionByName(told.select(*plain.columns))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, with all their columns; one row of each group.
+def keep_decided(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` keeps, with all their columns; rows alike in id and text come out once.
 
-    Only the narrow (id, raw hash) pairs of dropped rows are joined back; they
-    are broadcast while they are few.  Rows that repeat an id and a text come
-    out once.
+    ``decided`` has a row for each row of ``docs``: doc_id, raw_1, raw_2,
+    kept.  Only the narrow keys of dropped rows are joined back, and they are
+    broadcast while they are few.  Null ids are equal to each other here, and
+    columns of ``docs`` may have any names.  What the result reads is handed on
+    from the caller's scope.
     """
-    decided = materialise(_decided(docs), "dedup-decisions")
-    dropped = decided.where("not kept").select("doc_id", "raw").distinct()
-    again = decided.where("kept").groupBy("doc_id", "raw").count().where("count > 1").select("doc_id", "raw")
-    small = decided.where("not kept").count() * 16 <= BROADCAST_BYTES
-    keyed = docs.withColumn(_RAW, F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed[_RAW] == other["raw"])
+    keys = ["doc_id", "raw_1", "raw_2"]
+    dropped = materialise(decided.where("not kept").select(*keys).distinct(), "dropped-rows", hand_on=True)
+    again = materialise(decided.where("kept").groupBy(*keys).count().where("count > 1").select(*keys), "repeated-rows", hand_on=True)
+    small = dropped.count() * 24 <= BROADCAST_BYTES
+    keyed = docs.withColumns(dict(zip(_RAW, raw_hashes())))
+    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed[_RAW[0]] == other["raw_1"]) & (keyed[_RAW[1]] == other["raw_2"])
     kept = keyed.join(F.broadcast(dropped) if small else dropped, same(dropped), "left_anti")
     if again.isEmpty():
-        return kept.drop(_RAW)
-    once = kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", _RAW])
-    return kept.join(again, same(again), "left_anti").unionByName(once).drop(_RAW)
+        return kept.drop(*_RAW)
+    once = kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", *_RAW])
+    return kept.join(again, same(again), "left_anti").unionByName(once).drop(*_RAW)
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that exact dedup keeps, with all their columns; one row of each group.
+
+    Decisions are those of ``exact_duplicates``, row by row: another text
+    under the id (or the null id) of a dropped row stays.  Rows that repeat an
+    id and a text come out once; an empty table gives an empty result; extra
+    columns of any name are kept.
+    """
+    with scope(docs.sparkSession):
+        with scope(docs.sparkSession):
+            decided = materialise(_decided(docs), "dedup-decisions", hand_on=True)
+        return keep_decided(docs, decided)

@@ -1,28 +1,35 @@
 """Language ID: interpolated Kneser-Ney character models per language, with calibrated rejection.
 
 Texts are read as lower-case letters with every other character as a space
-(runs of spaces count once).  Exact 4-gram counts of all training rows are
-aggregated by Spark; the models are sorted hash arrays of all of them, in
-shards of languages that the driver builds and tasks load one after another.
+(runs of spaces count once).  Spark counts the 4-grams of all training rows
+exactly and works out continuation counts, discounts and probabilities as
+tables.  Tasks hold them as sorted hash arrays, in shards of bounded size: a
+language with more types than a shard is cut by the character before the last,
+which all grams of one back-off chain share.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrow import fold, frugal, parts
-from plumbline.storage import materialise
+from plumbline.storage import materialise, scope
 
 ORDER = 4
-#: 4-gram types of a shard of languages (or one language that has more): what the driver gathers and a task holds at once.
+#: 4-gram types of a shard (or of one unit, a language's grams of one bucket, if that has more): what the driver gathers and a task holds at once.
 SHARD = 1 << 21
+#: Buckets of the character before the last, by which large languages are cut.
+BUCKETS = 64
+#: Bytes of text that a task gathers before it goes through several shards.
+GATHER = 1 << 25
 HELD_OUT = (3, 1)
 #: Training rows with this remainder of crc32 div 3 calibrate the rejection and are not counted.
 CALIBRATION = (10, 0)
@@ -31,6 +38,7 @@ REJECT_Z = 10.0
 _SLICE = 1 << 18
 _SPACE = 32
 _BITS = 21
+_CODE = (1 << _BITS) - 1
 UNKNOWN = "und"
 
 
@@ -115,10 +123,60 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return partial.groupBy("lang", "high", "low").agg(F.sum("n").alias("n"))
 
 
+def _level(counts: DataFrame, order: int) -> DataFrame:
+    """Types of ``order`` and their continuation counts from the types of the next order."""
+    high = F.col("high").bitwiseAND(F.lit(_CODE)) if order == 3 else F.lit(0).cast("long")
+    low = F.col("low").bitwiseAND(F.lit(_CODE)) if order == 1 else F.col("low")
+    return counts.groupBy("lang", high.alias("high"), low.alias("low")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """Interpolated Kneser-Ney from exact 4-gram counts (lang, high, low, n): ``(lang, order, high, low, p, weight, bucket)``.
+
+    Raw counts on top, continuation counts below.  ``weight`` is the back-off
+    weight of the gram's context; single characters are in bucket -1, as each
+    part of a language needs them.  A context has at most as many types as
+    there are letters, so the windows are small.
+    """
+    levels = {ORDER: counts.select("lang", "high", "low", F.col("n").alias("c"))}
+    for order in range(ORDER - 1, 0, -1):
+        levels[order] = _level(levels[order + 1], order)
+    found, lower = [], None
+    for order in range(1, ORDER + 1):
+        ones, twos = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+        raw = F.when(ones > 0, ones / (ones + 2 * twos)).otherwise(0.5)
+        discounts = levels[order].groupBy("lang").agg(F.least(F.greatest(raw, F.lit(0.1)), F.lit(0.9)).alias("discount"), (F.count(F.lit(1)) + 1).alias("vocabulary"))
+        same = Window.partitionBy("lang", "high", F.shiftright("low", _BITS))
+        rows = levels[order].withColumns({"total": F.sum("c").over(same), "kinds": F.count(F.lit(1)).over(same)}).join(discounts, "lang")
+        if order == 1:
+            rows = rows.withColumn("below", 1.0 / F.col("vocabulary"))
+        else:
+            rows = rows.withColumns({"k_high": F.col("high").bitwiseAND(F.lit(_CODE)) if order == 4 else F.lit(0).cast("long"), "k_low": F.col("low").bitwiseAND(F.lit(_CODE)) if order == 2 else F.col("low")})
+            rows = rows.join(lower.select("lang", F.col("high").alias("k_high"), F.col("low").alias("k_low"), F.col("p").alias("below")), ["lang", "k_high", "k_low"])
+        weight = F.col("discount") * F.col("kinds") / F.col("total")
+        rows = rows.select("lang", "high", "low", ((F.col("c") - F.col("discount")) / F.col("total") + weight * F.col("below")).alias("p"), weight.alias("weight"))
+        bucket = F.lit(-1).cast("long") if order == 1 else _bucket(F.col("low"))
+        found.append(rows.select("lang", F.lit(order).alias("order"), "high", "low", "p", "weight", bucket.alias("bucket")))
+        lower = rows
+    return reduce(DataFrame.unionByName, found)
+
+
+def _bucket(low):
+    """Bucket of the character before the last (a column or an array of low halves)."""
+    if isinstance(low, Column):
+        return F.pmod(F.shiftright(low, _BITS), F.lit(BUCKETS))
+    return (low >> _BITS) % BUCKETS
+
+
 @dataclass
 class Model:
-    """One language: for each order, sorted gram hashes with log2 probabilities, and sorted context hashes with back-off weights."""
+    """One language (number ``place``): for each order, sorted gram hashes with log2 probabilities, and sorted context hashes with back-off weights.
 
+    ``own`` names the buckets that are here if the language is cut.
+    """
+
+    place: int
+    own: np.ndarray | None
     grams: list[np.ndarray]
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
@@ -128,12 +186,11 @@ class Model:
 
 def _suffix(high: np.ndarray, low: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The last ``order`` characters of 4-grams, as halves."""
-    one = (1 << _BITS) - 1
     if order == 4:
         return high, low
     if order == 3:
-        return high & one, low
-    return np.zeros_like(high), low if order == 2 else low & one
+        return high & _CODE, low
+    return np.zeros_like(high), low if order == 2 else low & _CODE
 
 
 def _context(high: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
@@ -141,45 +198,20 @@ def _context(high: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
     return _mix(high + (order << 50), low >> _BITS)
 
 
-def _types(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and how often each occurs."""
-    order = np.lexsort((low, high))
-    high, low = high[order], low[order]
-    starts = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
-    return high[starts], low[starts], np.diff(np.r_[starts, len(high)])
-
-
-def kneser_ney(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> Model:
-    """Interpolated Kneser-Ney from 4-gram types and counts: raw counts on top, continuation counts below."""
-    levels = {ORDER: (high, low, n)}
-    for order in range(ORDER - 1, 0, -1):
-        levels[order] = _types(*_suffix(*levels[order + 1][:2], order))
+def arrays(rows: pa.Table, place: int = 0, own: np.ndarray | None = None) -> Model:
+    """Sorted arrays of one language's rows of ``kneser_ney``."""
+    orders, high, low, p, weight = (rows.column(c).to_numpy() for c in ("order", "high", "low", "p", "weight"))
     grams, logp, contexts, backoff = [], [], [], []
-    vocabulary = len(levels[1][0]) + 1
-    lower = None
     for order in range(1, ORDER + 1):
-        hi, lo, c = levels[order]
-        ones, twos = int((c == 1).sum()), int((c == 2).sum())
-        discount = ones / (ones + 2 * twos) if ones else 0.5
-        discount = min(max(discount, 0.1), 0.9)
-        context = _context(hi, lo, order)
-        keys, inverse = np.unique(context, return_inverse=True)
-        total = np.bincount(inverse, weights=c)
-        weight = discount * np.bincount(inverse) / total
-        if order == 1:
-            below = np.full(len(c), 1.0 / vocabulary)
-        else:
-            below = lower(*_suffix(hi, lo, order - 1))
-        p = (c - discount) / total[inverse] + weight[inverse] * below
-        key = _mix(hi + (order << 50), lo)
+        at = np.flatnonzero(orders == order)
+        key = _mix(high[at] + (order << 50), low[at])
         by = np.argsort(key)
         grams.append(key[by])
-        logp.append(np.log2(p[by]))
+        logp.append(np.log2(p[at][by]))
+        keys, first = np.unique(_context(high[at], low[at], order), return_index=True)
         contexts.append(keys)
-        backoff.append(np.log2(weight))
-        sorted_key, sorted_p = key[by], p[by]
-        lower = lambda h, l, k=sorted_key, q=sorted_p, o=order: q[np.searchsorted(k, _mix(h + (o << 50), l))]  # noqa: E731, E741
-    return Model(grams, logp, contexts, backoff, float(backoff[0][0]) - float(np.log2(vocabulary)))
+        backoff.append(np.log2(weight[at][first]))
+    return Model(place, own, grams, logp, contexts, backoff, float(backoff[0][0]) - float(np.log2(len(grams[0]) + 1)))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,68 +237,121 @@ def log_probabilities(model: Model, high: np.ndarray, low: np.ndarray) -> np.nda
     return out
 
 
-def entropies(models: list[Model], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cross-entropy in bits a character (texts x models), counted characters, and whether a text has a letter."""
-    bits, n = np.zeros((len(texts), len(models))), np.zeros(len(texts))
+def entropies(models: list[Model], texts: list[str], width: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits by each of ``width`` languages (texts x languages; a cut language's own part of them), counted characters, and whether a text has a letter."""
+    bits, n = np.zeros((len(texts), width)), np.zeros(len(texts))
     letters = np.zeros(len(texts))
     pieces = list(_slices(texts))
     cut = [c + t if c else t for _, t, c in pieces]
     for a, b in parts(map(len, cut), _SLICE):
         codes, at, high, low, piece = _own_grams(cut[a:b], [len(c) for _, _, c in pieces[a:b]])
         row = np.array([i for i, _, _ in pieces[a:b]])[piece]
-        key = _mix(high, low)
-        _, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+        _, index, inverse = np.unique(_mix(high, low), return_index=True, return_inverse=True)
+        high, low = high[index], low[index]
         n += np.bincount(row, minlength=len(texts))
         letters += np.bincount(row, weights=codes[at] != _SPACE, minlength=len(texts))
-        for k, model in enumerate(models):
-            lp = log_probabilities(model, high[index], low[index])
-            bits[:, k] -= np.bincount(row, weights=lp[inverse], minlength=len(texts))
-    return bits / np.maximum(n, 1)[:, None], n, letters > 0
+        for model in models:
+            if model.own is None:
+                lp = log_probabilities(model, high, low)
+            else:
+                lp, here = np.zeros(len(high)), model.own[_bucket(low)]
+                lp[here] = log_probabilities(model, high[here], low[here])
+            bits[:, model.place] -= np.bincount(row, weights=lp[inverse], minlength=len(texts))
+    return bits, n, letters > 0
 
 
 def fit(docs: DataFrame) -> tuple[list[str], list[Broadcast]]:
-    """Languages in ``docs`` (text, lang) by name, and their models from all its rows, in broadcast shards in the same order."""
-    counts = materialise(count_grams(docs.where("lang is not null")), "char-grams")
-    types = {r.lang: r.types for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("types")).collect()}
-    langs = sorted(types)
-    shards = []
-    for a, b in parts([types[lang] for lang in langs], SHARD):
-        kept = counts.where(F.col("lang").isin(langs[a:b])).toPandas().sort_values(["lang", "high", "low"])
-        own = dict(iter(kept.groupby("lang", sort=False)))
-        models = [kneser_ney(*(own[lang][c].to_numpy(np.int64) for c in ("high", "low", "n"))) for lang in langs[a:b]]
-        shards.append(docs.sparkSession.sparkContext.broadcast(models))
-    return langs, shards
-
-
-def _entropies(shards: list[Broadcast], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``entropies`` by the models of all shards; where there are several, one is in memory at a time."""
-    if len(shards) < 2:
-        return entropies(shards[0].value if shards else [], texts)
-    bits = []
+    """Languages in ``docs`` (text, lang) by name, and their models from all its rows, in broadcast shards.
+
+    The driver plans by the sizes of units (BUCKETS a language) and holds one
+    shard at a time.
+    """
+    spark = docs.sparkSession
+    with scope(spark):
+        counts = materialise(count_grams(docs.where("lang is not null")), "char-grams")
+        sizes = counts.groupBy("lang", _bucket(F.col("low")).alias("bucket")).agg(F.count(F.lit(1)).alias("types")).collect()
+        units = sorted((r.lang, r.bucket, r.types) for r in sizes)
+        langs = sorted({u[0] for u in units})
+        place = {lang: k for k, lang in enumerate(langs)}
+        cuts = list(parts([u[2] for u in units], SHARD))
+        model = kneser_ney(counts)
+        if len(cuts) > 1:
+            model = model.repartitionByRange("lang", "bucket").sortWithinPartitions("lang", "bucket")
+        model = materialise(model, "char-models")
+        shards = []
+        for a, b in cuts:
+            (first, low, _), (last, high, _) = units[a], units[b - 1]
+            after = (F.col("lang") > first) | (F.col("bucket") >= low) | (F.col("bucket") < 0)
+            before = (F.col("lang") < last) | (F.col("bucket") <= high)
+            table = model.where(F.col("lang").between(first, last) & after & before).toArrow()
+            made = []
+            for lang in langs[place[first] : place[last] + 1]:
+                every = [u[1] for u in units if u[0] == lang] if lang in (first, last) else []
+                here = [u[1] for u in units[a:b] if u[0] == lang] if every else every
+                # What the language's own texts don't have falls to its first part.
+                marks = None if here == every else np.isin(np.arange(BUCKETS), here) | (here[0] == every[0]) & ~np.isin(np.arange(BUCKETS), every)
+                made.append(arrays(table.filter(pc.equal(table.column("lang"), lang)), place[lang], marks))
+            shards.append(spark.sparkContext.broadcast(made))
+        return langs, shards
+
+
+def _entropies(shards: list[Broadcast], texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cross-entropy in bits a character by the models of all shards, with the other results of ``entropies``; of several shards one is in memory at a time."""
+    bits, n, letters = entropies(shards[0].value if shards else [], texts, width)
+    for before, shard in zip(shards, shards[1:]):
+        _forget(before)
+        bits += entropies(shard.value, texts, width)[0]
+    if len(shards) > 1:
+        _forget(shards[-1])
+    return bits / np.maximum(n, 1)[:, None], n, letters
+
+
+def _forget(*shards: Broadcast) -> None:
+    """Let a worker drop what it read of broadcasts; it reads them again when it needs them."""
     for shard in shards:
-        own, n, letters = entropies(shard.value, texts)
-        bits.append(own)
-        del shard._value
-    return np.hstack(bits), n, letters
+        vars(shard).pop("_value", None)
+
+
+def _gathered(batches, shards: list[Broadcast], text_at: int):
+    """The batches as they come for one shard; for several, joined up to GATHER bytes, so that shards are loaded seldom.  At the end the models are dropped: workers live on for other stages."""
+    held, size = [], 0
+    for batch in batches:
+        if len(shards) < 2:
+            yield batch
+            continue
+        held.append(batch)
+        size += batch.column(text_at).nbytes
+        if size >= GATHER:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+    _forget(*shards)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns], schema=table.schema)
 
 
 def _scored(docs: DataFrame, langs: list[str], shards: list[Broadcast], extra: list[str]) -> DataFrame:
     names = np.array([*langs, UNKNOWN], dtype=object)
 
     def run(batches):
-        for batch in batches:
-            h, n, letters = _entropies(shards, [t or "" for t in batch.column(0).to_pylist()])
+        for batch in _gathered(batches, shards, 0):
+            h, n, letters = _entropies(shards, [t or "" for t in batch.column(0).to_pylist()], len(langs))
             best = h.argmin(axis=1) if len(langs) else np.zeros(len(n), int)
             best[~letters] = len(langs)
             low = h.min(axis=1) if len(langs) else np.zeros(len(n))
             gap = np.exp2(-np.minimum(n, 64)[:, None] * (h - low[:, None]) / 4)
             score = np.where(letters, 1 / np.maximum(gap.sum(axis=1), 1), 0.0) if len(langs) else np.zeros(len(n))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(low), pa.array(n.astype(np.int64))], [*extra, "lang_pred", "score", "entropy", "n_scored"]
+                [*batch.columns[1:], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(low), pa.array(n.astype(np.int64)), pa.array(letters)],
+                [*extra, "lang_pred", "score", "entropy", "n_scored", "has_letter"],
             )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return docs.select("text", *extra).mapInArrow(frugal(run), f"{kinds}, lang_pred string, score double, entropy double, n_scored long")
+    return docs.select("text", *extra).mapInArrow(frugal(run), f"{kinds}, lang_pred string, score double, entropy double, n_scored long, has_letter boolean")
 
 
 def _training(docs: DataFrame) -> DataFrame:
@@ -280,24 +365,20 @@ def _calibrates() -> Column:
 def calibrate(scored: DataFrame) -> dict[str, tuple[float, float, float]]:
     """Per language: mean cross-entropy and its variance as a + b / length, from rows that were predicted as labelled.
 
-    Four sums a language come to the driver.
+    Five sums a language come to the driver.
     """
     right = scored.where((F.col("lang") == F.col("lang_pred")) & (F.col("n_scored") > 0))
-    means = right.groupBy("lang").agg(F.sum(F.col("entropy") * F.col("n_scored")).alias("bits"), F.sum("n_scored").alias("n")).toPandas()
-    mean = {r.lang: r.bits / r.n for r in means.itertuples()}
-    if not mean:
-        return {}
-    centre = F.create_map(*[x for lang, m in sorted(mean.items()) for x in (F.lit(lang), F.lit(float(m)))])[F.col("lang")]
-    square, inverse = (F.col("entropy") - centre) ** 2, 1 / F.col("n_scored")
-    sums = right.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("k"), F.sum(square).alias("y"), F.sum(inverse).alias("x"), F.sum(inverse * inverse).alias("xx"), F.sum(inverse * square).alias("xy")
+    means = right.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("n_scored")) / F.sum("n_scored")).alias("mean"))
+    square, inverse = (F.col("entropy") - F.col("mean")) ** 2, 1 / F.col("n_scored")
+    sums = right.join(means, "lang").groupBy("lang").agg(
+        F.first("mean").alias("mean"), F.count(F.lit(1)).alias("k"), F.sum(square).alias("y"), F.sum(inverse).alias("x"), F.sum(inverse * inverse).alias("xx"), F.sum(inverse * square).alias("xy")
     )
     out = {}
-    for r in sums.toPandas().itertuples():
+    for r in sums.collect():
         spread = r.k * r.xx - r.x * r.x
         b = max((r.k * r.xy - r.x * r.y) / spread, 0.0) if spread > 1e-15 else 0.0
         a = max((r.y - b * r.x) / r.k, 1e-4)
-        out[r.lang] = (float(mean[r.lang]), float(a), float(b))
+        out[r.lang] = (float(r["mean"]), float(a), float(b))
     return out
 
 
@@ -307,8 +388,11 @@ def _learned(docs: DataFrame):
     langs, shards = fit(own.where(~_calibrates()))
     if not langs:
         langs, shards = fit(own)
-    limits = calibrate(_scored(own.where(_calibrates()), langs, shards, ["lang"])) if langs else {}
-    return langs, shards, limits
+    if not langs:
+        return langs, shards, {}
+    with scope(docs.sparkSession):
+        scored = materialise(_scored(own.where(_calibrates()), langs, shards, ["lang"]), "calibration")
+        return langs, shards, calibrate(scored)
 
 
 def identify(docs: DataFrame, training: DataFrame | None = None, z: float = REJECT_Z) -> DataFrame:
@@ -320,9 +404,10 @@ def identify(docs: DataFrame, training: DataFrame | None = None, z: float = REJE
     all training rows are counted.  ``lang_pred`` is the language with the
     lowest cross-entropy a character (ties: the first by name), ``und`` for a
     null text, one without a letter, or when nothing can be learned; ``score``
-    falls as other languages come near.  ``rejected`` holds for ``und`` and
-    for a cross-entropy far above what the language's own texts of that length
-    have.  Rows with a null id are not held out and never train; repeated rows
+    falls as other languages come near.  ``rejected`` holds for a text without
+    a letter and for a cross-entropy far above what the language's own texts of
+    that length have; where nothing can be learned there is nothing to be far
+    from.  Rows with a null id are not held out and never train; repeated rows
     stay; an empty table gives an empty result; other columns are not read.
     """
     langs, shards, limits = _learned(training if training is not None else docs)
@@ -332,24 +417,29 @@ def identify(docs: DataFrame, training: DataFrame | None = None, z: float = REJE
     if limits:
         mean, a, b = (F.create_map(*[x for lang, v in sorted(limits.items()) for x in (F.lit(lang), F.lit(v[k]))])[F.col("lang_pred")] for k in range(3))
         far = F.coalesce(F.col("entropy") > mean + z * F.sqrt(a + b / F.greatest(F.col("n_scored"), F.lit(1))), F.lit(False))
-    return scored.select("doc_id", "held_out", "lang_pred", "score", "entropy", ((F.col("lang_pred") == UNKNOWN) | far).alias("rejected"))
+    return scored.select("doc_id", "held_out", "lang_pred", "score", "entropy", (~F.col("has_letter") | far).alias("rejected"))
 
 
 def keep_identified(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` that language ID doesn't reject, with all columns, in one pass without a join."""
+    """The rows of ``docs`` that language ID doesn't reject, with all columns, in one pass without a join.
+
+    Null and empty texts and others without a letter go, as do those far from
+    every language.  Languages that tie don't matter here; rows with null or
+    repeated ids are each judged by their text; where no row has a language
+    nothing can be learned, and all rows with a letter stay; an empty table
+    gives an empty result; columns of any name pass through as they are.
+    """
     langs, shards, limits = _learned(training if training is not None else docs)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, limits))
+    shared = docs.sparkSession.sparkContext.broadcast(np.array([limits.get(lang, (np.inf, 1.0, 0.0)) for lang in langs]).reshape(-1, 3).T)
     text_at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            langs, limits = shared.value
-            if not langs:
-                continue
-            h, n, letters = _entropies(shards, [t or "" for t in batch.column(text_at).to_pylist()])
-            best, low = h.argmin(axis=1), h.min(axis=1)
-            mean, a, b = np.array([limits.get(lang, (np.inf, 1.0, 0.0)) for lang in langs]).T
-            keep = letters & (low <= mean[best] + REJECT_Z * np.sqrt(a[best] + b[best] / np.maximum(n, 1)))
+        for batch in _gathered(batches, shards, text_at):
+            mean, a, b = shared.value
+            h, n, keep = _entropies(shards, [t or "" for t in batch.column(text_at).to_pylist()], len(mean))
+            if len(mean):
+                best, low = h.argmin(axis=1), h.min(axis=1)
+                keep &= low <= mean[best] + REJECT_Z * np.sqrt(a[best] + b[best] / np.maximum(n, 1))
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(frugal(run), docs.schema)

@@ -16,18 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrow import frugal
+from plumbline.llm.exact_dedup import keep_decided, raw_hashes
 from plumbline.operators.graph import connected_components
-from plumbline.storage import materialise
+from plumbline.storage import materialise, scope
 
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 #: Fingerprints compared with each other at once; larger buckets are split by further blocks.
 BUCKET = 2048
-#: Bytes of ids up to which the rows that go are broadcast.
-BROADCAST_BYTES = 32 << 20
 _CHUNK = 1 << 15
-_RAW = "__plumbline_raw_hash"
 _M64 = (1 << 64) - 1
 
 
@@ -71,7 +69,7 @@ def fingerprint_of(text: str | bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, raw, fp)`` per row: words of the ASCII-lower-cased text, hashed in runs of ``shingle`` words; ``raw`` is the hash of the text as it is.
+    """``(doc_id, raw_1, raw_2, fp)`` per row: words of the ASCII-lower-cased text, hashed in runs of ``shingle`` words, with the hashes of the text as it is.
 
     A bit is one if it is set in over half the XXH64 values.  Fewer words than
     ``shingle`` are hashed as one run; no words (or a null text) give zero.
@@ -80,14 +78,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch in batches:
             fps = [_signed(fingerprint_of(t or "", shingle)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["doc_id", "raw", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(fps, pa.int64())], ["doc_id", "raw_1", "raw_2", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _raw_hash().alias("raw")).mapInArrow(frugal(run), f"doc_id {kind}, raw long, fp long")
-
-
-def _raw_hash() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", "text", *raw_hashes()).mapInArrow(frugal(run), f"doc_id {kind}, raw_1 long, raw_2 long, fp long")
 
 
 def _keyed(rows: DataFrame, masks: Column) -> DataFrame:
@@ -203,36 +197,42 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
     joined and linked.  The last join has unique fingerprints on one side, and
     AQE may split the other where a group of copies is hot.
     """
-    found = _named(docs, shingle, most)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scope(docs.sparkSession):
+        marked, named = _named(docs, shingle, most)
+        found = marked.join(named, "fp")
+        return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def _named(docs: DataFrame, shingle: int, most: int) -> DataFrame:
-    """``(doc_id, raw, fp, component_id)`` for every row of ``docs``."""
+def _named(docs: DataFrame, shingle: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, raw_1, raw_2, fp)`` for every row, and for every fingerprint the first row of its component; both are handed on from the caller's scope.
+
+    The first row has the smallest id (a null id comes last), then the smallest hashes of its text.
+    """
     if not 0 <= most <= MAX_BITS:
         raise ValueError("blocks are laid out for up to three differing bits")
-    marked = materialise(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw_1", "raw_2")
+    marked = materialise(fingerprints(docs, shingle), "fingerprints", hand_on=True)
+    distinct = materialise(marked.groupBy("fp").agg(F.min(row).alias("first")), "distinct-fingerprints")
     found = connected_components(close_pairs(distinct.select("fp"), most))
-    linked = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    linked = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     linked = materialise(linked, "linked-fingerprints")
-    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = linked.join(ids, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "raw", "fp", "component_id")
+    firsts = linked.groupBy("component").agg(F.min("first").alias("first"))
+    return marked, materialise(linked.select("fp", "component").join(firsts, "component").select("fp", "first"), "components", hand_on=True)
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
     """One row of each component of near-duplicates: that with the smallest doc_id; all columns of ``docs``.
 
-    Where no member has an id, and for rows that repeat the smallest id with
-    other texts, all such rows stay.  Rows go one by one: other texts under
-    the id (or the null id) of a row that goes stay.  Only the ids and text
-    hashes of rows that go are joined back, and they are broadcast while they
-    are few.
+    A null id comes last; of rows with the smallest id and other texts one
+    stays.  Rows go one by one: a text without a partner stays, whatever rows
+    share its id (or have none).  Null and empty texts are near copies of each
+    other; an empty table gives an empty result; extra columns of any name are
+    kept.
     """
-    found = _named(docs, shingle, most)
-    gone = materialise(found.where("component_id is not null and not doc_id <=> component_id").select("doc_id", "raw").distinct(), "near-copies")
-    small = gone.count() * 24 <= BROADCAST_BYTES
-    keyed = docs.withColumn(_RAW, _raw_hash())
-    same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed[_RAW] == gone["raw"])
-    return keyed.join(F.broadcast(gone) if small else gone, same, "left_anti").drop(_RAW)
+    spark = docs.sparkSession
+    with scope(spark):
+        with scope(spark):
+            marked, named = _named(docs, shingle, most)
+        own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("raw_1") == F.col("first.raw_1")) & (F.col("raw_2") == F.col("first.raw_2"))
+        decided = materialise(marked.join(named, "fp").select("doc_id", "raw_1", "raw_2", own.alias("kept")), "near-decisions")
+        return keep_decided(docs, decided)

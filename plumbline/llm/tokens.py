@@ -25,14 +25,14 @@ def vocabulary_paths(name: str = VOCABULARY) -> tuple[str, str]:
 
 
 @lru_cache(maxsize=2)
-def _rust_bpe(ranks_path: str):
-    """An encoder of texts, and one that takes what it is given as one pre-token."""
+def _rust_bpe(ranks_path: str, whole: bool = False):
+    """An encoder of texts, or one that takes what it is given as one pre-token."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path) as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, lines)}
-    return [tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("texts", public_tokenizers.PATTERN), ("whole", r"[\s\S]+"))]
+    return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+" if whole else public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _ids(bpe, text: str) -> np.ndarray:
@@ -62,21 +62,21 @@ def _plain(text: str, ranks_path: str) -> np.ndarray:
     A run of n blanks that more text follows is one pre-token of n - 1 (all n
     at the end), whatever is before it, so a long one is merged on its own.
     """
-    texts, whole = _rust_bpe(ranks_path)
+    texts = _rust_bpe(ranks_path)
     sample = text[:: LONG_BLANK // 2] if len(text) >= LONG_BLANK else ""
     if not any(a.isspace() and b.isspace() for a, b in zip(sample, sample[1:])):
         return _ids(texts, text)
     parts, at = [], 0
     for run in _BLANK.finditer(text):
         end = run.end() - (run.end() < len(text))
-        parts += [_ids(texts, text[at : run.start()]), _ids(whole, text[run.start() : end])]
+        parts += [_ids(texts, text[at : run.start()]), _ids(_rust_bpe(ranks_path, True), text[run.start() : end])]
         at = end
     return np.concatenate([*parts, _ids(texts, text[at:])])
 
 
 def count_pretoken(token: str, paths: tuple[str, str]) -> int:
     """Tokens of one pre-token or added token."""
-    return 1 if token in added_tokens(paths[0]) else len(_ids(_rust_bpe(paths[1])[1], token))
+    return 1 if token in added_tokens(paths[0]) else len(_ids(_rust_bpe(paths[1], True), token))
 
 
 def encode(text: str, paths: tuple[str, str]) -> np.ndarray:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import language
@@ -74,24 +75,30 @@ class BruteModel:
         return max(c.get(g, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * below
 
 
-def test_model_equals_the_formula():
+def code(g):
+    return ord(g[0]) << 21 | ord(g[1]), ord(g[2]) << 21 | ord(g[3])
+
+
+def model_of(spark, counts):
+    rows = spark.createDataFrame([("x", *code(g), n) for g, n in counts.items()], "lang string, high long, low long, n long")
+    return language.arrays(language.kneser_ney(rows).toArrow())
+
+
+@pytest.mark.parametrize("hapaxes", [False, True])
+def test_model_equals_the_formula(spark, hapaxes):
     counts = brute_counts(corpus(12))["aa"]
-    grams = sorted(counts)
-    code = lambda g: (ord(g[0]) << 21 | ord(g[1]), ord(g[2]) << 21 | ord(g[3]))
-    high, low = (np.array(x, np.int64) for x in zip(*map(code, grams)))
-    model = language.kneser_ney(high, low, np.array([counts[g] for g in grams], np.int64))
+    if hapaxes:
+        counts = Counter(dict.fromkeys(counts, 1))
+    model = model_of(spark, counts)
     brute = BruteModel(counts)
-    asked = [*grams[:40], "tanx", "zzzz", " q a", "xtan", "e ma"]
+    asked = [*sorted(counts)[:40], "tanx", "zzzz", " q a", "xtan", "e ma"]
     high, low = (np.array(x, np.int64) for x in zip(*map(code, asked)))
     got = language.log_probabilities(model, high, low)
     assert np.allclose(got, [math.log2(brute.p(g)) for g in asked], atol=1e-9)
 
 
-def test_slices_do_not_change_entropies(monkeypatch):
-    counts = brute_counts(corpus(12))["bb"]
-    code = lambda g: (ord(g[0]) << 21 | ord(g[1]), ord(g[2]) << 21 | ord(g[3]))
-    high, low = (np.array(x, np.int64) for x in zip(*map(code, sorted(counts))))
-    model = language.kneser_ney(high, low, np.array([counts[g] for g in sorted(counts)], np.int64))
+def test_slices_do_not_change_entropies(spark, monkeypatch):
+    model = model_of(spark, brute_counts(corpus(12))["bb"])
     texts = ["vost krä  grumpf!" * 40, "", "!!", "x"]
     whole = language.entropies([model], texts)
     monkeypatch.setattr(language, "_SLICE", 30)
@@ -99,6 +106,21 @@ def test_slices_do_not_change_entropies(monkeypatch):
     assert all(np.allclose(a, b) for a, b in zip(whole, cut))
 
 
+def test_decisions_equal_brute_force(spark):
+    """Language, entropy and score of every row by the formula written down directly."""
+    rows = [*corpus(45), (2000, "tana vost", None, 0), (2001, "ñam", "cc", 0)]
+    use = [r for r in rows if r[2] and crc32(str(r[0]).encode()) % 3 != 1 and crc32(str(r[0]).encode()) // 3 % 10]
+    models = {lang: BruteModel(c) for lang, c in sorted(brute_counts(use).items())}
+    for r in language.identify(spark.createDataFrame(rows, SCHEMA)).collect():
+        text = next(t for i, t, _, _ in rows if i == r.doc_id)
+        grams = brute_counts([(0, text, "t", 0)])["t"]
+        n = sum(grams.values())
+        h = {lang: -sum(k * math.log2(m.p(g)) for g, k in grams.items()) / n for lang, m in models.items()}
+        best = min(h, key=h.get)
+        score = 1 / sum(2 ** (-min(n, 64) * (x - h[best]) / 4) for x in h.values())
+        assert r.lang_pred == best and math.isclose(r.entropy, h[best], abs_tol=1e-9) and math.isclose(r.score, score, abs_tol=1e-9)
+
+
 def test_held_out_accuracy_and_rejection(spark):
     rows = [*corpus(), (1001, None, "aa", 0), (1002, " 12 !?", "bb", 0), (1003, "жжж ффф щщщ ъъъ " * 20, None, 0), (None, "tana rema", "aa", 0), (5, "tana ote", "aa", 0)]
     out = language.identify(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -122,7 +144,9 @@ def test_text_only_decides(spark):
 
 def test_nothing_to_learn_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "abc", None, 0)], SCHEMA)
-    assert [r.lang_pred for r in language.identify(docs).collect()] == ["und"]
+    assert [(r.lang_pred, r.rejected) for r in language.identify(docs).collect()] == [("und", False)]
+    more = spark.createDataFrame([(1, "abc", None, 0), (2, "12 !", None, 0), (3, None, None, 0), (None, "abc", None, 0)], SCHEMA)
+    assert [r.doc_id for r in language.keep_identified(more).collect()] == [1, None]
     assert language.identify(spark.createDataFrame([], SCHEMA)).count() == 0
     assert language.keep_identified(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -140,8 +164,19 @@ def test_no_language_or_gram_is_left_out(spark, monkeypatch):
     got = [sorted(tuple(r) for r in language.identify(docs).collect())]
     monkeypatch.setattr(language, "SHARD", 700)
     got.append(sorted(tuple(r) for r in language.identify(docs).collect()))
-    assert got[0] == got[1]
+    assert [x[:3] for x in got[0]] == [x[:3] for x in got[1]] and np.allclose([x[3:] for x in got[0]], [x[3:] for x in got[1]])
     counted = [r for r in rows if crc32(str(r[0]).encode()) % 3 != 1 and crc32(str(r[0]).encode()) // 3 % 10]
     assert len(counted) > 256
     predicted = {r[0]: r[2] for r in got[0]}
     assert all(predicted[r[0]] == r[2] for r in counted)
+
+
+def test_a_large_language_is_cut_and_scores_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([*corpus(), (1003, "tana krä ñam " * 20, None, 0)], SCHEMA)
+    whole = sorted(tuple(r) for r in language.identify(docs).collect())
+    monkeypatch.setattr(language, "SHARD", 20)
+    monkeypatch.setattr(language, "GATHER", 2000)
+    langs, shards = language.fit(docs.where("lang is not null"))
+    assert len(langs) == 3 and len(shards) > 6 and any(m.own is not None for s in shards for m in s.value)
+    cut = sorted(tuple(r) for r in language.identify(docs).collect())
+    assert [x[:3] for x in whole] == [x[:3] for x in cut] and np.allclose([x[3:] for x in whole], [x[3:] for x in cut])

@@ -105,3 +105,23 @@ def test_deduplicate_drops_rows_and_not_all_rows_of_an_id(spark):
     assert kept.columns == ["doc_id", "text", "fp", "component"]
     want = [(1, "a b c d"), (3, ""), (7, "another clean text under the same id"), (None, "clean text that nothing else is like")]
     assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted(want, key=repr)
+
+
+def test_deduplicate_keeps_one_row_of_each_component(spark):
+    """Null ids, repeated ids and repeated rows; a component without any id keeps one row, and a row without a partner always stays."""
+    rows = [(2, "a b c d"), (None, "a b c d"), (None, "unique text here now please"), (5, "a b c d"), (5, "another wholly different sentence stands here"), (None, "p q r s t"), (None, "P q r s t"), (8, "x y z w"), (8, "X y z w"), (8, "x y z w")]
+    rows = [(i, t, "clash", "clash") for i, t in rows]
+    kept = sorted(((r.doc_id, r.text.lower()) for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    assert kept == sorted([(2, "a b c d"), (None, "unique text here now please"), (5, "another wholly different sentence stands here"), (None, "p q r s t"), (8, "x y z w")], key=repr)
+
+
+def test_long_text_and_nothing_left_behind(spark, tmp_path, monkeypatch):
+    from plumbline import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    long = "some words " * 100_000 + " " * 1_500_000 + "end"
+    with storage.scope(spark):
+        docs = spark.createDataFrame([(1, long, "", ""), (2, long + " ", "", ""), (3, "short", "", "")], SCHEMA)
+        assert sorted(r.doc_id for r in simhash.deduplicate(docs).select("doc_id").collect()) == [1, 3]
+        assert {r.fingerprint for r in simhash.near_duplicates(docs).where("doc_id < 3").collect()} == {f"{brute_fingerprint(long):016x}"}
+    assert list((tmp_path / "plumbline").iterdir()) == []
