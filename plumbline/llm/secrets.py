@@ -1,7 +1,7 @@
 """Secret scans: all rules in one pass of a combined minimal byte automaton.
 
-The automaton is compiled once on the driver; its size follows the rules, not
-the data, so it is broadcast.
+The automata are compiled once on the driver; their size follows the rules, not
+the data, so they are broadcast.
 """
 
 from __future__ import annotations
@@ -70,15 +70,20 @@ def find(texts: pa.Array, rules: tuple[Rule, ...] = RULES, automata=None) -> lis
     for a, b in parts(np.diff(offsets).tolist(), _MOST):
         ends, masks = scan(combined, body, offsets[a : b + 1])
         doc = np.searchsorted(offsets, ends - 1, side="right") - 1
-        wanted = np.zeros(b - a, np.int64)
-        np.bitwise_or.at(wanted, doc - a, masks)
-        for i in np.flatnonzero(wanted).tolist():
-            raw = body[offsets[a + i] : offsets[a + i + 1]]
-            text = raw.tobytes()
-            hits = [(s, r, e) for r, rule in enumerate(rules) if wanted[i] >> r & 1 for s, e in spans(*each[r], text) if _passes(rule, text[s:e])]
-            if hits:
-                points = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)] if len(raw) else np.zeros(1, int)
-                found[a + i] = sorted((int(points[s]), r, int(points[e])) for s, r, e in hits)
+        hits: dict[int, list[tuple[int, int, int]]] = {}
+        for r, rule in enumerate(rules):
+            own = np.flatnonzero(masks >> r & 1)
+            if len(own):
+                docs = np.unique(doc[own])
+                where = spans(*each[r], body, np.column_stack([offsets[docs], offsets[docs + 1]]), ends[own])
+                of = np.searchsorted(offsets, [s for s, _ in where], side="right") - 1
+                for i, (s, e) in zip(of.tolist(), where):
+                    if _passes(rule, body[s:e].tobytes()):
+                        hits.setdefault(i, []).append((s, r, e))
+        for i, own in hits.items():
+            base = int(offsets[i])
+            points = np.r_[0, np.cumsum((body[base : offsets[i + 1]] & 0xC0) != 0x80)]
+            found[i] = sorted((int(points[s - base]), r, int(points[e - base])) for s, r, e in own)
     return found
 
 
@@ -135,7 +140,10 @@ def redact_text(text: str, hits, rules: tuple[Rule, ...] = RULES) -> str:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced by ``[kind]``; all rows and columns stay, ``n_chars`` follows the new text if it is there.
 
-    A null text stays null.
+    A null text stays null and an empty one empty; overlapping spans become
+    one mark; rows with null or repeated ids are each judged by their text; an
+    empty table gives an empty result; other columns, of any name, pass
+    through as they are.
     """
     places = {name: i for i, name in enumerate(docs.columns)}
     compiled = docs.sparkSession.sparkContext.broadcast(_automata(rules))

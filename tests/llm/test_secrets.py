@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -97,3 +98,43 @@ def test_private_keys_go_with_their_bodies(kind, end):
     cut = f"{begin}{end}{KEY}{end}{KEY}"
     assert secrets.redact_text(cut + ", x", brute(cut)) == "[pem], x"
     assert secrets.redact_text(f"{begin} is a line, x", brute(begin)) == "[pem] is a line, x"
+
+
+@pytest.mark.parametrize(
+    "text", ["token = x " * 20_000, "token = abcdefghijkl " * 10_000, "eyJ" * 64_000, "0123456789abcdef" * 60_000, "AKIA" * 50_000, "eyJabc.eyJdef.ghi" * 12_000, "x" + "token=" * 30_000 + "abcdefghijkl"],
+    ids=["short", "assign", "starts", "hex", "nested", "jwt", "chain"],
+)
+def test_long_texts_without_breaks_are_fast(text):
+    """No loop over bytes of a document: 200 kB without a byte that ends every rule take a fraction of a second."""
+    secrets._automata(secrets.RULES)
+    began = time.perf_counter()
+    found = secrets.find(pa.array([text]))
+    assert time.perf_counter() - began < 3
+    assert found == [brute(text)]
+
+
+def test_random_long_lanes_equal_python_regexes(monkeypatch):
+    """Pieces that are cut anywhere are read again from the right state."""
+    rnd = random.Random(9)
+    loose = [f for f in FRAGMENTS if not set(f) & set(",\n☃é")]
+    texts = ["".join(rnd.choices(loose, k=rnd.randint(200, 2500))) for _ in range(60)]
+    combined, each = secrets._automata(secrets.RULES)
+    for segment in (7, 64, 2048):
+        small = lambda dfa, cls, bounds, _, s=segment, f=automaton._lanes: f(dfa, cls, bounds, s)
+        with monkeypatch.context() as m:
+            m.setattr(automaton, "_lanes", small)
+            assert secrets.find(pa.array(texts), automata=(combined, each)) == [brute(t) for t in texts]
+
+
+def test_rules_are_read_as_python_reads_them():
+    rnd = random.Random(10)
+    for pattern in ["a(b|cd)*e", "[^a-c]x{2,3}y?", r"\x61[\]-]+", "(a|ab)(c|bcd)", "a{2}b*c+", "[a-]b|-c"]:
+        texts = ["".join(rnd.choices("abcdexy-]", k=rnd.randint(0, 12))) for _ in range(300)]
+        dfa = automaton.compile_rules([(pattern, False)], anchored=True)
+        for t in texts:
+            state, longest = 0, None
+            for i, c in enumerate(t.encode()):
+                state = int(dfa.table[state + dfa.byte_class[c]])
+                longest = i + 1 if state >= dfa.first_accept * dfa.classes else longest
+            want = max((k for k in range(1, len(t) + 1) if re.fullmatch(pattern, t[:k])), default=None)
+            assert longest == want
