@@ -2,10 +2,10 @@
 
 Texts are read as lower-case letters with every other character as a space
 (runs of spaces count once).  Spark counts the 4-grams of all training rows
-exactly and works out continuation counts, discounts and probabilities as
-tables.  Tasks hold them as sorted hash arrays, in shards of bounded size: a
-language with more types than a shard is cut by the character before the last,
-which all grams of one back-off chain share.
+exactly, and from them discounts and continuation counts of single characters.
+Models are sorted hash arrays in shards of bounded size: a language with more
+types than a shard is cut by the character before the last, which all grams of
+one back-off chain share, so each part works out its probabilities alone.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrow import fold, frugal, parts
@@ -123,46 +123,40 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return partial.groupBy("lang", "high", "low").agg(F.sum("n").alias("n"))
 
 
-def _level(counts: DataFrame, order: int) -> DataFrame:
-    """Types of ``order`` and their continuation counts from the types of the next order."""
-    high = F.col("high").bitwiseAND(F.lit(_CODE)) if order == 3 else F.lit(0).cast("long")
-    low = F.col("low").bitwiseAND(F.lit(_CODE)) if order == 1 else F.col("low")
-    return counts.groupBy("lang", high.alias("high"), low.alias("low")).agg(F.count(F.lit(1)).alias("c"))
+@dataclass
+class Totals:
+    """What a language's parts have in common: discounts by order, and its characters with their continuation counts."""
 
+    discounts: dict[int, float]
+    characters: np.ndarray
+    counts: np.ndarray
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """Interpolated Kneser-Ney from exact 4-gram counts (lang, high, low, n): ``(lang, order, high, low, p, weight, bucket)``.
 
-    Raw counts on top, continuation counts below.  ``weight`` is the back-off
-    weight of the gram's context; single characters are in bucket -1, as each
-    part of a language needs them.  A context has at most as many types as
-    there are letters, so the windows are small.
-    """
-    levels = {ORDER: counts.select("lang", "high", "low", F.col("n").alias("c"))}
-    for order in range(ORDER - 1, 0, -1):
-        levels[order] = _level(levels[order + 1], order)
-    found, lower = [], None
-    for order in range(1, ORDER + 1):
-        ones, twos = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
-        raw = F.when(ones > 0, ones / (ones + 2 * twos)).otherwise(0.5)
-        discounts = levels[order].groupBy("lang").agg(F.least(F.greatest(raw, F.lit(0.1)), F.lit(0.9)).alias("discount"), (F.count(F.lit(1)) + 1).alias("vocabulary"))
-        same = Window.partitionBy("lang", "high", F.shiftright("low", _BITS))
-        rows = levels[order].withColumns({"total": F.sum("c").over(same), "kinds": F.count(F.lit(1)).over(same)}).join(discounts, "lang")
-        if order == 1:
-            rows = rows.withColumn("below", 1.0 / F.col("vocabulary"))
-        else:
-            rows = rows.withColumns({"k_high": F.col("high").bitwiseAND(F.lit(_CODE)) if order == 4 else F.lit(0).cast("long"), "k_low": F.col("low").bitwiseAND(F.lit(_CODE)) if order == 2 else F.col("low")})
-            rows = rows.join(lower.select("lang", F.col("high").alias("k_high"), F.col("low").alias("k_low"), F.col("p").alias("below")), ["lang", "k_high", "k_low"])
-        weight = F.col("discount") * F.col("kinds") / F.col("total")
-        rows = rows.select("lang", "high", "low", ((F.col("c") - F.col("discount")) / F.col("total") + weight * F.col("below")).alias("p"), weight.alias("weight"))
-        bucket = F.lit(-1).cast("long") if order == 1 else _bucket(F.col("low"))
-        found.append(rows.select("lang", F.lit(order).alias("order"), "high", "low", "p", "weight", bucket.alias("bucket")))
-        lower = rows
-    return reduce(DataFrame.unionByName, found)
+def _discount(ones: int, twos: int) -> float:
+    return min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.9)
+
+
+def totals(counts: DataFrame) -> dict[str, Totals]:
+    """``Totals`` of each language from exact 4-gram counts (lang, high, low, n): two numbers an order, and one row a character that the language has."""
+    one = F.lit(_CODE)
+    three = counts.groupBy("lang", F.col("high").bitwiseAND(one).alias("high"), "low").agg(F.count(F.lit(1)).alias("n"))
+    two = three.groupBy("lang", "low").agg(F.count(F.lit(1)).alias("n"))
+    rare = lambda df, order: df.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).withColumn("order", F.lit(order))
+    found: dict[str, dict[int, float]] = {}
+    for r in reduce(DataFrame.unionByName, [rare(counts, 4), rare(three, 3), rare(two, 2)]).collect():
+        found.setdefault(r.lang, {})[r.order] = _discount(r.ones, r.twos)
+    single = two.groupBy("lang", F.col("low").bitwiseAND(one).alias("code")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    out = {}
+    for lang, discounts in found.items():
+        own = single.filter(pc.equal(single.column("lang"), lang))
+        n = own.column("n").to_numpy()
+        discounts[1] = _discount(int((n == 1).sum()), int((n == 2).sum()))
+        out[lang] = Totals(discounts, own.column("code").to_numpy(), n)
+    return out
 
 
 def _bucket(low):
-    """Bucket of the character before the last (a column or an array of low halves)."""
+    """Bucket of the character before the last, from low halves: a column or an array."""
     if isinstance(low, Column):
         return F.pmod(F.shiftright(low, _BITS), F.lit(BUCKETS))
     return (low >> _BITS) % BUCKETS
@@ -198,20 +192,45 @@ def _context(high: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
     return _mix(high + (order << 50), low >> _BITS)
 
 
-def arrays(rows: pa.Table, place: int = 0, own: np.ndarray | None = None) -> Model:
-    """Sorted arrays of one language's rows of ``kneser_ney``."""
-    orders, high, low, p, weight = (rows.column(c).to_numpy() for c in ("order", "high", "low", "p", "weight"))
+def _types(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs."""
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    starts = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+    return high[starts], low[starts], np.diff(np.r_[starts, len(high)])
+
+
+def kneser_ney(high: np.ndarray, low: np.ndarray, n: np.ndarray, whole: Totals, place: int = 0, own: np.ndarray | None = None) -> Model:
+    """Interpolated Kneser-Ney from a language's (or a part's) 4-gram types and counts: raw counts on top, continuation counts below.
+
+    A part has all grams with its characters before the last, hence all their
+    contexts and continuations but for single characters, which ``whole`` has.
+    """
+    levels = {ORDER: (high, low, n), 1: (np.zeros(len(whole.characters), np.int64), whole.characters, whole.counts)}
+    for order in range(ORDER - 1, 1, -1):
+        levels[order] = _types(*_suffix(*levels[order + 1][:2], order))
     grams, logp, contexts, backoff = [], [], [], []
+    vocabulary = len(whole.characters) + 1
+    keys_below = p_below = None
     for order in range(1, ORDER + 1):
-        at = np.flatnonzero(orders == order)
-        key = _mix(high[at] + (order << 50), low[at])
+        hi, lo, c = levels[order]
+        discount = whole.discounts[order]
+        keys, inverse = np.unique(_context(hi, lo, order), return_inverse=True)
+        total = np.bincount(inverse, weights=c)
+        weight = discount * np.bincount(inverse) / total
+        below = np.full(len(c), 1.0 / vocabulary)
+        if order > 1:
+            s_high, s_low = _suffix(hi, lo, order - 1)
+            below = p_below[np.searchsorted(keys_below, _mix(s_high + (order - 1 << 50), s_low))]
+        p = (c - discount) / total[inverse] + weight[inverse] * below
+        key = _mix(hi + (order << 50), lo)
         by = np.argsort(key)
-        grams.append(key[by])
-        logp.append(np.log2(p[at][by]))
-        keys, first = np.unique(_context(high[at], low[at], order), return_index=True)
+        keys_below, p_below = key[by], p[by]
+        grams.append(keys_below)
+        logp.append(np.log2(p_below))
         contexts.append(keys)
-        backoff.append(np.log2(weight[at][first]))
-    return Model(place, own, grams, logp, contexts, backoff, float(backoff[0][0]) - float(np.log2(len(grams[0]) + 1)))
+        backoff.append(np.log2(weight))
+    return Model(place, own, grams, logp, contexts, backoff, float(backoff[0][0]) - float(np.log2(vocabulary)))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,8 +282,8 @@ def entropies(models: list[Model], texts: list[str], width: int = 1) -> tuple[np
 def fit(docs: DataFrame) -> tuple[list[str], list[Broadcast]]:
     """Languages in ``docs`` (text, lang) by name, and their models from all its rows, in broadcast shards.
 
-    The driver plans by the sizes of units (BUCKETS a language) and holds one
-    shard at a time.
+    The driver plans by the sizes of units (BUCKETS a language) and gathers the
+    counts of one shard at a time.
     """
     spark = docs.sparkSession
     with scope(spark):
@@ -274,23 +293,24 @@ def fit(docs: DataFrame) -> tuple[list[str], list[Broadcast]]:
         langs = sorted({u[0] for u in units})
         place = {lang: k for k, lang in enumerate(langs)}
         cuts = list(parts([u[2] for u in units], SHARD))
-        model = kneser_ney(counts)
+        common = totals(counts)
         if len(cuts) > 1:
-            model = model.repartitionByRange("lang", "bucket").sortWithinPartitions("lang", "bucket")
-        model = materialise(model, "char-models")
+            counts = counts.withColumn("bucket", _bucket(F.col("low"))).repartitionByRange("lang", "bucket").sortWithinPartitions("lang", "bucket")
+            counts = materialise(counts.select("lang", "high", "low", "n"), "char-grams-in-order")
         shards = []
         for a, b in cuts:
-            (first, low, _), (last, high, _) = units[a], units[b - 1]
-            after = (F.col("lang") > first) | (F.col("bucket") >= low) | (F.col("bucket") < 0)
-            before = (F.col("lang") < last) | (F.col("bucket") <= high)
-            table = model.where(F.col("lang").between(first, last) & after & before).toArrow()
+            (first, least, _), (last, most, _) = units[a], units[b - 1]
+            bucket = _bucket(F.col("low"))
+            inside = ((F.col("lang") > first) | (bucket >= least)) & ((F.col("lang") < last) | (bucket <= most))
+            table = counts.where(F.col("lang").between(first, last) & inside).toArrow()
             made = []
             for lang in langs[place[first] : place[last] + 1]:
                 every = [u[1] for u in units if u[0] == lang] if lang in (first, last) else []
                 here = [u[1] for u in units[a:b] if u[0] == lang] if every else every
                 # What the language's own texts don't have falls to its first part.
                 marks = None if here == every else np.isin(np.arange(BUCKETS), here) | (here[0] == every[0]) & ~np.isin(np.arange(BUCKETS), every)
-                made.append(arrays(table.filter(pc.equal(table.column("lang"), lang)), place[lang], marks))
+                own = table.filter(pc.equal(table.column("lang"), lang))
+                made.append(kneser_ney(*(own.column(c).to_numpy() for c in ("high", "low", "n")), common[lang], place[lang], marks))
             shards.append(spark.sparkContext.broadcast(made))
         return langs, shards
 

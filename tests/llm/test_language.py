@@ -80,8 +80,9 @@ def code(g):
 
 
 def model_of(spark, counts):
-    rows = spark.createDataFrame([("x", *code(g), n) for g, n in counts.items()], "lang string, high long, low long, n long")
-    return language.arrays(language.kneser_ney(rows).toArrow())
+    rows = [("x", *code(g), n) for g, n in counts.items()]
+    whole = language.totals(spark.createDataFrame(rows, "lang string, high long, low long, n long"))["x"]
+    return language.kneser_ney(*(np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3)), whole)
 
 
 @pytest.mark.parametrize("hapaxes", [False, True])
