@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: an id that ends in letters after a digit.
 _SUFFIXED = r"^(.*\d)([A-Za-z]+)$"
 
 
@@ -71,8 +72,8 @@ def header_variants(value: Column) -> dict[str, Column]:
 
 
 def series_label(point_number: Column) -> Column:
-    """The thousand that a numeric id falls in, such as ``4000s``."""
-    return F.concat((F.floor(point_number / 1000) * 1000).cast("long").cast("string"), F.lit("s"))
+    """The thousand that a numeric id falls in, such as ``4000-series``."""
+    return F.concat((F.floor(point_number / 1000) * 1000).cast("long").cast("string"), F.lit("-series"))
 
 
 def safe_name(value: Column) -> Column:

@@ -6,7 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Metres in a unit.
-METRES = {"m": 1.0, "ft": 0.3048, "us_ft": 1200 / 3937}
+METRES = {"m": 1.0, "ft": 0.3048, "us_ft": 1200 / 3937, "meters": 1.0, "international_feet": 0.3048, "us_survey_feet": 1200 / 3937}
+
+
+def factor_of(unit: str) -> float:
+    """Metres in a unit that is named in full or short; others raise."""
+    if unit not in METRES:
+        raise ValueError(f"unknown unit {unit!r}")
+    return METRES[unit]
 
 
 def finite(text: Column) -> Column:
@@ -16,9 +23,9 @@ def finite(text: Column) -> Column:
 
 
 def unit_factor(unit: Column) -> Column:
-    """Metres in one unit: m, ft (international) or us_ft; null for others."""
+    """Metres in one unit, by its full or short name; null for others."""
     name = F.lower(F.trim(unit))
-    return F.when(name == "m", METRES["m"]).when(name == "ft", METRES["ft"]).when(name == "us_ft", F.lit(METRES["us_ft"]))
+    return F.coalesce(*[F.when(name == k, F.lit(v)) for k, v in METRES.items()])
 
 
 def duration_seconds(text: Column, hint: str = "seconds") -> Column:
@@ -37,10 +44,31 @@ def duration_seconds(text: Column, hint: str = "seconds") -> Column:
     )
 
 
+#: Date and time texts that field notes use, tried in this order; then times of day.
+MOMENTS = (
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a",
+    "yyyy/M/d HH:mm:ss", "yyyy/M/d HH:mm", "dd-MMM-yyyy HH:mm:ss", "yyyy-MM-dd",
+)
+TIMES = ("H:mm:ss", "H:mm", "h:mm:ss a", "h:mm a")
+_OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
+
+
 def observed_time(text: Column) -> Column:
-    """A timestamp from ISO or common field-book date and time texts; null for others."""
-    formats = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "dd-MMM-yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd")
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats])
+    """A timestamp from ISO or common field-book date and time texts (an offset is taken off); null for others."""
+    t = F.trim(text)
+    offset = F.regexp_extract(t, _OFFSET, 1)
+    zoned = (offset != "") & t.contains("T")
+    minutes = F.when(offset.isin("", "Z"), 0).otherwise(F.concat(F.substring(offset, 1, 1), F.lit("1")).try_cast("int") * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, -2, 2).try_cast("int")))
+    plain = F.when(zoned, F.regexp_replace(t, _OFFSET, "")).otherwise(t)
+    found = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in MOMENTS])
+    return F.when(zoned, F.timestamp_seconds(F.unix_timestamp(found) - minutes * 60)).otherwise(found)
+
+
+def time_of_day(text: Column) -> Column:
+    """Seconds after midnight of a text that is a time alone; null for others."""
+    t = F.trim(text)
+    found = F.coalesce(*[F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), F.upper(t)), F.lit("yyyy-MM-dd " + f)) for f in TIMES])
+    return F.when(t.rlike("^[0-9]{1,2}:"), F.hour(found) * 3600 + F.minute(found) * 60 + F.second(found)).cast("double")
 
 
 def angle_difference(calculated: Column, observed: Column) -> Column:

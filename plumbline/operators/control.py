@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import measures
+
 TOLERANCE = 0.10
 TRIPLET_TOLERANCE = 0.045
 
@@ -141,13 +143,48 @@ def best_triplets(rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float
     return sizes.join(best, "control_id", "left").select("control_id", "n", "id_a", "id_b", "id_c", "max_h", "max_v", "field_status", status.alias("status"))
 
 
-def field_checks(rows: DataFrame, least_epochs: int = 300, least_seconds: float = 300.0, least_satellites: int = 5, most_pdop: float = 3.0) -> DataFrame:
-    """PASS, FAIL or UNVERIFIED for each row: a failure beats a missing value, which beats a pass."""
-    either = (F.col("epoch_count") >= least_epochs) | (F.col("duration_seconds") >= least_seconds)
-    checks = [either, F.col("satellite_count") >= least_satellites, F.col("pdop") <= most_pdop]
-    failed = reduce(lambda a, b: a | b, [F.coalesce(~c, F.lit(False)) for c in checks])
-    known = reduce(lambda a, b: a & b, [c.isNotNull() for c in checks])
-    return rows.withColumn("field_status", F.when(failed, "FAIL").when(known, "PASS").otherwise("UNVERIFIED"))
+def shot_checks(
+    rows: DataFrame, least_epochs: int = 300, least_seconds: float = 300.0, least_satellites: int = 5, most_pdop: float | None = None, most_hdop: float | None = None, most_vdop: float | None = None,
+) -> DataFrame:
+    """Rows with ``length_pass`` and ``satellite_pass`` (null where unknown), the number of failures and of missing values.
+
+    Epochs or duration, whichever is there, may be long enough; if what is
+    there is too short, that is a failure.  A DOP is checked only against a
+    limit that is given.
+    """
+    epochs, seconds = F.coalesce(F.col("epoch_count") >= least_epochs, F.lit(False)), F.coalesce(F.col("duration_seconds") >= least_seconds, F.lit(False))
+    known = F.col("epoch_count").isNotNull() | F.col("duration_seconds").isNotNull()
+    rows = rows.withColumns({"length_pass": F.when(known, epochs | seconds), "satellite_pass": F.col("satellite_count") >= least_satellites})
+    checks = [F.col("length_pass"), F.col("satellite_pass"), *[F.col(c) <= limit for c, limit in (("pdop", most_pdop), ("hdop", most_hdop), ("vdop", most_vdop)) if limit is not None]]
+    count = lambda test: reduce(lambda a, b: a + b, [F.when(F.coalesce(test(c), F.lit(False)), 1).otherwise(0) for c in checks])
+    return rows.withColumns({"failures": count(lambda c: ~c), "missing": count(lambda c: c.isNull())})
+
+
+def field_checks(rows: DataFrame, group: str = "control_id", least_gap_minutes: float = 60.0, **limits) -> DataFrame:
+    """One row a group of shots: PASS, FAIL or UNVERIFIED, with failures, missing values and the least time between two shots.
+
+    ``observed`` is the text of a shot's time.  Times count as verified if
+    all shots (two at least) have one of the same kind, dates or times of day;
+    times of day may go round midnight.  A failure beats what is missing.
+    ``limits`` are those of ``shot_checks``.
+    """
+    day = 86_400.0
+    moment = measures.observed_time(F.col("observed"))
+    at = F.when(moment.isNotNull(), F.unix_micros(moment) / 1e6).otherwise(measures.time_of_day(F.col("observed")))
+    timed = shot_checks(rows, **limits).withColumns({"is_date": moment.isNotNull(), "at": at})
+    w = Window.partitionBy(group).orderBy("at")
+    timed = timed.withColumn("step", F.col("at") - F.lag("at").over(w))
+    sums = timed.groupBy(group).agg(
+        F.count(F.lit(1)).alias("shots"), F.sum("failures").alias("failures"), F.sum("missing").alias("missing"), F.count("at").alias("timed"), F.count_if("is_date").alias("dates"),
+        F.min("step").alias("step"), (F.min("at") + day - F.max("at")).alias("round"),
+    )
+    verified = (F.col("shots") == F.col("timed")) & (F.col("shots") >= 2) & F.col("dates").isin(0, F.col("shots"))
+    gap = F.when(verified, F.when(F.col("dates") > 0, F.col("step")).otherwise(F.least("step", "round")) / 60)
+    out = sums.withColumns({"verified": verified, "least_gap_minutes": gap, "untimed": F.col("shots") - F.col("timed")})
+    close = F.coalesce(F.col("least_gap_minutes") + 1e-9 < least_gap_minutes, F.lit(False)).cast("long")
+    out = out.withColumns({"failures": F.col("failures") + close, "missing": F.col("missing") + F.col("untimed")})
+    status = F.when(F.col("failures") > 0, "FAIL").when((F.col("missing") == 0) & F.col("verified"), "PASS").otherwise("UNVERIFIED")
+    return out.select(group, "shots", "failures", "missing", "least_gap_minutes", status.alias("field_status"))
 
 
 def import_overlap(existing: DataFrame, incoming: DataFrame, tolerance: float = 1e-9) -> DataFrame:

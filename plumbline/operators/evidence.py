@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import cogo, ids, measures
+from plumbline.operators.cells import cell_key, segment_cells
 
 
 def multiset_union(items: DataFrame, group: str, record: str, key: str) -> DataFrame:
@@ -17,52 +18,112 @@ def multiset_union(items: DataFrame, group: str, record: str, key: str) -> DataF
     return ranked.groupBy(group, key, "copy").agg(F.min(record).alias(record)).select(group, key, F.col("copy").cast("long").alias("copy"), record)
 
 
-def status_vote(evidence: DataFrame, threshold: float = 0.85, bases: tuple[str, ...] = ("HANDWRITTEN", "PRINTED"), group: str = "point_id") -> DataFrame:
-    """The class that decisive evidence agrees on, REVIEW if it doesn't or none is decisive.
+#: The bases that make each outcome of a dip decisive.
+BASES = {"YES": ("MEASUREMENT", "EXPLICIT_YES"), "NO": ("EXPLICIT_NO",), "CNA": ("EXPLICIT_CNA",), "CNL": ("EXPLICIT_CNL",)}
 
-    Decisive: allowed basis, and both confidences at the threshold or above.
-    """
-    decisive = F.col("basis").isin(*bases) & (F.least("id_confidence", "value_confidence") >= threshold)
-    votes = evidence.groupBy(group).agg(F.count_if(decisive).alias("decisive"), F.min(F.when(decisive, F.col("class"))).alias("low"), F.max(F.when(decisive, F.col("class"))).alias("high"))
-    return votes.select(group, "decisive", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("REVIEW").alias("status"))
 
+def status_vote(evidence: DataFrame, threshold: float = 0.85, group: str = "point_id") -> DataFrame:
+    """Outcome and confidence that a group's evidence supports: REVIEW if decisive records disagree or there are none.
 
-def aggregate_results(points: DataFrame, evidence: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Every survey point with its evidence count and status: NOT_FOUND without evidence, else the vote; disagreement or a doubtful decision asks for review."""
-    votes = status_vote(evidence, threshold)
-    flags = evidence.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(~F.col("agrees") | ~F.col("decision").isin("", "AUTO_ACCEPT")).alias("doubt"))
+    A record (class, basis, id_confidence, value_confidence) is decisive if
+    its basis fits its class and both confidences reach the threshold.  The
+    confidence is the best of the class, or of all records for REVIEW.
+    """
+    fits = reduce(lambda a, b: a | b, [(F.col("class") == c) & F.col("basis").isin(*b) for c, b in BASES.items()])
+    effective = F.least(F.coalesce("id_confidence", F.lit(0.0)), F.coalesce("value_confidence", F.lit(0.0)))
+    rows = evidence.withColumn("effective", effective).withColumn("decisive", F.coalesce(fits & (F.col("effective") >= threshold), F.lit(False)))
+    own = lambda c: F.when(F.col("decisive"), F.col(c))
+    votes = rows.groupBy(group).agg(F.count_if("decisive").alias("decisive"), F.min(own("class")).alias("low"), F.max(own("class")).alias("high"), F.max(own("effective")).alias("best"), F.max("effective").alias("any_best"))
+    one = F.coalesce(F.col("low") == F.col("high"), F.lit(False))
+    return votes.select(group, "decisive", F.when(one, F.col("low")).otherwise("REVIEW").alias("status"), F.when(one, F.col("best")).otherwise(F.col("any_best")).alias("confidence"))
+
+
+def aggregate_results(points: DataFrame, evidence: DataFrame, threshold: float = 0.85, rule: str = "POINT_ID_FOUND") -> DataFrame:
+    """Every survey point with its evidence count, dip outcome, primary status and whether it needs review.
+
+    POINT_ID_FOUND: any evidence makes the status YES, none makes it NO, and
+    the confidence is that of the id.  CONFIRMED_DIP: the status is the dip
+    outcome (NOT_FOUND without evidence).  Review: the outcome is REVIEW, a
+    model disagrees (``agrees`` is false), or a decision is neither empty nor
+    AUTO_ACCEPT.
+    """
+    if rule not in ("POINT_ID_FOUND", "CONFIRMED_DIP"):
+        raise ValueError(f"unknown rule {rule}")
+    votes = status_vote(evidence, threshold).withColumnRenamed("status", "vote")
+    doubt = (F.col("agrees") == F.lit(False)) | ~F.coalesce("decision", F.lit("")).isin("", "AUTO_ACCEPT")
+    flags = evidence.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(doubt, F.lit(False))).alias("doubt"), F.max("id_confidence").alias("id_best"))
     rows = points.select("point_id").join(votes, "point_id", "left").join(flags, "point_id", "left")
-    status = F.coalesce("status", F.lit("NOT_FOUND"))
-    return rows.select("point_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_evidence"), status.alias("status"), ((status == "REVIEW") | F.coalesce("doubt", F.lit(False))).alias("review"))
-
-
-def assess(candidates: DataFrame) -> DataFrame:
-    """Score and decision of each candidate from four signs: id read well, id in the survey, context nearby, contradiction."""
-    bonus = lambda c, v: F.when(F.coalesce(F.col(c), F.lit(False)), v).otherwise(0)
-    hundredths = F.greatest(F.lit(0), F.least(F.lit(100), bonus("id_read", 42) + bonus("in_survey", 28) + bonus("context", 18) + bonus("agrees", 12) - bonus("contradicts", 30)))
-    rows = candidates.withColumn("score", hundredths / 100.0)
-    return rows.withColumn("decision", F.when(hundredths >= 88, "AUTO_ACCEPT").when(hundredths >= 58, "REVIEW").otherwise("REJECT"))
+    dip = F.coalesce("vote", F.lit("NOT_FOUND"))
+    found = F.col("n").isNotNull()
+    status, confidence = (F.when(found, "YES").otherwise("NO"), F.col("id_best")) if rule == "POINT_ID_FOUND" else (dip, F.col("confidence"))
+    return rows.select(
+        "point_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_evidence"), status.alias("status"), dip.alias("dip_status"),
+        F.coalesce(confidence, F.lit(0.0)).alias("confidence"), (found & ((dip == "REVIEW") | F.coalesce("doubt", F.lit(False)))).alias("review"),
+    )
 
 
-#: Page kinds and the words that speak for them, with weights.
-PAGE_TERMS = (
-    ("control", "control", 3), ("control", "benchmark", 3), ("level", "backsight", 4), ("level", "foresight", 4), ("traverse", "azimuth", 3), ("traverse", "traverse", 4),
-    ("structure", "manhole", 4), ("structure", "invert", 3), ("structure", "rim", 2), ("cover", "index", 2), ("cover", "contents", 2),
-)
+#: Weights of the signs, and the page kinds on which numbers are often mistaken for ids or dips.
+WEIGHTS = {"exact": 0.42, "in_survey": 0.18, "model": 0.12, "agree": 0.14, "disagree": -0.24, "value": 0.08, "clear": 0.04, "context": -0.05}
+DOUBTFUL_PAGES = ("level_loop", "control", "index")
 
 
-def classify_pages(pages: DataFrame, terms: tuple[tuple[str, str, int], ...] = PAGE_TERMS, least: int = 3) -> DataFrame:
-    """The kind whose terms a page's text holds with the largest total weight (the first listed on ties); unknown under ``least``, blank under three letters or digits.
+def assess(candidates: DataFrame) -> DataFrame:
+    """Score, decision and flags of each candidate from independent signs.
 
-    One projection: each term is a ``contains`` in the same pass, and text never moves.
+    Columns: exact_ocr, in_survey, has_model (booleans), agrees (null if no
+    second engine has read it), value_confidence, basis, page_type.
+    AUTO_ACCEPT needs an exact reading, a score of 0.88, no disagreement and a
+    clear basis; REVIEW_DETAILS an exact reading and 0.58; else MANUAL_REVIEW.
     """
-    text = F.lower(F.coalesce("text", F.lit("")))
-    kinds = list(dict.fromkeys(k for k, _, _ in terms))
-    weight = {k: reduce(lambda a, b: a + b, [F.when(F.col("_text").contains(t), w).otherwise(0) for kk, t, w in terms if kk == k]) for k in kinds}
-    rows = pages.select("page_id", text.alias("_text")).select("page_id", F.length(F.regexp_replace("_text", "[^a-z0-9]", "")).alias("size"), *[weight[k].alias(f"w_{k}") for k in kinds])
-    best = F.greatest(*[F.col(f"w_{k}") for k in kinds])
-    kind = reduce(lambda c, k: c.when(F.col(f"w_{k}") == best, k), kinds, F.when(F.col("size") < 3, "blank").when(best < least, "unknown"))
-    return rows.select("page_id", kind.alias("kind"), best.cast("long").alias("weight"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    exact, no = yes("exact_ocr"), F.coalesce(~F.col("agrees"), F.lit(False))
+    vague = F.coalesce(F.col("basis"), F.lit("AMBIGUOUS")) == "AMBIGUOUS"
+    context = F.coalesce(F.col("page_type").isin(*DOUBTFUL_PAGES), F.lit(False))
+    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("value_confidence", F.lit(0.0))))
+    signs = {"exact": exact, "in_survey": yes("in_survey"), "model": yes("has_model"), "agree": yes("agrees"), "disagree": no, "clear": ~vague, "context": context}
+    total = reduce(lambda a, b: a + b, [F.when(c, WEIGHTS[k]).otherwise(0.0) for k, c in signs.items()]) + WEIGHTS["value"] * value
+    flags = (
+        (~exact, "NO_INDEPENDENT_EXACT_POINTID"), (~yes("in_survey"), "POINTID_NOT_IN_SURVEY"), (no, "MODEL_DISAGREEMENT"), (vague, "AMBIGUOUS_SEMANTICS"), (context, "NON_STRUCTURE_PAGE_CONTEXT"),
+    )
+    rows = candidates.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3))
+    decision = F.when(exact & (F.col("score") >= 0.88) & ~no & ~vague, "AUTO_ACCEPT").when(exact & (F.col("score") >= 0.58), "REVIEW_DETAILS").otherwise("MANUAL_REVIEW")
+    return rows.withColumns({"decision": decision, "flags": F.concat_ws(",", *[F.when(c, name) for c, name in flags])})
+
+
+#: Page kinds and the terms that speak for them, with weights.
+PAGE_TERMS = {
+    "utility": {
+        "dip": 4, "dipped": 4, "invert": 4, "inv": 2, "pipe": 3, "mh": 3, "manhole": 4, "storm": 2, "sanitary": 2, "sewer": 3, "pvc": 2, "rcp": 2, "cmp": 2, "hdpe": 2, "diameter": 2, "rim": 2,
+    },
+    "level_loop": {
+        "backsight": 5, "back sight": 5, "foresight": 5, "fore sight": 5, "b.s.": 4, "f.s.": 4, "bs": 2, "fs": 2, "turning point": 5, "tp": 2, "height of instrument": 5, "hi": 2, "benchmark": 4, "bm": 2,
+        "elevation": 2, "level loop": 6, "closure": 3,
+    },
+    "control": {"control": 4, "gnss": 5, "gps": 4, "rtk": 5, "occupation": 3, "baseline": 2, "datum": 3, "benchmark": 2, "northing": 3, "easting": 3, "coordinate": 3},
+    "topo": {"topo": 5, "topographic": 5, "shot": 3, "shots": 3, "feature": 2, "edge of pavement": 3, "eop": 2, "flowline": 3, "ground": 2},
+    "index": {"index": 7, "contents": 5, "page": 1, "pages": 1, "book no": 3},
+    "sketch": {"sketch": 6, "not to scale": 5, "nts": 3, "detail": 2},
+}
+
+
+def classify_pages(pages: DataFrame) -> DataFrame:
+    """The kind whose terms a page's text holds with the largest total weight (the first listed on ties), and a confidence.
+
+    ``unknown`` under a weight of three, ``blank`` under three letters or
+    digits.  One projection: each term is a ``contains`` in the same pass, and
+    text never moves.  A null text is blank.
+    """
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    rows = pages.select("page_id", text.alias("_text"))
+    weight = {k: reduce(lambda a, b: a + b, [F.when(F.col("_text").contains(t), w).otherwise(0) for t, w in terms.items()]) for k, terms in PAGE_TERMS.items()}
+    rows = rows.select("page_id", F.length(F.regexp_replace("_text", "[^a-z0-9]", "")).alias("size"), F.greatest(F.lit(1), F.regexp_count("_text", F.lit("[a-z0-9]+"))).alias("tokens"), *[w.alias(k) for k, w in weight.items()])
+    ranked = F.sort_array(F.array(*weight), asc=False)
+    rows = rows.withColumns({"best": ranked[0], "margin": ranked[0] - ranked[1]})
+    blank, unknown = F.col("size") < 3, F.col("best") < 3
+    kind = reduce(lambda c, k: c.when(F.col(k) == F.col("best"), k), weight, F.when(blank, "blank").when(unknown, "unknown"))
+    share = F.least(F.lit(0.25), F.col("best") / F.greatest(F.lit(10.0), F.col("tokens") / 4.0) * 0.08) + F.least(F.lit(0.14), F.col("margin") * 0.025)
+    confidence = F.when(blank, 0.96).when(unknown, 0.35).otherwise(F.round(F.least(F.lit(0.97), 0.58 + share) + 1e-9, 3))
+    return rows.select("page_id", kind.alias("kind"), F.when(~blank, F.col("best")).otherwise(0).cast("long").alias("weight"), confidence.alias("confidence"))
 
 
 def pipe_checks(pipes: DataFrame, least_dip: float = 0.05, most_dip: float = 80.0, most_diameter: float = 144.0, most_turn: float = 35.0) -> DataFrame:
@@ -76,31 +137,47 @@ def pipe_checks(pipes: DataFrame, least_dip: float = 0.05, most_dip: float = 80.
     return pipes.select("point_id", "pipe_index", F.array_join(F.filter(flags, lambda x: x.isNotNull()), ",").alias("flags"), F.when(F.col("is_rim"), F.col("elevation") - F.col("dip")).alias("invert"))
 
 
-def network_edges(pipes: DataFrame, structures: DataFrame, most_distance: float, most_error: float = 25.0, reciprocal: float = 35.0) -> DataFrame:
-    """For each pipe the best structure ahead of it: within the distance, and within ``most_error`` degrees of its azimuth.
+def network_edges(pipes: DataFrame, structures: DataFrame, most_distance: float = 1500.0, most_error: float = 25.0, reciprocal: float = 25.0) -> DataFrame:
+    """For each pipe without a written destination the best structure ahead of it: within the distance, and within ``most_error`` degrees of its direction.
 
-    Structures meet by grid cells.  The score weighs direction, the best
-    opposite pipe at the destination, and distance; ties go to the smallest
-    destination id.
+    A pipe's direction is its azimuth, else its leader; without either it has
+    no edge.  Structures meet by grid cells.  The score weighs direction, the
+    best opposite pipe at the destination (zero without one) and distance;
+    ties go to the smallest destination id.  STRONG: 78 or more and an
+    opposite pipe within ``reciprocal`` degrees; REVIEW: an opposite pipe
+    beyond that; else SUGGESTED.
     """
+    pipes = _with_columns(pipes, {"leader_deg": "double", "connected_raw": "string"})
     cell = lambda c: F.floor(F.col(c) / most_distance).cast("long")
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    at = structures.select(F.col("point_id"), "northing", "easting")
-    src = pipes.join(at, "point_id").select(F.col("point_id").alias("from_point"), "pipe_index", "azimuth_deg", F.col("northing").alias("n1"), F.col("easting").alias("e1"), cell("northing").alias("cn0"), cell("easting").alias("ce0"), around.alias("s"))
-    src = src.select("from_point", "pipe_index", "azimuth_deg", "n1", "e1", (F.col("cn0") + F.col("s.i")).alias("cn"), (F.col("ce0") + F.col("s.j")).alias("ce"))
+    at = structures.select("point_id", "northing", "easting").where("northing is not null and easting is not null")
+    own = pipes.where(ids.destination_ref(F.col("connected_raw")).isNull()).withColumn("direction", F.coalesce("azimuth_deg", "leader_deg")).where("direction is not null")
+    src = own.join(at, "point_id").select(F.col("point_id").alias("from_point"), "pipe_index", "azimuth_deg", "leader_deg", "direction", F.col("northing").alias("n1"), F.col("easting").alias("e1"), cell("northing").alias("cn0"), cell("easting").alias("ce0"), around.alias("s"))
+    src = src.withColumns({"cn": F.col("cn0") + F.col("s.i"), "ce": F.col("ce0") + F.col("s.j")}).drop("cn0", "ce0", "s")
     dst = at.select(F.col("point_id").alias("to_point"), F.col("northing").alias("n2"), F.col("easting").alias("e2"), cell("northing").alias("cn"), cell("easting").alias("ce"))
     distance, azimuth = cogo.inverse(F.col("n1"), F.col("e1"), F.col("n2"), F.col("e2"))
-    pairs = src.join(dst, ["cn", "ce"]).where("from_point != to_point").withColumns({"distance": distance, "bearing": azimuth})
-    pairs = pairs.withColumn("error", F.abs(measures.angle_difference(F.col("bearing"), F.col("azimuth_deg")))).where((F.col("distance") <= most_distance) & (F.col("distance") > 0) & (F.col("error") <= most_error))
-    back = pipes.select(F.col("point_id").alias("to_point"), F.col("pipe_index").alias("to_pipe"), F.col("azimuth_deg").alias("back_azimuth"))
-    turned = F.abs(measures.angle_difference(F.col("bearing") + 180.0, F.col("back_azimuth")))
-    keys = ["from_point", "pipe_index", "to_point"]
-    met = pairs.join(back, "to_point", "left").withColumn("turned", turned)
-    met = met.groupBy(*keys).agg(F.first("distance").alias("distance"), F.first("error").alias("error"), F.min(F.struct("turned", "to_pipe")).alias("m")).withColumn("turned", F.coalesce("m.turned", F.lit(180.0)))
-    score = 100 * (0.52 * (1 - F.col("error") / most_error) + 0.33 * F.greatest(F.lit(0.0), 1 - F.col("turned") / 180.0) + 0.15 * (1 - F.col("distance") / most_distance))
-    best = met.withColumn("score", score).withColumn("rn", F.row_number().over(Window.partitionBy("from_point", "pipe_index").orderBy(F.round("score", 6).desc(), "to_point"))).where("rn = 1")
-    status = F.when(F.col("turned") > reciprocal, "REVIEW").when(F.col("score") >= 78, "STRONG").otherwise("SUGGESTED")
-    return best.select("from_point", "pipe_index", "to_point", "distance", "error", "score", status.alias("status"))
+    off = lambda a, b: F.abs(measures.angle_difference(a, b))
+    pairs = src.join(dst, ["cn", "ce"]).where("from_point != to_point").withColumns({"distance": distance, "bearing": azimuth}).withColumn("error", off(F.col("bearing"), F.col("direction")))
+    pairs = pairs.where((F.col("distance") <= most_distance) & (F.col("distance") > 0) & (F.col("error") <= most_error))
+    back = pipes.select(F.col("point_id").alias("to_point"), F.col("pipe_index").alias("to_pipe_index"), F.coalesce("azimuth_deg", "leader_deg").alias("back")).where("back is not null")
+    met = pairs.join(back, "to_point", "left").withColumn("turned", off(F.col("bearing") + 180.0, F.col("back")))
+    keep = ("azimuth_deg", "leader_deg", "distance", "bearing", "error")
+    best_back = F.min(F.when(F.col("turned").isNotNull(), F.struct("turned", "to_pipe_index")))
+    met = met.groupBy("from_point", "pipe_index", "to_point").agg(*[F.first(c).alias(c) for c in keep], best_back.alias("m")).withColumns({"turned": F.col("m.turned"), "to_pipe_index": F.col("m.to_pipe_index")})
+    ahead, opposite = 1 - F.col("error") / most_error, F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("turned") / reciprocal), F.lit(0.0))
+    score = 100 * (0.52 * ahead + 0.33 * opposite + 0.15 * (1 - F.col("distance") / most_distance))
+    rows = met.withColumns({"full": score, "score": F.round(score + 1e-9, 1)})
+    best = rows.withColumn("rn", F.row_number().over(Window.partitionBy("from_point", "pipe_index").orderBy(F.col("score").desc(), "to_point"))).where("rn = 1")
+    status = F.when(F.col("turned") > reciprocal, "REVIEW").when((F.col("full") >= 78) & F.col("turned").isNotNull(), "STRONG").otherwise("SUGGESTED")
+    return best.select(
+        "from_point", "pipe_index", "to_point", "to_pipe_index", "distance", F.col("turned").alias("reciprocal_error"), off(F.col("bearing"), F.col("azimuth_deg")).alias("bearing_error"),
+        off(F.col("bearing"), F.col("leader_deg")).alias("leader_error"), "score", status.alias("status"),
+    )
+
+
+def _with_columns(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """``rows`` with null columns for those it lacks."""
+    return rows.withColumns({c: F.lit(None).cast(kind) for c, kind in wanted.items() if c not in rows.columns})
 
 
 def explicit_edges(pipes: DataFrame, structures: DataFrame, most_distance: float = 1500.0, most_error: float = 25.0, reciprocal: float = 25.0) -> DataFrame:
@@ -134,31 +211,49 @@ def explicit_edges(pipes: DataFrame, structures: DataFrame, most_distance: float
     return out.select("from_point", "pipe_index", "ref", "to_point", *[F.when(judged, F.col(c)).alias(c) for c in ("distance", "bearing_error", "reciprocal_error")], F.when(judged, score).alias("score"), "status")
 
 
-def pipe_grades(edges: DataFrame, inverts: DataFrame, factor: float = 1.0) -> DataFrame:
-    """Grade in percent from the invert at one end of an edge to that at the other; a rise is adverse."""
-    a = inverts.select(F.col("point_id").alias("from_point"), F.col("pipe_index").alias("pipe_index"), F.col("invert").alias("invert_from"))
-    b = inverts.groupBy(F.col("point_id").alias("to_point")).agg(F.min("invert").alias("invert_to"))
-    grade = (F.col("invert_from") - F.col("invert_to")) / F.col("distance") * factor * 100
-    rows = edges.join(a, ["from_point", "pipe_index"]).join(b, "to_point").withColumn("grade", grade)
-    return rows.select("from_point", "pipe_index", "to_point", "grade", F.when(F.col("grade") < 0, "ADVERSE_GRADE").otherwise("OK").alias("status"))
+def pipe_grades(edges: DataFrame, inverts: DataFrame, horizontal: str = "m", vertical: str = "m") -> DataFrame:
+    """Grade in percent between the inverts of the two pipes that an edge joins; a rise is adverse.
 
+    Edges have from_point, pipe_index, to_point, to_pipe_index, distance;
+    edges that lack an invert or the distance have no grade.  A distance that
+    is not positive, or an unknown unit, raises.
+    """
+    ratio = measures.factor_of(vertical) / measures.factor_of(horizontal)
+    end = lambda point, index, tag: inverts.select(F.col("point_id").alias(point), F.col("pipe_index").alias(index), F.col("invert").alias(tag)).where(f"{tag} is not null")
+    rows = edges.where("distance is not null").join(end("from_point", "pipe_index", "from_invert"), ["from_point", "pipe_index"]).join(end("to_point", "to_pipe_index", "to_invert"), ["to_point", "to_pipe_index"])
+    distance = F.when(F.col("distance") > 0, F.col("distance")).otherwise(F.raise_error(F.lit("Pipe distance must be greater than zero.")).cast("double"))
+    grade = (F.col("from_invert") - F.col("to_invert")) / distance * ratio * 100
+    flow = F.when(F.col("grade") > 0, "from_to").when(F.col("grade") < 0, "to_from").otherwise("flat")
+    return rows.withColumn("grade", grade).select("from_point", "pipe_index", "to_point", "to_pipe_index", "grade", flow.alias("flow"), F.when(F.col("grade") < 0, "ADVERSE_GRADE").otherwise("").alias("flag"))
+
+
+def line_support(edges: DataFrame, segments: DataFrame, tolerance: float = 30.0, angle: float = 35.0) -> DataFrame:
+    """Best support of each edge by a mapped segment that both its ends are near; 0.8 of the edge's score plus 0.2 of the support, at most 100.
+
+    The ends' distances to the segment count, and the angle to it in either
+    direction.  Where no segment supports an edge, support is null and its
+    score stays.  One end is within the tolerance, so edges look up, by the
+    cells of their ends, the segments that pass there.
+    """
+    seg = segment_cells(segments, tolerance, tolerance).select("cell", *[F.col(c).alias(f"s_{c}") for c in ("n1", "e1", "n2", "e2")])
+    e = edges.select("edge_id", "score", "n1", "e1", "n2", "e2").where("n1 is not null and e1 is not null and n2 is not null and e2 is not null")
+    looked = e.withColumn("cell", F.explode(F.array_distinct(F.array(*[cell_key(F.col(f"n{k}"), F.col(f"e{k}"), tolerance) for k in (1, 2)]))))
+    sn, se = F.col("s_n2") - F.col("s_n1"), F.col("s_e2") - F.col("s_e1")
+    size = sn * sn + se * se
 
-def line_support(edges: DataFrame, segments: DataFrame, tolerance: float, angle: float, cell: float) -> DataFrame:
-    """Best support of each edge by a GIS segment whose ends are near the edge's in either order; 0.8 of the edge's score plus 0.2 of the support.
+    def gap(k: int) -> Column:
+        pn, pe = F.col(f"n{k}") - F.col("s_n1"), F.col(f"e{k}") - F.col("s_e1")
+        t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(pn * sn + pe * se, size))), F.lit(0.0))
+        return F.sqrt((pn - t * sn) ** 2 + (pe - t * se) ** 2)
 
-    An edge looks up segments by the cell (larger than the tolerance) of its first end, in the nine cells around it, against both ends of each segment.
-    """
-    turned = segments.select("seq", F.col("n2").alias("n1"), F.col("e2").alias("e1"), F.col("n1").alias("n2"), F.col("e1").alias("e2"))
-    seg = segments.select("seq", "n1", "e1", "n2", "e2").unionByName(turned).select("seq", *[F.col(c).alias(f"s_{c}") for c in ("n1", "e1", "n2", "e2")], F.floor(F.col("n1") / cell).cast("long").alias("cn"), F.floor(F.col("e1") / cell).cast("long").alias("ce"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    e = edges.select("edge_id", "score", "n1", "e1", "n2", "e2", around.alias("s")).withColumns({"cn": F.floor(F.col("n1") / cell).cast("long") + F.col("s.i"), "ce": F.floor(F.col("e1") / cell).cast("long") + F.col("s.j")})
-    gap = lambda k: F.sqrt((F.col(f"n{k}") - F.col(f"s_n{k}")) ** 2 + (F.col(f"e{k}") - F.col(f"s_e{k}")) ** 2)
     _, a = cogo.inverse(F.col("n1"), F.col("e1"), F.col("n2"), F.col("e2"))
     _, b = cogo.inverse(F.col("s_n1"), F.col("s_e1"), F.col("s_n2"), F.col("s_e2"))
-    support = 100 * F.greatest(F.lit(0.0), 1 - (gap(1) + gap(2)) / (2 * tolerance)) * F.greatest(F.lit(0.0), 1 - F.abs(measures.angle_difference(a, b)) / angle)
-    best = e.join(seg, ["cn", "ce"]).withColumn("support", support).groupBy("edge_id").agg(F.max("support").alias("support"))
-    rows = edges.select("edge_id", "score").join(best, "edge_id", "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
-    return rows.select("edge_id", "support", (0.8 * F.col("score") + 0.2 * F.col("support")).alias("combined"))
+    turn = F.abs(measures.angle_difference(a, b))
+    support = 100 * F.greatest(F.lit(0.0), 1 - (gap(1) + gap(2)) / (2 * tolerance)) * F.greatest(F.lit(0.0), 1 - F.least(turn, 180 - turn) / angle)
+    best = looked.join(seg, "cell").withColumn("support", support).where("support > 0").groupBy("edge_id").agg(F.max("support").alias("support"))
+    rows = edges.select("edge_id", "score").join(best, "edge_id", "left")
+    combined = F.when(F.col("support").isNotNull(), F.round(F.least(F.lit(100.0), 0.8 * F.col("score") + 0.2 * F.col("support")) + 1e-9, 1)).otherwise(F.col("score").cast("double"))
+    return rows.select("edge_id", "support", combined.alias("combined"))
 
 
 def connected_regions(pairs: DataFrame) -> DataFrame:
@@ -168,11 +263,30 @@ def connected_regions(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs, "id_a", "id_b")
 
 
+#: Points that each sign adds, the floor of a confirmed row and the caps of doubtful ones.
+POINTS = {"exact": 30, "evidence": 18, "agree": 25, "disagree": -25, "outcome": 15, "diameter": 10, "azimuth": 10, "code": 10}
+FLOOR, REVIEW_CAP, NO_EVIDENCE_CAP = 95, 79, 25
+
+
 def smart_confidence(results: DataFrame) -> DataFrame:
-    """0 to 100: evidence adds points, doubts take them away, and a floor and a cap hold for confirmed and doubtful rows."""
-    add = lambda c, v: F.when(F.coalesce(F.col(c), F.lit(False)), v).otherwise(0)
-    raw = add("has_evidence", 40) + add("id_exact", 25) + add("two_models", 20) + add("coordinates", 15) - add("conflict", 35)
-    floor = F.when(F.coalesce(F.col("confirmed"), F.lit(False)), 90).otherwise(0)
-    cap = F.when(F.coalesce(F.col("conflict"), F.lit(False)), 60).otherwise(100)
-    value: Column = F.least(cap, F.greatest(floor, raw))
+    """0 to 100 for each point: signs add points; a reviewed row has a floor, and rows in review or without evidence have caps.
+
+    Columns: exact_ocr, has_evidence, n_agree, n_disagree, dip_status, status,
+    has_dip, bases (array of the evidence's bases), has_diameter, has_azimuth,
+    code, confirmed, review.  The outcome counts if a measured dip or an
+    explicit basis stands behind it.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    outcome = F.when((F.col("dip_status") != "NOT_FOUND") | (F.col("status") == "NOT_FOUND"), F.col("dip_status")).otherwise(F.col("status"))
+    explicit = outcome.isin("NO", "CNA", "CNL") & F.array_contains("bases", F.concat(F.lit("EXPLICIT_"), outcome))
+    add = lambda c, k: F.when(F.coalesce(c, F.lit(False)), POINTS[k]).otherwise(0)
+    raw = reduce(lambda a, b: a + b, [
+        F.when(yes("exact_ocr"), POINTS["exact"]).when(yes("has_evidence"), POINTS["evidence"]).otherwise(0),
+        F.when(count("n_disagree") > 0, POINTS["disagree"]).when(count("n_agree") > 0, POINTS["agree"]).otherwise(0),
+        add(((outcome == "YES") & yes("has_dip")) | explicit, "outcome"), add(yes("has_diameter"), "diameter"), add(yes("has_azimuth"), "azimuth"), add(F.coalesce("code", F.lit("")) != "", "code"),
+    ])
+    value = F.when(yes("confirmed"), F.greatest(raw, F.lit(FLOOR))).otherwise(raw)
+    value = F.when(yes("review"), F.least(value, F.lit(REVIEW_CAP))).otherwise(value)
+    value = F.when(~yes("has_evidence"), F.least(value, F.lit(NO_EVIDENCE_CAP))).otherwise(value)
     return results.select("point_id", F.greatest(F.lit(0), F.least(F.lit(100), value)).cast("long").alias("confidence"))

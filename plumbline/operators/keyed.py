@@ -22,17 +22,17 @@ def active_or_latest(solutions: DataFrame, selections: DataFrame, key: str) -> D
     return joined.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(F.coalesce(best["col1"], F.lit(0)), best["revision"])).alias("row")).select(key, "row.*")
 
 
-def point_diff(base: DataFrame, revised: DataFrame, htol: float = 0.01, vtol: float = 0.01) -> DataFrame:
+def point_diff(base: DataFrame, revised: DataFrame, htol: float = 0.001, vtol: float = 0.001) -> DataFrame:
     """Added, removed, changed or unchanged by point_id.
 
     Changed: any axis differs by more than its tolerance (elevations where
-    both are there), or the descriptions differ.
+    both are there), or the descriptions differ (null is empty).
     """
     cols = ("northing", "easting", "elevation", "description")
     a = base.select("point_id", F.lit(True).alias("in_base"), *[F.col(c).alias(f"base_{c}") for c in cols])
     b = revised.select("point_id", F.lit(True).alias("in_revised"), *[F.col(c).alias(f"revised_{c}") for c in cols])
     off = lambda c, tol: F.coalesce(F.abs(F.col(f"revised_{c}") - F.col(f"base_{c}")) > tol, F.lit(False))
-    changed = off("northing", htol) | off("easting", htol) | off("elevation", vtol) | ~F.col("base_description").eqNullSafe(F.col("revised_description"))
+    changed = off("northing", htol) | off("easting", htol) | off("elevation", vtol) | (F.coalesce("base_description", F.lit("")) != F.coalesce("revised_description", F.lit("")))
     status = F.when(F.col("in_base").isNull(), "added").when(F.col("in_revised").isNull(), "removed").when(changed, "changed").otherwise("unchanged")
     return a.join(b, "point_id", "full_outer").select("point_id", status.alias("status"), *[(F.col(f"revised_{c}") - F.col(f"base_{c}")).alias(f"d_{c}") for c in cols[:3]])
 
@@ -68,7 +68,8 @@ def gaps(ids: DataFrame, column: str, low: int | None = None, high: int | None =
     """Runs of integers between ``low`` and ``high`` (default: the ids' range) that don't occur: first, last, count.
 
     Ids are bucketed by value and sorted within buckets; only each bucket's
-    ends meet in one window, so the work follows the ids, not the range.
+    ends meet in wider buckets, and only the ends of those in one window, so
+    the work follows the ids, not the range.
     Bounds given in reverse are swapped; null and negative ids are ignored.
     """
     if low is not None and high is not None and low > high:
@@ -82,34 +83,64 @@ def gaps(ids: DataFrame, column: str, low: int | None = None, high: int | None =
     spark = ids.sparkSession
     for b in bounds:
         x = x.unionByName(spark.range(1).select(b))
-    x = x.withColumn("bucket", F.floor(F.col("x") / GAP_BUCKET))
-    inside = x.withColumn("next", F.lead("x").over(Window.partitionBy("bucket").orderBy("x"))).where("next is not null")
-    ends = x.groupBy("bucket").agg(F.min("x").alias("first"), F.max("x").alias("last"))
-    across = ends.select(F.col("last").alias("x"), F.lead("first").over(Window.orderBy("bucket")).alias("next")).where("next is not null")
-    runs = inside.select("x", "next").unionByName(across).where("next > x + 1")
+    ends = x.select(F.col("x").alias("first"), F.col("x").alias("last"))
+    steps = []
+    for wide in (GAP_BUCKET, GAP_BUCKET * GAP_BUCKET):
+        ends = ends.withColumn("bucket", F.floor(F.col("first") / wide))
+        steps.append(ends.select(F.col("last").alias("x"), F.lead("first").over(Window.partitionBy("bucket").orderBy("first")).alias("next")))
+        ends = ends.groupBy("bucket").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    steps.append(ends.select(F.col("last").alias("x"), F.lead("first").over(Window.orderBy("first")).alias("next")))
+    runs = reduce(DataFrame.unionByName, steps).where("next > x + 1")
     return runs.select((F.col("x") + 1).alias("first_id"), (F.col("next") - 1).alias("last_id"), (F.col("next") - F.col("x") - 1).alias("n_ids")).where(F.col("n_ids") >= least)
 
 
 def crew_ranges(ids: DataFrame, column: str, least: int = 100, block: int = 1000) -> DataFrame:
-    """Gaps with a priority each, and the open range that starts at the next whole block after the largest id (its last id and count are null)."""
+    """Gaps with a priority and a note each, and the open range that starts at the next whole block after the largest id (its last id and count are null)."""
     label = F.when(F.col("n_ids") >= 500, "Large gap").when(F.col("n_ids") >= 250, "Recommended").otherwise("Usable")
-    inner = gaps(ids, column, least=least).withColumn("priority", label)
+    series = lambda v: F.concat((F.floor(v / 1000) * 1000).cast("string"), F.lit("-series"))
+    first, last, after = F.col("first_id"), F.col("last_id"), F.col("last_id") + 1
+    same = F.floor(first / 1000) == F.floor(last / 1000)
+    note = (
+        F.when(same & (last % 1000 == 999), F.concat(F.lit("Clean open sequence through the end of the "), series(first), F.lit(" block.")))
+        .when(after % 1000 == 0, F.concat(F.lit("Open gap immediately before the "), series(after), F.lit(" sequence begins.")))
+        .when(same, F.concat(F.lit("Open block between existing "), series(first), F.lit(" points; the next occupied point is "), after.cast("string"), F.lit(".")))
+        .otherwise(F.concat(F.lit("Open block between occupied points "), (first - 1).cast("string"), F.lit(" and "), after.cast("string"), F.lit(".")))
+    )
+    inner = gaps(ids, column, least=least).withColumns({"priority": label, "notes": note})
     start = (F.floor(F.max(F.col(column).cast("long")) / block) + 1) * block
     empty = F.lit(None).cast("long")
     outer = ids.where(F.col(column) >= 0).agg(start.cast("long").alias("first_id")).where("first_id is not null")
-    return inner.unionByName(outer.select("first_id", empty.alias("last_id"), empty.alias("n_ids"), F.lit("Open block").alias("priority")))
+    safest = f"Safest option: starts a new {block}-point series above every PointID currently in the file, preventing overlap with existing numbers."
+    return inner.unionByName(outer.select("first_id", empty.alias("last_id"), empty.alias("n_ids"), F.lit("Safest").alias("priority"), F.lit(safest).alias("notes")))
+
+
+#: Levels of range buckets, each this many times as wide as the one before.
+LEVELS, WIDER = 13, 16
 
 
 def overlaps(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     """Pairs of closed integer ranges that overlap; both sides have ``id``, ``start_id``, ``end_id``.
 
-    Ranges are exploded over buckets of ``width`` and joined on the bucket; a
-    pair is reported in the bucket where the later range starts, so once.
+    A range is keyed by the (at most two) buckets it touches at the lowest
+    level whose buckets are as wide as it is, and looks up those that it
+    touches at every wider level, so a range of any length makes a fixed number
+    of rows.  A pair is reported in the bucket where the later range starts,
+    so once.
     """
-    buckets = F.explode(F.sequence(F.floor(F.col("start_id") / width), F.floor(F.col("end_id") / width)))
-    a = left.select(F.col("id").alias("id_a"), F.col("start_id").alias("start_a"), F.col("end_id").alias("end_a"), buckets.alias("bucket"))
-    b = right.select(F.col("id").alias("id_b"), F.col("start_id").alias("start_b"), F.col("end_id").alias("end_b"), buckets.alias("bucket"))
-    meet = a.join(b, "bucket").where("start_a <= end_b and end_a >= start_b").where(F.floor(F.greatest("start_a", "start_b") / width) == F.col("bucket"))
+    widths = [width * WIDER**k for k in range(LEVELS)]
+
+    def side(rows: DataFrame, tag: str, own: bool) -> DataFrame:
+        size = F.col("end_id") - F.col("start_id") + 1
+        level = reduce(lambda c, k: c.when(size <= widths[k], k), range(LEVELS - 1), F.when(F.lit(False), 0)).otherwise(LEVELS - 1)
+        rows = rows.where("end_id >= start_id").select(F.col("id").alias(f"id_{tag}"), F.col("start_id").alias(f"start_{tag}"), F.col("end_id").alias(f"end_{tag}"), level.alias(f"level_{tag}"))
+        levels = F.array(F.col(f"level_{tag}")) if own else F.sequence(F.col(f"level_{tag}"), F.lit(LEVELS - 1))
+        rows = rows.withColumn("level", F.explode(levels)).withColumn("wide", F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), F.col("level") + 1))
+        return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"start_{tag}") / F.col("wide")), F.floor(F.col(f"end_{tag}") / F.col("wide")))))
+
+    keys = ["level", "bucket", "wide"]
+    wide_left = side(left, "a", True).join(side(right, "b", False), keys)
+    wide_right = side(left, "a", False).join(side(right, "b", True), keys).where("level_a < level_b")
+    meet = wide_left.unionByName(wide_right).where("start_a <= end_b and end_a >= start_b").where(F.floor(F.greatest("start_a", "start_b") / F.col("wide")) == F.col("bucket"))
     return meet.select("id_a", "id_b", F.greatest("start_a", "start_b").alias("from_id"), F.least("end_a", "end_b").alias("to_id"))
 
 

@@ -4,35 +4,94 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.scalars import attach
+from plumbline.storage import materialise, scope
 
 
-def mad_outliers(rows: DataFrame, column: str, key: str) -> DataFrame:
-    """Rows whose distance from the median is over ``median + 12 MAD`` of all distances, or over ``max(20 median, 1000)`` when the MAD vanishes; needs eight values.
+#: Half the width, in ranks, of the bracket in which an exact median is looked for, and the accuracy (one part in) of the sketch that places it.
+BRACKET, ACCURACY = 1e-4, 20_000
 
-    Medians are exact.  The three scalars come back as one-row tables joined
-    by broadcast.
-    """
-    good = rows.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(key), F.col(column).cast("double").alias("value"))
-    centre = good.agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("centre"))
-    far = attach(good, centre).withColumn("distance", F.abs(F.col("value") - F.col("centre")))
-    middle = far.agg(F.median("distance").alias("middle"))
-    spread = attach(far, middle).agg(F.median(F.abs(F.col("distance") - F.col("middle"))).alias("mad"))
-    limits = attach(middle, spread).select(F.when(F.col("mad") > 1e-9, F.col("middle") + 12 * F.col("mad")).otherwise(F.greatest(20 * F.col("middle"), F.lit(1000.0))).alias("limit"))
-    return attach(far, limits).where((F.col("n") >= 8) & (F.col("distance") > F.col("limit"))).select(key, "value", "distance")
 
+def exact_medians(rows: DataFrame, **values: Column) -> DataFrame:
+    """One row with the exact median of each column's finite values (null without any), under its name.
 
-def coordinate_sanity(points: DataFrame) -> DataFrame:
-    """One row: rows with and without both coordinates, the medians, and the number of points over 100 times the median positive distance from them (or 1) away; needs five."""
-    ok = F.col("northing").isNotNull() & F.col("easting").isNotNull()
-    counts = points.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_finite"), F.median(F.when(ok, F.col("northing"))).alias("median_n"), F.median(F.when(ok, F.col("easting"))).alias("median_e"))
-    far = attach(points.where(ok), counts).withColumn("distance", F.sqrt((F.col("northing") - F.col("median_n")) ** 2 + (F.col("easting") - F.col("median_e")) ** 2))
-    middle = far.where("distance > 0").agg(F.median("distance").alias("middle"))
-    found = attach(far, middle).agg(F.count_if((F.col("n_finite") >= 5) & (F.col("distance") > F.greatest(100 * F.col("middle"), F.lit(1.0)))).alias("n_outliers"))
-    return attach(counts, found)
+    A sketch brackets each median; values below are counted, and only the
+    distinct values inside the bracket, about two in ten thousand of all, are
+    put in order.  No task holds a column.  The row is written to the shared
+    folder, as what follows reads it more than once.
+    """
+    names = list(values)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in values.items()]))
+    v = rows.select(each.alias("x")).select("x.*").where("v is not null and not isnan(v) and abs(v) < double('infinity')")
+    low, high = F.percentile_approx("v", 0.5 - BRACKET, ACCURACY), F.percentile_approx("v", 0.5 + BRACKET, ACCURACY)
+    spark = rows.sparkSession
+    with scope(spark):
+        bracket = materialise(v.groupBy("name").agg(low.alias("low"), high.alias("high")), "brackets")
+        placed = v.join(F.broadcast(bracket), "name")
+        below = placed.groupBy("name").agg(F.count_if(F.col("v") < F.col("low")).alias("below"), F.count(F.lit(1)).alias("n"))
+        inside = placed.where("v between low and high").groupBy("name", "v").agg(F.count(F.lit(1)).alias("k"))
+        ordered = inside.withColumn("upto", F.sum("k").over(Window.partitionBy("name").orderBy("v"))).join(F.broadcast(below), "name")
+        at = lambda rank: F.min(F.when(F.col("below") + F.col("upto") > rank, F.col("v")))
+        found = ordered.groupBy("name").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+        return materialise(found.agg(*[F.max(F.when(F.col("name") == n, F.col("median"))).alias(n) for n in names]), "medians", hand_on=True)
+
+
+def mad_outliers(points: DataFrame, key: str = "point_id", least: int = 8) -> DataFrame:
+    """Points whose distance from the median place is over ``median + 12 MAD`` of all distances, or over ``max(20 times the median positive distance, 1000)`` when the MAD vanishes; needs eight points with both coordinates."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < F.lit(float("inf")))
+    good = points.select(key, F.col("northing").cast("double").alias("northing"), F.col("easting").cast("double").alias("easting")).where(finite("northing") & finite("easting"))
+    centre = exact_medians(good, mid_n=F.col("northing"), mid_e=F.col("easting"))
+    far = attach(good, centre).select(key, F.sqrt((F.col("northing") - F.col("mid_n")) ** 2 + (F.col("easting") - F.col("mid_e")) ** 2).alias("distance"))
+    middles = exact_medians(far, middle=F.col("distance"), typical=F.when(F.col("distance") > 0, F.col("distance")))
+    mad = exact_medians(attach(far, middles), mad=F.abs(F.col("distance") - F.col("middle")))
+    limits = attach(attach(middles, mad), good.agg(F.count(F.lit(1)).alias("n")))
+    limit = F.when(F.col("mad") > 1e-9, F.col("middle") + 12 * F.col("mad")).otherwise(F.greatest(20 * F.col("typical"), F.lit(1000.0)))
+    return attach(far, limits.select("n", limit.alias("limit"))).where((F.col("n") >= least) & (F.col("distance") > F.col("limit"))).select(key, "distance")
+
+
+#: Flags of the coordinate checks, in the order they are reported.
+SANITY_FLAGS = (
+    "INVALID_COORDINATE_ROWS", "LATLON_IN_PROJECTED_PROJECT", "POSSIBLE_NORTHING_EASTING_SWAP", "SMALL_COORDINATE_MAGNITUDE", "LARGE_METER_COORDINATES", "REMOTE_COORDINATE_OUTLIER", "MIXED_POINT_CRS", "MIXED_POINT_UNITS",
+)
+
+
+def coordinate_sanity(points: DataFrame, project_crs: str = "", units: str = "") -> DataFrame:
+    """One row: status, flags and statistics of all points that have both coordinates (northing, easting, crs, horizontal_units).
+
+    A pair counts if both are finite.  Points over 100 times the median
+    positive distance from the median place (at least 1) are outliers, where
+    five points have a positive distance.
+    """
+    finite = lambda c: ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < F.lit(float("inf")))
+    text = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit("")) if c in points.columns else F.lit(None).cast("string")
+    rows = points.where("northing is not null and easting is not null").select(
+        F.col("northing").cast("double").alias("northing"), F.col("easting").cast("double").alias("easting"), text("crs").alias("crs"), text("horizontal_units").alias("unit")
+    ).withColumn("ok", finite("northing") & finite("easting"))
+    good = rows.where("ok")
+    within = lambda n, e: F.col("northing").between(-n, n) & F.col("easting").between(-e, e)
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("ok").alias("n_valid"), F.count_if(F.col("ok") & within(90, 180)).alias("latlon"), F.count_if(F.col("ok") & within(180, 90)).alias("swapped"),
+        (F.min("crs") != F.max("crs")).alias("mixed_crs"), (F.min("unit") != F.max("unit")).alias("mixed_units"),
+    )
+    middles = exact_medians(good, median_n=F.col("northing"), median_e=F.col("easting"), median_magnitude=F.sqrt(F.col("northing") ** 2 + F.col("easting") ** 2))
+    far = attach(good, middles).select(F.sqrt((F.col("northing") - F.col("median_n")) ** 2 + (F.col("easting") - F.col("median_e")) ** 2).alias("distance"))
+    typical = exact_medians(far, typical=F.when(F.col("distance") > 0, F.col("distance")))
+    remote = attach(far, typical).agg(F.count_if(F.col("distance") > F.greatest(100 * F.col("typical"), F.lit(1.0))).alias("remote"), F.count_if(F.col("distance") > 0).alias("apart"))
+    one = attach(attach(counts, middles), remote)
+    share = lambda c: F.col(c) / F.col("n_valid")
+    projected = bool(project_crs) and "4326" not in project_crs and "wgs 84" not in project_crs.lower()
+    outliers = F.when(F.col("apart") >= 5, F.col("remote")).otherwise(0)
+    raised = (
+        F.col("n_valid") < F.col("n_rows"), F.lit(projected) & (share("latlon") >= 0.8), (share("swapped") >= 0.8) & (share("latlon") < 0.5),
+        F.lit(units in ("us_survey_feet", "international_feet") and bool(project_crs) and "4326" not in project_crs) & (F.col("median_magnitude") > 0) & (F.col("median_magnitude") < 10_000),
+        F.lit(units == "meters") & (F.col("median_magnitude") > 20_000_000), outliers > 0, F.col("mixed_crs"), F.col("mixed_units"),
+    )
+    flags = F.when(F.col("n_valid") > 0, F.concat_ws(",", *[F.when(c, name) for c, name in zip(raised, SANITY_FLAGS)])).when(F.col("n_rows") > 0, SANITY_FLAGS[0]).otherwise("")
+    status = F.when(F.col("n_rows") == 0, "NO_POINTS").when(F.col("n_valid") == 0, "NO_VALID_COORDINATES").when(flags != "", "WARN").otherwise("PASS")
+    return one.select(status.alias("status"), flags.alias("flags"), "n_rows", "n_valid", "median_n", "median_e", "median_magnitude", outliers.cast("long").alias("n_outliers"))
 
 
 def scale_factor(samples: DataFrame, limit_ppm: float = 20.0) -> DataFrame:
@@ -47,7 +106,7 @@ def scale_factor(samples: DataFrame, limit_ppm: float = 20.0) -> DataFrame:
 def similarity_fit(pairs: DataFrame, *group: str) -> DataFrame:
     """Scale, rotation and shift from local (x, y) to grid (gx, gy), by least squares from centred sums; one row a group."""
     means = pairs.groupBy(*group).agg(*[F.avg(c).alias(f"m_{c}") for c in ("x", "y", "gx", "gy")])
-    joined = pairs.join(F.broadcast(means), list(group)) if group else attach(pairs, means)
+    joined = pairs.join(means, list(group)) if group else attach(pairs, means)
     c = {k: F.col(k) - F.col(f"m_{k}") for k in ("x", "y", "gx", "gy")}
     sums = joined.groupBy(*group).agg(
         F.sum(c["x"] * c["gx"] + c["y"] * c["gy"]).alias("p"), F.sum(c["x"] * c["gy"] - c["y"] * c["gx"]).alias("q"), F.sum(c["x"] * c["x"] + c["y"] * c["y"]).alias("r"),
@@ -78,13 +137,30 @@ def union_issues(*sources: tuple[str, str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("severity_rank", rank)
 
 
+#: Vertical units of a scatter in one foot.
+UNITS_PER_FOOT = {"international_feet": 1.0, "us_survey_feet": 0.999998, "meters": 0.3048}
+
+
 def calibration(reviews: DataFrame) -> DataFrame:
-    """One row: the latest decision of each (run, candidate) is counted, and the scatter limit is twice the median scatter of accepted ones, between 0.05 and 0.25."""
-    latest = reviews.groupBy("run_id", "candidate_id").agg(F.max_by(F.struct("decision", "scatter"), "seq").alias("r")).select("r.*")
-    accepted = F.col("decision") == "ACCEPT"
-    return latest.agg(
-        F.count(F.lit(1)).alias("reviewed"), F.count_if(accepted).alias("accepted"), F.least(F.lit(0.25), F.greatest(F.lit(0.05), 2 * F.median(F.when(accepted, F.col("scatter"))))).alias("scatter_limit")
+    """One row from the latest decision (by ``seq``) of each run's candidates: counts, and twice the median scatter of confirmed busts in feet, between 0.05 and 0.25.
+
+    Columns: run_id, candidate_id, decision (confirmed_bust, not_bust,
+    needs_review), scatter, vertical_units.  Confirmed busts whose scatter is
+    missing, negative or in an unknown unit are excluded and counted; rows
+    without a run or candidate are not read.
+    """
+    known = reviews.where("run_id is not null and candidate_id is not null")
+    latest = known.groupBy("run_id", "candidate_id").agg(F.max_by(F.struct("decision", F.col("scatter").cast("double").alias("scatter"), "vertical_units"), "seq").alias("r")).select("r.*")
+    factor = F.coalesce(*[F.when(F.col("vertical_units") == u, F.lit(f)) for u, f in UNITS_PER_FOOT.items()])
+    usable = F.col("scatter").isNotNull() & ~F.isnan("scatter") & (F.col("scatter") >= 0) & (F.col("scatter") < F.lit(float("inf"))) & factor.isNotNull()
+    confirmed = F.col("decision") == "confirmed_bust"
+    counts = latest.agg(
+        F.count(F.lit(1)).alias("reviews"), F.count_if(confirmed).alias("confirmed"), F.count_if(F.col("decision") == "not_bust").alias("not_bust"), F.count_if(F.col("decision") == "needs_review").alias("needs_review"),
+        F.count_if(confirmed & ~F.coalesce(usable, F.lit(False))).alias("excluded"),
     )
+    middle = exact_medians(latest, middle=F.when(confirmed & usable, F.col("scatter") / factor))
+    out = attach(counts, middle)
+    return out.select("reviews", "confirmed", "not_bust", "needs_review", "excluded", F.round("middle", 4).alias("median_scatter_ft"), F.when(F.col("middle").isNotNull(), F.round(F.least(F.lit(0.25), F.greatest(F.lit(0.05), 2 * F.col("middle"))), 3)).alias("suggested_ft"))
 
 
 def profile(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -104,10 +180,21 @@ def browse(rows: DataFrame, text: str, order: str, limit: int = 500, offset: int
 def match_codes(points: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule of each point's code: EXACT, STARTS_WITH or CONTAINS without case; the longest pattern wins, then the first rule.
 
-    ``rules`` (rule, match, pattern, category) is a profile of bounded size and is broadcast; points without a rule stay, with nulls.
+    ``rules`` (rule, match, pattern, category) is a profile.  Distinct codes
+    are matched: equal ones and beginnings (of the lengths that the profile
+    has) by equi-joins, contained ones in one projection over the profile's
+    few such patterns.  Points without a rule stay, with nulls.
     """
-    code, pattern = F.upper(F.trim("code")), F.upper(F.col("pattern"))
-    fits = F.when(F.col("match") == "EXACT", code == pattern).when(F.col("match") == "STARTS_WITH", code.startswith(pattern)).otherwise(code.contains(pattern))
-    pairs = points.join(F.broadcast(rules), fits, "left")
-    best = pairs.groupBy("point_id").agg(F.min_by(F.struct("rule", "category"), F.struct((-F.length("pattern")).alias("l"), F.col("rule"))).alias("m"))
-    return best.select("point_id", F.col("m.rule").alias("rule"), F.col("m.category").alias("category"))
+    code = F.upper(F.trim("code"))
+    codes = points.select(code.alias("_code")).where("_code is not null").distinct()
+    known = rules.select("rule", "match", F.upper("pattern").alias("pattern"), F.length("pattern").alias("size"), "category")
+    columns = ["_code", "rule", "size", "category"]
+    exact = codes.join(known.where("match = 'EXACT'"), F.col("_code") == F.col("pattern")).select(*columns)
+    sizes = known.where("match = 'STARTS_WITH'").agg(F.collect_set("size").alias("sizes"))
+    begun = attach(codes, sizes).withColumn("cut", F.explode("sizes")).where("length(_code) >= cut").select("_code", F.substring("_code", F.lit(1), F.col("cut")).alias("begin"))
+    begun = begun.join(known.where("match = 'STARTS_WITH'"), F.col("begin") == F.col("pattern")).select(*columns)
+    listed = known.where("match not in ('EXACT', 'STARTS_WITH')").agg(F.collect_list(F.struct("rule", "pattern", "size", "category")).alias("listed"))
+    held = attach(codes, listed).withColumn("m", F.explode(F.filter("listed", lambda r: F.col("_code").contains(r["pattern"])))).select("_code", "m.rule", "m.size", "m.category")
+    found = exact.unionByName(begun).unionByName(held)
+    best = found.groupBy("_code").agg(F.min_by(F.struct("rule", "category"), F.struct((-F.col("size")).alias("l"), F.col("rule"))).alias("m"))
+    return points.select("point_id", code.alias("_code")).join(best, "_code", "left").select("point_id", F.col("m.rule").alias("rule"), F.col("m.category").alias("category"))

@@ -128,24 +128,33 @@ def local_grades(nodes: DataFrame, k: int, key: str = "chain_id", order: str = "
 
 
 def linework(points: DataFrame, line: str = "line_id", order: str = "seq") -> DataFrame:
-    """Lines from coded points (``command``: BS, ES, CL, PC, PT or null): one row a line part with its vertex count and status.
+    """Lines from coded points (``command``: BS, ES, CL, PC, PT or null): one row a line part with its vertex count, status and flags.
 
-    A part begins at BS or after ES or CL.  CL closes it, ES completes it;
-    an unpaired curve command or fewer than two vertices needs review.
+    A part begins at BS, at the line's first point, and after ES or CL.  CL
+    closes it (the first vertex is counted again), ES completes it, another BS
+    before that leaves it for REVIEW, and else it is OPEN.  Flags: a part
+    without BS, without an end, or with curve commands that don't pair.
     """
     w = Window.partitionBy(line).orderBy(order)
-    begins = (F.col("command") == "BS") | F.lag("command").over(w).isin("ES", "CL")
-    rows = points.withColumn("part", F.sum(F.coalesce(begins, F.lit(False)).cast("long")).over(w))
+    command = F.coalesce(F.upper("command"), F.lit(""))
+    rows = points.withColumn("command", command)
+    ended = F.coalesce(F.lag("command").over(w).isin("ES", "CL"), F.lit(True))
+    rows = rows.withColumn("part", F.sum(((F.col("command") == "BS") | ended).cast("long")).over(w))
     inside = Window.partitionBy(line, "part").orderBy(order)
-    depth = F.sum(F.when(F.col("command") == "PC", 1).when(F.col("command") == "PT", -1).otherwise(0)).over(inside)
-    rows = rows.withColumn("depth", depth)
-    grouped = rows.groupBy(line, "part").agg(
-        F.count(F.lit(1)).alias("vertices"), F.min("depth").alias("low"), F.max("depth").alias("high"), F.max_by("depth", order).alias("last_depth"), F.max_by("command", order).alias("last"),
-        F.min(order).alias("first_seq"),
+    curve = F.when(F.col("command").isin("PC", "PT"), F.col("command"))
+    rows = rows.withColumn("before", F.last(curve, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn("curve", curve)
+    last = F.max_by("command", order)
+    parts = rows.groupBy(line, "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seq"), F.min_by("command", order).alias("first"), last.alias("last"), F.max_by("curve", F.when(F.col("curve").isNotNull(), F.col(order))).alias("last_curve"),
+        F.bool_or((F.col("curve") == "PC") & F.coalesce(F.col("before") == "PC", F.lit(False))).alias("nested"), F.bool_or((F.col("curve") == "PT") & F.coalesce(F.col("before") != "PC", F.lit(True))).alias("unpaired"),
     )
-    odd = (F.col("low") < 0) | (F.col("high") > 1) | (F.col("last_depth") != 0) | (F.col("vertices") < 2)
-    status = F.when(odd, "REVIEW").when(F.col("last") == "CL", "COMPLETE_CLOSED").when(F.col("last") == "ES", "COMPLETE").otherwise("OPEN")
-    return grouped.select(line, "part", "first_seq", "vertices", status.alias("status"))
+    again = F.lead("first").over(Window.partitionBy(line).orderBy("part"))
+    status = F.when(F.col("last") == "ES", "COMPLETE").when(F.col("last") == "CL", "COMPLETE_CLOSED").when(again.isNotNull(), "REVIEW").otherwise("OPEN")
+    parts = parts.withColumn("status", status)
+    flags = (
+        (F.col("status") == "REVIEW", "RESTARTED"), (F.col("first") != "BS", "NO_START"), (F.col("status") == "OPEN", "NO_END"), (F.col("nested"), "NESTED_PC"), (F.col("unpaired"), "PT_WITHOUT_PC"), (F.col("last_curve") == "PC", "PC_OPEN"),
+    )
+    return parts.select(line, "part", "first_seq", (F.col("n") + (F.col("status") == "COMPLETE_CLOSED").cast("long")).alias("vertices"), "status", F.concat_ws(",", *[F.when(c, name) for c, name in flags]).alias("flags"))
 
 
 def closure_gaps(parts: DataFrame, key: str = "drawing_id", order: str = "seq") -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.cells import around_keys, cell_key, key_of, segment_cells
+from plumbline.operators.graph import connected_components
+
 
 def polygon_measures(vertices: DataFrame, key: str = "polygon_id", order: str = "seq") -> DataFrame:
     """Area, perimeter, centroid and orientation; vertices are taken relative to the polygon's first one."""
@@ -69,21 +72,47 @@ def cut_fill(ground: DataFrame, design: DataFrame, key: str = "section_id") -> D
     return rows.where("width is not null").groupBy(key).agg(F.sum(cut).alias("cut_area"), F.sum(fill).alias("fill_area"), F.sum(width).alias("width"))
 
 
+def _near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """Rows of ``a`` (na, ea) and ``b`` (nb, eb) whose places are within ``radius``, with their distance.  Each row of ``b`` is put in the nine cells around it, so only neighbours meet."""
+    left = a.withColumn("cell", cell_key(F.col("na"), F.col("ea"), radius))
+    right = b.withColumn("cell", F.explode(around_keys(F.col("nb"), F.col("eb"), radius)))
+    distance = F.sqrt((F.col("na") - F.col("nb")) ** 2 + (F.col("ea") - F.col("eb")) ** 2)
+    return left.join(right, "cell").withColumn("distance", distance).where(F.col("distance") <= radius).drop("cell")
+
+
+def _placed(points: DataFrame, key: str, tag: str) -> DataFrame:
+    rows = points.where("northing is not null and easting is not null")
+    return rows.select(F.col(key).alias(f"id_{tag}"), F.col("northing").alias(f"n{tag}"), F.col("easting").alias(f"e{tag}"), F.col("elevation").alias(f"z{tag}"))
+
+
 def grid_pairs(points: DataFrame, radius: float, key: str = "point_id") -> DataFrame:
-    """Pairs ``(id_a < id_b)`` within ``radius``, with their distance.
+    """Pairs ``(id_a < id_b)`` within ``radius``, with their distance.  A point without coordinates has no pair.
 
-    Each point keys its own cell on one side and the nine cells around it on
-    the other, so only neighbours meet.  A point without coordinates has no
-    pair.
+    The result has every pair; where only groups or the nearest are wanted,
+    ``clusters`` and ``nearest_neighbours`` don't make them.
     """
-    pts = points.where("northing is not null and easting is not null")
-    cell = lambda c, d=0: (F.floor(F.col(c) / radius) + d).cast("long")
-    a = pts.select(F.col(key).alias("id_a"), F.col("northing").alias("na"), F.col("easting").alias("ea"), F.col("elevation").alias("za"), cell("northing").alias("cn"), cell("easting").alias("ce"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = pts.select(F.col(key).alias("id_b"), F.col("northing").alias("nb"), F.col("easting").alias("eb"), F.col("elevation").alias("zb"), cell("northing").alias("cn0"), cell("easting").alias("ce0"), around.alias("s"))
-    b = b.select("id_b", "nb", "eb", "zb", (F.col("cn0") + F.col("s.i")).alias("cn"), (F.col("ce0") + F.col("s.j")).alias("ce"))
-    distance = F.sqrt((F.col("na") - F.col("nb")) ** 2 + (F.col("ea") - F.col("eb")) ** 2)
-    return a.join(b, ["cn", "ce"]).where("id_a < id_b").withColumn("distance", distance).where(F.col("distance") <= radius).select("id_a", "id_b", "distance", (F.col("zb") - F.col("za")).alias("dz"))
+    pairs = _near(_placed(points, key, "a"), _placed(points, key, "b"), radius).where("id_a < id_b")
+    return pairs.select("id_a", "id_b", "distance", (F.col("zb") - F.col("za")).alias("dz"))
+
+
+def clusters(points: DataFrame, radius: float, key: str = "point_id") -> DataFrame:
+    """``(node, component)`` for points that others are within ``radius`` of: the smallest id that can be reached by such steps.
+
+    Points of equal coordinates are one place.  Places in one cell that is
+    small enough (its diagonal is ``radius``) are all linked, so each is tied
+    to the cell's first place; only pairs of places in different cells are
+    compared.
+    """
+    rows = points.where("northing is not null and easting is not null")
+    places = rows.groupBy(F.col("northing").cast("double").alias("n"), F.col("easting").cast("double").alias("e")).agg(F.min(key).alias("id"))
+    small = radius / 2**0.5 * (1 - 1e-12)
+    places = places.withColumn("own", key_of(F.floor(F.col("n") / small), F.floor(F.col("e") / small)))
+    heads = places.groupBy("own").agg(F.min("id").alias("head"))
+    inside = places.join(heads, "own").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    side = lambda tag: places.select(F.col("id").alias(f"id_{tag}"), F.col("n").alias(f"n{tag}"), F.col("e").alias(f"e{tag}"), F.col("own").alias(f"own_{tag}"))
+    across = _near(side("a"), side("b"), radius).where("own_a != own_b and id_a < id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    same = rows.join(places, (rows["northing"] == places["n"]) & (rows["easting"] == places["e"])).select(rows[key].alias("a"), F.col("id").alias("b"))
+    return connected_components(inside.unionByName(across).unionByName(same))
 
 
 def neighbours(points: DataFrame, radius: float, key: str = "point_id") -> DataFrame:
@@ -93,9 +122,16 @@ def neighbours(points: DataFrame, radius: float, key: str = "point_id") -> DataF
 
 
 def nearest_neighbours(points: DataFrame, radius: float, k: int = 6, key: str = "point_id") -> DataFrame:
-    """The ``k`` nearest neighbours within ``radius`` of each point, nearest first; ties by id."""
+    """The ``k`` nearest neighbours within ``radius`` of each point, nearest first; ties by id.
+
+    Of points at one place only the first ``k + 1`` by id can be among
+    anyone's nearest, so only those are put up as neighbours.
+    """
+    placed = _placed(points, key, "b").withColumn("at_place", F.row_number().over(Window.partitionBy("nb", "eb").orderBy("id_b"))).where(F.col("at_place") <= k + 1).drop("at_place")
+    near = _near(_placed(points, key, "a"), placed, radius).where("id_a != id_b")
     w = Window.partitionBy("point").orderBy("distance", "neighbour")
-    return neighbours(points, radius, key).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("point", "place", "neighbour", "distance")
+    ranked = near.select(F.col("id_a").alias("point"), F.col("id_b").alias("neighbour"), "distance").withColumn("place", F.row_number().over(w))
+    return ranked.where(F.col("place") <= k).select("point", "place", "neighbour", "distance")
 
 
 def rod_busts(points: DataFrame, radius: float, increments: tuple[float, ...] = (0.5, 1.0, 2.0), tolerance: float = 0.08, least: float = 0.45, slope_percent: float = 8.0, key: str = "point_id") -> DataFrame:
@@ -132,18 +168,16 @@ def station_offset(points: DataFrame, segments: DataFrame, limit: float) -> Data
     """Station and offset (LEFT positive) of each point on its nearest segment within ``limit``; ties go to the first segment.
 
     Segments have ``seq``, ``n1, e1, n2, e2`` and ``station``.  They are put
-    in every cell of size ``limit`` that their box, widened by ``limit``,
-    touches; a point looks only in its own cell.
+    in the cells that they pass within ``limit``; a point looks only in its
+    own cell.
     """
-    low = lambda c1, c2: F.floor((F.least(c1, c2) - limit) / limit).cast("long")
-    high = lambda c1, c2: F.floor((F.greatest(c1, c2) + limit) / limit).cast("long")
-    seg = segments.withColumn("cn", F.explode(F.sequence(low("n1", "n2"), high("n1", "n2")))).withColumn("ce", F.explode(F.sequence(low("e1", "e2"), high("e1", "e2"))))
-    pts = points.select("point_id", "northing", "easting", F.floor(F.col("northing") / limit).cast("long").alias("cn"), F.floor(F.col("easting") / limit).cast("long").alias("ce"))
+    seg = segment_cells(segments, limit, limit)
+    pts = points.select("point_id", "northing", "easting", cell_key(F.col("northing"), F.col("easting"), limit).alias("cell"))
     dn, de = F.col("n2") - F.col("n1"), F.col("e2") - F.col("e1")
     length2 = dn * dn + de * de
     pn, pe = F.col("northing") - F.col("n1"), F.col("easting") - F.col("e1")
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (pn * dn + pe * de) / length2))
-    rows = pts.join(seg.where(length2 > 0), ["cn", "ce"]).withColumn("t", t)
+    rows = pts.join(seg.where(length2 > 0), "cell").withColumn("t", t)
     off_n, off_e = pn - F.col("t") * dn, pe - F.col("t") * de
     rows = rows.withColumns({"distance": F.sqrt(off_n * off_n + off_e * off_e), "side": F.signum(dn * pe - de * pn), "along": F.col("station") + F.col("t") * F.sqrt(length2)}).where(F.col("distance") <= limit)
     best = rows.groupBy("point_id").agg(F.min_by(F.struct("seq", "along", (-F.col("side") * F.col("distance")).alias("offset")), F.struct(F.round("distance", 9), F.col("seq"))).alias("m"))
@@ -158,12 +192,11 @@ def duplicate_segments(segments: DataFrame) -> DataFrame:
 
 
 def crossings(segments: DataFrame, cell: float) -> DataFrame:
-    """Pairs of segments that cross properly (not at an end), by grid cells of their boxes; each pair once."""
-    span = lambda c1, c2: F.sequence(F.floor(F.least(c1, c2) / cell).cast("long"), F.floor(F.greatest(c1, c2) / cell).cast("long"))
-    boxed = segments.withColumn("cn", F.explode(span("n1", "n2"))).withColumn("ce", F.explode(span("e1", "e2")))
-    side = lambda s: boxed.select("cn", "ce", *[F.col(c).alias(f"{c}_{s}") for c in ("seq", "n1", "e1", "n2", "e2")])
+    """Pairs of segments that cross properly (not at an end), by the grid cells that they pass; each pair once."""
+    boxed = segment_cells(segments, cell, cell * 1e-9)
+    side = lambda s: boxed.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("seq", "n1", "e1", "n2", "e2")])
     turn = lambda an, ae, bn, be, cn, ce: (F.col(be) - F.col(ae)) * (F.col(cn) - F.col(an)) - (F.col(bn) - F.col(an)) * (F.col(ce) - F.col(ae))
     d1, d2 = turn("n1_a", "e1_a", "n2_a", "e2_a", "n1_b", "e1_b"), turn("n1_a", "e1_a", "n2_a", "e2_a", "n2_b", "e2_b")
     d3, d4 = turn("n1_b", "e1_b", "n2_b", "e2_b", "n1_a", "e1_a"), turn("n1_b", "e1_b", "n2_b", "e2_b", "n2_a", "e2_a")
-    pairs = side("a").join(side("b"), ["cn", "ce"]).where("seq_a < seq_b").where((d1 * d2 < 0) & (d3 * d4 < 0))
+    pairs = side("a").join(side("b"), "cell").where("seq_a < seq_b").where((d1 * d2 < 0) & (d3 * d4 < 0))
     return pairs.select("seq_a", "seq_b").distinct()

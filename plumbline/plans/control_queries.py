@@ -102,19 +102,24 @@ def g2(spark, sf):
     return control.ranked_triplets(shots(spark, sf), htol=0.15, vtol=0.15).where("rank <= 10").select("control_id", "rank", "id_a", "id_b", "id_c", "max_h", "passes")
 
 
+_SHOTS_READ = """user_id AS control_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 200 + event_id * 7 % 600 END AS epoch_count, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 100 + value * 10 END AS duration_seconds,
+    CASE WHEN event_id % 41 = 0 THEN NULL ELSE 4 + event_id % 12 END AS satellite_count, value / 20 AS pdop"""
+
+
 @query(
     "e7_field_checks",
-    """WITH o AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id * 7 % 600 END AS epoch_count, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value * 10 END AS duration_seconds,
-        CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 12 END AS satellite_count, value / 20 AS pdop FROM events),
-    c AS (SELECT event_id, epoch_count >= 300 OR duration_seconds >= 300 AS a, satellite_count >= 5 AS b, pdop <= 3 AS c FROM o)
-    SELECT event_id, CASE WHEN coalesce(NOT a, false) OR coalesce(NOT b, false) OR coalesce(NOT c, false) THEN 'FAIL' WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN 'PASS' ELSE 'UNVERIFIED' END AS field_status FROM c""",
+    f"""WITH o AS (SELECT {_SHOTS_READ}, CASE WHEN event_id % 31 = 0 THEN NULL ELSE ts END AS seen FROM events),
+    c AS (SELECT *, CASE WHEN epoch_count IS NOT NULL OR duration_seconds IS NOT NULL THEN coalesce(epoch_count >= 300, false) OR coalesce(duration_seconds >= 300, false) END AS a, satellite_count >= 5 AS b, epoch(date_trunc('second', seen)) AS s FROM o),
+    g AS (SELECT *, s - lag(s) OVER (PARTITION BY control_id ORDER BY s) AS step FROM c),
+    t AS (SELECT control_id, count(*) AS shots, sum(CASE WHEN NOT a THEN 1 ELSE 0 END + CASE WHEN NOT b THEN 1 ELSE 0 END) AS f, sum(CASE WHEN a IS NULL THEN 1 ELSE 0 END + CASE WHEN b IS NULL THEN 1 ELSE 0 END) AS m, count(s) AS timed, min(step) AS step FROM g GROUP BY 1),
+    v AS (SELECT *, shots = timed AND shots >= 2 AS verified FROM t), w AS (SELECT *, CASE WHEN verified THEN step / 60 END AS gap FROM v), x AS (SELECT *, f + CASE WHEN gap + 1e-9 < 60 THEN 1 ELSE 0 END AS failures, m + shots - timed AS missing FROM w)
+    SELECT control_id, shots, CAST(failures AS BIGINT) AS failures, CAST(missing AS BIGINT) AS missing, {r('CAST(gap AS DOUBLE)')} AS least_gap_minutes, CASE WHEN failures > 0 THEN 'FAIL' WHEN missing = 0 AND verified THEN 'PASS' ELSE 'UNVERIFIED' END AS field_status FROM x""",
 )
 def e7(spark, sf):
-    rows = spark.read.parquet(f"{sf}/events.parquet").selectExpr(
-        "event_id", "CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id * 7 % 600 END AS epoch_count", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE value * 10 END AS duration_seconds",
-        "CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 12 END AS satellite_count", "value / 20 AS pdop",
-    )
-    return control.field_checks(rows).select("event_id", "field_status")
+    from plumbline.plans.quality_queries import _split
+
+    observed = "CASE WHEN event_id % 31 = 0 THEN NULL ELSE date_format(ts, 'yyyy-MM-dd HH:mm:ss') END AS observed"
+    return control.field_checks(spark.read.parquet(f"{sf}/events.parquet").selectExpr(*_split(_SHOTS_READ), observed))
 
 
 @query("flagship_control_qc", _solution_sql(_WEIGHTED))

@@ -47,7 +47,7 @@ def h3(spark, sf):
 @query(
     "d4_point_diff",
     f"""SELECT coalesce(a.point_id, b.point_id) AS point_id, CASE WHEN a.point_id IS NULL THEN 'added' WHEN b.point_id IS NULL THEN 'removed'
-        WHEN abs(b.northing - a.northing) > 0.01 OR abs(b.easting - a.easting) > 0.01 OR a.description IS DISTINCT FROM b.description THEN 'changed' ELSE 'unchanged' END AS status,
+        WHEN abs(b.northing - a.northing) > 0.001 OR abs(b.easting - a.easting) > 0.001 OR coalesce(a.description, '') <> coalesce(b.description, '') THEN 'changed' ELSE 'unchanged' END AS status,
         {r('b.northing - a.northing')} AS d_northing, {r('b.easting - a.easting')} AS d_easting, {r('b.elevation - a.elevation')} AS d_elevation FROM {_BASE} a FULL JOIN {_NEW} b ON a.point_id = b.point_id""",
 )
 def d4(spark, sf):
@@ -139,17 +139,22 @@ def e19_bounded(spark, sf):
     return keyed.gaps(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'"), "o_orderkey", 20000, 100, 5)
 
 
-_SPARSE = "o_orderpriority = '1-URGENT' AND o_orderkey % 1500 < 900"
+_NUMBERS = "o_custkey * 300 + o_orderkey % 90"
+_SAFEST = "Safest option: starts a new 1000-point series above every PointID currently in the file, preventing overlap with existing numbers."
 
 
 @query(
     "e20_crew_ranges",
-    f"""WITH g AS ({_gap_sql(f'SELECT DISTINCT o_orderkey AS x FROM orders WHERE {_SPARSE}', 100)})
-    SELECT first_id, last_id, n_ids, CASE WHEN n_ids >= 500 THEN 'Large gap' WHEN n_ids >= 250 THEN 'Recommended' ELSE 'Usable' END AS priority FROM g
-    UNION ALL SELECT (max(o_orderkey) // 1000 + 1) * 1000, NULL, NULL, 'Open block' FROM orders WHERE {_SPARSE}""",
+    f"""WITH g AS ({_gap_sql(f'SELECT DISTINCT {_NUMBERS} AS x FROM orders', 100)})
+    SELECT first_id, last_id, n_ids, CASE WHEN n_ids >= 500 THEN 'Large gap' WHEN n_ids >= 250 THEN 'Recommended' ELSE 'Usable' END AS priority,
+        CASE WHEN first_id // 1000 = last_id // 1000 AND last_id % 1000 = 999 THEN 'Clean open sequence through the end of the ' || (first_id // 1000 * 1000) || '-series block.'
+            WHEN (last_id + 1) % 1000 = 0 THEN 'Open gap immediately before the ' || ((last_id + 1) // 1000 * 1000) || '-series sequence begins.'
+            WHEN first_id // 1000 = last_id // 1000 THEN 'Open block between existing ' || (first_id // 1000 * 1000) || '-series points; the next occupied point is ' || (last_id + 1) || '.'
+            ELSE 'Open block between occupied points ' || (first_id - 1) || ' and ' || (last_id + 1) || '.' END AS notes FROM g
+    UNION ALL SELECT (max({_NUMBERS}) // 1000 + 1) * 1000, NULL, NULL, 'Safest', '{_SAFEST}' FROM orders""",
 )
 def e20(spark, sf):
-    return keyed.crew_ranges(table(spark, sf, "orders").where(_SPARSE), "o_orderkey")
+    return keyed.crew_ranges(table(spark, sf, "orders").selectExpr(f"{_NUMBERS} AS id"), "id")
 
 
 @query(

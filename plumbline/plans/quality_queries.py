@@ -9,26 +9,41 @@ from plumbline.operators import evidence, quality
 from plumbline.plans.bindings import FOOT, FOOT_SQL, PLACES, places, query, r, table
 
 
+_FAR = "northing * CASE WHEN point_id % 97 = 3 THEN 1000 ELSE 1 END"
+
+
 @query(
     "e12_mad_outliers",
-    """WITH v AS (SELECT event_id, value * CASE WHEN event_id % 997 = 3 THEN 1000 ELSE 1 END AS value FROM events), c AS (SELECT median(value) AS c FROM v), d AS (SELECT event_id, value, abs(value - c) AS distance FROM v, c),
-    m AS (SELECT median(distance) AS m FROM d), s AS (SELECT median(abs(distance - m)) AS mad FROM d, m) SELECT event_id, round(value, 4) + 0.0 AS value, round(distance, 4) + 0.0 AS distance FROM d, m, s WHERE distance > CASE WHEN mad > 1e-9 THEN m + 12 * mad ELSE greatest(20 * m, 1000) END""",
+    f"""WITH p AS (SELECT point_id, {_FAR} AS northing, easting FROM {PLACES}), c AS (SELECT median(northing) AS n, median(easting) AS e, count(*) AS k FROM p), d AS (SELECT point_id, sqrt((northing - n) ** 2 + (easting - e) ** 2) AS distance, k FROM p, c),
+    m AS (SELECT median(distance) AS m, median(distance) FILTER (distance > 0) AS t FROM d), s AS (SELECT median(abs(distance - m)) AS mad FROM d, m)
+    SELECT point_id, {r('distance')} AS distance FROM d, m, s WHERE k >= 8 AND distance > CASE WHEN mad > 1e-9 THEN m + 12 * mad ELSE greatest(20 * t, 1000) END""",
 )
 def e12(spark, sf):
-    return quality.mad_outliers(table(spark, sf, "events").selectExpr("event_id", "value * CASE WHEN event_id % 997 = 3 THEN 1000 ELSE 1 END AS value"), "value", "event_id")
+    return quality.mad_outliers(places(spark, sf).selectExpr("point_id", f"{_FAR} AS northing", "easting"))
 
 
-_ODD = f"(SELECT point_id, CASE WHEN point_id % 9 = 1 THEN NULL ELSE northing * CASE WHEN point_id % 101 = 7 THEN 100000 ELSE 1 END END AS northing, easting FROM {PLACES})"
+_ODD = "CASE WHEN point_id % 9 = 1 THEN CAST('nan' AS DOUBLE) WHEN point_id % 10 = 1 THEN NULL ELSE northing * CASE WHEN point_id % 101 = 7 THEN 100000 ELSE 1 END END AS northing, easting, CASE WHEN label < 5 THEN 'EPSG:32617' ELSE ' ' END AS crs, CASE WHEN label = 3 THEN 'meters' WHEN label > 3 THEN 'us_survey_feet' END AS horizontal_units"
 
 
 @query(
     "e11_sanity",
-    f"""WITH p AS (SELECT * FROM {_ODD}), c AS (SELECT count(*) AS n_rows, count(northing) AS n_finite, median(northing) AS mn, median(CASE WHEN northing IS NOT NULL THEN easting END) AS me FROM p), d AS (SELECT sqrt((northing - mn) ** 2 + (easting - me) ** 2) AS d FROM p, c WHERE northing IS NOT NULL),
-    m AS (SELECT median(d) AS m FROM d WHERE d > 0) SELECT n_rows, n_finite, {r('mn')} AS median_n, {r('me')} AS median_e, (SELECT count(*) FROM d, m WHERE d > greatest(100 * m, 1)) AS n_outliers FROM c""",
+    f"""WITH p AS (SELECT *, northing IS NOT NULL AND NOT isnan(northing) AS ok FROM (SELECT {_ODD} FROM {PLACES})), q AS (SELECT * FROM p WHERE northing IS NOT NULL AND easting IS NOT NULL),
+    c AS (SELECT count(*) AS n_rows, count(*) FILTER (ok) AS n_valid, count(*) FILTER (ok AND abs(northing) <= 90 AND abs(easting) <= 180) AS ll, count(*) FILTER (ok AND abs(northing) <= 180 AND abs(easting) <= 90) AS sw,
+        count(DISTINCT nullif(trim(crs), '')) AS crss, count(DISTINCT horizontal_units) AS units, median(northing) FILTER (ok) AS mn, median(easting) FILTER (ok) AS me, median(sqrt(northing ** 2 + easting ** 2)) FILTER (ok) AS mm FROM q),
+    d AS (SELECT sqrt((northing - mn) ** 2 + (easting - me) ** 2) AS d FROM q, c WHERE ok), m AS (SELECT median(d) FILTER (d > 0) AS m, count(*) FILTER (d > 0) AS k FROM d), o AS (SELECT count(*) FILTER (k >= 5 AND d > greatest(100 * m, 1)) AS n_outliers FROM d, m),
+    f AS (SELECT *, array_to_string(list_filter([CASE WHEN n_valid < n_rows THEN 'INVALID_COORDINATE_ROWS' END, CASE WHEN ll / n_valid >= 0.8 THEN 'LATLON_IN_PROJECTED_PROJECT' END, CASE WHEN sw / n_valid >= 0.8 AND ll / n_valid < 0.5 THEN 'POSSIBLE_NORTHING_EASTING_SWAP' END,
+        CASE WHEN mm > 0 AND mm < 10000 THEN 'SMALL_COORDINATE_MAGNITUDE' END, CASE WHEN n_outliers > 0 THEN 'REMOTE_COORDINATE_OUTLIER' END, CASE WHEN crss > 1 THEN 'MIXED_POINT_CRS' END, CASE WHEN units > 1 THEN 'MIXED_POINT_UNITS' END], lambda x: x IS NOT NULL), ',') AS flags FROM c, o)
+    SELECT CASE WHEN flags <> '' THEN 'WARN' ELSE 'PASS' END AS status, flags, n_rows, n_valid, {r('mn')} AS median_n, {r('me')} AS median_e, {r('mm')} AS median_magnitude, n_outliers FROM f""",
 )
 def e11(spark, sf):
-    rows = places(spark, sf).selectExpr("point_id", "CASE WHEN point_id % 9 = 1 THEN NULL ELSE northing * CASE WHEN point_id % 101 = 7 THEN 100000 ELSE 1 END END AS northing", "easting")
-    return quality.coordinate_sanity(rows)
+    return quality.coordinate_sanity(places(spark, sf).selectExpr(*_split(_ODD)), "EPSG:32617", "us_survey_feet")
+
+
+def _split(columns: str) -> list[str]:
+    """Expressions of a select list without commas inside them but in calls."""
+    import re
+
+    return [c.strip() for c in re.split(r",(?![^(]*\))", columns)]
 
 
 @query(
@@ -73,14 +88,19 @@ def c10(spark, sf):
     return quality.union_issues(("customer", "ERROR", a), ("supplier", "WARN", b), ("part", "INFO", c)).groupBy("source", "severity", "severity_rank").count().withColumnRenamed("count", "n")
 
 
+_REVIEWS = """CAST(user_id % 10 AS VARCHAR(9)) AS run_id, CASE WHEN user_id % 50 <> 7 THEN user_id END AS candidate_id, CASE WHEN event_type IN ('click', 'view') THEN 'confirmed_bust' WHEN event_type = 'error' THEN 'needs_review' ELSE 'not_bust' END AS decision,
+    value / 2000 AS scatter, CASE event_id % 4 WHEN 0 THEN 'meters' WHEN 1 THEN 'us_survey_feet' WHEN 2 THEN 'international_feet' END AS vertical_units, event_id AS seq"""
+
+
 @query(
     "e23_calibration",
-    f"""WITH r AS (SELECT user_id % 10 AS run_id, user_id AS candidate_id, CASE WHEN event_type IN ('click', 'view') THEN 'ACCEPT' ELSE 'REJECT' END AS decision, value / 500 AS scatter, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
-    SELECT count(*) AS reviewed, count(*) FILTER (decision = 'ACCEPT') AS accepted, {r("least(0.25, greatest(0.05, 2 * median(CASE WHEN decision = 'ACCEPT' THEN scatter END)))")} AS scatter_limit FROM r WHERE k = 1""",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY run_id, candidate_id ORDER BY seq DESC) AS k FROM (SELECT {_REVIEWS} FROM events) WHERE candidate_id IS NOT NULL),
+    f AS (SELECT decision, scatter / CASE vertical_units WHEN 'meters' THEN CAST(0.3048 AS DOUBLE) WHEN 'us_survey_feet' THEN CAST(0.999998 AS DOUBLE) WHEN 'international_feet' THEN 1 END AS feet FROM r WHERE k = 1), m AS (SELECT median(feet) AS m FROM f WHERE decision = 'confirmed_bust')
+    SELECT count(*) AS reviews, count(*) FILTER (decision = 'confirmed_bust') AS confirmed, count(*) FILTER (decision = 'not_bust') AS not_bust, count(*) FILTER (decision = 'needs_review') AS needs_review,
+        count(*) FILTER (decision = 'confirmed_bust' AND feet IS NULL) AS excluded, {r('any_value(m)')} AS median_scatter_ft, {r('least(0.25, greatest(0.05, 2 * any_value(m)))', 3)} AS suggested_ft FROM f, m""",
 )
 def e23(spark, sf):
-    rows = table(spark, sf, "events").selectExpr("user_id % 10 AS run_id", "user_id AS candidate_id", "CASE WHEN event_type IN ('click', 'view') THEN 'ACCEPT' ELSE 'REJECT' END AS decision", "value / 500 AS scatter", "event_id AS seq")
-    return quality.calibration(rows)
+    return quality.calibration(table(spark, sf, "events").selectExpr(*_split(_REVIEWS)))
 
 
 @query("e24_role_counts", "SELECT event_type AS role, count(*) AS n FROM events GROUP BY 1")
@@ -139,34 +159,44 @@ def g4(spark, sf):
     return table(spark, sf, "orders").where("o_orderstatus = 'F'").orderBy("o_orderkey").offset(100).limit(50).select("o_orderkey")
 
 
-_EVIDENCE = """(SELECT user_id AS point_id, event_id AS seq, CASE WHEN event_type = 'error' THEN 'GUESS' ELSE 'PRINTED' END AS basis, (event_id % 100) / CAST(100 AS DOUBLE) AS id_confidence, (event_id * 7 % 100) / CAST(100 AS DOUBLE) AS value_confidence,
-    CASE WHEN user_id % 3 = 0 OR value < 60 THEN 'YES' ELSE 'NO' END AS class, event_id % 50 <> 0 AS agrees, CASE WHEN event_id % 40 = 0 THEN 'HOLD' ELSE '' END AS decision FROM events)"""
+_SIGNS = """user_id AS point_id, CASE event_id % 5 WHEN 0 THEN 'AMBIGUOUS' WHEN 1 THEN 'EXPLICIT_NO' WHEN 2 THEN 'EXPLICIT_CNA' WHEN 3 THEN 'EXPLICIT_YES' ELSE 'MEASUREMENT' END AS basis,
+    CASE WHEN event_id % 90 = 0 THEN NULL ELSE (event_id % 100) / CAST(100 AS DOUBLE) END AS id_confidence, (event_id * 7 % 100) / CAST(100 AS DOUBLE) AS value_confidence,
+    CASE WHEN user_id % 3 = 0 THEN 'CNA' WHEN value < 60 THEN 'YES' ELSE 'NO' END AS class, CASE WHEN event_id % 7 <> 0 THEN event_id % 50 <> 0 END AS agrees, CASE WHEN event_id % 40 = 0 THEN 'HOLD' WHEN event_id % 3 = 0 THEN 'AUTO_ACCEPT' END AS decision"""
+_EVIDENCE = f"(SELECT {_SIGNS} FROM events)"
 
 
 def _evidence(spark, sf):
-    return table(spark, sf, "events").selectExpr(
-        "user_id AS point_id", "event_id AS seq", "CASE WHEN event_type = 'error' THEN 'GUESS' ELSE 'PRINTED' END AS basis", "(event_id % 100) / 100.0D AS id_confidence", "(event_id * 7 % 100) / 100.0D AS value_confidence",
-        "CASE WHEN user_id % 3 = 0 OR value < 60 THEN 'YES' ELSE 'NO' END AS class", "event_id % 50 <> 0 AS agrees", "CASE WHEN event_id % 40 = 0 THEN 'HOLD' ELSE '' END AS decision",
-    )
+    return table(spark, sf, "events").selectExpr(*_split(_SIGNS))
 
 
-_VOTE = f"""WITH d AS (SELECT *, basis IN ('HANDWRITTEN', 'PRINTED') AND least(id_confidence, value_confidence) >= 0.85 AS ok FROM {_EVIDENCE}), v AS (SELECT point_id, count(*) FILTER (ok) AS decisive, min(CASE WHEN ok THEN class END) AS lo, max(CASE WHEN ok THEN class END) AS hi,
-    count(*) AS n, bool_or(NOT agrees OR decision NOT IN ('', 'AUTO_ACCEPT')) AS doubt FROM d GROUP BY 1)"""
+_VOTE = f"""WITH e AS (SELECT *, least(coalesce(id_confidence, 0), coalesce(value_confidence, 0)) AS effective FROM {_EVIDENCE}),
+    d AS (SELECT *, effective >= 0.85 AND CASE class WHEN 'YES' THEN basis IN ('MEASUREMENT', 'EXPLICIT_YES') ELSE basis = 'EXPLICIT_' || class END AS ok FROM e),
+    v AS (SELECT point_id, count(*) FILTER (ok) AS decisive, min(CASE WHEN ok THEN class END) AS lo, max(CASE WHEN ok THEN class END) AS hi, max(effective) FILTER (ok) AS best, max(effective) AS any_best, count(*) AS n, max(id_confidence) AS id_best,
+        bool_or(coalesce(NOT agrees, false) OR coalesce(decision, '') NOT IN ('', 'AUTO_ACCEPT')) AS doubt FROM d GROUP BY 1)"""
 
 
-@query("e17_vote", _VOTE + " SELECT point_id, decisive, CASE WHEN lo = hi THEN lo ELSE 'REVIEW' END AS status FROM v")
+@query("e17_vote", _VOTE + f" SELECT point_id, decisive, CASE WHEN lo = hi THEN lo ELSE 'REVIEW' END AS status, {r('CASE WHEN lo = hi THEN best ELSE any_best END')} AS confidence FROM v")
 def e17(spark, sf):
     return evidence.status_vote(_evidence(spark, sf))
 
 
-@query(
-    "d5_aggregate_results",
-    _VOTE + ", p AS (SELECT c_custkey AS point_id FROM customer), s AS (SELECT p.point_id, coalesce(n, 0) AS n_evidence, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN lo = hi THEN lo ELSE 'REVIEW' END AS status, coalesce(doubt, false) AS doubt FROM p LEFT JOIN v USING (point_id)) SELECT point_id, n_evidence, status, status = 'REVIEW' OR doubt AS review FROM s",
+_RESULTS = (
+    _VOTE
+    + f""", p AS (SELECT c_custkey AS point_id FROM customer), s AS (SELECT p.point_id, n, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN lo = hi THEN lo ELSE 'REVIEW' END AS dip, CASE WHEN lo = hi THEN best ELSE any_best END AS dip_confidence, id_best, coalesce(doubt, false) AS doubt FROM p LEFT JOIN v USING (point_id))
+    SELECT point_id, coalesce(n, 0) AS n_evidence, STATUS AS status, dip AS dip_status, {r('coalesce(CONFIDENCE, 0)')} AS confidence, n IS NOT NULL AND (dip = 'REVIEW' OR doubt) AS review FROM s"""
 )
+
+
+@query("d5_aggregate_results", _RESULTS.replace("STATUS AS", "CASE WHEN n IS NULL THEN 'NO' ELSE 'YES' END AS").replace("CONFIDENCE,", "id_best,"))
 def d5(spark, sf):
     return evidence.aggregate_results(table(spark, sf, "customer").selectExpr("c_custkey AS point_id"), _evidence(spark, sf))
 
 
+@query("d5_confirmed_dips", _RESULTS.replace("STATUS AS", "dip AS").replace("CONFIDENCE,", "dip_confidence,"))
+def d5_confirmed(spark, sf):
+    return evidence.aggregate_results(table(spark, sf, "customer").selectExpr("c_custkey AS point_id"), _evidence(spark, sf), rule="CONFIRMED_DIP")
+
+
 @query(
     "e16_pipe_multiset",
     """WITH i AS (SELECT user_id AS point_id, event_id % 4 AS record, event_type AS pipe, event_id AS seq FROM events), c AS (SELECT point_id, pipe, record, row_number() OVER (PARTITION BY point_id, record, pipe ORDER BY seq) AS copy FROM i)
@@ -177,33 +207,47 @@ def e16(spark, sf):
     return evidence.multiset_union(rows, "point_id", "record", "pipe")
 
 
+_READ = """event_id, event_id % 4 <> 0 AS exact_ocr, event_id % 3 <> 0 AS in_survey, event_id % 5 <> 0 AS has_model, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS agrees, (event_id % 130 - 10) / CAST(100 AS DOUBLE) AS value_confidence,
+    CASE WHEN event_id % 11 = 0 THEN 'AMBIGUOUS' ELSE 'MEASUREMENT' END AS basis, CASE event_id % 6 WHEN 0 THEN 'level_loop' WHEN 1 THEN 'index' ELSE 'utility' END AS page_type"""
+
+
 @query(
     "e28_assess",
-    f"""WITH c AS (SELECT event_id, greatest(0, least(1, CASE WHEN event_id % 4 <> 0 THEN 0.42 ELSE 0 END + CASE WHEN event_id % 3 <> 0 THEN 0.28 ELSE 0 END + CASE WHEN event_id % 5 <> 0 THEN 0.18 ELSE 0 END + CASE WHEN event_id % 7 <> 0 THEN 0.12 ELSE 0 END - CASE WHEN event_id % 6 = 0 THEN 0.3 ELSE 0 END)) AS s FROM events)
-    SELECT event_id, {r('CAST(s AS DOUBLE)')} AS score, CASE WHEN s >= 0.88 THEN 'AUTO_ACCEPT' WHEN s >= 0.58 THEN 'REVIEW' ELSE 'REJECT' END AS decision FROM c""",
+    f"""WITH c AS (SELECT *, basis = 'AMBIGUOUS' AS vague, page_type IN ('level_loop', 'control', 'index') AS context, coalesce(NOT agrees, false) AS off FROM (SELECT {_READ} FROM events)),
+    s AS (SELECT *, round(greatest(0, least(1, CASE WHEN exact_ocr THEN 0.42 ELSE 0 END + CASE WHEN in_survey THEN 0.18 ELSE 0 END + CASE WHEN has_model THEN 0.12 ELSE 0 END + CASE WHEN agrees THEN 0.14 WHEN off THEN -0.24 ELSE 0 END
+        + 0.08 * greatest(0, least(1, value_confidence)) + CASE WHEN vague THEN 0 ELSE 0.04 END - CASE WHEN context THEN 0.05 ELSE 0 END)), 3) AS score FROM c)
+    SELECT event_id, {r('score')} AS score, CASE WHEN exact_ocr AND score >= 0.88 AND NOT off AND NOT vague THEN 'AUTO_ACCEPT' WHEN exact_ocr AND score >= 0.58 THEN 'REVIEW_DETAILS' ELSE 'MANUAL_REVIEW' END AS decision,
+        array_to_string(list_filter([CASE WHEN NOT exact_ocr THEN 'NO_INDEPENDENT_EXACT_POINTID' END, CASE WHEN NOT in_survey THEN 'POINTID_NOT_IN_SURVEY' END, CASE WHEN off THEN 'MODEL_DISAGREEMENT' END, CASE WHEN vague THEN 'AMBIGUOUS_SEMANTICS' END,
+            CASE WHEN context THEN 'NON_STRUCTURE_PAGE_CONTEXT' END], lambda x: x IS NOT NULL), ',') AS flags FROM s""",
 )
 def e28(spark, sf):
-    rows = table(spark, sf, "events").selectExpr("event_id", "event_id % 4 <> 0 AS id_read", "event_id % 3 <> 0 AS in_survey", "event_id % 5 <> 0 AS context", "event_id % 7 <> 0 AS agrees", "event_id % 6 = 0 AS contradicts")
-    scored = evidence.assess(rows)
-    return scored.select("event_id", "score", "decision")
+    return evidence.assess(table(spark, sf, "events").selectExpr(*_split(_READ))).select("event_id", "score", "decision", "flags")
+
+
+_JUDGED = """event_id AS point_id, event_id % 2 = 0 AS exact_ocr, event_id % 3 <> 0 AS has_evidence, event_id % 4 AS n_agree, CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS n_disagree, CASE event_id % 5 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' WHEN 2 THEN 'CNA' ELSE 'NOT_FOUND' END AS dip_status,
+    CASE WHEN event_id % 8 = 0 THEN 'YES' ELSE 'NOT_FOUND' END AS status, event_id % 6 <> 0 AS has_dip, CASE WHEN event_id % 10 < 5 THEN 'EXPLICIT_NO' ELSE 'EXPLICIT_CNA' END AS basis, event_id % 7 = 0 AS has_diameter, event_id % 11 = 0 AS has_azimuth,
+    CASE WHEN event_id % 13 > 4 THEN 'SSMH' ELSE '' END AS code, event_id % 17 = 0 AS confirmed, event_id % 12 = 5 AS review"""
 
 
 @query(
     "e18_confidence",
-    """WITH c AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 40 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 25 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN 20 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 15 ELSE 0 END - CASE WHEN event_id % 11 = 0 THEN 35 ELSE 0 END AS raw FROM events)
-    SELECT event_id AS point_id, CAST(greatest(0, least(100, least(CASE WHEN event_id % 11 = 0 THEN 60 ELSE 100 END, greatest(CASE WHEN event_id % 13 = 0 THEN 90 ELSE 0 END, raw)))) AS BIGINT) AS confidence FROM c""",
+    f"""WITH o AS (SELECT *, CASE WHEN dip_status <> 'NOT_FOUND' OR status = 'NOT_FOUND' THEN dip_status ELSE status END AS outcome FROM (SELECT {_JUDGED} FROM events)),
+    s AS (SELECT *, CASE WHEN exact_ocr THEN 30 WHEN has_evidence THEN 18 ELSE 0 END + CASE WHEN n_disagree > 0 THEN -25 WHEN n_agree > 0 THEN 25 ELSE 0 END + CASE WHEN (outcome = 'YES' AND has_dip) OR (outcome IN ('NO', 'CNA', 'CNL') AND basis = 'EXPLICIT_' || outcome) THEN 15 ELSE 0 END
+        + CASE WHEN has_diameter THEN 10 ELSE 0 END + CASE WHEN has_azimuth THEN 10 ELSE 0 END + CASE WHEN code <> '' THEN 10 ELSE 0 END AS raw FROM o),
+    f AS (SELECT *, CASE WHEN confirmed THEN greatest(raw, 95) ELSE raw END AS a FROM s), g AS (SELECT *, CASE WHEN review THEN least(a, 79) ELSE a END AS b FROM f)
+    SELECT point_id, CAST(greatest(0, least(100, CASE WHEN has_evidence THEN b ELSE least(b, 25) END)) AS BIGINT) AS confidence FROM g""",
 )
 def e18(spark, sf):
-    rows = table(spark, sf, "events").selectExpr("event_id AS point_id", "event_id % 2 = 0 AS has_evidence", "event_id % 3 = 0 AS id_exact", "event_id % 5 = 0 AS two_models", "event_id % 7 = 0 AS coordinates", "event_id % 11 = 0 AS conflict", "event_id % 13 = 0 AS confirmed")
-    return evidence.smart_confidence(rows)
+    return evidence.smart_confidence(table(spark, sf, "events").selectExpr(*_split(_JUDGED)).withColumn("bases", F.array("basis")))
 
 
 def _page_sql() -> str:
-    kinds = list(dict.fromkeys(k for k, _, _ in evidence.PAGE_TERMS))
-    weights = ", ".join(" + ".join(f"CASE WHEN contains(t, '{t}') THEN {w} ELSE 0 END" for kk, t, w in evidence.PAGE_TERMS if kk == k) + f" AS w_{k}" for k in kinds)
-    best = f"greatest({', '.join('w_' + k for k in kinds)})"
-    return f"""WITH t AS (SELECT page_id, lower(coalesce(html, '')) AS t FROM pages), w AS (SELECT page_id, length(regexp_replace(t, '[^a-z0-9]', '', 'g')) AS size, {weights} FROM t)
-    SELECT page_id, CASE WHEN size < 3 THEN 'blank' WHEN {best} < 3 THEN 'unknown' {' '.join(f"WHEN w_{k} = {best} THEN '{k}'" for k in kinds)} END AS kind, CAST({best} AS BIGINT) AS weight FROM w"""
+    weights = ", ".join(" + ".join(f"CASE WHEN contains(t, '{t}') THEN {w} ELSE 0 END" for t, w in terms.items()) + f" AS w_{k}" for k, terms in evidence.PAGE_TERMS.items())
+    names = ", ".join(f"w_{k}" for k in evidence.PAGE_TERMS)
+    return f"""WITH t AS (SELECT page_id, trim(regexp_replace(lower(coalesce(html, '')), '\\s+', ' ', 'g')) AS t FROM pages), w AS (SELECT page_id, length(regexp_replace(t, '[^a-z0-9]', '', 'g')) AS size, greatest(1, len(regexp_extract_all(t, '[a-z0-9]+'))) AS tokens, {weights} FROM t),
+    k AS (SELECT *, list_reverse_sort([{names}]) AS ranked FROM w), b AS (SELECT *, ranked[1] AS best, ranked[1] - ranked[2] AS margin FROM k)
+    SELECT page_id, CASE WHEN size < 3 THEN 'blank' WHEN best < 3 THEN 'unknown' {' '.join(f"WHEN w_{k} = best THEN '{k}'" for k in evidence.PAGE_TERMS)} END AS kind, CAST(CASE WHEN size < 3 THEN 0 ELSE best END AS BIGINT) AS weight,
+        CAST(CASE WHEN size < 3 THEN 0.96 WHEN best < 3 THEN 0.35 ELSE round(least(0.97, 0.58 + least(0.25, best / greatest(CAST(10 AS DOUBLE), tokens / 4) * 0.08) + least(0.14, margin * 0.025)) + 1e-9, 3) END AS DOUBLE) AS confidence FROM b"""
 
 
 @query("e29_page_type", _page_sql())
@@ -251,7 +295,7 @@ def i22(spark, sf):
 
 @query(
     "i3_point_ids",
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey || '' ELSE '00' || o_custkey END AS id, (o_custkey // 1000 * 1000) || 's' AS series, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || 'a' ELSE 'unknown' END AS destination FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey || '' ELSE '00' || o_custkey END AS id, (o_custkey // 1000 * 1000) || '-series' AS series, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || 'a' ELSE 'unknown' END AS destination FROM orders",
 )
 def i3(spark, sf):
     rows = table(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey", "CASE WHEN o_orderkey % 2 = 0 THEN concat(o_custkey, '.0 ') ELSE concat('00', o_custkey) END AS raw", "CASE WHEN o_orderkey % 3 = 0 THEN concat('to ', o_custkey, 'a') ELSE 'unknown' END AS note")

@@ -113,11 +113,13 @@ def f7(spark, sf):
 
 @query(
     "f11_linework",
-    f"""WITH b AS (SELECT *, CASE WHEN coalesce(command = 'BS', false) OR coalesce(lag(command) OVER w IN ('ES', 'CL'), false) THEN 1 ELSE 0 END AS new FROM {_TRACK} WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
-    p AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY seq) AS BIGINT) AS part FROM b),
-    d AS (SELECT *, sum(CASE command WHEN 'PC' THEN 1 WHEN 'PT' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id, part ORDER BY seq) AS depth, row_number() OVER (PARTITION BY user_id, part ORDER BY seq DESC) AS k FROM p),
-    g AS (SELECT user_id, part, min(seq) AS first_seq, count(*) AS vertices, min(depth) AS low, max(depth) AS high, max(CASE WHEN k = 1 THEN depth END) AS last_depth, max(CASE WHEN k = 1 THEN command END) AS last FROM d GROUP BY ALL)
-    SELECT user_id, part, first_seq, vertices, CASE WHEN low < 0 OR high > 1 OR last_depth <> 0 OR vertices < 2 THEN 'REVIEW' WHEN last = 'CL' THEN 'COMPLETE_CLOSED' WHEN last = 'ES' THEN 'COMPLETE' ELSE 'OPEN' END AS status FROM g""",
+    f"""WITH b AS (SELECT user_id, seq, coalesce(command, '') AS command FROM {_TRACK}), n AS (SELECT *, CASE WHEN command = 'BS' OR coalesce(lag(command) OVER w IN ('ES', 'CL'), true) THEN 1 ELSE 0 END AS new FROM b WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+    p AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY seq) AS BIGINT) AS part FROM n), c AS (SELECT user_id, part, seq, command, lag(command) OVER (PARTITION BY user_id, part ORDER BY seq) AS before FROM p WHERE command IN ('PC', 'PT')),
+    f AS (SELECT user_id, part, bool_or(command = 'PC' AND coalesce(before = 'PC', false)) AS nested, bool_or(command = 'PT' AND coalesce(before <> 'PC', true)) AS unpaired, arg_max(command, seq) AS last_curve FROM c GROUP BY ALL),
+    g AS (SELECT user_id, part, min(seq) AS first_seq, count(*) AS n, arg_min(command, seq) AS first, arg_max(command, seq) AS last FROM p GROUP BY ALL),
+    s AS (SELECT g.*, nested, unpaired, last_curve, CASE WHEN last = 'ES' THEN 'COMPLETE' WHEN last = 'CL' THEN 'COMPLETE_CLOSED' WHEN lead(g.part) OVER (PARTITION BY g.user_id ORDER BY g.part) IS NOT NULL THEN 'REVIEW' ELSE 'OPEN' END AS status FROM g LEFT JOIN f ON f.user_id = g.user_id AND f.part = g.part)
+    SELECT user_id, part, first_seq, n + CASE WHEN status = 'COMPLETE_CLOSED' THEN 1 ELSE 0 END AS vertices, status, array_to_string(list_filter([CASE WHEN status = 'REVIEW' THEN 'RESTARTED' END, CASE WHEN first <> 'BS' THEN 'NO_START' END, CASE WHEN status = 'OPEN' THEN 'NO_END' END,
+        CASE WHEN nested THEN 'NESTED_PC' END, CASE WHEN unpaired THEN 'PT_WITHOUT_PC' END, CASE WHEN last_curve = 'PC' THEN 'PC_OPEN' END], lambda x: x IS NOT NULL), ',') AS flags FROM s""",
 )
 def f11(spark, sf):
     return sequential.linework(_track(spark, sf), "user_id", "seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import cogo, measures
-from plumbline.operators import evidence, graph, networks, surfaces
+from plumbline.operators import evidence, networks, surfaces
 from plumbline.operators.scalars import attach
 from plumbline.plans.bindings import FOOT, FOOT_SQL, PLACES, places, query, r, table
 
@@ -184,7 +184,7 @@ def d1_pairs(spark, sf):
     SELECT node, least(node, min(other)) AS component FROM t GROUP BY node""",
 )
 def d1_components(spark, sf):
-    return graph.connected_components(surfaces.grid_pairs(places(spark, sf), 8.0), "id_a", "id_b")
+    return surfaces.clusters(places(spark, sf), 8.0)
 
 
 @query("g3_six_nearest", f"SELECT point, CAST(k AS INTEGER) AS place, neighbour, {r('distance')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY distance, neighbour) AS k FROM {_BOTH}) WHERE k <= 6")
@@ -266,52 +266,77 @@ def d20(spark, sf):
 _EDGES = f"(SELECT a.point_id AS edge_id, 60 + a.label AS score, a.northing AS n1, a.easting AS e1, b.northing AS n2, b.easting AS e2 FROM {PLACES} a JOIN {PLACES} b ON b.point_id = a.point_id + 10 WHERE a.point_id % 2 = 1)"
 
 
+def _gap(n: str, e: str) -> str:
+    """SQL of the distance of a place from the segment s."""
+    t = f"greatest(0, least(1, coalesce((({n} - s.n1) * (s.n2 - s.n1) + ({e} - s.e1) * (s.e2 - s.e1)) / nullif((s.n2 - s.n1) ** 2 + (s.e2 - s.e1) ** 2, 0), 0)))"
+    return f"sqrt(({n} - s.n1 - {t} * (s.n2 - s.n1)) ** 2 + ({e} - s.e1 - {t} * (s.e2 - s.e1)) ** 2)"
+
+
 @query(
     "d10_line_support",
-    f"""WITH e AS (SELECT * FROM {_EDGES}), s0 AS (SELECT seq, n1 + 0.5 AS n1, e1 AS e1, n2 AS n2, e2 + 0.5 AS e2 FROM {_SEGMENTS}), s AS (SELECT seq, n1, e1, n2, e2 FROM s0 UNION ALL SELECT seq, n2, e2, n1, e1 FROM s0),
-    p AS (SELECT edge_id, sqrt((e.n1 - s.n1) ** 2 + (e.e1 - s.e1) ** 2) + sqrt((e.n2 - s.n2) ** 2 + (e.e2 - s.e2) ** 2) AS gap, degrees(atan2(e.e2 - e.e1, e.n2 - e.n1)) - degrees(atan2(s.e2 - s.e1, s.n2 - s.n1)) + 180 AS turn FROM e JOIN s ON true),
-    b AS (SELECT edge_id, max(100 * greatest(0, 1 - gap / 20) * greatest(0, 1 - abs(turn - 360 * floor(turn / 360) - 180) / 30)) AS support FROM p GROUP BY 1)
-    SELECT edge_id, {r('support')} AS support, {r('0.8 * score + 0.2 * support')} AS combined FROM e JOIN b USING (edge_id)""",
+    f"""WITH e AS (SELECT * FROM {_EDGES}), s AS (SELECT seq, n1 + 0.5 AS n1, e1 AS e1, n2 AS n2, e2 + 0.5 AS e2 FROM {_SEGMENTS}),
+    p AS (SELECT edge_id, {_gap('e.n1', 'e.e1')} + {_gap('e.n2', 'e.e2')} AS gap, degrees(atan2(e.e2 - e.e1, e.n2 - e.n1)) - degrees(atan2(s.e2 - s.e1, s.n2 - s.n1)) + 180 AS turn FROM e JOIN s ON true),
+    q AS (SELECT edge_id, gap, abs(turn - 360 * floor(turn / 360) - 180) AS turn FROM p), b AS (SELECT edge_id, max(100 * greatest(0, 1 - gap / 60) * greatest(0, 1 - least(turn, 180 - turn) / 35)) AS support FROM q GROUP BY 1)
+    SELECT edge_id, {r('nullif(support, 0)')} AS support, CASE WHEN support > 0 THEN round(least(100, 0.8 * score + 0.2 * support) + 1e-9, 1) ELSE CAST(score AS DOUBLE) END AS combined FROM e JOIN b USING (edge_id)""",
 )
 def d10(spark, sf):
     p = places(spark, sf)
     edges = p.where("point_id % 2 = 1").selectExpr("point_id AS edge_id", "60 + label AS score", "northing AS n1", "easting AS e1").join(p.selectExpr("point_id - 10 AS edge_id", "northing AS n2", "easting AS e2"), "edge_id")
     shifted = _segments(spark, sf).selectExpr("seq", "n1 + 0.5D AS n1", "e1", "n2", "e2 + 0.5D AS e2")
-    return evidence.line_support(edges, shifted, 10.0, 30.0, 25.0)
+    return evidence.line_support(edges, shifted)
+
+
+def _turn(a: str, b: str) -> str:
+    return f"abs({a} - {b} + 180 - 360 * floor(({a} - {b} + 180) / 360) - 180)"
 
 
-_NETWORK = """WITH s AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101) * CAST(7.13 AS DOUBLE) AS n, (s_suppkey * 53 % 97) * CAST(6.71 AS DOUBLE) AS e FROM supplier), p AS (SELECT s_suppkey AS id, k AS pipe, (s_suppkey * 29 + k * 137) % 360 AS az FROM supplier, (VALUES (1), (2)) v(k)),
-    c AS (SELECT p.id AS from_point, pipe, az, t.id AS to_point, sqrt((t.n - s.n) ** 2 + (t.e - s.e) ** 2) AS distance, degrees(atan2(t.e - s.e, t.n - s.n)) AS b FROM p JOIN s ON s.id = p.id JOIN s t ON t.id <> p.id),
-    d AS (SELECT *, abs(b - az + 180 - 360 * floor((b - az + 180) / 360) - 180) AS error FROM c WHERE distance <= 150), f AS (SELECT * FROM d WHERE error <= 25),
-    g AS (SELECT f.from_point, f.pipe, f.to_point, distance, error, min(abs(b + 180 - q.az + 180 - 360 * floor((b + 180 - q.az + 180) / 360) - 180)) AS turned FROM f JOIN p q ON q.id = f.to_point GROUP BY ALL),
-    h AS (SELECT *, 100 * (0.52 * (1 - error / 25) + 0.33 * greatest(0, 1 - turned / 180) + 0.15 * (1 - distance / 150)) AS score FROM g), k AS (SELECT *, row_number() OVER (PARTITION BY from_point, pipe ORDER BY round(score, 6) DESC, to_point) AS rn FROM h)"""
+_NETWORK = f"""WITH s AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101) * CAST(7.13 AS DOUBLE) AS n, (s_suppkey * 53 % 97) * CAST(6.71 AS DOUBLE) AS e FROM supplier),
+    p AS (SELECT s_suppkey AS id, k AS pipe, CASE WHEN (s_suppkey + k) % 7 <> 0 THEN CAST((s_suppkey * 29 + k * 137) % 360 AS DOUBLE) END AS az, CASE WHEN (s_suppkey + k) % 3 <> 0 THEN CAST((s_suppkey * 31 + k * 139) % 360 AS DOUBLE) END AS lead,
+        CASE WHEN (s_suppkey * k) % 13 = 0 THEN 'to ' || (s_suppkey + 1) ELSE 'unknown note' END AS note FROM supplier, (VALUES (1), (2)) v(k)),
+    c AS (SELECT p.id AS from_point, pipe, az, lead, coalesce(az, lead) AS dir, t.id AS to_point, sqrt((t.n - s.n) ** 2 + (t.e - s.e) ** 2) AS distance, degrees(atan2(t.e - s.e, t.n - s.n)) AS b FROM p JOIN s ON s.id = p.id JOIN s t ON t.id <> p.id WHERE NOT starts_with(note, 'to ') AND coalesce(az, lead) IS NOT NULL),
+    f AS (SELECT *, {_turn('b', 'dir')} AS error FROM c WHERE distance <= 150 AND distance > 0), h AS (SELECT * FROM f WHERE error <= 25),
+    q AS (SELECT id, pipe AS to_pipe, coalesce(az, lead) AS back FROM p WHERE coalesce(az, lead) IS NOT NULL),
+    g AS (SELECT h.*, {_turn('b + 180', 'back')} AS turned, to_pipe FROM h LEFT JOIN q ON q.id = h.to_point), o AS (SELECT *, row_number() OVER (PARTITION BY from_point, pipe, to_point ORDER BY turned, to_pipe) AS j FROM g),
+    x AS (SELECT *, 100 * (0.52 * (1 - error / 25) + 0.33 * coalesce(greatest(0, 1 - turned / 25), 0) + 0.15 * (1 - distance / 150)) AS whole FROM o WHERE j = 1),
+    k AS (SELECT *, round(whole + 1e-9, 1) AS score, row_number() OVER (PARTITION BY from_point, pipe ORDER BY round(whole + 1e-9, 1) DESC, to_point) AS rn FROM x)"""
 
 
 def _pipes(spark, sf):
     s = table(spark, sf, "supplier")
-    pipes = s.select(F.col("s_suppkey").alias("point_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pipe_index")).withColumn("azimuth_deg", ((F.col("point_id") * 29 + F.col("pipe_index") * 137) % 360).cast("double"))
+    pipes = s.select(F.col("s_suppkey").alias("point_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pipe_index")).selectExpr(
+        "point_id", "pipe_index", "CASE WHEN (point_id + pipe_index) % 7 <> 0 THEN CAST((point_id * 29 + pipe_index * 137) % 360 AS DOUBLE) END AS azimuth_deg",
+        "CASE WHEN (point_id + pipe_index) % 3 <> 0 THEN CAST((point_id * 31 + pipe_index * 139) % 360 AS DOUBLE) END AS leader_deg",
+        "CASE WHEN (point_id * pipe_index) % 13 = 0 THEN concat('to ', point_id + 1) ELSE 'unknown note' END AS connected_raw",
+    )
     at = s.selectExpr("s_suppkey AS point_id", "(s_suppkey * 37 % 101) * 7.13D AS northing", "(s_suppkey * 53 % 97) * 6.71D AS easting")
     return pipes, at
 
 
 @query(
     "d7_network",
-    _NETWORK + f" SELECT from_point, pipe AS pipe_index, to_point, {r('distance')} AS distance, {r('error')} AS error, {r('score')} AS score, CASE WHEN turned > 35 THEN 'REVIEW' WHEN score >= 78 THEN 'STRONG' ELSE 'SUGGESTED' END AS status FROM k WHERE rn = 1",
+    _NETWORK
+    + f""" SELECT from_point, pipe AS pipe_index, to_point, to_pipe AS to_pipe_index, {r('distance')} AS distance, {r('turned')} AS reciprocal_error, {r(_turn('b', 'az'))} AS bearing_error, {r(_turn('b', 'lead'))} AS leader_error, {r('score')} AS score,
+        CASE WHEN turned > 25 THEN 'REVIEW' WHEN whole >= 78 AND turned IS NOT NULL THEN 'STRONG' ELSE 'SUGGESTED' END AS status FROM k WHERE rn = 1""",
 )
 def d7(spark, sf):
     return evidence.network_edges(*_pipes(spark, sf), 150.0)
 
 
+_RATIO = f"(CAST(1 AS DOUBLE) / {FOOT_SQL})"
+
+
 @query(
     "d11_grades",
     _NETWORK
-    + f""", i AS (SELECT id, pipe, CAST((id * 13 + pipe * 7) % 50 AS DOUBLE) AS invert FROM p), b AS (SELECT id, min(invert) AS invert FROM i GROUP BY 1)
-    SELECT from_point, k.pipe AS pipe_index, to_point, {r('(i.invert - b.invert) / distance * 100')} AS grade, CASE WHEN i.invert < b.invert THEN 'ADVERSE_GRADE' ELSE 'OK' END AS status FROM k JOIN i ON i.id = from_point AND i.pipe = k.pipe JOIN b ON b.id = to_point WHERE rn = 1""",
+    + f""", i AS (SELECT id, pipe, CASE WHEN (id + pipe) % 10 <> 0 THEN CAST((id * 13 + pipe * 7) % 50 AS DOUBLE) END AS invert FROM p), j AS (SELECT from_point, k.pipe AS pipe_index, to_point, to_pipe, (a.invert - b.invert) / distance * {_RATIO} * 100 AS grade
+        FROM k JOIN i a ON a.id = from_point AND a.pipe = k.pipe JOIN i b ON b.id = to_point AND b.pipe = to_pipe WHERE rn = 1 AND a.invert IS NOT NULL AND b.invert IS NOT NULL)
+    SELECT from_point, pipe_index, to_point, to_pipe AS to_pipe_index, {r('grade')} AS grade, CASE WHEN grade > 0 THEN 'from_to' WHEN grade < 0 THEN 'to_from' ELSE 'flat' END AS flow, CASE WHEN grade < 0 THEN 'ADVERSE_GRADE' ELSE '' END AS flag FROM j""",
 )
 def d11(spark, sf):
+    """Inverts in metres, distances in US survey feet."""
     pipes, at = _pipes(spark, sf)
-    inverts = pipes.withColumn("invert", ((F.col("point_id") * 13 + F.col("pipe_index") * 7) % 50).cast("double"))
-    return evidence.pipe_grades(evidence.network_edges(pipes, at, 150.0), inverts)
+    inverts = pipes.selectExpr("point_id", "pipe_index", "CASE WHEN (point_id + pipe_index) % 10 <> 0 THEN CAST((point_id * 13 + pipe_index * 7) % 50 AS DOUBLE) END AS invert")
+    return evidence.pipe_grades(evidence.network_edges(pipes, at, 150.0), inverts, "us_survey_feet", "meters")
 
 
 @query("j2_level_network")

