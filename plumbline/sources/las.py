@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from plumbline.storage import arrow_files
+
 _HEADER = "version string, point_format int, record_length int, data_offset long, n_points long, x_scale double, y_scale double, z_scale double, x_offset double, y_offset double, z_offset double, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
 
 
@@ -30,13 +30,20 @@ def header(content: bytes) -> tuple:
 
 
 def las_headers(spark: SparkSession, pattern: str) -> DataFrame:
-    """One row a file that ``pattern`` names."""
+    """One row a file that ``pattern`` names; of each file only the head is read."""
+    files = spark.read.format("binaryFile").load(pattern).select("path")
 
-    @F.udf(returnType=f"struct<{', '.join(f.replace(' ', ':') for f in _HEADER.split(', '))}>")
-    def parse(content):
-        return header(bytes(content))
+    def heads(batches):
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                with _open(path) as f:
+                    found.append((path, *header(f.read(375))))
+            columns = [list(c) for c in zip(*found)] if found else [[] for _ in range(18)]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 12]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", *[f.split()[0] for f in _HEADER.split(", ")]])
 
-    return spark.read.format("binaryFile").load(pattern).select("path", parse(F.substring("content", 1, 375)).alias("h")).select("path", "h.*")
+    return files.mapInArrow(heads, f"path string, {_HEADER}")
 
 
 @dataclass
@@ -47,11 +54,9 @@ class _Range(InputPartition):
 
 
 def _open(path: str):
-    """A file by local path or by URI (file, hdfs, s3, ...)."""
-    if "://" in path:
-        files, inner = pafs.FileSystem.from_uri(path)
-        return files.open_input_file(inner)
-    return pafs.LocalFileSystem().open_input_file(path)
+    """A file by local path or by URI (file, hdfs, s3a, ...)."""
+    files, inner = arrow_files(path)
+    return files.open_input_file(inner)
 
 
 class _Reader(DataSourceReader):

@@ -82,3 +82,17 @@ def table_bytes(spark: SparkSession, path: str) -> int:
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return int(fs.getContentSummary(target).getLength())
+
+
+#: Hadoop's names of stores, and Arrow's names of the same.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def arrow_files(uri: str):
+    """Arrow's file system of a URI (by Hadoop's or Arrow's scheme) or of a local path, and the path in it; usable in tasks."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://")
+    if not rest:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
