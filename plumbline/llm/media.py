@@ -14,6 +14,7 @@ import struct
 import time
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from plumbline.storage import fresh_path
+from plumbline.storage import arrow_files, fresh_path
 
 ROW = 192
 LEVEL = 1
@@ -34,6 +35,9 @@ RETRIES = 4
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _FOOTER = struct.Struct("<8sQQQ")
 _MAGIC = b"PLMEDIA1"
+#: Number of an archive of a task, start of its directory, and its members: what planning needs to know, in one manifest for each task.
+LISTED = np.dtype([("number", "<u4"), ("start", "<u8"), ("count", "<u8")])
+READERS = 32
 #: doc_id, whether it is null, offset and size of the member, unpadded bytes, crc32 of the member.
 ENTRY = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("offset", "<u8"), ("size", "<u8"), ("n_bytes", "<u8"), ("crc", "<u4")])
 
@@ -120,34 +124,50 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
 
     A task that runs again writes the same archives and replaces them whole;
     what a lost attempt leaves keeps a ``.part`` name, which nothing reads.
+    Beside its archives each task writes one manifest of them.
     Nulls: a null text is an empty one, a null doc_id is kept as null.
     """
-    files, root = pafs.FileSystem.from_uri(folder)
+    files, root = arrow_files(folder)
     files.create_dir(root, recursive=True)
 
     def run(batches):
-        files, root = pafs.FileSystem.from_uri(folder)
+        files, root = arrow_files(folder)
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        current, number, members = None, 0, 0
+        current, listed, members = None, [], 0
+
+        def done():
+            current.close()
+            listed.append((len(listed), current.size, len(current.entries)))
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if current is None:
-                    current = _Archive(files, f"{root}/part-{part:06d}-{number:04d}.arc", attempt)
+                    current = _Archive(files, f"{root}/part-{part:06d}-{len(listed):06d}.arc", attempt)
                 payload, n_bytes = payload_of(text.as_py())
                 current.add(doc_id, n_bytes, to_png(payload))
                 members += 1
                 if current.size >= archive_bytes:
-                    current.close()
-                    current, number = None, number + 1
+                    done()
+                    current = None
         if current is not None:
-            current.close()
+            done()
+        if listed:
+            write_manifest(files, f"{root}/part-{part:06d}", attempt, listed)
         yield pa.RecordBatch.from_arrays([pa.array([members], pa.int64())], ["members"])
 
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, "members long")
     return int(rows.groupBy().sum("members").first()[0] or 0)
 
 
+def write_manifest(files: pafs.FileSystem, stem: str, attempt: int, listed: list[tuple[int, int, int]]) -> None:
+    """One file that lists a task's archives, complete or not there."""
+    temporary = f"{stem}.{attempt}.part"
+    with files.open_output_stream(temporary) as out:
+        out.write(np.array(listed, LISTED).tobytes())
+    files.move(temporary, f"{stem}.idx")
+
+
 @dataclass
 class DirectoryRange(InputPartition):
     """Bytes ``[begin, end)`` of the directory of one archive: whole entries."""
@@ -164,24 +184,27 @@ class ArchiveReader(DataSourceReader):
         self.retries = int(options.get("retries", RETRIES))
 
     def partitions(self) -> list[DirectoryRange]:
-        """Reads only footers: one range for about ``rangeBytes`` of members."""
-        files, root = pafs.FileSystem.from_uri(self.folder)
+        """One range for about ``rangeBytes`` of members.  Reads the tasks' manifests, many at once; no archive is opened."""
+        files, root = arrow_files(self.folder)
+        found = sorted(i.path for i in files.get_file_info(pafs.FileSelector(root)) if i.path.endswith(".idx"))
+
+        def listed(path: str) -> np.ndarray:
+            with files.open_input_file(path) as f:
+                return np.frombuffer(f.read(), LISTED)
+
         out = []
-        for info in sorted(files.get_file_info(pafs.FileSelector(root)), key=lambda i: i.path):
-            if not info.path.endswith(".arc"):
-                continue
-            with files.open_input_file(info.path) as f:
-                magic, start, count, _ = _FOOTER.unpack(f.read_at(_FOOTER.size, info.size - _FOOTER.size))
-            if magic != _MAGIC:
-                raise ValueError(f"{info.path} is no archive")
-            step = max(1, count * self.range_bytes // max(1, start)) if start else max(1, count)
-            out += [DirectoryRange(info.path, start + a * ENTRY.itemsize, start + min(count, a + step) * ENTRY.itemsize) for a in range(0, count, step)]
+        with ThreadPoolExecutor(READERS) as readers:
+            for path, manifest in zip(found, readers.map(listed, found)):
+                for number, start, count in manifest.tolist():
+                    step = max(1, count * self.range_bytes // max(1, start))
+                    archive = f"{path[:-4]}-{number:06d}.arc"
+                    out += [DirectoryRange(archive, start + a * ENTRY.itemsize, start + min(count, a + step) * ENTRY.itemsize) for a in range(0, count, step)]
         return out or [DirectoryRange("", 0, 0)]
 
     def read(self, partition: DirectoryRange) -> Iterator[pa.RecordBatch]:
         if partition.end <= partition.begin:
             return
-        files, _ = pafs.FileSystem.from_uri(self.folder)
+        files, _ = arrow_files(self.folder)
         with files.open_input_file(partition.path) as f:
             entries = np.frombuffer(self._bytes(f, partition.begin, partition.end - partition.begin), ENTRY)
             ends = np.cumsum(entries["size"])

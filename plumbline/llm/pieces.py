@@ -3,6 +3,7 @@
 Words of one length advance together.  Substring hashes probe the sorted
 piece keys, and vectorised maxima fill the back-pointers.  ``viterbi`` gives
 the best-scoring segmentation (what the library does for unigram models).
+A very long word is cut into blocks of equal length that advance together.
 The public model is a byte-pair model, whose library ids come from ranked
 merges instead; ``merges`` gives those by the same batching: in each round
 every word of a length joins its best adjacent pair.
@@ -14,6 +15,7 @@ import heapq
 import re
 from array import array
 from collections import ChainMap
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,8 +26,10 @@ from plumbline.llm.arrow import crc
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters up to which words advance together; longer ones are solved one at a time in near-linear time.
+#: Characters up to which words advance together; longer ones are cut into blocks of as many, which advance together.
 LONG = 128
+#: Blocks that advance together.
+_BLOCKS = 1 << 10
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _CACHE = 1 << 19
 _LANES = 1 << 14
@@ -222,11 +226,85 @@ def viterbi_batch(p: Pieces, words: list[str]) -> list[bytes]:
     while len(row):
         mark[row, at] = True
         row, at = row[at > 0], back[row, at][at > 0]
-    return _packed(p, words, prefix, power, mark, viterbi_long)
+    return _packed(p, words, prefix, power, mark, viterbi_plain)
 
 
-def viterbi_long(p: Pieces, word: str) -> list[int]:
-    """The same for one long word, position by position."""
+def _block_scores(p: Pieces, codes: np.ndarray, power: np.ndarray, span: int, left: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(i, k, rows, scores)`` of the pieces of ``k`` characters that begin at place ``i < span`` of each block (row of ``codes``); ``left``: characters of the word from the block's start on."""
+    prefix = _prefix(codes)
+    for i in range(span):
+        row = np.flatnonzero(left > i)
+        for k in range(1, p.longest + 1):
+            row = row[left[row] >= i + k]
+            if not len(row):
+                break
+            with np.errstate(over="ignore"):
+                begins, ids = p.starts.probe(prefix[row, i + k] - prefix[row, i] * power[k])
+            yield i, k, row, np.where(ids >= 0, p.score[ids], p.unk_score if k == 1 else -np.inf)
+            row = row[begins]
+
+
+def viterbi_long(p: Pieces, words: list[str]) -> list[list[int]]:
+    """The same for long words of any lengths, in blocks that advance together.
+
+    Any path stops at one of the first places of each block, as many as the
+    longest piece has characters.  First every block is run from each of those
+    places at once, which gives the best scores from place to place; these are
+    chained block by block.  Then the blocks are run again from the true
+    scores for the back-pointers.
+    """
+    if not words:
+        return []
+    entries, span = max(1, p.longest), max(LONG, 2 * p.longest)
+    width, power = span + entries, _powers(entries)
+    counts = [-(-len(w) // span) for w in words]
+    first = np.cumsum(counts) - counts
+    codes = np.zeros((sum(counts), width), np.uint64)
+    left = np.zeros(sum(counts), np.int64)
+    for w, n, b in zip(words, counts, first.tolist()):
+        flat = np.zeros((n + 1) * span + entries, np.uint64)
+        flat[: len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes[b : b + n] = np.lib.stride_tricks.sliding_window_view(flat, width)[: n * span : span]
+        left[b : b + n] = len(w) - np.arange(n) * span
+    begins = np.zeros(len(codes), bool)
+    begins[first] = True
+    groups = [slice(a, min(len(codes), a + _BLOCKS)) for a in range(0, len(codes), _BLOCKS)]
+    start = np.full((len(codes) + 1, entries), -np.inf)
+    for part in groups:
+        best = np.full((part.stop - part.start, entries, width + 1), -np.inf)
+        best[:, np.arange(entries), np.arange(entries)] = 0
+        for i, k, row, score in _block_scores(p, codes[part], power, span, left[part]):
+            best[row, :, i + k] = np.maximum(best[row, :, i + k], best[row, :, i] + score[:, None])
+        for b in range(part.start, part.stop):
+            if begins[b]:
+                start[b], start[b, 0] = -np.inf, 0
+            start[b + 1] = (start[b][:, None] + best[b - part.start, :, span : span + entries]).max(axis=0)
+    back = np.full((len(codes), width + 1), _NONE, np.int32)
+    for part in groups:
+        best, own = np.full((part.stop - part.start, width + 1), -np.inf), back[part]
+        best[:, :entries] = start[part]
+        for i, k, row, score in _block_scores(p, codes[part], power, span, left[part]):
+            cand, at = best[row, i] + score, i + k
+            better = cand > best[row, at]
+            best[row[better], at] = cand[better]
+            own[row[better], at] = i
+    out = []
+    for w, b in zip(words, first.tolist()):
+        at, path = len(w), [len(w)]
+        while at:
+            # A path's first stop in a block was reached from the block before.
+            block = at // span
+            if b + block == len(back) or at < block * span + 1 or block * span >= len(w) or back[b + block, at - block * span] < 0:
+                block -= 1
+            at = block * span + int(back[b + block, at - block * span])
+            path.append(at)
+        named = _named(p, w, path[::-1])
+        out.append(viterbi_plain(p, w) if named is None else named)
+    return out
+
+
+def viterbi_plain(p: Pieces, word: str) -> list[int]:
+    """The same for one word, position by position and by the pieces' texts: where hashes of pieces collide."""
     n = len(word)
     best, back = [-np.inf] * (n + 1), [0] * (n + 1)
     best[0] = 0.0
@@ -286,11 +364,15 @@ def merges_batch(p: Pieces, words: list[str]) -> list[bytes]:
             if right.any():
                 r, a = row[right], at[right]
                 scores[r, a] = pair(live[r], cuts[r, a], cuts[r, a + 2])
-    return _packed(p, words, prefix, power, mark, merges_long)
+    return _packed(p, words, prefix, power, mark, _merged)
 
 
-def merges_long(p: Pieces, word: str) -> list[int]:
-    """The same for one long word, with a heap of pairs."""
+def merges_long(p: Pieces, words: list[str]) -> list[list[int]]:
+    """The same for long words, each with a heap of pairs."""
+    return [_merged(p, w) for w in words]
+
+
+def _merged(p: Pieces, word: str) -> list[int]:
     n = len(word)
     end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     dead, heap, score = [False] * n, [], p.score
@@ -349,7 +431,8 @@ class Encoder:
         units: set[str] = set()
         units.update(*split)
         self._learn(units)
-        longer = {u: tuple(array("I", long(self.p, u)).tobytes() for _, long in self.methods) for u in units if len(u) > LONG}
+        long_units = [u for u in units if len(u) > LONG]
+        longer = dict(zip(long_units, zip(*[[array("I", ids).tobytes() for ids in long(self.p, long_units)] for _, long in self.methods])))
         get = ChainMap(longer, self.known).__getitem__ if longer else self.known.__getitem__
         out: list[list[np.ndarray]] = [[] for _ in self.methods]
         for row in split:
@@ -406,8 +489,8 @@ def decode_ids(rows: DataFrame, column: str = "ids", path: str | None = None) ->
 def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Digest of encoding and decoding for every row of ``docs`` in one pass.
 
-    doc_id, n_pieces and ids_crc32 of the library's ids, best_pieces and
-    best_crc32 of the Viterbi ids, and round_trip: both decode to the text
+    doc_id, n_pieces and ids_crc32 of the Viterbi ids, library_pieces and
+    library_crc32 of the library's ids (by ranked merges), and round_trip: both decode to the text
     (with U+2581 read as a space, as the model reads it).  Rows are as in
     ``encode_texts``.
     """
@@ -416,7 +499,7 @@ def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         p = _pieces(path)
-        encoder = Encoder(p, "merges", "viterbi")
+        encoder = Encoder(p, "viterbi", "merges")
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             first, second = encoder.encode(texts)
@@ -424,6 +507,6 @@ def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
             columns = [batch.column(0)]
             for ids in (first, second):
                 columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array([crc(x) for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "best_pieces", "best_crc32", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "library_pieces", "library_crc32", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, best_pieces long, best_crc32 long, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, library_pieces long, library_crc32 long, round_trip boolean")

@@ -41,10 +41,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+#: The block list as select expressions over ``pages``: URLs of the spam hosts, and every seventh page as reported, in several spellings of the same canonical URL.
+LIST_RULE = "page_id % 7 = 3"
+LIST_URL = "CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN concat(url, CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'utm_source=feed') ELSE replace(replace(url, '://www.', '://WWW.'), 'http://', 'https://') END"
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listed URLs are those of two of the spam hosts that ``pages`` has: the two that the SQL names."""
+    """No table holds a block list, so one is made of ``pages``: see LIST_RULE.  Other pages are hit where they have a listed page's canonical URL."""
     pages = _table(spark, sf_dir, "pages")
-    listed = pages.where(url_filter.host(F.col("url")).rlike(SPAM_HOSTS)).select("url")
+    spam = url_filter.host(F.col("url")).rlike(ALL_SPAM_HOSTS)
+    listed = pages.where(F.expr(LIST_RULE) | spam).selectExpr(f"{LIST_URL} AS url")
     return url_filter.filter_urls(pages, listed)
 
 
@@ -67,13 +73,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-SPAM_HOSTS = r"(^|\.)(spam-farm|cheap-pills)\."
 ALL_SPAM_HOSTS = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\."
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_packing, op2_edit_counts, op3_toxicity, op4_secret_scan, op5_language_id, op6_exact_dedup, op7_url_filter, op7_url_filter_all_hosts, op8_media, op9_sentencepiece, op10_simhash)
-
 }
 
 _SPAN = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -113,13 +117,18 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT norm, count(*) AS group_size FROM d GROUP BY norm),
         r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r JOIN g USING (norm)""",
-    "op7_url_filter": r"""
-        WITH p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)) AS host,
+}
+
+
+def _url_sql(listed: str) -> str:
+    parts = r"""lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)) AS host,
                 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
                 array_to_string(list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
-                    lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[^=]*|ref)(?:=|$)'))), '&') AS query FROM pages),
-        c AS (SELECT *, host || regexp_replace(path, '/+$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canon FROM p),
-        listed AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.')),
+                    lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[^=]*|ref)(?:=|$)'))), '&') AS query"""
+    canon = "host || regexp_replace(path, '/+$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canon"
+    return rf"""
+        WITH p AS (SELECT page_id, {parts} FROM pages), c AS (SELECT *, {canon} FROM p),
+        l AS (SELECT {parts} FROM ({listed})), listed AS (SELECT DISTINCT canon FROM (SELECT {canon} FROM l) WHERE canon <> ''),
         r AS (SELECT *, canon IN (SELECT canon FROM listed) AS found, CASE
             WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
             WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
@@ -127,6 +136,9 @@ ORACLE_SQL: dict[str, str] = {
             WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
             WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM c)
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN found THEN 'block' ELSE 'allow' END AS verdict, rule IS NULL AND found AS listed FROM r""",
-}
-ORACLE_SQL["op7_url_filter_all_hosts"] = ORACLE_SQL["op7_url_filter"].replace(SPAM_HOSTS, ALL_SPAM_HOSTS)
+            WHEN found THEN 'block' ELSE 'allow' END AS verdict, rule IS NULL AND found AS listed FROM r"""
+
+
+_SPAM_SQL = rf"regexp_matches(lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)), '{ALL_SPAM_HOSTS}')"
+ORACLE_SQL["op7_url_filter"] = _url_sql(f"SELECT {LIST_URL} AS url FROM pages WHERE {LIST_RULE} OR {_SPAM_SQL}")
+ORACLE_SQL["op7_url_filter_all_hosts"] = _url_sql(f"SELECT url FROM pages WHERE {_SPAM_SQL}")

@@ -78,6 +78,9 @@ def bloom_blocks(listed: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, i
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """Judge every row of ``pages``: its rule's verdict, else block if its canonical URL is listed, else allow.
 
+    Only rows without a rule are looked up: in the broadcast filter, or, if
+    that is too large, by a shuffle of just those rows.
+
     ``pages`` needs ``page_id`` and ``url``; ``listed`` needs ``url``.  Other
     columns are not read.  A null url has an empty host and path and is
     allowed unless the empty canonical URL is listed (null and empty listed
@@ -92,11 +95,15 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     judged = pages.select("page_id", h.alias("host"), p.alias("path"), canonical(F.col("url")).alias("canon"))
     judged = judged.select("page_id", "host", "path", "canon", rule.alias("rule"), by_rule.alias("by_rule"))
     blocks, n_blocks = bloom_blocks(known, "canon", n_keys)
+    undecided = F.col("by_rule").isNull()
+    block = F.when(undecided, _block(F.col("canon"), n_blocks))
     if n_blocks * 40 <= BROADCAST_BYTES:
-        blocks = F.broadcast(blocks)
-    probe = judged.withColumn("block", _block(F.col("canon"), n_blocks)).join(blocks, "block", "left")
+        probe = judged.withColumn("block", block).join(F.broadcast(blocks), "block", "left")
+    else:
+        asked = judged.where(undecided).withColumn("block", block).join(blocks, "block", "left")
+        probe = asked.unionByName(judged.where(~undecided), allowMissingColumns=True)
     hit = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(m) == m for i, m in enumerate(_masks(F.col("canon")))])
-    probe = probe.withColumn("possible", F.coalesce(hit & F.col("by_rule").isNull(), F.lit(False)))
+    probe = probe.withColumn("possible", F.coalesce(hit & undecided, F.lit(False)))
     columns = ["page_id", "host", "path", "rule", "by_rule"]
     clear = probe.where(~F.col("possible")).select(*columns, F.lit(False).alias("listed"))
     exact = probe.where("possible").select(*columns, "canon").join(known.withColumn("found", F.lit(True)), "canon", "left")

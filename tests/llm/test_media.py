@@ -92,3 +92,15 @@ def test_lost_attempts_are_not_read(spark):
         f.write(b"half")
     spark.dataSource.register(media.ArchiveSource)
     assert spark.read.format("media_archive").load(folder).count() == 1
+
+
+def test_planning_reads_manifests_and_opens_no_archive(tmp_path):
+    """Ten thousand archives, listed by manifests alone."""
+    from pyarrow import fs
+
+    files = fs.LocalFileSystem()
+    for task in range(100):
+        media.write_manifest(files, f"{tmp_path}/part-{task:06d}", 0, [(k, 128 << 20, 5000) for k in range(100)])
+    ranges = media.ArchiveReader({"path": f"file://{tmp_path}"}).partitions()
+    assert len({r.path for r in ranges}) == 10_000 and len(ranges) == 10_000 * 8
+    assert sum(r.end - r.begin for r in ranges) == 10_000 * 5000 * media.ENTRY.itemsize
