@@ -204,3 +204,52 @@ def new_observations(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     fresh = incoming.select("*", *key)
     first = fresh.withColumn("rn", F.row_number().over(Window.partitionBy(*names).orderBy("observation_id"))).where("rn = 1")
     return first.join(existing.select(*key), names, "left_anti").drop("rn", *names)
+
+
+def regroup(obs: DataFrame, tolerance: float, vertical: float | None = None, reviews: DataFrame | None = None) -> DataFrame:
+    """Effective control and point id of every observation: shots that lie among those of another control are probably misnumbered.
+
+    ``obs`` has observation_id, control_id, point_id, northing, easting,
+    elevation.  Shots within ``tolerance`` of each other (and ``vertical``,
+    where both have heights) form clusters.  In a cluster with several controls
+    the one that most shots name is the majority, if it has two and more than
+    any other; without one the cluster is a conflict.  A shot of another
+    control takes the majority's id with its own letter if no shot there, or
+    earlier by observation id, has it.  ``reviews`` (observation_id, status,
+    assigned_control_id, assigned_point_id) go before all that.
+    """
+    from plumbline.functions import ids
+    from plumbline.operators.graph import connected_components
+    from plumbline.operators.surfaces import clusters, grid_pairs
+
+    if vertical is None:
+        found = clusters(obs, tolerance, "observation_id")
+    else:
+        found = connected_components(grid_pairs(obs, tolerance, "observation_id").where(F.col("dz").isNull() | (F.abs("dz") <= vertical)), "id_a", "id_b")
+    base = ids.base_control_id(F.coalesce(F.nullif(F.trim("control_id"), F.lit("")), F.col("point_id")))
+    rows = obs.withColumn("base", base).join(found.select(F.col("node").alias("observation_id"), "component"), "observation_id", "left")
+    votes = rows.where("component is not null").groupBy("component", "base").agg(F.count(F.lit(1)).alias("n"), F.avg("northing").alias("mid_n"), F.avg("easting").alias("mid_e"), F.collect_set(ids.shot_suffix(F.col("point_id"), F.col("base"))).alias("letters"))
+    w = Window.partitionBy("component").orderBy(F.col("n").desc(), "base")
+    ranked = votes.withColumns({"rank": F.row_number().over(w), "second": F.lead("n").over(w), "bases": F.count(F.lit(1)).over(Window.partitionBy("component"))}).where("rank = 1 and bases > 1")
+    clear = (F.col("n") >= 2) & (F.col("n") > F.col("second"))
+    ranked = ranked.select("component", F.when(clear, F.col("base")).otherwise("").alias("majority"), "mid_n", "mid_e", "letters")
+    none = F.lit(None).cast("string")
+    judged = reviews.select("observation_id", F.upper("status").alias("review"), "assigned_control_id", "assigned_point_id") if reviews is not None else obs.limit(0).select("observation_id", none.alias("review"), none.alias("assigned_control_id"), none.alias("assigned_point_id"))
+    rows = rows.join(ranked, "component", "left").join(judged, "observation_id", "left").withColumn("letter", ids.shot_suffix(F.col("point_id"), F.col("base")))
+    other = F.coalesce((F.col("majority") != "") & (F.col("base") != F.col("majority")), F.lit(False))
+    decided = other & F.coalesce(F.col("review").isin("CONFIRMED", "REASSIGNED", "REJECTED"), F.lit(False))
+    free = other & ~decided & (F.col("letter") != "") & ~F.array_contains("letters", F.col("letter"))
+    rows = rows.withColumns({"other": other, "decided": decided, "free": F.coalesce(free, F.lit(False))})
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("component", "letter", "free").orderBy("observation_id")))
+    taken = F.col("free") & (F.col("turn") == 1)
+    manual = F.col("decided") & (F.col("review") != "REJECTED")
+    suggested = F.when(F.col("letter") != "", F.concat("majority", "letter"))
+    flag = (
+        F.when(manual, "MANUAL_GROUPING").when(F.col("decided"), "PROBABLE_MISNUMBER_REJECTED").when(taken, "PROBABLE_MISNUMBER").when(F.col("other") | (F.col("majority") == ""), "SPATIAL_ID_CONFLICT")
+    )
+    source = F.when(manual, "MANUAL").when(F.col("decided"), "MANUAL_REJECT").when(taken, "SPATIAL_INFERENCE").otherwise("POINT_ID")
+    away = F.when(F.col("other"), F.sqrt((F.col("northing") - F.col("mid_n")) ** 2 + (F.col("easting") - F.col("mid_e")) ** 2))
+    return rows.select(
+        "observation_id", F.when(manual, F.coalesce("assigned_control_id", "majority")).when(taken, F.col("majority")).otherwise(F.col("base")).alias("control_id"),
+        F.when(manual, F.coalesce("assigned_point_id", suggested, "point_id")).when(taken, suggested).otherwise(F.col("point_id")).alias("point_id"), source.alias("source"), flag.alias("flag"), away.alias("distance"),
+    )

@@ -198,3 +198,32 @@ def curve_stakes(curves: DataFrame, interval: float) -> DataFrame:
     rows = curves.select("curve_id", "pc_station", "radius", F.explode(F.concat(F.array("pc_station"), full, F.array(end))).alias("station"))
     half = (F.col("station") - F.col("pc_station")) / (2 * F.col("radius"))
     return rows.select("curve_id", "station", F.degrees(half).alias("deflection_deg"), (2 * F.col("radius") * F.sin(half)).alias("chord"))
+
+
+def points_at_stations(elements: DataFrame, stations: DataFrame, key: str = "alignment_id", order: str = "seq") -> DataFrame:
+    """Coordinates and tangent azimuth at each station of an alignment; nulls where the station is beyond its ends.
+
+    ``elements`` are those of ``horizontal_alignment`` with kind, radius and
+    direction; a station where two meet belongs to the first.
+    """
+    names = ["start_station", "end_station", "start_n", "start_e", "azimuth_in", "kind", "radius", "direction"]
+    part = F.struct(F.col(order).alias("element"), *names)
+    both = elements.select(key, F.col("start_station").alias("_at"), F.lit(None).cast("double").alias("station"), part.alias("_part")).unionByName(
+        stations.select(key, (F.col("station") - 1e-9).alias("_at"), F.col("station").cast("double").alias("station")), allowMissingColumns=True
+    )
+    w = Window.partitionBy(key).orderBy("_at", F.col("station").isNull())
+    before = F.last("_part", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_part", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    first = both.withColumn("_e", F.coalesce(before, after)).where("station is not null").select(key, "station", "_e.*")
+    inside = (F.col("station") >= F.col("start_station") - 1e-9) & (F.col("station") <= F.col("end_station") + 1e-9)
+    run = F.greatest(F.lit(0.0), F.least(F.col("station"), F.col("end_station")) - F.col("start_station"))
+    curve = F.col("kind") == "curve"
+    sweep = F.when(curve, run / F.col("radius")).otherwise(0.0)
+    sign = F.when(F.col("direction") == "LEFT", -1.0).otherwise(1.0)
+    chord = F.when(curve, 2 * F.col("radius") * F.sin(sweep / 2)).otherwise(run)
+    along = F.radians("azimuth_in") + sign * sweep / 2
+    value = lambda c: F.when(inside, c)
+    return first.select(
+        key, "station", value(F.col("start_n") + chord * F.cos(along)).alias("northing"), value(F.col("start_e") + chord * F.sin(along)).alias("easting"),
+        value(F.pmod(F.col("azimuth_in") + sign * F.degrees(sweep), F.lit(360.0))).alias("azimuth"), value(F.col("element")).alias("element"),
+    )

@@ -200,3 +200,43 @@ def crossings(segments: DataFrame, cell: float) -> DataFrame:
     d3, d4 = turn("n1_b", "e1_b", "n2_b", "e2_b", "n1_a", "e1_a"), turn("n1_b", "e1_b", "n2_b", "e2_b", "n2_a", "e2_a")
     pairs = side("a").join(side("b"), "cell").where("seq_a < seq_b").where((d1 * d2 < 0) & (d3 * d4 < 0))
     return pairs.select("seq_a", "seq_b").distinct()
+
+
+def slope_catch(ground: DataFrame, design: DataFrame, centre: DataFrame, key: str = "section_id") -> DataFrame:
+    """Where the outer slope of a design template, carried on, meets the ground: one row a section and side.
+
+    ``ground`` has offset and elevation, ``design`` offset and
+    relative_elevation (to the section's ``elevation`` in ``centre``).  A side
+    needs two template points; where nothing is met the ground's edge is used
+    and the row is extrapolated.
+    """
+    side = F.explode(F.array(F.lit("LEFT"), F.lit("RIGHT")))
+    own = design.withColumn("side", side).where(F.when(F.col("side") == "LEFT", F.col("offset") <= 0).otherwise(F.col("offset") >= 0))
+    out = F.when(F.col("side") == "LEFT", -F.col("offset")).otherwise(F.col("offset"))
+    rank = F.row_number().over(Window.partitionBy(key, "side").orderBy(out.desc()))
+    at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    edge = own.withColumn("k", rank).where("k <= 2").groupBy(key, "side").agg(at(1, "offset").alias("outer"), at(1, "relative_elevation").alias("z1"), at(2, "offset").alias("inner"), at(2, "relative_elevation").alias("z2")).where("inner is not null")
+    edge = edge.join(centre.select(key, F.col("elevation").alias("centre")), key).select(key, "side", "outer", (F.col("centre") + F.col("z1")).alias("outer_z"), ((F.col("z1") - F.col("z2")) / (F.col("outer") - F.col("inner"))).alias("slope"))
+    w = Window.partitionBy(key).orderBy("offset")
+    seg = ground.select(key, F.col("offset").alias("a"), F.col("elevation").alias("za"), F.lead("offset").over(w).alias("b"), F.lead("elevation").over(w).alias("zb"))
+    ground_slope = (F.col("zb") - F.col("za")) / (F.col("b") - F.col("a"))
+    meet = (F.col("za") - ground_slope * F.col("a") - F.col("outer_z") + F.col("slope") * F.col("outer")) / (F.col("slope") - ground_slope)
+    right = F.col("side") == "RIGHT"
+    hits = edge.join(seg.where("b is not null"), key).where(F.abs(F.col("slope") - ground_slope) > 1e-12).withColumn("at", meet)
+    hits = hits.where((F.col("at") >= F.col("a") - 1e-9) & (F.col("at") <= F.col("b") + 1e-9) & F.when(right, F.col("at") >= F.col("outer") - 1e-9).otherwise(F.col("at") <= F.col("outer") + 1e-9))
+    first = hits.groupBy(key, "side").agg(F.min_by("at", F.when(right, F.col("a")).otherwise(-F.col("a"))).alias("at"))
+    ends = ground.groupBy(key).agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
+    rows = edge.join(ends, key).join(first, [key, "side"], "left")
+    offset = F.coalesce("at", F.when(right, F.col("last")).otherwise(F.col("first")))
+    return rows.select(key, "side", offset.alias("offset"), (F.col("outer_z") + F.col("slope") * (offset - F.col("outer"))).alias("elevation"), "slope", F.col("at").isNull().alias("extrapolated"))
+
+
+def grade_profile(points: DataFrame, key: str = "section_id", value: str = "elevation") -> DataFrame:
+    """Profile points with finite offset and value; a section with under two of them, or with an offset twice, raises."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < F.lit(float("inf")))
+    w = Window.partitionBy(key)
+    rows = points.withColumns({"_ok": finite("offset") & finite(value), "_gap": F.col("offset") - F.lag("offset").over(w.orderBy("offset"))})
+    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(w), "_bad": F.bool_or(~F.col("_ok")).over(w), "_same": F.min("_gap").over(w)})
+    fault = F.when(F.col("_bad"), "values must be finite").when(F.col("_n") < 2, "a profile requires at least two points").when(F.col("_same") <= 1e-12, "profile offsets must be unique")
+    checked = F.when(fault.isNotNull(), F.raise_error(F.concat_ws(": ", F.lit("section"), F.col(key).cast("string"), fault)).cast("double")).otherwise(F.col("offset"))
+    return rows.withColumn("offset", checked).drop("_ok", "_gap", "_n", "_bad", "_same")

@@ -156,6 +156,29 @@ def f15(spark, sf):
     return sequential.horizontal_alignment(rows, 1000.0, 2000.0, 45.0, 500.0, "user_id", "seq")
 
 
+_ALIGNED = f"""WITH t AS (SELECT *, CASE WHEN kind = 'curve' THEN CASE direction WHEN 'LEFT' THEN -delta_deg ELSE delta_deg END ELSE 0 END AS turn, CASE WHEN kind = 'curve' THEN radius * radians(delta_deg) ELSE length END AS run,
+        CASE WHEN kind = 'curve' THEN 2 * radius * sin(radians(delta_deg) / 2) ELSE length END AS chord FROM {_ELEMENTS}),
+    a AS (SELECT *, 45 + sum(turn) OVER w AS azo FROM t WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+    d AS (SELECT *, chord * cos(radians(azo - turn / 2)) AS dn, chord * sin(radians(azo - turn / 2)) AS de FROM a),
+    e AS (SELECT *, 1000 + sum(dn) OVER w - dn AS sn, 2000 + sum(de) OVER w - de AS se, 500 + sum(run) OVER w AS es FROM d WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(
+    "i47_point_at_station",
+    _ALIGNED
+    + f""", s AS (SELECT DISTINCT user_id, CAST(k * 777.7 + 500 AS DOUBLE) AS station FROM events, (VALUES (0), (1), (2), (3), (400)) v(k)),
+    h AS (SELECT s.user_id, station, seq AS element, station - (es - run) AS x, kind, radius, direction, azo - turn AS azi, sn, se, row_number() OVER (PARTITION BY s.user_id, station ORDER BY seq) AS j FROM s JOIN e ON e.user_id = s.user_id AND station >= es - run - 1e-9 AND station <= es + 1e-9),
+    q AS (SELECT *, CASE WHEN kind = 'curve' THEN x / radius ELSE 0 END AS sweep, CASE WHEN direction = 'LEFT' THEN -1 ELSE 1 END AS sign FROM h WHERE j = 1), p AS (SELECT *, CASE WHEN kind = 'curve' THEN 2 * radius * sin(sweep / 2) ELSE x END AS c, radians(azi) + sign * sweep / 2 AS al, azi + sign * degrees(sweep) AS az FROM q)
+    SELECT s.user_id, {r('s.station')} AS station, {r('sn + c * cos(al)', 3)} AS northing, {r('se + c * sin(al)', 3)} AS easting, {r('az - 360 * floor(az / 360)', 3)} AS azimuth, element FROM s LEFT JOIN p ON p.user_id = s.user_id AND p.station = s.station""",
+)
+def i47(spark, sf):
+    """Five stations of each alignment, one of them beyond its end."""
+    own = table(spark, sf, "events").selectExpr("user_id", "event_id AS seq", "CASE WHEN event_type IN ('click', 'view') THEN 'curve' ELSE 'tangent' END AS kind", f"50 + value * {FOOT} AS radius", "CASE WHEN event_type = 'click' THEN 'LEFT' ELSE 'RIGHT' END AS direction")
+    stations = table(spark, sf, "events").select("user_id").distinct().withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2, 3, 400))))).selectExpr("user_id", "CAST(k * 777.7 + 500 AS DOUBLE) AS station")
+    out = sequential.points_at_stations(f15(spark, sf).join(own, ["user_id", "seq"]), stations, "user_id", "seq")
+    return out.select("user_id", "station", *[F.round(c, 3).alias(c) for c in ("northing", "easting", "azimuth")], "element")
+
+
 @query(
     "i45_stakes",
     f"""WITH c AS (SELECT p_partkey AS curve_id, 1000 + p_retailprice * {FOOT_SQL} AS pc, 100 + p_size * {FOOT_SQL} AS radius, 20 + p_size * {FOOT_SQL} AS delta FROM part), e AS (SELECT *, pc + radius * radians(delta) AS pt FROM c),

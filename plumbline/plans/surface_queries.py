@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import cogo, measures
-from plumbline.operators import evidence, networks, surfaces
+from plumbline.operators import control, evidence, networks, surfaces
 from plumbline.operators.scalars import attach
 from plumbline.plans.bindings import FOOT, FOOT_SQL, PLACES, places, query, r, table
 
@@ -169,6 +169,27 @@ def e22(spark, sf):
     return surfaces.cut_fill(g, d)
 
 
+_TERRAIN = f"(SELECT user_id AS section_id, CAST(event_id % 81 - 40 AS DOUBLE) AS o, max(value) * {FOOT_SQL} / 10 AS z FROM events GROUP BY 1, 2)"
+
+
+@query(
+    "i48_slope_catch",
+    f"""WITH g AS {_TERRAIN}, s AS (SELECT section_id, o AS a, z AS za, lead(o) OVER w AS b, lead(z) OVER w AS zb FROM g WINDOW w AS (PARTITION BY section_id ORDER BY o)),
+    e AS (SELECT DISTINCT user_id AS section_id, side, outr, CAST(user_id % 7 AS DOUBLE) + z1 AS z, (z1 - z2) / (outr - innr) AS m FROM events, (VALUES ('LEFT', CAST(-3 AS DOUBLE), CAST(-1.5 AS DOUBLE), CAST(-2 AS DOUBLE), CAST(0.1 AS DOUBLE)), ('RIGHT', 3, -1.1, 2, 0.2)) v(side, outr, z1, innr, z2)),
+    h AS (SELECT e.*, a, (za - (zb - za) / (b - a) * a - z + m * outr) / (m - (zb - za) / (b - a)) AS x, b FROM e JOIN s USING (section_id) WHERE b IS NOT NULL AND abs(m - (zb - za) / (b - a)) > 1e-12),
+    k AS (SELECT section_id, side, arg_min(x, CASE WHEN side = 'RIGHT' THEN a ELSE -a END) AS x FROM h WHERE x >= a - 1e-9 AND x <= b + 1e-9 AND CASE WHEN side = 'RIGHT' THEN x >= outr - 1e-9 ELSE x <= outr + 1e-9 END GROUP BY ALL),
+    n AS (SELECT section_id, min(o) AS lo, max(o) AS hi FROM g GROUP BY 1), f AS (SELECT e.*, x, coalesce(x, CASE WHEN side = 'RIGHT' THEN hi ELSE lo END) AS p FROM e JOIN n USING (section_id) LEFT JOIN k USING (section_id, side))
+    SELECT section_id, side, {r('p', 3)} AS "offset", {r('z + m * (p - outr)', 3)} AS elevation, {r('m')} AS slope, x IS NULL AS extrapolated FROM f""",
+)
+def i48(spark, sf):
+    ev = table(spark, sf, "events")
+    ground = ev.groupBy(F.expr("user_id AS section_id"), F.expr("CAST(event_id % 81 - 40 AS DOUBLE) AS offset")).agg(F.expr(f"max(value) * {FOOT} / 10 AS elevation"))
+    users = ev.selectExpr("user_id AS section_id").distinct()
+    design = users.withColumn("p", F.explode(F.array(*[F.struct(F.lit(o).alias("offset"), F.lit(z).alias("relative_elevation")) for o, z in ((-3.0, -1.5), (-2.0, 0.1), (0.0, 0.4), (2.0, 0.2), (3.0, -1.1))]))).select("section_id", "p.*")
+    out = surfaces.slope_catch(surfaces.grade_profile(ground), design, users.selectExpr("section_id", "CAST(section_id % 7 AS DOUBLE) AS elevation"))
+    return out.select("section_id", "side", F.round("offset", 3).alias("offset"), F.round("elevation", 3).alias("elevation"), "slope", "extrapolated")
+
+
 _NEAR = f"(SELECT a.point_id AS id_a, b.point_id AS id_b, sqrt((a.northing - b.northing) ** 2 + (a.easting - b.easting) ** 2) AS distance, b.elevation - a.elevation AS dz FROM {PLACES} a JOIN {PLACES} b ON a.point_id < b.point_id WHERE sqrt((a.northing - b.northing) ** 2 + (a.easting - b.easting) ** 2) <= 20)"
 _BOTH = f"(SELECT id_a AS point, id_b AS neighbour, distance, dz FROM {_NEAR} UNION ALL SELECT id_b, id_a, distance, -dz FROM {_NEAR})"
 
@@ -187,6 +208,22 @@ def d1_components(spark, sf):
     return surfaces.clusters(places(spark, sf), 8.0)
 
 
+@query(
+    "d1_regroup",
+    f"""WITH RECURSIVE e AS (SELECT point AS a, neighbour AS b FROM {_BOTH} WHERE distance <= 14), t(node, other) AS (SELECT a, b FROM e UNION SELECT t.node, e.b FROM t JOIN e ON t.other = e.a), c AS (SELECT node, least(node, min(other)) AS component FROM t GROUP BY node),
+    o AS (SELECT point_id AS id, northing AS n, easting AS e, (100 + point_id // 2 % 3) || '' AS base, chr(CAST(65 + point_id % 5 AS INTEGER)) AS letter FROM {PLACES}), q AS (SELECT o.*, component FROM o LEFT JOIN c ON c.node = o.id),
+    v AS (SELECT component, base, count(*) AS k, avg(n) AS mn, avg(e) AS me, list(letter) AS letters FROM q WHERE component IS NOT NULL GROUP BY ALL), w AS (SELECT *, row_number() OVER p AS rank, lead(k) OVER p AS second, count(*) OVER (PARTITION BY component) AS bases FROM v WINDOW p AS (PARTITION BY component ORDER BY k DESC, base)),
+    m AS (SELECT component, CASE WHEN k >= 2 AND k > second THEN base ELSE '' END AS majority, mn, me, letters FROM w WHERE rank = 1 AND bases > 1),
+    x AS (SELECT q.*, majority, mn, me, coalesce(majority <> '' AND base <> majority, false) AS other, coalesce(majority <> '' AND base <> majority AND NOT list_contains(letters, letter), false) AS free FROM q LEFT JOIN m USING (component)),
+    y AS (SELECT *, free AND row_number() OVER (PARTITION BY component, letter, free ORDER BY id) = 1 AS taken FROM x)
+    SELECT id AS observation_id, CASE WHEN taken THEN majority ELSE base END AS control_id, CASE WHEN taken THEN majority ELSE base END || letter AS point_id, CASE WHEN taken THEN 'SPATIAL_INFERENCE' ELSE 'POINT_ID' END AS source,
+        CASE WHEN taken THEN 'PROBABLE_MISNUMBER' WHEN other OR majority = '' THEN 'SPATIAL_ID_CONFLICT' END AS flag, {r('CASE WHEN other THEN sqrt((n - mn) ** 2 + (e - me) ** 2) END')} AS distance FROM y""",
+)
+def d1_regroup(spark, sf):
+    obs = places(spark, sf).selectExpr("point_id AS observation_id", "CAST(NULL AS STRING) AS control_id", "concat(100 + point_id div 2 % 3, chr(65 + point_id % 5)) AS point_id", "northing", "easting", "elevation")
+    return control.regroup(obs, 14.0)
+
+
 @query("g3_six_nearest", f"SELECT point, CAST(k AS INTEGER) AS place, neighbour, {r('distance')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY distance, neighbour) AS k FROM {_BOTH}) WHERE k <= 6")
 def g3(spark, sf):
     return surfaces.nearest_neighbours(places(spark, sf), 20.0)

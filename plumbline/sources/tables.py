@@ -17,17 +17,29 @@ ALIASES = {
 }
 
 
+#: Header spellings of the staging scan.
+STAGING_ALIASES = {
+    "point_id": ("point_id", "point", "pt", "ptno", "pnt", "pn", "pointnumber", "point_number", "name"),
+    "northing": ("northing", "north", "n", "y", "y_coord", "ycoord"),
+    "easting": ("easting", "east", "e", "x", "x_coord", "xcoord"),
+    "elevation": ("elevation", "elev", "z", "height", "rl"),
+    "description": ("description", "desc", "code", "feature", "feature_code", "d"),
+}
+
+
 def _mapping(columns: list[str], strict: bool) -> dict[str, str]:
     """Canonical name to column: the first alias that occurs; strictly, two aliases of one name are an error."""
     import re
 
     keys: dict[str, list[str]] = {}
     for c in columns:
-        keys.setdefault(re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", c.strip("﻿ ").lower())), []).append(c)
+        low = c.strip("\ufeff ").lower()
+        key = re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", low)) if strict else re.sub(r"\W", "", low.replace("-", "_").replace(" ", "_"))
+        keys.setdefault(key, []).append(c)
     if strict and any(len(v) > 1 for v in keys.values()):
         raise ValueError("a header occurs twice")
     found = {}
-    for name, aliases in ALIASES.items():
+    for name, aliases in (ALIASES if strict else STAGING_ALIASES).items():
         hits = [keys[a][0] for a in aliases if a in keys]
         if strict and len(hits) > 1:
             raise ValueError(f"{name} is ambiguous: {hits}")

@@ -94,5 +94,5 @@ def arrow_files(uri: str):
 
     scheme, _, rest = uri.partition("://")
     if not rest:
-        return fs.LocalFileSystem(), uri
+        return fs.LocalFileSystem(), uri.removeprefix("file:")
     return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
