@@ -69,3 +69,13 @@ def test_a_hash_collision_is_told_apart_by_bytes(spark, monkeypatch):
 def test_random_tables(spark, rows):
     docs = spark.createDataFrame([(i, t, "", 0) for i, t in rows], SCHEMA)
     assert collected(exact_dedup.exact_duplicates(docs)) == brute(rows)
+
+
+def test_long_texts_and_equal_ids(spark):
+    """Texts of a million characters that differ in one; rows of one id are kept apart by 128 bits of their texts."""
+    long = "ab c\n" * 250_000
+    rows = [(1, long), (2, long + " "), (3, long + "x"), (3, "other"), (None, "other"), (None, "alone"), (4, None), (5, " \t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("raw_1", F.lit("clash")).withColumn("kept", F.lit(1))
+    out = exact_dedup.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, (r.text or "")[-3:]) for r in out.collect()), key=repr) == sorted([(2, "c\n "), (3, "c\nx"), (3, "her"), (None, "one"), (5, " \t")], key=repr)
