@@ -124,3 +124,25 @@ def suggested_role(description: Column) -> Column:
     """The first role whose words a description has; ``unknown`` for none and for null."""
     text = F.lower(F.coalesce(description, F.lit("")))
     return F.coalesce(*[F.when(text.rlike(words), role) for role, words in ROLE_WORDS], F.lit("unknown"))
+
+
+#: Words of a file name that tell its role, and that a page number follows.
+ROLE_TOKENS = (
+    "survey", "surveys", "points", "point", "pts", "raw", "data", "coords", "coordinates", "fieldbook", "fieldbooks", "field", "book", "books", "fb", "notes", "note", "scan", "scans", "photo", "photos", "image", "images", "img",
+    "export", "input",
+)
+PAGE_TOKENS = ("page", "pg", "p")
+
+
+def job_key(filename: Column) -> Column:
+    """Words and numbers of a file name without those that tell a role or a page: what files of one job share.
+
+    A number of up to four digits goes if the word before it (role words
+    aside) is a page word.
+    """
+    stem = F.regexp_replace(F.regexp_replace(F.lower(filename), r"^.*[/\\\\]", ""), r"(?<=.)\.[^.]*$", "")
+    words = F.filter(F.regexp_extract_all(stem, F.lit(r"([a-z]+|[0-9]+)"), F.lit(1)), lambda w: ~w.isin(*ROLE_TOKENS))
+    page = lambda w: w.isin(*PAGE_TOKENS)
+    before = lambda i: F.coalesce(F.get(words, i - 1), F.lit(""))
+    keep = F.filter(words, lambda w, i: ~page(w) & ~(w.rlike("^[0-9]{1,4}$") & page(before(i))))
+    return F.array_join(keep, " ")
