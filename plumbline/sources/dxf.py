@@ -1,15 +1,18 @@
-"""ASCII DXF drawings as a Spark data source: one row an entity, one partition a file."""
+"""ASCII DXF drawings: one row an entity, read as a stream of group lines and given out in Arrow batches."""
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-_ENTITY = "layer string, kind string, xs array<double>, ys array<double>, zs array<double>"
+_ENTITY = "path string, layer string, kind string, xs array<double>, ys array<double>, zs array<double>"
+_ROWS = 4096
 
 
 @dataclass
@@ -28,12 +31,12 @@ class _Entity:
         return next((v for c, v in self.groups if c == 8), "0")
 
 
-def _entities(text: str) -> Iterator[_Entity]:
-    lines = text.splitlines()
-    pairs = [(int(a.strip()), b.strip()) for a, b in zip(lines[::2], lines[1::2])]
-    inside, current = False, None
-    for i, (code, value) in enumerate(pairs):
-        if code == 2 and i and pairs[i - 1] == (0, "SECTION"):
+def _entities(lines: Iterator[str]) -> Iterator[_Entity]:
+    """Entities of the ENTITIES section; one is in memory at a time."""
+    inside, current, before = False, None, None
+    for code, value in zip(lines, lines):
+        code, value = int(code.strip()), value.strip()
+        if code == 2 and before == (0, "SECTION"):
             inside = value == "ENTITIES"
         elif code == 0:
             if current is not None:
@@ -42,6 +45,7 @@ def _entities(text: str) -> Iterator[_Entity]:
             inside = inside and value != "ENDSEC"
         elif current is not None:
             current.groups.append((code, value))
+        before = (code, value)
 
 
 def _arc_steps(sweep: float) -> int:
@@ -74,16 +78,27 @@ def dxf_entities(spark: SparkSession, pattern: str):
     that Spark reads; each is parsed in one task.
     """
 
-    @F.udtf(returnType=_ENTITY)
-    class Parse:
-        def eval(self, content: bytes):
-            for e in _entities(content.decode("utf-8", "replace")):
-                xyz = _geometry(e)
-                yield (e.layer, e.kind, *(xyz if xyz is not None else (None, None, None)))
-
-    spark.udtf.register("plumbline_dxf", Parse)
-    spark.read.format("binaryFile").load(pattern).select("path", "content").createOrReplaceTempView("plumbline_dxf_files")
-    return spark.sql("SELECT f.path, t.* FROM plumbline_dxf_files f, LATERAL plumbline_dxf(f.content) t")
+    def run(batches):
+        rows: list[tuple] = []
+
+        def taken():
+            names = [f.split()[0] for f in _ENTITY.split(", ")]
+            kinds = [*[pa.string()] * 3, *[pa.list_(pa.float64())] * 3]
+            columns = list(zip(*rows)) or [()] * 6
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            rows.clear()
+            return batch
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                lines = io.TextIOWrapper(io.BufferedReader(pa.BufferReader(content.as_buffer())), "utf-8", "replace")
+                for e in _entities(iter(lines)):
+                    rows.append((path, e.layer, e.kind, *(_geometry(e) or (None, None, None))))
+                    if len(rows) >= _ROWS:
+                        yield taken()
+        yield taken()
+
+    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(run, _ENTITY)
 
 
 def segments(entities):

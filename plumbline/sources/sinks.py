@@ -49,3 +49,40 @@ def write_landxml(points: DataFrame, path: str, places: int = 4) -> None:
     text = F.concat_ws(" ", fixed(F.col("northing"), places), fixed(F.col("easting"), places), F.when(F.col("elevation").isNotNull(), fixed(F.col("elevation"), places)))
     rows = points.select(F.col("point_id").cast("string").alias("_name"), F.coalesce("description", F.lit("")).alias("_code"), text.alias("_VALUE"))
     rows.write.format("xml").option("rootTag", "CgPoints").option("rowTag", "CgPoint").save(path)
+
+
+def kml(points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``value``: one KML placemark a line, for points with longitude and latitude."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    place = F.concat_ws(",", F.col(lon).cast("string"), F.col(lat).cast("string"), F.coalesce(F.col("elevation"), F.lit(0.0)).cast("string"))
+    shown = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    return shown.select(F.concat(F.lit("<Placemark><name>"), safe("point_id"), F.lit("</name><description>"), safe("description"), F.lit("</description><Point><coordinates>"), place, F.lit("</coordinates></Point></Placemark>")).alias("value"))
+
+
+def write_kml(points: DataFrame, path: str) -> None:
+    """Write placemarks as part files that ``tables.kml_points`` reads; each file is a list of placemarks."""
+    kml(points).write.text(path)
+
+
+def dxf_points(points: DataFrame) -> DataFrame:
+    """``value``: the group lines of one POINT entity a row, on the layer of the point's description; a drawing needs a section head and end around them."""
+    layer = F.coalesce(F.nullif(F.regexp_replace(F.trim(F.coalesce("description", F.lit(""))), r"[^A-Za-z0-9_-]+", "_"), F.lit("")), F.lit("0"))
+    number = lambda c: F.format_string("%.6f", F.coalesce(F.col(c), F.lit(0.0)))
+    return points.select(F.concat_ws("\n", F.lit("0"), F.lit("POINT"), F.lit("8"), layer, F.lit("10"), number("easting"), F.lit("20"), number("northing"), F.lit("30"), number("elevation")).alias("value"))
+
+
+def project_map(points: DataFrame, structures: DataFrame, controls: DataFrame) -> DataFrame:
+    """``value``: one GeoJSON feature a line for every survey point, structure and control that has a place; what each knows beside it are its properties."""
+    place = F.struct(F.lit("Point").alias("type"), F.array("easting", "northing").alias("coordinates"))
+
+    def features(rows: DataFrame, kind: str, key: str) -> DataFrame:
+        rest = [c for c in rows.columns if c not in ("northing", "easting", key)]
+        properties = F.struct(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), *rest)
+        return rows.where("northing is not null and easting is not null").select(F.to_json(F.struct(F.lit("Feature").alias("type"), place.alias("geometry"), properties.alias("properties"))).alias("value"))
+
+    return features(points, "survey_point", "point_id").unionByName(features(structures, "utility_structure", "structure_id")).unionByName(features(controls, "control", "control_id"))
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """Write any flat table (structures, pipes, edges, reviews, control results) as csv part files; texts that a spreadsheet would read as formulas are made safe."""
+    rows.select(*[csv_safe(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes]).write.csv(path, header=True)

@@ -5,6 +5,8 @@ import struct
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.sources import dxf, las, sinks, tables
 
 
@@ -116,3 +118,22 @@ def test_source_registration(spark, tmp_path):
         put(tmp_path / name, text)
     rows = tables.register_sources(spark, f"{tmp_path}/*.bin").collect()
     assert sum(r.path != r.original for r in rows) == 1
+
+
+def test_map_and_table_sinks(spark, tmp_path):
+    import json
+
+    points = spark.createDataFrame([("1", 10.0, 20.0, None, "MH <a> & b"), ("2", None, 1.0, None, None), ("=3", 5.0, 6.0, 7.0, "=x")], "point_id string, northing double, easting double, elevation double, description string")
+    found = [json.loads(r.value) for r in sinks.project_map(points, points.select(F.col("point_id").alias("structure_id"), "northing", "easting"), points.limit(0).withColumnRenamed("point_id", "control_id")).collect()]
+    assert sorted((f["properties"]["kind"], f["properties"]["id"], f["geometry"]["coordinates"]) for f in found) == [
+        ("survey_point", "1", [20.0, 10.0]), ("survey_point", "=3", [6.0, 5.0]), ("utility_structure", "1", [20.0, 10.0]), ("utility_structure", "=3", [6.0, 5.0]),
+    ]
+    sinks.write_table(points, f"{tmp_path}/t")
+    assert {r.description for r in spark.read.csv(f"{tmp_path}/t", header=True).collect()} == {"MH <a> & b", None, "'=x"}
+    geo = points.selectExpr("point_id", "easting AS lon", "northing AS lat", "elevation", "description")
+    sinks.write_kml(geo, f"{tmp_path}/k")
+    assert sorted((r.name, r.lon, r.lat) for r in tables.kml_points(spark, f"{tmp_path}/k").collect()) == [("1", 20.0, 10.0), ("=3", 6.0, 5.0)]
+    body = "\n".join(r.value for r in sinks.dxf_points(points.where("northing is not null")).collect())
+    drawing = tmp_path / "d.dxf"
+    drawing.write_text(f"0\nSECTION\n2\nENTITIES\n{body}\n0\nENDSEC\n0\nEOF\n")
+    assert sorted((r.layer, r.xs[0], r.ys[0]) for r in dxf.dxf_entities(spark, str(drawing)).collect()) == [("MH_a_b", 20.0, 10.0), ("_x", 6.0, 5.0)]
