@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.cells import around_keys, cell_key
 
 #: Rows to a bucket of the event groups.
 START_BUCKET = 1 << 16
@@ -162,3 +163,109 @@ def corrected_points(points: DataFrame, corrections: DataFrame, key: str = "poin
     per = corrections.groupBy(key).agg(F.min("correction").alias("low"), F.max("correction").alias("high"))
     value = F.when(F.col("high") - F.col("low") > 1e-9, F.raise_error(F.concat(F.lit("corrections differ at "), F.col(key).cast("string"))).cast("double")).otherwise(F.col("low"))
     return points.join(per.select(key, value.alias("correction")), key, "left").withColumn("elevation", F.col("elevation") + F.coalesce("correction", F.lit(0.0))).drop("correction")
+
+
+@dataclass(frozen=True)
+class Correlation:
+    """Limits within which events are one candidate, in the units of the data."""
+
+    rows: int = 12
+    tolerance: float = 0.10
+    distance: float = 150.0
+    hazard_radius: float = 25.0
+
+
+def correlated(events: DataFrame, limits: Correlation = Correlation(), run: str = "run_id") -> DataFrame:
+    """``events`` with ``grp``: each event, in order of its first row, joins the newest group that it fits, or begins one.
+
+    It fits a group whose first event began at most ``rows`` before, whose
+    last row isn't more than ``rows`` before it, that has no event of its
+    chain, begins within ``distance`` of it, and of which every shift is within
+    ``tolerance`` of its own.  Events have chain_id, first_seq, last_seq,
+    shift, northing and easting (of their first row).  A run's events are
+    streamed in order; only groups that can still grow are held.
+    """
+    columns = [run, "first_seq", "last_seq", "chain_id", "shift", "northing", "easting"]
+    extra = [c for c in events.columns if c not in columns]
+    rows = events.select(*columns, *extra)
+    ordered = rows.repartition(run).sortWithinPartitions(run, "first_seq", "chain_id")
+
+    def group(batches):
+        at, groups, number = None, [], 0
+        for batch in batches:
+            out = []
+            for key, first, last, chain, shift, n, e in zip(*[batch.column(c).to_pylist() for c in range(7)]):
+                if at != (key,):
+                    at, groups, number = (key,), [], 0
+                groups = [g for g in groups if first - g["first"] <= limits.rows]
+                for g in reversed(groups):
+                    near = np.hypot(n - g["n"], e - g["e"]) <= limits.distance
+                    if near and first <= g["last"] + limits.rows and chain not in g["chains"] and shift - g["low"] <= limits.tolerance and g["high"] - shift <= limits.tolerance:
+                        break
+                else:
+                    number += 1
+                    g = {"id": number, "first": first, "last": last, "n": n, "e": e, "chains": set(), "low": shift, "high": shift}
+                    groups.append(g)
+                g["chains"].add(chain)
+                g["last"], g["low"], g["high"] = max(g["last"], last), min(g["low"], shift), max(g["high"], shift)
+                out.append(g["id"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "grp"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+    return ordered.mapInArrow(group, f"{kinds}, grp long")
+
+
+#: Points of the evidence score, and what hazards of each kind take away (the worst kind counts).
+SCORE = {"feature": 8, "features_most": 40, "constant": 25, "scattered": -40, "setup": 15, "surface": 10, "chains": 10}
+HAZARDS = {"discontinuity": -50, "ditch": -30, "creek": -30, "structure": -20}
+
+
+def rod_candidates(points: DataFrame, nodes: DataFrame, events: DataFrame, limits: Correlation = Correlation(), confirmed: bool = False, run: str = "run_id") -> DataFrame:
+    """One row a candidate: its rows, shift, scatter, evidence score, status, and a correction if it is ready.
+
+    ``points``: run_id, seq, northing, easting, role.  ``nodes``: run_id,
+    chain_id, seq, offset (from the grade before the shift), feature.
+    ``events``: as for ``correlated``, with recovered.  A setup among the
+    ``rows`` before an event, or at its first row, speaks for it.
+    SUPPRESSED: a hazard (discontinuity, ditch, creek, structure) lies within
+    the radius of a shifted point.  PROBABLE: the score is over 80, all events
+    recover, the scatter is within the tolerance, and every surface point in
+    the rows is shifted.  Ready for correction: PROBABLE, confirmed, and no
+    point in the rows without a role.
+    """
+    grouped = correlated(events, limits, run)
+    setups = points.where("role = 'setup'").select(run, "seq").distinct()
+    asked = grouped.select(run, "grp", F.explode(F.sequence(F.col("first_seq") - limits.rows, F.col("first_seq"))).alias("seq"))
+    setups = asked.join(setups, [run, "seq"]).select(run, "grp").distinct().withColumn("setup", F.lit(True))
+    w = Window.partitionBy(run, "chain_id").orderBy("_at", F.col("_node"))
+    part = F.struct("grp", "last_seq")
+    marks = grouped.select(run, "chain_id", F.col("first_seq").alias("_at"), F.lit(0).alias("_node"), part.alias("_e"))
+    members = nodes.select(run, "chain_id", F.col("seq").alias("_at"), F.lit(1).alias("_node"), "offset", "feature").unionByName(marks, allowMissingColumns=True)
+    members = members.withColumn("_e", F.last("_e", ignorenulls=True).over(w)).where("_node = 1 and _at <= _e.last_seq").select(run, F.col("_e.grp").alias("grp"), F.col("_at").alias("seq"), "offset", "feature")
+    shifted = members.groupBy(run, "grp").agg(F.avg("offset").alias("shift"), F.stddev_pop("offset").alias("scatter"), F.countDistinct("feature").alias("features"))
+    whole = grouped.groupBy(run, "grp").agg(
+        F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.count(F.lit(1)).alias("chains"), F.bool_and("recovered").alias("closed"),
+    )
+    own = members.select(run, "grp", "seq").distinct()
+    placed = own.join(points.select(run, "seq", "northing", "easting"), [run, "seq"])
+    around = F.explode(around_keys(F.col("northing"), F.col("easting"), limits.hazard_radius))
+    risky = points.where(F.col("role").isin(*HAZARDS)).select(run, "role", F.col("northing").alias("n2"), F.col("easting").alias("e2"), cell_key(F.col("northing"), F.col("easting"), limits.hazard_radius).alias("cell"))
+    close = F.sqrt((F.col("northing") - F.col("n2")) ** 2 + (F.col("easting") - F.col("e2")) ** 2) <= limits.hazard_radius
+    weight = F.create_map(*[x for k, v in HAZARDS.items() for x in (F.lit(k), F.lit(v))])[F.col("role")]
+    hazards = placed.withColumn("cell", around).join(risky, [run, "cell"]).where(close).groupBy(run, "grp").agg(F.min(weight).alias("hazard"))
+    rows = points.select(run, "seq", "role").where("role = 'surface' or role = 'unknown'")
+    spans = whole.select(run, "grp", F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
+    inside = spans.join(rows, [run, "seq"]).join(own.withColumn("_own", F.lit(True)), [run, "grp", "seq"], "left")
+    inside = inside.groupBy(run, "grp").agg(F.count_if((F.col("role") == "surface") & F.col("_own").isNull()).alias("conflicting"), F.count_if(F.col("role") == "unknown").alias("unknown"))
+    out = whole.join(shifted, [run, "grp"]).join(hazards, [run, "grp"], "left").join(setups, [run, "grp"], "left").join(inside, [run, "grp"], "left")
+    constant = F.col("scatter") <= limits.tolerance
+    score = (
+        F.least(F.lit(SCORE["features_most"]), SCORE["feature"] * F.col("features")) + F.when(constant, SCORE["constant"]).otherwise(SCORE["scattered"]) + F.when(F.col("setup"), SCORE["setup"]).otherwise(0) + SCORE["surface"]
+        + F.when(F.col("chains") >= 2, SCORE["chains"]).otherwise(0) + F.coalesce("hazard", F.lit(0))
+    )
+    out = out.withColumns({"score": F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long"), "conflicting": F.coalesce("conflicting", F.lit(0)), "unknown": F.coalesce("unknown", F.lit(0))})
+    probable = (F.col("score") > 80) & F.col("closed") & constant & (F.col("conflicting") == 0)
+    status = F.when(F.col("hazard").isNotNull(), "SUPPRESSED").when(probable, "PROBABLE").otherwise("REVIEW")
+    out = out.withColumn("status", status)
+    ready = (F.col("status") == "PROBABLE") & F.lit(confirmed) & (F.col("unknown") == 0)
+    return out.select(run, "grp", "first_seq", "last_seq", "chains", "features", "shift", "scatter", "conflicting", "unknown", "score", "status", F.when(ready, -F.col("shift")).alias("correction"))

@@ -204,3 +204,10 @@ def f8(spark, sf):
 def f10(spark, sf):
     """Events of all chains, grouped and scored."""
     return rodshift.event_groups(f8(spark, sf), 5)
+
+
+@query("f9_correlated")
+def f9(spark, sf):
+    """The events of ``f8_rod_events`` in runs of 500 rows, greedily grouped."""
+    events = f8(spark, sf).selectExpr("first_seq div 500 AS run_id", "chain_id", "first_seq", "last_seq", "shift", "first_seq * 10.0D AS northing", "chain_id * 5.0D AS easting")
+    return rodshift.correlated(events).select("run_id", "chain_id", "first_seq", "last_seq", "grp")

@@ -456,3 +456,47 @@ def test_code_match(spark):
     rules = spark.createDataFrame([(1, "EXACT", "DBL GI", "Double"), (2, "STARTS_WITH", "STM", "Storm"), (3, "CONTAINS", "MH", "Manhole")], "rule int, match string, pattern string, category string")
     pts = spark.createDataFrame([("1000", "dbl gi"), ("1001", "EP"), ("1002", "STM MH")], "point_id string, code string")
     assert {r.point_id: r.category for r in quality.match_codes(pts, rules).collect()} == {"1000": "Double", "1001": None, "1002": "Storm"}
+
+
+def test_events_are_correlated_greedily(spark):
+    """The newest group that fits, held against the rule written down over all groups."""
+    rnd = random.Random(12)
+    limits = rodshift.Correlation(rows=5, tolerance=0.2, distance=60.0)
+    rows = []
+    for run in ("a", "b", None):
+        for k in range(120):
+            first = rnd.randint(0, 150)
+            rows.append((run, first, first + rnd.randint(0, 8), rnd.randint(0, 4), round(rnd.choice((0.5, 1.0)) + rnd.uniform(-0.2, 0.2), 3), rnd.uniform(0, 100), rnd.uniform(0, 100), k))
+    frame = spark.createDataFrame(rows, "run_id string, first_seq int, last_seq int, chain_id int, shift double, northing double, easting double, k int").dropDuplicates(["run_id", "first_seq", "chain_id"])
+    got = {}
+    for r in rodshift.correlated(frame, limits).collect():
+        got.setdefault((r.run_id, r.grp), set()).add(r.k)
+    want = set()
+    for run in ("a", "b", None):
+        groups = []
+        for e in sorted((r for r in frame.collect() if r.run_id == run), key=lambda r: (r.first_seq, r.chain_id)):
+            for g in reversed(groups):
+                near = e.first_seq - min(x.first_seq for x in g) <= 5 and e.first_seq <= max(x.last_seq for x in g) + 5 and math.hypot(e.northing - g[0].northing, e.easting - g[0].easting) <= 60
+                if near and all(abs(e.shift - x.shift) <= 0.2 + 1e-12 and x.chain_id != e.chain_id for x in g):
+                    g.append(e)
+                    break
+            else:
+                groups.append([e])
+        want |= {frozenset(x.k for x in g) for g in groups}
+    assert {frozenset(v) for v in got.values()} == want
+
+
+def test_rod_candidates_weigh_hazards_and_conflicts(spark):
+    role = {10: "setup", 14: "surface", 30: "ditch", 55: "unknown"}
+    points = spark.createDataFrame([("r", i, float(i * 10), 0.0 if i != 30 else 5.0, role.get(i, "surface")) for i in range(60)], "run_id string, seq int, northing double, easting double, role string")
+    chains = {1: ("EP", (11, 13)), 2: ("CL", (12,)), 3: ("GS", (28, 29)), 4: ("GS", (50,)), 5: ("EP", (51,)), 6: ("CL", (52,)), 7: ("TB", (53,)), 8: ("FL", (54,))}
+    nodes = [("r", c, i, 0.5, f) for c, (f, own) in chains.items() for i in own] + [("r", 1, 16, 0.0, "EP")]
+    nodes = spark.createDataFrame(nodes, "run_id string, chain_id int, seq int, offset double, feature string")
+    events = [("r", own[0], own[-1], c, 0.5, own[0] * 10.0, 0.0, True) for c, (_, own) in chains.items()]
+    events = spark.createDataFrame(events, "run_id string, first_seq int, last_seq int, chain_id int, shift double, northing double, easting double, recovered boolean")
+    out = {r.first_seq: r for r in rodshift.rod_candidates(points, nodes, events, confirmed=True).collect()}
+    assert sorted(out) == [11, 28, 50]
+    a, b, c = out[11], out[28], out[50]
+    assert (a.chains, a.features, a.score, a.status, a.conflicting) == (2, 2, 16 + 25 + 15 + 10 + 10, "REVIEW", 0)
+    assert (b.score, b.status) == (8 + 25 + 10 - 30, "SUPPRESSED") and b.correction is None
+    assert (c.chains, c.score, c.status, c.unknown, c.correction) == (5, 40 + 25 + 10 + 10, "PROBABLE", 0, -0.5)
