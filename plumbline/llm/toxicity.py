@@ -120,9 +120,11 @@ class Layout:
         """Weighted log loss, its gradient by each row's score, and the rows' sums of factors."""
         z, s = b + self.per_doc(w[self.local]), None
         if v is not None:
-            vx = v[self.local]
-            s = self.per_doc(vx)
-            z = z + 0.5 * self.scale * ((s * s).sum(axis=1) - self.per_doc((vx * vx).sum(axis=1)))
+            s = np.empty((self.n, v.shape[1]))
+            for f in range(v.shape[1]):
+                own = v[:, f][self.local]
+                s[:, f] = self.per_doc(own)
+                z = z + 0.5 * self.scale * (s[:, f] ** 2 - self.per_doc(own * own))
         z = np.clip(z, -40, 40)
         p = 1 / (1 + np.exp(-z))
         return float((self.cost * (np.logaddexp(0, z) - self.labels * z)).sum()), (p - self.labels) * self.cost, s
@@ -133,7 +135,8 @@ class Layout:
         if v is None:
             return float(g.sum()), self.per_term(g), None
         pair = g * self.scale
-        return float(g.sum()), self.per_term(g), self.per_term(pair[:, None] * s) - self.per_term(pair)[:, None] * v
+        crossed = np.column_stack([self.per_term(pair * s[:, f]) for f in range(v.shape[1])])
+        return float(g.sum()), self.per_term(g), crossed - self.per_term(pair)[:, None] * v
 
 
 class _Descent:
