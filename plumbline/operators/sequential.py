@@ -227,3 +227,30 @@ def points_at_stations(elements: DataFrame, stations: DataFrame, key: str = "ali
         key, "station", value(F.col("start_n") + chord * F.cos(along)).alias("northing"), value(F.col("start_e") + chord * F.sin(along)).alias("easting"),
         value(F.pmod(F.col("azimuth_in") + sign * F.degrees(sweep), F.lit(360.0))).alias("azimuth"), value(F.col("element")).alias("element"),
     )
+
+
+#: The rows of a setup's backsight and foresight, as multiples of its number and an offset, in each row layout.
+SIGHTS = {"differential_setups": ((1, 0), (1, 0)), "separate_sights": ((2, -1), (2, 0)), "station_rows": ((1, 0), (1, 1))}
+
+
+def recheck_sights(rows: DataFrame, requests: DataFrame, run: str = "run_id") -> DataFrame:
+    """The two sights of each setup that is to be rechecked: run, setup_no, side, sequence_no, point_id, and whether the level book has both.
+
+    ``rows``: run, sequence_no, point_id, backsight, foresight.  ``requests``:
+    run, layout, setup_no.  A setup of an unknown layout has no sights.
+    """
+    places = [
+        F.when(F.col("layout") == layout, F.array(*[F.struct(F.lit(side).alias("side"), (F.col("setup_no") * m + o).alias("sequence_no")) for side, (m, o) in zip(("BS", "FS"), sides)])) for layout, sides in SIGHTS.items()
+    ]
+    asked = requests.select(run, "setup_no", F.explode(F.coalesce(*places)).alias("s")).select(run, "setup_no", "s.side", F.col("s.sequence_no").cast("long").alias("sequence_no"))
+    found = asked.join(rows.select(run, F.col("sequence_no").cast("long").alias("sequence_no"), "point_id", "backsight", "foresight"), [run, "sequence_no"], "left")
+    there = F.when(F.col("side") == "BS", F.col("backsight")).otherwise(F.col("foresight")).isNotNull()
+    both = F.bool_and(there).over(Window.partitionBy(run, "setup_no"))
+    return found.select(run, "setup_no", "side", "sequence_no", "point_id", both.alias("complete"))
+
+
+def replaced_sights(rows: DataFrame, returned: DataFrame, run: str = "run_id") -> DataFrame:
+    """``rows`` of a level book with the readings that came back: each returned sight (run, sequence_no, side, reading) replaces just that sight; the latest by ``seq`` wins."""
+    newest = returned.groupBy(run, "sequence_no").pivot("side", ["BS", "FS"]).agg(F.max_by("reading", "seq"))
+    joined = rows.join(newest, [run, "sequence_no"], "left")
+    return joined.withColumns({"backsight": F.coalesce("BS", "backsight"), "foresight": F.coalesce("FS", "foresight")}).select(*rows.columns)

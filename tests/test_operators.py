@@ -500,3 +500,15 @@ def test_rod_candidates_weigh_hazards_and_conflicts(spark):
     assert (a.chains, a.features, a.score, a.status, a.conflicting) == (2, 2, 16 + 25 + 15 + 10 + 10, "REVIEW", 0)
     assert (b.score, b.status) == (8 + 25 + 10 - 30, "SUPPRESSED") and b.correction is None
     assert (c.chains, c.score, c.status, c.unknown, c.correction) == (5, 40 + 25 + 10 + 10, "PROBABLE", 0, -0.5)
+
+
+def test_rechecked_sights(spark):
+    rows = spark.createDataFrame([("r", 1, "A", 1.0, None), ("r", 2, "B", 1.1, 1.2), ("r", 3, "C", None, 1.3)], "run_id string, sequence_no int, point_id string, backsight double, foresight double")
+    ask = spark.createDataFrame([("r", "station_rows", 1), ("r", "station_rows", 3), ("r", "other", 2)], "run_id string, layout string, setup_no int")
+    out = {(r.setup_no, r.side): (r.sequence_no, r.point_id, r.complete) for r in sequential.recheck_sights(rows, ask).collect()}
+    assert out == {(1, "BS"): (1, "A", True), (1, "FS"): (2, "B", True), (3, "BS"): (3, "C", False), (3, "FS"): (4, None, False)}
+    separate = sequential.recheck_sights(rows, ask.selectExpr("run_id", "'separate_sights' AS layout", "1 AS setup_no").limit(1)).collect()
+    assert sorted((r.side, r.sequence_no) for r in separate) == [("BS", 1), ("FS", 2)]
+    back = spark.createDataFrame([("r", 2, "FS", 9.0, 1), ("r", 2, "FS", 9.5, 2), ("r", 1, "BS", 8.0, 1)], "run_id string, sequence_no int, side string, reading double, seq int")
+    got = {r.sequence_no: (r.backsight, r.foresight) for r in sequential.replaced_sights(rows, back).collect()}
+    assert got == {1: (8.0, None), 2: (1.1, 9.5), 3: (None, 1.3)}
