@@ -155,13 +155,13 @@ def i1(spark, sf):
 
 @query(
     "d2_import_overlap",
-    f"""WITH a AS (SELECT * FROM {CONTROL} WHERE control_id % 10 = 0), b AS (SELECT * FROM {CONTROL} WHERE control_id % 20 = 0 AND include)
+    f"""WITH a AS (SELECT * FROM {CONTROL}), b AS (SELECT * FROM {CONTROL} WHERE include)
     SELECT b.point_id, count(*) AS matches, CASE WHEN bool_or(abs(a.northing - b.northing) <= 1e-9 AND abs(a.easting - b.easting) <= 1e-9 AND abs(a.elevation - b.elevation) <= 1e-9) THEN 'exact' ELSE 'conflict' END AS overlap
     FROM b JOIN a ON lower(trim(a.point_id)) = lower(trim(b.point_id)) GROUP BY b.point_id""",
 )
 def d2(spark, sf):
     obs = control_observations(spark, sf)
-    return control.import_overlap(obs.where("control_id % 10 = 0"), obs.where("control_id % 20 = 0 and include"))
+    return control.import_overlap(obs, obs.where("include"))
 
 
 @query(

@@ -56,14 +56,13 @@ def d4(spark, sf):
 
 @query(
     "d26_revision_match",
-    f"""WITH a AS (SELECT point_id % 4000 AS point_id, northing, easting, elevation, description FROM {_BASE} x WHERE x.point_id < 9000), b AS (SELECT point_id % 4000 AS point_id, northing, easting, elevation, description FROM {_NEW} x WHERE x.point_id < 5000),
+    f"""WITH a AS (SELECT point_id, northing, easting, elevation, description FROM {_BASE} x), b AS (SELECT point_id, northing, easting, elevation, description FROM {_NEW} x),
     ga AS (SELECT point_id, count(*) AS n, min(northing) AS nn, min(easting) AS ee, min(description) AS dd FROM a GROUP BY 1), gb AS (SELECT point_id, count(*) AS n, min(northing) AS nn, min(easting) AS ee, min(description) AS dd FROM b GROUP BY 1)
     SELECT coalesce(ga.point_id, gb.point_id) AS point_id, coalesce(ga.n, 0) AS n_base, coalesce(gb.n, 0) AS n_revised, CASE WHEN coalesce(ga.n, 0) > 1 OR coalesce(gb.n, 0) > 1 THEN 'ambiguous' WHEN ga.n IS NULL THEN 'added'
         WHEN gb.n IS NULL THEN 'removed' WHEN ga.nn <> gb.nn OR ga.ee <> gb.ee OR ga.dd <> gb.dd THEN 'changed' ELSE 'unchanged' END AS status FROM ga FULL JOIN gb ON ga.point_id = gb.point_id""",
 )
 def d26(spark, sf):
-    part = lambda second, most: versions(spark, sf, second).where(f"point_id < {most}").withColumn("point_id", F.col("point_id") % 4000)
-    return keyed.revision_match(part(False, 9000), part(True, 5000))
+    return keyed.revision_match(versions(spark, sf, False), versions(spark, sf, True))
 
 
 _FOLDED = "CASE WHEN point_id % 5 = 0 THEN {half} ELSE point_id END AS point_id, northing, easting, elevation, description"

@@ -260,12 +260,12 @@ def _segments(spark, sf):
 
 @query(
     "d25_station_offset",
-    f"""WITH x AS (SELECT p.point_id, s.*, n2 - n1 AS dn, e2 - e1 AS de, p.northing - n1 AS pn, p.easting - e1 AS pe FROM {PLACES} p JOIN {_SEGMENTS} s ON true WHERE p.point_id % 3 = 0), t AS (SELECT *, least(1, greatest(0, (pn * dn + pe * de) / (dn * dn + de * de))) AS t FROM x),
+    f"""WITH x AS (SELECT p.point_id, s.*, n2 - n1 AS dn, e2 - e1 AS de, p.northing - n1 AS pn, p.easting - e1 AS pe FROM {PLACES} p JOIN {_SEGMENTS} s ON true), t AS (SELECT *, least(1, greatest(0, (pn * dn + pe * de) / (dn * dn + de * de))) AS t FROM x),
     d AS (SELECT *, sqrt((pn - t * dn) ** 2 + (pe - t * de) ** 2) AS distance FROM t), b AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(distance, 9), seq) AS k FROM d WHERE distance <= 15)
     SELECT point_id, seq, {r('station + t * sqrt(dn * dn + de * de)')} AS station, {r('-sign(dn * pe - de * pn) * distance')} AS "offset" FROM b WHERE k = 1""",
 )
 def d25(spark, sf):
-    return surfaces.station_offset(places(spark, sf).where("point_id % 3 = 0"), _segments(spark, sf), 15.0)
+    return surfaces.station_offset(places(spark, sf), _segments(spark, sf), 15.0)
 
 
 @query(
