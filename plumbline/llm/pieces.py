@@ -31,7 +31,7 @@ LONG = 128
 #: Blocks that advance together.
 _BLOCKS = 1 << 10
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_CACHE = 1 << 19
+_CACHE = 1 << 18
 _LANES = 1 << 14
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
