@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import edit_counts, exact_dedup, language, media, packing, pieces, secrets, simhash, toxicity, url_filter
+from plumbline.llm import edit_counts, exact_dedup, interaction, language, media, packing, pieces, secrets, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,11 +73,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 ALL_SPAM_HOSTS = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\."
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_edit_counts, op3_toxicity, op4_secret_scan, op5_language_id, op6_exact_dedup, op7_url_filter, op7_url_filter_all_hosts, op8_media, op9_sentencepiece, op10_simhash)
+    for f in (op1_packing, op2_edit_counts, op3_toxicity, op4_secret_scan, op5_language_id, op6_exact_dedup, op7_url_filter, op7_url_filter_all_hosts, op8_media, op9_sentencepiece, op10_simhash, op12_filter_audit)
 }
 
 _SPAN = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -142,3 +146,26 @@ def _url_sql(listed: str) -> str:
 _SPAM_SQL = rf"regexp_matches(lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)), '{ALL_SPAM_HOSTS}')"
 ORACLE_SQL["op7_url_filter"] = _url_sql(f"SELECT {LIST_URL} AS url FROM pages WHERE {LIST_RULE} OR {_SPAM_SQL}")
 ORACLE_SQL["op7_url_filter_all_hosts"] = _url_sql(f"SELECT url FROM pages WHERE {_SPAM_SQL}")
+
+#: Each order is walked step by step over the sets of failed filters; nothing of the polynomial is used.
+ORACLE_SQL["op12_filter_audit"] = r"""
+    WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+            min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+    marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+            CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN least < w.doc_id THEN 'E' ELSE '' END AS fails
+        FROM w LEFT JOIN marks ON w.doc_id = marks.doc_id),
+    m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+    l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+        WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+    s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, CAST(step AS INTEGER), 1) AS own, substr(filter_order, 1, CAST(step AS INTEGER) - 1) AS before FROM o, (VALUES (1), (2), (3), (4), (5)) AS k(step)),
+    p AS (SELECT part, filter_order, step, own, fails, n, good, toxic, contains(fails, own) AS here, regexp_matches(fails, '[0' || before || ']') AS gone FROM m, s),
+    r AS (SELECT part, filter_order, step, own,
+            CAST(coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (here AND NOT gone), 0) AS BIGINT) AS removed,
+            CAST(coalesce(sum(n) FILTER (here AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = own), 0) AS BIGINT) AS unique_fails,
+            CAST(coalesce(sum(good) FILTER (here AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (here AND NOT gone), 0) AS BIGINT) AS toxic_lost
+        FROM p GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
