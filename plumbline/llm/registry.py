@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import edit_counts, exact_dedup, interaction, language, media, packing, pieces, secrets, simhash, toxicity, url_filter
+from plumbline.llm import edit_counts, exact_dedup, interaction, language, media, packing, pieces, secrets, simhash, toxicity, trie, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -81,7 +85,7 @@ ALL_SPAM_HOSTS = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_edit_counts, op3_toxicity, op4_secret_scan, op5_language_id, op6_exact_dedup, op7_url_filter, op7_url_filter_all_hosts, op8_media, op9_sentencepiece, op10_simhash, op12_filter_audit)
+    for f in (op1_packing, op2_edit_counts, op3_toxicity, op4_secret_scan, op5_language_id, op6_exact_dedup, op7_url_filter, op7_url_filter_all_hosts, op8_media, op9_sentencepiece, op10_simhash, op11_conversation_trie, op12_filter_audit)
 }
 
 _SPAN = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -169,3 +173,26 @@ ORACLE_SQL["op12_filter_audit"] = r"""
             CAST(coalesce(sum(good) FILTER (here AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (here AND NOT gone), 0) AS BIGINT) AS toxic_lost
         FROM p GROUP BY part, filter_order, step, own)
     SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+#: crc32 by its table, character after character; then every prefix of every rebuilt conversation, and sums over all prefixes below each.
+ORACLE_SQL["op11_conversation_trie"] = r"""
+    WITH RECURSIVE tab(i, k, v) AS (SELECT i, 0, i FROM range(256) AS r(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM tab WHERE k < 8),
+    crc(conv_id, s, c) AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR), CAST(4294967295 AS BIGINT) FROM conversations WHERE conv_id IS NOT NULL
+        UNION ALL SELECT conv_id, substr(s, 2), CAST(xor(v, c // 256) AS BIGINT) FROM crc, tab WHERE k = 8 AND i = xor(c % 256, ascii(s)) AND s <> ''),
+    h AS (SELECT conv_id, xor(c, 4294967295) % 9 AS h FROM crc WHERE s = ''),
+    own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    whole AS (SELECT h.conv_id, k, 0 AS later, role, text FROM h JOIN own ON own.conv_id = h.conv_id - h.conv_id % 5 AND k <= h
+        UNION ALL SELECT h.conv_id, k, 1, role, text FROM h JOIN own ON own.conv_id = h.conv_id AND k > h),
+    steps AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY later, k) AS depth, octet_length(encode(text)) AS size, sha256(length(role) || ':' || role || text) AS one FROM whole),
+    prefixes AS (SELECT conv_id, depth, size, string_agg(one, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM steps
+        UNION ALL SELECT conv_id, 0, 0, '' FROM h),
+    longest AS (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id),
+    nodes AS (SELECT path, depth, min(size) AS size, count(*) AS n_convs, min(p.conv_id) AS conv_id,
+            coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (most = p.depth), '') AS ended
+        FROM (SELECT p.*, l.depth AS most FROM prefixes p JOIN longest l ON p.conv_id = l.conv_id) AS p GROUP BY path, p.depth),
+    kids AS (SELECT substr(path, 1, 64 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+    known AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids ON n.path = kids.path),
+    below AS (SELECT substr(path, 1, 64 * CAST(d AS INTEGER)) AS path, sum((n_convs - 1) * size) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM known) GROUP BY 1)
+    SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+        CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ended) AS ends_sha256
+    FROM known n JOIN below ON n.path = below.path LEFT JOIN nodes up ON n.depth > 0 AND up.path = substr(n.path, 1, 64 * (n.depth - 1))"""
