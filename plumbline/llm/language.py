@@ -3,36 +3,42 @@
 Texts are read as lower-case letters with every other character as a space
 (runs of spaces count once).  Spark counts the 4-grams of all training rows
 exactly, and from them discounts and continuation counts of single characters.
-Models are sorted hash arrays in shards of bounded size: a language with more
+Models are sorted hash arrays in shards of bounded size, made by tasks and kept
+in the shared folder: a language with more
 types than a shard is cut by the character before the last, which all grams of
 one back-off chain share, so each part works out its probabilities alone.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrow import fold, frugal, parts
-from plumbline.storage import materialise, scope
+from plumbline.storage import arrow_files, fresh_path, materialise, scope
 
 ORDER = 4
-#: 4-gram types of a shard (or of one unit, a language's grams of one bucket, if that has more): what the driver gathers and a task holds at once.
+#: 4-gram types of a shard (or of one unit, a language's grams of one bucket, if that has more): what a task makes or holds at once.
 SHARD = 1 << 21
 #: Buckets of the character before the last, by which large languages are cut.
 BUCKETS = 64
 #: Bytes of text that a task gathers before it goes through several shards.
 GATHER = 1 << 25
 HELD_OUT = (3, 1)
-#: Training rows with this remainder of crc32 div 3 calibrate the rejection and are not counted.
+#: Training rows with this remainder of crc32 div 3 calibrate the rejection: they are scored by models of the other training rows.
 CALIBRATION = (10, 0)
+#: Rows that a language's limit needs; a language with fewer rejects nothing for its distance.
+LEAST_ROWS = 3
+#: Rows for which the variance of all languages counts beside a language's own.
+POOLED_ROWS = 10
 #: Standard deviations above its language's mean cross-entropy from which a text is rejected.
 REJECT_Z = 10.0
 _SLICE = 1 << 18
@@ -279,43 +285,73 @@ def entropies(models: list[Model], texts: list[str], width: int = 1) -> tuple[np
     return bits, n, letters > 0
 
 
-def fit(docs: DataFrame) -> tuple[list[str], list[Broadcast]]:
-    """Languages in ``docs`` (text, lang) by name, and their models from all its rows, in broadcast shards.
+class Stored:
+    """A shard of models: a file in the shared folder, read by a task when it needs it."""
 
-    The driver plans by the sizes of units (BUCKETS a language) and gathers the
-    counts of one shard at a time.
+    def __init__(self, uri: str):
+        self.uri = uri
+
+    @property
+    def value(self) -> list[Model]:
+        if "_value" not in vars(self):
+            files, path = arrow_files(self.uri)
+            with files.open_input_stream(path) as source:
+                self._value = pickle.loads(source.read())
+        return self._value
+
+    def __getstate__(self):
+        return {"uri": self.uri}
+
+
+def fit(docs: DataFrame) -> tuple[list[str], list[Stored]]:
+    """Languages in ``docs`` (text, lang) by name, and their models from all its rows."""
+    with scope(docs.sparkSession):
+        return models_of(materialise(count_grams(docs.where("lang is not null")), "char-grams"))
+
+
+def models_of(counts: DataFrame) -> tuple[list[str], list[Stored]]:
+    """Languages by name and their models from exact 4-gram counts (lang, high, low, n), in shards in the shared folder.
+
+    The driver plans by the sizes of units (BUCKETS a language) and gives what
+    the parts of a language share; the shards are made and written by tasks.  A
+    task that runs again writes a file of another name, and only the names that
+    come back are read.  The files belong to the scope around the caller's.
     """
-    spark = docs.sparkSession
-    with scope(spark):
-        counts = materialise(count_grams(docs.where("lang is not null")), "char-grams")
-        sizes = counts.groupBy("lang", _bucket(F.col("low")).alias("bucket")).agg(F.count(F.lit(1)).alias("types")).collect()
-        units = sorted((r.lang, r.bucket, r.types) for r in sizes)
-        langs = sorted({u[0] for u in units})
-        place = {lang: k for k, lang in enumerate(langs)}
-        cuts = list(parts([u[2] for u in units], SHARD))
-        common = totals(counts)
-        if len(cuts) > 1:
-            counts = counts.withColumn("bucket", _bucket(F.col("low"))).repartitionByRange("lang", "bucket").sortWithinPartitions("lang", "bucket")
-            counts = materialise(counts.select("lang", "high", "low", "n"), "char-grams-in-order")
-        shards = []
-        for a, b in cuts:
-            (first, least, _), (last, most, _) = units[a], units[b - 1]
-            bucket = _bucket(F.col("low"))
-            inside = ((F.col("lang") > first) | (bucket >= least)) & ((F.col("lang") < last) | (bucket <= most))
-            table = counts.where(F.col("lang").between(first, last) & inside).toArrow()
-            made = []
-            for lang in langs[place[first] : place[last] + 1]:
-                every = [u[1] for u in units if u[0] == lang] if lang in (first, last) else []
-                here = [u[1] for u in units[a:b] if u[0] == lang] if every else every
-                # What the language's own texts don't have falls to its first part.
-                marks = None if here == every else np.isin(np.arange(BUCKETS), here) | (here[0] == every[0]) & ~np.isin(np.arange(BUCKETS), every)
-                own = table.filter(pc.equal(table.column("lang"), lang))
-                made.append(kneser_ney(*(own.column(c).to_numpy() for c in ("high", "low", "n")), common[lang], place[lang], marks))
-            shards.append(spark.sparkContext.broadcast(made))
-        return langs, shards
-
-
-def _entropies(shards: list[Broadcast], texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    spark = counts.sparkSession
+    sizes = counts.groupBy("lang", _bucket(F.col("low")).alias("bucket")).agg(F.count(F.lit(1)).alias("types")).collect()
+    units = sorted((r.lang, r.bucket, r.types) for r in sizes)
+    langs = sorted({u[0] for u in units})
+    if not langs:
+        return [], []
+    place = {lang: k for k, lang in enumerate(langs)}
+    every: dict[str, list[int]] = {}
+    for lang, bucket, _ in units:
+        every.setdefault(lang, []).append(bucket)
+    cuts = list(parts([u[2] for u in units], SHARD))
+    plan = spark.createDataFrame([(lang, bucket, k) for k, (a, b) in enumerate(cuts) for lang, bucket, _ in units[a:b]], "lang string, bucket long, shard int")
+    shared, folder = spark.sparkContext.broadcast(totals(counts)), fresh_path(spark, "language-models", hand_on=True)
+
+    def make(table: pa.Table) -> pa.Table:
+        made = []
+        for lang in sorted(pc.unique(table.column("lang")).to_pylist()):
+            own = table.filter(pc.equal(table.column("lang"), lang))
+            here = sorted(pc.unique(own.column("bucket")).to_pylist())
+            # What the language's own texts don't have falls to its first part.
+            marks = None if here == every[lang] else np.isin(np.arange(BUCKETS), here) | (here[0] == every[lang][0]) & ~np.isin(np.arange(BUCKETS), every[lang])
+            made.append(kneser_ney(*(own.column(c).to_numpy() for c in ("high", "low", "n")), shared.value[lang], place[lang], marks))
+        files, root = arrow_files(folder)
+        files.create_dir(root, recursive=True)
+        name = f"{table.column('shard')[0].as_py():06d}-{uuid.uuid4().hex}"
+        with files.open_output_stream(f"{root}/{name}") as out:
+            out.write(pickle.dumps(made, protocol=5))
+        return pa.table({"name": [name]})
+
+    rows = counts.withColumn("bucket", _bucket(F.col("low")).cast("long")).join(F.broadcast(plan), ["lang", "bucket"])
+    names = sorted(r.name for r in rows.groupBy("shard").applyInArrow(make, "name string").collect())
+    return langs, [Stored(f"{folder}/{name}") for name in names]
+
+
+def _entropies(shards: list[Stored], texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cross-entropy in bits a character by the models of all shards, with the other results of ``entropies``; of several shards one is in memory at a time."""
     bits, n, letters = entropies(shards[0].value if shards else [], texts, width)
     for before, shard in zip(shards, shards[1:]):
@@ -326,13 +362,13 @@ def _entropies(shards: list[Broadcast], texts: list[str], width: int) -> tuple[n
     return bits / np.maximum(n, 1)[:, None], n, letters
 
 
-def _forget(*shards: Broadcast) -> None:
-    """Let a worker drop what it read of broadcasts; it reads them again when it needs them."""
+def _forget(*shards: Stored) -> None:
+    """Let a worker drop what it read of shards; it reads them again when it needs them."""
     for shard in shards:
         vars(shard).pop("_value", None)
 
 
-def _gathered(batches, shards: list[Broadcast], text_at: int):
+def _gathered(batches, shards: list[Stored], text_at: int):
     """The batches as they come for one shard; for several, joined up to GATHER bytes, so that shards are loaded seldom.  At the end the models are dropped: workers live on for other stages."""
     held, size = [], 0
     for batch in batches:
@@ -354,7 +390,7 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns], schema=table.schema)
 
 
-def _scored(docs: DataFrame, langs: list[str], shards: list[Broadcast], extra: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, langs: list[str], shards: list[Stored], extra: list[str]) -> DataFrame:
     names = np.array([*langs, UNKNOWN], dtype=object)
 
     def run(batches):
@@ -385,49 +421,67 @@ def _calibrates() -> Column:
 def calibrate(scored: DataFrame) -> dict[str, tuple[float, float, float]]:
     """Per language: mean cross-entropy and its variance as a + b / length, from rows that were predicted as labelled.
 
-    Five sums a language come to the driver.
+    Five sums a language come to the driver.  A language's variance is drawn
+    towards that of all languages together, as POOLED_ROWS rows would, so that
+    few rows that happen to be alike set no narrow limit.  Languages with fewer
+    than LEAST_ROWS such rows have no limit.
     """
     right = scored.where((F.col("lang") == F.col("lang_pred")) & (F.col("n_scored") > 0))
     means = right.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("n_scored")) / F.sum("n_scored")).alias("mean"))
     square, inverse = (F.col("entropy") - F.col("mean")) ** 2, 1 / F.col("n_scored")
-    sums = right.join(means, "lang").groupBy("lang").agg(
+    rows = right.join(means, "lang").groupBy("lang").agg(
         F.first("mean").alias("mean"), F.count(F.lit(1)).alias("k"), F.sum(square).alias("y"), F.sum(inverse).alias("x"), F.sum(inverse * inverse).alias("xx"), F.sum(inverse * square).alias("xy")
-    )
+    ).collect()
+
+    def line(k, y, x, xx, xy):
+        """Variance as a + b / length by least squares, neither below zero."""
+        spread = k * xx - x * x
+        b = max((k * xy - x * y) / spread, 0.0) if spread > 1e-15 else 0.0
+        return max((y - b * x) / k, 0.0), b
+
+    if not rows:
+        return {}
+    pooled = line(*(sum(r[c] for r in rows) for c in ("k", "y", "x", "xx", "xy")))
     out = {}
-    for r in sums.collect():
-        spread = r.k * r.xx - r.x * r.x
-        b = max((r.k * r.xy - r.x * r.y) / spread, 0.0) if spread > 1e-15 else 0.0
-        a = max((r.y - b * r.x) / r.k, 1e-4)
-        out[r.lang] = (float(r["mean"]), float(a), float(b))
+    for r in rows:
+        a, b = ((r.k * own + POOLED_ROWS * every) / (r.k + POOLED_ROWS) for own, every in zip(line(r.k, r.y, r.x, r.xx, r.xy), pooled))
+        if r.k >= LEAST_ROWS:
+            out[r.lang] = (float(r["mean"]), max(float(a), 1e-4), float(b))
     return out
 
 
 def _learned(docs: DataFrame):
-    """Languages, shards of models and rejection limits from the training rows of ``docs``."""
+    """Languages, shards of models and rejection limits from the training rows of ``docs``.
+
+    The models count all training rows.  For the limits, the calibrating tenth
+    is scored by models of the other rows alone.
+    """
     own = _training(docs).where("doc_id is not null").select("doc_id", "text", "lang")
-    langs, shards = fit(own.where(~_calibrates()))
-    if not langs:
-        langs, shards = fit(own)
-    if not langs:
-        return langs, shards, {}
     with scope(docs.sparkSession):
-        scored = materialise(_scored(own.where(_calibrates()), langs, shards, ["lang"]), "calibration")
-        return langs, shards, calibrate(scored)
+        with scope(docs.sparkSession):
+            most, tenth = (materialise(count_grams(own.where(c)), "char-grams", hand_on=True) for c in (~_calibrates(), _calibrates()))
+            whole = materialise(most.unionByName(tenth).groupBy("lang", "high", "low").agg(F.sum("n").alias("n")), "all-char-grams", hand_on=True)
+            fitted = models_of(most)
+            if not fitted[0]:
+                limits = {}
+            else:
+                limits = calibrate(materialise(_scored(own.where(_calibrates()), *fitted, ["lang"]), "calibration"))
+        return *models_of(whole), limits
 
 
 def identify(docs: DataFrame, training: DataFrame | None = None, z: float = REJECT_Z) -> DataFrame:
     """Return doc_id, held_out, lang_pred, score, entropy, rejected for every row of ``docs``.
 
     Models learn from text and lang of ``training`` (default ``docs``): rows
-    with a language whose crc32(doc_id as text) mod 3 is not 1.  A tenth of
-    those only calibrates the rejection; where that leaves no row to count,
-    all training rows are counted.  ``lang_pred`` is the language with the
+    with a language whose crc32(doc_id as text) mod 3 is not 1.  All of them are
+    counted, so a language with a single training row is learned; a tenth of
+    them also calibrates the rejection.  ``lang_pred`` is the language with the
     lowest cross-entropy a character (ties: the first by name), ``und`` for a
     null text, one without a letter, or when nothing can be learned; ``score``
     falls as other languages come near.  ``rejected`` holds for a text without
     a letter and for a cross-entropy far above what the language's own texts of
-    that length have; where nothing can be learned there is nothing to be far
-    from.  Rows with a null id are not held out and never train; repeated rows
+    that length have; a language with fewer than LEAST_ROWS calibrating rows
+    rejects nothing for that, nor does anything where nothing can be learned.  Rows with a null id are not held out and never train; repeated rows
     stay; an empty table gives an empty result; other columns are not read.
     """
     langs, shards, limits = _learned(training if training is not None else docs)

@@ -110,7 +110,7 @@ def test_slices_do_not_change_entropies(spark, monkeypatch):
 def test_decisions_equal_brute_force(spark):
     """Language, entropy and score of every row by the formula written down directly."""
     rows = [*corpus(45), (2000, "tana vost", None, 0), (2001, "ñam", "cc", 0)]
-    use = [r for r in rows if r[2] and crc32(str(r[0]).encode()) % 3 != 1 and crc32(str(r[0]).encode()) // 3 % 10]
+    use = [r for r in rows if r[2] and crc32(str(r[0]).encode()) % 3 != 1]
     models = {lang: BruteModel(c) for lang, c in sorted(brute_counts(use).items())}
     for r in language.identify(spark.createDataFrame(rows, SCHEMA)).collect():
         text = next(t for i, t, _, _ in rows if i == r.doc_id)
@@ -166,7 +166,7 @@ def test_no_language_or_gram_is_left_out(spark, monkeypatch):
     monkeypatch.setattr(language, "SHARD", 700)
     got.append(sorted(tuple(r) for r in language.identify(docs).collect()))
     assert [x[:3] for x in got[0]] == [x[:3] for x in got[1]] and np.allclose([x[3:] for x in got[0]], [x[3:] for x in got[1]])
-    counted = [r for r in rows if crc32(str(r[0]).encode()) % 3 != 1 and crc32(str(r[0]).encode()) // 3 % 10]
+    counted = [r for r in rows if crc32(str(r[0]).encode()) % 3 != 1]
     assert len(counted) > 256
     predicted = {r[0]: r[2] for r in got[0]}
     assert all(predicted[r[0]] == r[2] for r in counted)
@@ -181,3 +181,63 @@ def test_a_large_language_is_cut_and_scores_the_same(spark, monkeypatch):
     assert len(langs) == 3 and len(shards) > 6 and any(m.own is not None for s in shards for m in s.value)
     cut = sorted(tuple(r) for r in language.identify(docs).collect())
     assert [x[:3] for x in whole] == [x[:3] for x in cut] and np.allclose([x[3:] for x in whole], [x[3:] for x in cut])
+
+
+def test_languages_whose_few_rows_all_calibrate_are_learned(spark):
+    """One, two and three training rows, each in the tenth that calibrates: predicted, not rejected, and kept."""
+    tenth = [i for i in range(3000, 9000) if crc32(str(i).encode()) % 3 != 1 and crc32(str(i).encode()) // 3 % 10 == 0]
+    new = {"x1": ("ժզխծ կհձղ ճմյն", 1), "x2": ("ᎠᎡᎢᎣ ᎤᎥᎦᎧ ᎨᎩᎪᎫ", 2), "x3": ("ཀཁགང ཅཆཇཉ ཏཐདན", 3)}
+    extra, asked, at = [], [], iter(tenth)
+    for lang, (text, n) in new.items():
+        extra += [(next(at), text, lang, 0) for _ in range(n)]
+        asked += [(10_000 + len(asked) + k, text[k : k + 9], None, 0) for k in range(3)]
+    docs = spark.createDataFrame([*corpus(900), *extra, *asked], SCHEMA)
+    want = {r[0]: r[2] for r in extra} | {r[0]: lang for r, lang in zip(asked, [x for x in new for _ in range(3)])}
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in language.identify(docs).collect() if r.doc_id in want}
+    assert got == {k: (v, False) for k, v in want.items()}
+    assert {r.doc_id for r in language.keep_identified(docs).where("doc_id >= 3000").collect()} == set(want)
+
+
+def test_rejection_equals_brute_force(spark):
+    """Limits from the tenth by models of the other rows, and decisions by models of all, with the formulas written down directly."""
+    foreign = [(5000 + i, " ".join(random.Random(i).choices(["жафу", "щыбо", "tana", "krä"], k=3 + i)), None, 0) for i in range(12)]
+    rows = [*corpus(1500), *foreign]
+    crc = {r[0]: crc32(str(r[0]).encode()) for r in rows}
+    training = [r for r in rows if r[2] and crc[r[0]] % 3 != 1]
+    tenth = [r for r in training if crc[r[0]] // 3 % 10 == 0]
+
+    def scored(models, text):
+        grams = brute_counts([(0, text, "t", 0)])["t"]
+        n = sum(grams.values())
+        h = {lang: -sum(k * math.log2(m.p(g)) for g, k in grams.items()) / n for lang, m in models.items()}
+        best = min(sorted(h), key=h.get)
+        return best, h[best], n
+
+    def memo(counts):
+        models = {lang: BruteModel(c) for lang, c in sorted(counts.items())}
+        for m in models.values():
+            m.p = (lambda m, f, seen: lambda g: seen[g] if g in seen else seen.setdefault(g, f(g)))(m, m.p, {})
+        return models
+
+    most, whole = memo(brute_counts([r for r in training if r not in tenth])), memo(brute_counts(training))
+    def line(points):
+        k, x, y = len(points), [p[0] for p in points], [p[1] for p in points]
+        b = max((k * sum(u * v for u, v in zip(x, y)) - sum(x) * sum(y)) / (k * sum(v * v for v in x) - sum(x) ** 2), 0)
+        return max((sum(y) - b * sum(x)) / k, 0), b
+
+    means, points = {}, {}
+    for lang in most:
+        seen = [(h, n) for r in tenth if r[2] == lang for best, h, n in [scored(most, r[1])] if best == lang]
+        means[lang] = sum(h * n for h, n in seen) / sum(n for _, n in seen)
+        points[lang] = [(1 / n, (h - means[lang]) ** 2) for h, n in seen]
+    pooled, limits = line([p for v in points.values() for p in v]), {}
+    for lang, own in points.items():
+        a, b = ((len(own) * u + 10 * v) / (len(own) + 10) for u, v in zip(line(own), pooled))
+        limits[lang] = (means[lang], max(a, 1e-4), b)
+    out = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    told = {}
+    for doc_id, text, _, _ in [*rows[:60], *foreign]:
+        best, h, n = scored(whole, text)
+        mean, a, b = limits[best]
+        told[doc_id] = h > mean + 10 * math.sqrt(a + b / n)
+    assert {k: out[k].rejected for k in told} == told and 0 < sum(told.values()) < len(told)
