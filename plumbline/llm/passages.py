@@ -259,13 +259,20 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         return spans.select("h1", "h2", "begin", F.explode("runs").alias("r")).select("h1", "h2", (F.col("begin") + F.col("r.low")).alias("low"), (F.col("begin") + F.col("r.high")).alias("high"))
 
 
-def without_spans(body: bytes, low: np.ndarray, high: np.ndarray, length: int = LENGTH) -> tuple[bytes, int]:
-    """What is left of ``body`` without the windows that start at ``low`` up to ``high``, and the number of maximal runs that went."""
-    edge = np.zeros(len(body) + 1, np.int32)
-    np.add.at(edge, low, 1)
-    np.add.at(edge, np.asarray(high) + length, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    return np.frombuffer(body, np.uint8)[~gone].tobytes(), int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum())
+def without_spans(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts ``data[offsets[i] : offsets[i + 1]]`` without the windows that start at ``low`` up to ``high`` of text ``row``.
+
+    ``(bytes that stay, their offsets by text, maximal runs that went by text)``.
+    """
+    begin, end = int(offsets[0]), int(offsets[-1])
+    at = offsets[row] - begin
+    edge = np.bincount(at + low, minlength=end - begin + 1) - np.bincount(at + high + length, minlength=end - begin + 1)
+    gone = np.cumsum(edge[: end - begin]) > 0
+    first = gone & ~np.r_[False, gone[:-1]]
+    heads = offsets[:-1][np.diff(offsets) > 0] - begin
+    first[heads] = gone[heads]
+    by_text = lambda flags: np.diff(np.r_[0, np.cumsum(flags)][offsets - begin])
+    return data[begin:end][~gone], np.r_[0, np.cumsum(by_text(~gone))], by_text(first)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -284,14 +291,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     def cut(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            out = ([], [], [])
-            for k, spans in enumerate(batch.column(3).to_pylist()):
-                body = data[offsets[k] : offsets[k + 1]].tobytes()
-                low, high = np.array([(s["low"], s["high"]) for s in spans], np.int64).reshape(-1, 2).T
-                kept, runs = without_spans(body, low, high)
-                for column, value in zip(out, (len(body) - len(kept), runs, hashlib.sha256(kept).hexdigest())):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names)
+            spans = batch.column(3)
+            row = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy(zero_copy_only=False))
+            low, high = (spans.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            kept, at, runs = without_spans(data, offsets, row, low, high)
+            digests = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets) - np.diff(at)), pa.array(runs), pa.array(digests, pa.string())], names)
 
     with scope(docs.sparkSession):
         spans = removed_spans(docs).groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
