@@ -26,7 +26,7 @@ from plumbline.storage import materialise, scope
 LENGTH = 200
 ANCHOR = 64
 #: Contents of one anchor that go into one suffix array; the windows of a larger group are first dealt out by their hash.
-GROUP = 8
+GROUP = 16
 #: Bytes whose suffix arrays are made side by side.
 BATCH = 1 << 22
 _SLICE = 1 << 18
@@ -96,17 +96,17 @@ def _slabs(column: pa.Array):
 
 
 def anchors(texts: DataFrame) -> DataFrame:
-    """``(anchor, h1, places)`` for each piece of ``texts`` (h1, text)."""
+    """``(anchor, h1, h2, places)`` for each piece of ``texts`` (h1, h2, text)."""
 
     def run(batches):
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            for a, b, data, offsets in _slabs(batch.column(1)):
+            h1, h2 = (batch.column(k).to_numpy() for k in (0, 1))
+            for a, b, data, offsets in _slabs(batch.column(2)):
                 first, _, anchor, places = pieces(data, offsets)
                 row = np.searchsorted(offsets, first, "right") - 1 + a
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key[row]), pa.array(places.astype(np.int32))], ["anchor", "h1", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(h1[row]), pa.array(h2[row]), pa.array(places.astype(np.int32))], ["anchor", "h1", "h2", "places"])
 
-    return texts.select("h1", "text").mapInArrow(frugal(run), "anchor long, h1 long, places int")
+    return texts.select("h1", "h2", "text").mapInArrow(frugal(run), "anchor long, h1 long, h2 long, places int")
 
 
 def _content_hashes(bodies: list[bytes]) -> list[pa.Array]:
@@ -226,7 +226,7 @@ def _dealt(contents: DataFrame) -> DataFrame:
                 hashes = _content_hashes([body[k : k + LENGTH] for k in range(m)])
                 yield pa.RecordBatch.from_arrays([*hashes, pa.array([c1] * m), pa.array([c2] * m), pa.array(range(m), pa.int32()), pa.array([n] * m)], ["w1", "w2", "c1", "c2", "at", "n"])
 
-    rows = materialise(contents.select("c1", "c2", "n", "body").mapInArrow(frugal(windows), "w1 long, w2 long, c1 long, c2 long, at int, n long"), "anchor-windows", hand_on=True)
+    rows = materialise(contents.select("c1", "c2", "n", "body").mapInArrow(frugal(windows), "w1 long, w2 long, c1 long, c2 long, at int, n long"), "anchor-windows")
     twice = rows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
     return rows.join(twice, ["w1", "w2"], "left_semi").select("c1", "c2", F.col("at").alias("low"), F.col("at").alias("high"))
 
@@ -236,27 +236,34 @@ def _text_keys() -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("b"), text).alias("h2")]
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """``(h1, h2, low, high)``: runs of windows in distinct texts (by 128-bit hash) that start anywhere else too.
+def candidates(docs: DataFrame) -> DataFrame:
+    """``(h1, h2, n, text, wanted)``: distinct texts by 128-bit hash that have an anchor which occurs again, how often each occurs, and those anchors.
 
-    No step gathers the rows of an anchor or of a text's copies.  Anchors are
-    counted with partial aggregation.  Copies of a text become one row with a
-    count before they move, and so do equal pieces.
+    Anchors are counted with partial aggregation, and copies of a text become
+    one row with a count before they move.
     """
-    with scope(docs.sparkSession):
-        long = docs.where(F.octet_length("text") >= LENGTH).select(*_text_keys(), "text")
-        every = materialise(anchors(long), "anchors")
-        again = every.groupBy("anchor").agg(F.sum("places").alias("places")).where("places > 1").select("anchor")
-        wanted = every.join(again, "anchor", "left_semi").groupBy("h1").agg(F.collect_set("anchor").alias("wanted"))
-        wanted = materialise(wanted, "repeated-anchors")
-        sought = long.join(wanted.select("h1"), "h1", "left_semi").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
-        found = materialise(candidate_pieces(sought.join(wanted, "h1")), "pieces", hand_on=True)
-        contents = materialise(found.groupBy("anchor", *_KEYS).agg(F.sum("n").alias("n"), F.first("body").alias("body")), "contents", hand_on=True)
-        large = materialise(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP).select("anchor"), "large-anchors", hand_on=True)
+    long = docs.where(F.octet_length("text") >= LENGTH).select(*_text_keys(), "text")
+    every = materialise(anchors(long), "anchors", hand_on=True)
+    again = every.groupBy("anchor").agg(F.sum("places").alias("places")).where("places > 1").select("anchor")
+    wanted = every.join(again, "anchor", "left_semi").groupBy("h1", "h2").agg(F.collect_set("anchor").alias("wanted"))
+    return long.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text")).join(wanted, ["h1", "h2"])
+
+
+def removed_spans(texts: DataFrame) -> DataFrame:
+    """``(h1, h2, spans)``: for each of ``texts`` (as of ``candidates``) that has any, the runs (low, high) of its windows that start anywhere else too.
+
+    No step gathers the rows of an anchor: equal pieces become one row with a
+    count before they move.
+    """
+    with scope(texts.sparkSession):
+        found = materialise(candidate_pieces(texts), "pieces")
+        contents = materialise(found.groupBy("anchor", *_KEYS).agg(F.sum("n").alias("n"), F.first("body").alias("body")), "contents")
+        large = materialise(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP).select("anchor"), "large-anchors")
         solved = _solved(contents.join(large, "anchor", "left_anti")).unionByName(_dealt(contents.join(large, "anchor", "left_semi")))
         runs = solved.groupBy(*_KEYS).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-        spans = found.select("h1", "h2", "begin", *_KEYS).join(runs, _KEYS)
-        return spans.select("h1", "h2", "begin", F.explode("runs").alias("r")).select("h1", "h2", (F.col("begin") + F.col("r.low")).alias("low"), (F.col("begin") + F.col("r.high")).alias("high"))
+        each = found.select("h1", "h2", "begin", *_KEYS).join(runs, _KEYS).select("h1", "h2", "begin", F.explode("runs").alias("r"))
+        span = F.struct((F.col("begin") + F.col("r.low")).alias("low"), (F.col("begin") + F.col("r.high")).alias("high"))
+        return materialise(each.groupBy("h1", "h2").agg(F.collect_list(span).alias("spans")), "spans", hand_on=True)
 
 
 def without_spans(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,12 +306,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets) - np.diff(at)), pa.array(runs), pa.array(digests, pa.string())], names)
 
     with scope(docs.sparkSession):
-        spans = removed_spans(docs).groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-        spans = materialise(spans, "spans")
-        keys = spans.select("h1", "h2")
-        touched = docs.select(*_text_keys(), F.coalesce("text", F.lit("")).alias("text")).join(keys, ["h1", "h2"], "left_semi")
-        texts = touched.groupBy("h1", "h2").agg(F.first("text").alias("text")).join(spans, ["h1", "h2"])
-        done = materialise(texts.select("h1", "h2", "text", "spans").mapInArrow(frugal(cut), "h1 long, h2 long, n_removed long, n_spans long, cut_sha256 string"), "cut-texts", hand_on=True)
+        with scope(docs.sparkSession):
+            texts = materialise(candidates(docs), "candidate-texts", hand_on=True)
+        spans = removed_spans(texts)
+        touched = texts.select("h1", "h2", "text").join(spans, ["h1", "h2"])
+        done = materialise(touched.mapInArrow(frugal(cut), "h1 long, h2 long, n_removed long, n_spans long, cut_sha256 string"), "cut-texts", hand_on=True)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), *_text_keys(), F.sha2(text, 256).alias("sha")).join(done, ["h1", "h2"], "left")
     zero = F.lit(0).cast("long")
