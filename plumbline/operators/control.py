@@ -85,10 +85,12 @@ def triplets(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """All three-row combinations of each control, in row order (``observed``, ``observation_id``), with their statistics.
 
     Controls with more than ``most`` combinations have none here: they need
-    review, and ``best_triplets`` reports them so.
+    review, and ``best_triplets`` reports them so.  ``failures`` and
+    ``missing`` are those of the three shots, where ``rows`` has counted them.
     """
     w = Window.partitionBy("control_id")
-    keep = ["control_id", "observation_id", "northing", "easting", "elevation", "observed", "n", "ord"]
+    counted = [c for c in ("failures", "missing") if c in rows.columns]
+    keep = ["control_id", "observation_id", "northing", "easting", "elevation", "observed", "n", "ord", *counted]
     rows = rows.withColumns({"ord": F.row_number().over(w.orderBy("observed", "observation_id")), "n": F.count(F.lit(1)).over(w)}).select(*keep)
     rows = rows.where(F.col("n") * (F.col("n") - 1) * (F.col("n") - 2) / 6 <= most)
     a, b, c = (rows.select("control_id", *[F.col(k).alias(f"{k}_{s}") for k in keep[1:]]) for s in "abc")
@@ -105,22 +107,39 @@ def triplets(rows: DataFrame, most: int = 100_000) -> DataFrame:
         F.greatest(*h).alias("max_h"), F.greatest(*v).alias("max_v"),
         F.sqrt((h[0] * h[0] + h[1] * h[1] + h[2] * h[2]) / 3).alias("rms_h"), F.sqrt((v[0] * v[0] + v[1] * v[1] + v[2] * v[2]) / 3).alias("rms_v"),
         F.least(minutes(ta, tb), minutes(tb, tc), minutes(ta, tc)).alias("least_gap_minutes"),
+        *[(sum(col(c)[1:], col(c)[0]) if c in counted else F.lit(0)).cast("long").alias(c) for c in ("failures", "missing")],
     ).withColumnRenamed("n_a", "n")
 
 
-def ranked_triplets(rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int = 100_000) -> DataFrame:
+METADATA = ("epoch_count", "duration_seconds", "satellite_count", "pdop", "hdop", "vdop")
+
+
+def ranked_triplets(
+    rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int = 100_000, require_metadata: bool = False, **limits,
+) -> DataFrame:
     """Triplets in order of merit within each control.
 
-    The order is: passing first; then field status (the time gap: pass,
-    unverified without times, fail); then the larger of the two tolerance
-    ratios, the maxima, the RMS values (a zero or missing vertical RMS comes
-    last), and the ids.
+    Field status: FAIL if any of the three shots fails a check of
+    ``shot_checks`` (with ``limits``) or two are nearer in time than
+    ``gap_minutes``; else PASS if nothing is missing, else UNVERIFIED.  Rows
+    without any column of METADATA are judged by their times alone; of those
+    columns, one that is absent counts as missing values.  A triplet passes
+    within both tolerances if its field status isn't FAIL (with
+    ``require_metadata``: is PASS).
+
+    The order is: passing first; then field status; then the larger of the two
+    tolerance ratios, the maxima, the RMS values (a zero or missing vertical
+    RMS comes last), and the ids.
     """
+    if any(c in rows.columns for c in METADATA):
+        rows = shot_checks(rows.withColumns({c: F.lit(None).cast("double") for c in METADATA if c not in rows.columns}), **limits)
     three = triplets(rows, most)
     coordinate = F.coalesce((F.col("max_h") <= htol) & (F.col("max_v") <= vtol), F.lit(False))
-    status = F.when(F.col("least_gap_minutes").isNull(), "UNVERIFIED").when(F.col("least_gap_minutes") >= gap_minutes - 1e-9, "PASS").otherwise("FAIL")
+    close = F.coalesce(F.col("least_gap_minutes") < gap_minutes - 1e-9, F.lit(False))
+    status = F.when((F.col("failures") > 0) | close, "FAIL").when((F.col("missing") > 0) | F.col("least_gap_minutes").isNull(), "UNVERIFIED").otherwise("PASS")
     three = three.withColumns({"coordinate_pass": coordinate, "field_status": status})
-    three = three.withColumn("passes", F.col("coordinate_pass") & (F.col("field_status") != "FAIL"))
+    eligible = F.col("field_status") == "PASS" if require_metadata else F.col("field_status") != "FAIL"
+    three = three.withColumn("passes", F.col("coordinate_pass") & eligible)
     infinite = F.lit(float("inf"))
     order = [
         F.when(F.col("passes"), 0).otherwise(1),
@@ -133,14 +152,57 @@ def ranked_triplets(rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: floa
     return three.withColumn("rank", F.row_number().over(Window.partitionBy("control_id").orderBy(*order)))
 
 
-def best_triplets(rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int = 100_000) -> DataFrame:
-    """One row a control: PASS with its best triplet, RESHOOT, or REVIEW when it has too many combinations."""
-    best = ranked_triplets(rows, htol, vtol, gap_minutes, most).where("rank = 1").drop("n")
+def control_qc(rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int = 100_000, require_metadata: bool = False, **limits) -> DataFrame:
+    """One row a control with all of its best triplet: PASS, RESHOOT, or REVIEW when it has too many combinations, and why."""
+    best = ranked_triplets(rows, htol, vtol, gap_minutes, most, require_metadata, **limits).where("rank = 1").drop("n")
     sizes = rows.groupBy("control_id").agg(F.count(F.lit(1)).alias("n"))
-    status = (
-        F.when(F.col("n") < 3, "RESHOOT").when(F.col("n") * (F.col("n") - 1) * (F.col("n") - 2) / 6 > most, "REVIEW").when(F.col("passes"), "PASS").otherwise("RESHOOT")
+    n = F.col("n")
+    too_many = n * (n - 1) * (n - 2) / 6 > most
+    status = F.when(n < 3, "RESHOOT").when(too_many, "REVIEW").when(F.col("passes"), "PASS").otherwise("RESHOOT")
+    reason = F.when(n < 3, "FEWER_THAN_THREE_SHOTS").when(too_many, "TOO_MANY_COMBINATIONS").when(F.col("passes"), "").when(~F.col("coordinate_pass"), "OUT_OF_TOLERANCE").otherwise("FIELD_CHECKS")
+    return sizes.join(best, "control_id", "left").withColumns({"status": status, "reason": reason})
+
+
+def best_triplets(rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int = 100_000, require_metadata: bool = False, **limits) -> DataFrame:
+    """One row a control: PASS with its best triplet, RESHOOT, or REVIEW when it has too many combinations."""
+    found = control_qc(rows, htol, vtol, gap_minutes, most, require_metadata, **limits)
+    return found.select("control_id", "n", "id_a", "id_b", "id_c", "max_h", "max_v", "field_status", "status")
+
+
+def accepted_control(qc: DataFrame, obs: DataFrame) -> DataFrame:
+    """Controls of ``control_qc`` that pass, for export: mean place, code, residuals, the points it rests on, field status and least time gap.
+
+    ``obs`` has observation_id, point_id and description.  The code is that of
+    the three shots; different ones are joined by semicolons, in shot order.
+    """
+    shot = obs.select("observation_id", F.coalesce(F.nullif(F.trim("point_id"), F.lit("")), F.col("observation_id").cast("string")).alias("point"), F.coalesce(F.trim("description"), F.lit("")).alias("code"))
+    passed = qc.where("status = 'PASS'")
+    each = passed.select("control_id", F.posexplode(F.array("id_a", "id_b", "id_c")).alias("k", "observation_id")).join(shot, "observation_id")
+    shots = F.array_sort(F.collect_list(F.struct("k", "point", "code")))
+    names = each.groupBy("control_id").agg(shots.alias("s"))
+    codes = F.array_remove(F.array_distinct(F.col("s.code")), "")
+    names = names.select("control_id", F.array_join("s.point", ";").alias("source_observations"), F.array_join(codes, ";").alias("code"))
+    return passed.join(names, "control_id", "left").select(
+        "control_id", F.col("mean_northing").alias("northing"), F.col("mean_easting").alias("easting"), F.col("mean_elevation").alias("elevation"), "code", F.col("max_h").alias("horizontal_residual"), F.col("max_v").alias("vertical_residual"),
+        "source_observations", F.col("field_status").alias("field_qc_status"), F.col("least_gap_minutes").alias("minimum_time_gap_minutes"), F.col("status").alias("qc_status"),
+    )
+
+
+def reshoot_control(qc: DataFrame, obs: DataFrame, shots: int = 3) -> DataFrame:
+    """Controls of ``control_qc`` to shoot again or to review: why, the shots they have by letter, the labels of the next ones, and what failed in the field.
+
+    ``obs`` has control_id and point_id.  Labels go on behind the letters in use.
+    """
+    from plumbline.functions import ids
+
+    letter = ids.shot_suffix(F.col("point_id"), F.col("control_id").cast("string"))
+    have = obs.groupBy("control_id").agg(F.array_join(F.array_sort(F.collect_set("point_id")), ";").alias("existing_shots"), F.array_remove(F.collect_set(letter), "").alias("letters"))
+    again = qc.where("status in ('RESHOOT', 'REVIEW')").join(have, "control_id", "left")
+    labels = F.array_join(ids.next_reshoot_labels(F.col("control_id").cast("string"), F.coalesce("letters", F.array().cast("array<string>")), shots), ";")
+    return again.select(
+        "control_id", "status", "reason", "existing_shots", labels.alias("next_shots"), F.col("field_status").alias("field_qc_status"), F.col("failures").alias("field_failures"), F.col("missing").alias("missing_field_metadata"),
+        F.col("max_h").alias("horizontal_residual"), F.col("max_v").alias("vertical_residual"),
     )
-    return sizes.join(best, "control_id", "left").select("control_id", "n", "id_a", "id_b", "id_c", "max_h", "max_v", "field_status", status.alias("status"))
 
 
 def shot_checks(
@@ -216,7 +278,8 @@ def regroup(obs: DataFrame, tolerance: float, vertical: float | None = None, rev
     any other; without one the cluster is a conflict.  A shot of another
     control takes the majority's id with its own letter if no shot there, or
     earlier by observation id, has it.  ``reviews`` (observation_id, status,
-    assigned_control_id, assigned_point_id) go before all that.
+    assigned_control_id, assigned_point_id) go before all that; an assigned id
+    that is null or blank leaves the majority's, and the suggested point id.
     """
     from plumbline.functions import ids
     from plumbline.operators.graph import connected_components
@@ -234,7 +297,7 @@ def regroup(obs: DataFrame, tolerance: float, vertical: float | None = None, rev
     clear = (F.col("n") >= 2) & (F.col("n") > F.col("second"))
     ranked = ranked.select("component", F.when(clear, F.col("base")).otherwise("").alias("majority"), "mid_n", "mid_e", "letters")
     none = F.lit(None).cast("string")
-    judged = reviews.select("observation_id", F.upper("status").alias("review"), "assigned_control_id", "assigned_point_id") if reviews is not None else obs.limit(0).select("observation_id", none.alias("review"), none.alias("assigned_control_id"), none.alias("assigned_point_id"))
+    judged = reviews.select("observation_id", F.upper("status").alias("review"), *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("assigned_control_id", "assigned_point_id")]) if reviews is not None else obs.limit(0).select("observation_id", none.alias("review"), none.alias("assigned_control_id"), none.alias("assigned_point_id"))
     rows = rows.join(ranked, "component", "left").join(judged, "observation_id", "left").withColumn("letter", ids.shot_suffix(F.col("point_id"), F.col("base")))
     other = F.coalesce((F.col("majority") != "") & (F.col("base") != F.col("majority")), F.lit(False))
     decided = other & F.coalesce(F.col("review").isin("CONFIRMED", "REASSIGNED", "REJECTED"), F.lit(False))

@@ -66,9 +66,25 @@ def id_changes(base: DataFrame, revised: DataFrame, key: str = "point_id") -> Da
     return both.where("old is null or new is null").select(key, F.when(F.col("old").isNull(), "added").otherwise("removed").alias("change"))
 
 
-def replace_by_source(current: DataFrame, fresh: DataFrame, source: str = "source") -> DataFrame:
-    """Current rows of sources that ``fresh`` doesn't bring, and all its rows: each source's rows are replaced as a whole."""
-    return current.join(fresh.select(source).distinct(), source, "left_anti").select(*current.columns).unionByName(fresh.select(*current.columns))
+def replace_by_source(current: DataFrame, fresh: DataFrame, source: str = "source", refreshed: DataFrame | None = None) -> DataFrame:
+    """Current rows of sources that aren't refreshed, and all of ``fresh``: each source's rows are replaced as a whole.
+
+    ``refreshed`` (column ``source``) names the sources that were read again;
+    one that brings nothing then loses its rows.  Without it, the sources of
+    ``fresh`` are meant.  Rows without a source stay.
+    """
+    gone = (fresh if refreshed is None else refreshed).select(source).distinct()
+    return current.join(gone, source, "left_anti").select(*current.columns).unionByName(fresh.select(*current.columns))
+
+
+def replace_children(children: DataFrame, current: DataFrame, fresh: DataFrame, refreshed: DataFrame, parent: str, source: str = "source") -> DataFrame:
+    """Child rows after ``replace_by_source``: those of replaced parents go first, then ``fresh`` comes.
+
+    ``children`` and ``fresh`` have the column ``parent``, which ``current``
+    has with its source.
+    """
+    gone = current.join(refreshed.select(source).distinct(), source, "left_semi").select(parent).distinct()
+    return children.join(gone, parent, "left_anti").select(*children.columns).unionByName(fresh.select(*children.columns))
 
 
 def append_events(tails: DataFrame, events: DataFrame, chain: str, order: str, *fields: str) -> DataFrame:
@@ -109,16 +125,17 @@ def return_faults(reserved: DataFrame, returned: DataFrame) -> DataFrame:
     """One row a request: whether what came back has each reserved point id (without case) exactly once, all of the request's control.
 
     ``reserved`` has request_id, control_id, point_id; ``returned`` request_id,
-    control_id, point_id.  Other returned points are only counted.
+    control_id, point_id.  Other returned points are only counted; a returned
+    point without a control is of another control.
     """
     low = lambda c: F.lower(F.trim(F.col(c)))
     want = reserved.select("request_id", low("control_id").alias("control"), low("point_id").alias("k")).distinct()
-    came = returned.select("request_id", low("control_id").alias("other"), low("point_id").alias("k")).groupBy("request_id", "k").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("low"), F.max("other").alias("high"))
+    came = returned.select("request_id", F.coalesce(low("control_id"), F.lit("")).alias("other"), low("point_id").alias("k")).groupBy("request_id", "k").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("low"), F.max("other").alias("high"))
     both = want.withColumn("wanted", F.lit(True)).join(came, ["request_id", "k"], "full_outer")
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     wanted = F.col("wanted").isNotNull()
     sums = both.groupBy("request_id").agg(
-        count(wanted & F.col("n").isNull()).alias("missing"), count(wanted & (F.col("n") > 1)).alias("repeated"), count(wanted & ((F.col("low") != F.col("control")) | (F.col("high") != F.col("control")))).alias("other_control"),
+        count(wanted & F.col("n").isNull()).alias("missing"), count(wanted & (F.col("n") > 1)).alias("repeated"), count(wanted & ((F.col("low") != F.coalesce("control", F.lit(""))) | (F.col("high") != F.coalesce("control", F.lit(""))))).alias("other_control"),
         count(~wanted).alias("ignored"), count(wanted).alias("reserved"),
     )
     status = F.when(F.col("missing") + F.col("repeated") > 0, "INCOMPLETE").when(F.col("other_control") > 0, "OTHER_CONTROL").otherwise("COMPLETE")
@@ -145,14 +162,21 @@ def manual_selections(points: DataFrame, selections: DataFrame) -> DataFrame:
 
 
 def attach_once(existing: DataFrame, files: DataFrame) -> DataFrame:
-    """Files (object_id, sha256, path) that their object doesn't have yet, by content; of equal ones the first path."""
+    """Files (object_id, sha256, path) whose content their object doesn't store yet; of equal ones the first path.  These are the copies to make."""
     first = files.groupBy("object_id", "sha256").agg(F.min("path").alias("path"))
     return first.join(existing.select("object_id", "sha256").distinct(), ["object_id", "sha256"], "left_anti")
 
 
-def accepted_rows(solutions: DataFrame) -> DataFrame:
-    """Accepted control for export: solutions that pass and have a place."""
-    return solutions.where("passes and mean_n is not null and mean_e is not null").select("control_id", F.col("mean_n").alias("northing"), F.col("mean_e").alias("easting"), F.col("mean_z").alias("elevation"), "n")
+def attachments(existing: DataFrame, files: DataFrame) -> DataFrame:
+    """One new attachment for every file (object_id, sha256, path), with the path its content is stored under.
+
+    Equal contents of an object share one stored file: the first that
+    ``existing`` (object_id, sha256, stored_path) names, else the first path.
+    """
+    kept = existing.groupBy("object_id", "sha256").agg(F.min("stored_path").alias("kept"))
+    first = files.groupBy("object_id", "sha256").agg(F.min("path").alias("first"))
+    stored = first.join(kept, ["object_id", "sha256"], "left").select("object_id", "sha256", F.coalesce("kept", "first").alias("stored_path"), F.col("kept").isNull().alias("copied"))
+    return files.join(stored, ["object_id", "sha256"]).select("object_id", "sha256", "path", "stored_path", (F.col("copied") & (F.col("path") == F.col("stored_path"))).alias("copied"))
 
 
 def pipe_rows(results: DataFrame) -> DataFrame:

@@ -67,6 +67,23 @@ SHOTS = f"""(SELECT o_custkey AS control_id, o_orderkey AS observation_id, (o_to
     CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE (o_totalprice % 83) * {FOOT_SQL} / 100 END AS elevation, o_orderdate AS observed FROM orders)"""
 
 
+_SHOT_COLUMNS = [
+    "o_custkey AS control_id", "o_orderkey AS observation_id", "(o_totalprice % 97) * {FOOT} / 100 AS northing", "(o_totalprice % 89) * {FOOT} / 100 AS easting",
+    "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE (o_totalprice % 83) * {FOOT} / 100 END AS elevation", "o_orderdate AS observed",
+    "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 280 + o_orderkey * 7 % 600 END AS epoch_count", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 290 + o_orderkey % 40 END AS duration_seconds",
+    "CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 4 + o_orderkey % 12 END AS satellite_count", "o_orderkey % 50 AS pdop",
+    "concat('', o_custkey, CASE o_orderkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END) AS point_id", "CASE o_orderkey % 4 WHEN 0 THEN 'CP' WHEN 1 THEN 'NAIL' ELSE '' END AS description",
+]
+
+
+def read_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated shots with what a receiver tells of them."""
+    return table(spark, sf_dir, "orders").selectExpr(*[c.replace("{FOOT}", FOOT) for c in _SHOT_COLUMNS])
+
+
+READ_SHOTS = f"(SELECT {', '.join(_SHOT_COLUMNS).replace('{FOOT}', FOOT_SQL)} FROM orders)"
+
+
 def sights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level rows: events of a user."""
     return table(spark, sf_dir, "events").selectExpr(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ids
 from plumbline.operators import control
-from plumbline.plans.bindings import CONTROL, SHOTS, control_observations, query, r, shots
+from plumbline.plans.bindings import CONTROL, READ_SHOTS, SHOTS, control_observations, query, r, read_shots, shots
 
 _W = "CASE WHEN h_sigma > 0 THEN 1 / (h_sigma * h_sigma) ELSE 1 END"
 _V = "CASE WHEN v_sigma > 0 THEN 1 / (v_sigma * v_sigma) ELSE 1 END"
@@ -73,14 +73,16 @@ def e5(spark, sf):
     return control.control_summary(obs, solutions)
 
 
-_TRIPLETS = f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY control_id ORDER BY observed, observation_id) AS ord, count(*) OVER (PARTITION BY control_id) AS n FROM {SHOTS}),
+_TRIPLETS = f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY control_id ORDER BY observed, observation_id) AS ord, count(*) OVER (PARTITION BY control_id) AS n,
+        CASE WHEN (epoch_count IS NOT NULL OR duration_seconds IS NOT NULL) AND NOT (coalesce(epoch_count >= 300, false) OR coalesce(duration_seconds >= 300, false)) THEN 1 ELSE 0 END + CASE WHEN satellite_count < 5 THEN 1 ELSE 0 END + CASE WHEN pdop > 46 THEN 1 ELSE 0 END AS failed,
+        CASE WHEN epoch_count IS NULL AND duration_seconds IS NULL THEN 1 ELSE 0 END + CASE WHEN satellite_count IS NULL THEN 1 ELSE 0 END AS lacking FROM {READ_SHOTS}),
     t AS (SELECT a.control_id, a.n, a.observation_id AS id_a, b.observation_id AS id_b, c.observation_id AS id_c, (a.northing + b.northing + c.northing) / 3 AS mn, (a.easting + b.easting + c.easting) / 3 AS me,
         (a.elevation + b.elevation + c.elevation) / 3 AS mz, a.northing AS n1, b.northing AS n2, c.northing AS n3, a.easting AS e1, b.easting AS e2, c.easting AS e3, a.elevation AS z1, b.elevation AS z2, c.elevation AS z3,
-        least(abs(date_diff('second', a.observed, b.observed)), abs(date_diff('second', b.observed, c.observed)), abs(date_diff('second', a.observed, c.observed))) / CAST(60 AS DOUBLE) AS gap
+        least(abs(date_diff('second', a.observed, b.observed)), abs(date_diff('second', b.observed, c.observed)), abs(date_diff('second', a.observed, c.observed))) / CAST(60 AS DOUBLE) AS gap, a.failed + b.failed + c.failed AS failures, a.lacking + b.lacking + c.lacking AS missing
         FROM o a JOIN o b ON a.control_id = b.control_id AND a.ord < b.ord JOIN o c ON a.control_id = c.control_id AND b.ord < c.ord),
     u AS (SELECT *, sqrt((n1 - mn) ** 2 + (e1 - me) ** 2) AS h1, sqrt((n2 - mn) ** 2 + (e2 - me) ** 2) AS h2, sqrt((n3 - mn) ** 2 + (e3 - me) ** 2) AS h3, abs(z1 - mz) AS v1, abs(z2 - mz) AS v2, abs(z3 - mz) AS v3 FROM t),
     x AS (SELECT *, greatest(h1, h2, h3) AS max_h, CASE WHEN mz IS NOT NULL THEN greatest(v1, v2, v3) END AS max_v, sqrt((h1 * h1 + h2 * h2 + h3 * h3) / 3) AS rms_h, sqrt((v1 * v1 + v2 * v2 + v3 * v3) / 3) AS rms_v FROM u),
-    y AS (SELECT *, coalesce(max_h <= 0.15 AND max_v <= 0.15, false) AS coordinate_pass, CASE WHEN gap IS NULL THEN 'UNVERIFIED' WHEN gap >= 60 - 1e-9 THEN 'PASS' ELSE 'FAIL' END AS field_status FROM x),
+    y AS (SELECT *, coalesce(max_h <= 0.15 AND max_v <= 0.15, false) AS coordinate_pass, CASE WHEN failures > 0 OR coalesce(gap < 60 - 1e-9, false) THEN 'FAIL' WHEN missing > 0 OR gap IS NULL THEN 'UNVERIFIED' ELSE 'PASS' END AS field_status FROM x),
     z AS (SELECT *, coordinate_pass AND field_status <> 'FAIL' AS passes FROM y),
     q AS (SELECT *, row_number() OVER (PARTITION BY control_id ORDER BY CASE WHEN passes THEN 0 ELSE 1 END, CASE field_status WHEN 'PASS' THEN 0 WHEN 'UNVERIFIED' THEN 1 ELSE 2 END,
         greatest(max_h / 0.15, coalesce(max_v / 0.15, 'inf'::DOUBLE)), max_h, coalesce(max_v, 'inf'::DOUBLE), rms_h, CASE WHEN rms_v = 0 THEN 'inf'::DOUBLE ELSE coalesce(rms_v, 'inf'::DOUBLE) END, id_a, id_b, id_c) AS rank FROM z)"""
@@ -89,17 +91,50 @@ _TRIPLETS = f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY control_id
 @query(
     "d21_best_triplet",
     _TRIPLETS
-    + f""", s AS (SELECT control_id, count(*) AS n FROM {SHOTS} GROUP BY control_id)
+    + f""", s AS (SELECT control_id, count(*) AS n FROM {READ_SHOTS} GROUP BY control_id)
     SELECT s.control_id, s.n, id_a, id_b, id_c, {r('max_h')} AS max_h, {r('max_v')} AS max_v, field_status, CASE WHEN s.n < 3 THEN 'RESHOOT' WHEN passes THEN 'PASS' ELSE 'RESHOOT' END AS status
     FROM s LEFT JOIN (SELECT * FROM q WHERE rank = 1) q ON s.control_id = q.control_id""",
 )
 def d21(spark, sf):
-    return control.best_triplets(shots(spark, sf), htol=0.15, vtol=0.15)
+    return control.best_triplets(read_shots(spark, sf), htol=0.15, vtol=0.15, most_pdop=46)
 
 
 @query("g2_top_alternatives", _TRIPLETS + f" SELECT control_id, CAST(rank AS INTEGER) AS rank, id_a, id_b, id_c, {r('max_h')} AS max_h, passes FROM q WHERE rank <= 10")
 def g2(spark, sf):
-    return control.ranked_triplets(shots(spark, sf), htol=0.15, vtol=0.15).where("rank <= 10").select("control_id", "rank", "id_a", "id_b", "id_c", "max_h", "passes")
+    return control.ranked_triplets(read_shots(spark, sf), htol=0.15, vtol=0.15, most_pdop=46).where("rank <= 10").select("control_id", "rank", "id_a", "id_b", "id_c", "max_h", "passes")
+
+
+_QC = (
+    _TRIPLETS
+    + f""", s AS (SELECT control_id, count(*) AS n FROM {READ_SHOTS} GROUP BY control_id),
+    d AS (SELECT s.control_id, s.n AS shots, q.*, CASE WHEN s.n < 3 THEN 'RESHOOT' WHEN passes THEN 'PASS' ELSE 'RESHOOT' END AS status FROM s LEFT JOIN (SELECT * EXCLUDE (control_id, n), control_id AS own FROM q WHERE rank = 1) q ON s.control_id = q.own)"""
+)
+
+
+@query(
+    "b4_accepted_control",
+    _QC
+    + f""", e AS (SELECT control_id, unnest([1, 2, 3]) AS k, unnest([id_a, id_b, id_c]) AS observation_id FROM d WHERE status = 'PASS'),
+    g AS (SELECT e.control_id, string_agg(point_id, ';' ORDER BY k) AS source_observations, max(CASE WHEN k = 1 THEN description END) AS c1, max(CASE WHEN k = 2 THEN description END) AS c2, max(CASE WHEN k = 3 THEN description END) AS c3 FROM e JOIN {READ_SHOTS} o ON o.observation_id = e.observation_id GROUP BY 1)
+    SELECT d.control_id, {r('mn')} AS northing, {r('me')} AS easting, {r('mz')} AS elevation, array_to_string(list_filter([c1, CASE WHEN c2 <> c1 THEN c2 ELSE '' END, CASE WHEN c3 <> c1 AND c3 <> c2 THEN c3 ELSE '' END], lambda x: x <> ''), ';') AS code, {r('max_h')} AS horizontal_residual, {r('max_v')} AS vertical_residual,
+        source_observations, field_status AS field_qc_status, {r('gap')} AS minimum_time_gap_minutes, status AS qc_status FROM d JOIN g ON d.control_id = g.control_id""",
+)
+def b4_accepted(spark, sf):
+    obs = read_shots(spark, sf)
+    return control.accepted_control(control.control_qc(obs, htol=0.15, vtol=0.15, most_pdop=46), obs)
+
+
+@query(
+    "b4_reshoot_control",
+    _QC
+    + f""", h AS (SELECT control_id, string_agg(DISTINCT point_id, ';' ORDER BY point_id) AS existing_shots, max(ascii(right(point_id, 1)) - 64) AS top FROM {READ_SHOTS} GROUP BY 1)
+    SELECT d.control_id, status, CASE WHEN shots < 3 THEN 'FEWER_THAN_THREE_SHOTS' WHEN NOT coordinate_pass THEN 'OUT_OF_TOLERANCE' ELSE 'FIELD_CHECKS' END AS reason, existing_shots,
+        d.control_id || chr(CAST(65 + top AS INTEGER)) || ';' || d.control_id || chr(CAST(66 + top AS INTEGER)) || ';' || d.control_id || chr(CAST(67 + top AS INTEGER)) AS next_shots, field_status AS field_qc_status,
+        CAST(failures AS BIGINT) AS field_failures, CAST(missing AS BIGINT) AS missing_field_metadata, {r('max_h')} AS horizontal_residual, {r('max_v')} AS vertical_residual FROM d JOIN h ON h.control_id = d.control_id WHERE status <> 'PASS'""",
+)
+def b4_reshoot(spark, sf):
+    obs = read_shots(spark, sf)
+    return control.reshoot_control(control.control_qc(obs, htol=0.15, vtol=0.15, most_pdop=46), obs)
 
 
 _SHOTS_READ = """user_id AS control_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 200 + event_id * 7 % 600 END AS epoch_count, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 100 + value * 10 END AS duration_seconds,

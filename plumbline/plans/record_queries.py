@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ids
 from plumbline.operators import control, keyed, records
-from plumbline.plans.bindings import CONTROL, FOOT, FOOT_SQL, PLACES, control_observations, places, query, r, table, version_sql, versions
+from plumbline.plans import control_queries  # noqa: F401
+from plumbline.plans.bindings import CONTROL, FOOT, FOOT_SQL, ORACLE_SQL, PLACES, control_observations, places, query, r, read_shots, table, version_sql, versions
 
 _MERGED = f"(SELECT event_id AS seq, user_id % 900 AS point_id, (event_id % 3) * {FOOT_SQL} AS northing, (user_id % 7) * {FOOT_SQL} AS easting, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 1.5 END AS elevation, CASE WHEN event_id % 2 = 0 THEN 'MH ' ELSE 'mh' END AS code FROM events)"
 
@@ -60,13 +61,28 @@ def h1_changes(spark, sf):
     return records.id_changes(versions(spark, sf, False), versions(spark, sf, True))
 
 
+_REFRESHED = "SELECT DISTINCT c_custkey % 60 AS source FROM customer"
+_FRESH = "SELECT c_custkey AS id, c_custkey % 60 AS source, 'new' AS value FROM customer WHERE c_custkey % 60 < 50 AND c_custkey % 3 = 0"
+
+
+@query("l3_replace_by_source", f"SELECT o_orderkey AS id, o_custkey % 90 AS source, o_orderstatus AS value FROM orders WHERE o_custkey % 90 NOT IN ({_REFRESHED}) UNION ALL {_FRESH}")
+def l3(spark, sf):
+    """Sources are read again, and some of them bring nothing: their rows go too."""
+    current = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey % 90 AS source", "o_orderstatus AS value")
+    customer = table(spark, sf, "customer")
+    fresh = customer.where("c_custkey % 60 < 50 AND c_custkey % 3 = 0").selectExpr("c_custkey AS id", "c_custkey % 60 AS source", "'new' AS value")
+    return records.replace_by_source(current, fresh, refreshed=customer.selectExpr("c_custkey % 60 AS source"))
+
+
 @query(
-    "l3_replace_by_source",
-    "SELECT o_orderkey AS id, o_custkey % 40 AS source, o_orderstatus AS value FROM orders WHERE o_custkey % 40 NOT IN (SELECT c_custkey % 60 FROM customer WHERE c_custkey % 3 = 0) UNION ALL SELECT c_custkey, c_custkey % 60, 'new' FROM customer WHERE c_custkey % 3 = 0",
+    "l3_replace_children",
+    f"SELECT l_orderkey AS id, l_linenumber AS pipe_index, l_linestatus AS material FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 90 IN ({_REFRESHED})) UNION ALL SELECT id, 1, 'PVC' FROM ({_FRESH}) AS n",
 )
-def l3(spark, sf):
-    current = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey % 40 AS source", "o_orderstatus AS value")
-    return records.replace_by_source(current, table(spark, sf, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey AS id", "c_custkey % 60 AS source", "'new' AS value"))
+def l3_children(spark, sf):
+    orders, customer = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "o_custkey % 90 AS source"), table(spark, sf, "customer")
+    pipes = table(spark, sf, "lineitem").selectExpr("l_orderkey AS id", "l_linenumber AS pipe_index", "l_linestatus AS material")
+    fresh = customer.where("c_custkey % 60 < 50 AND c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit(1).cast(pipes.schema["pipe_index"].dataType).alias("pipe_index"), F.lit("PVC").alias("material"))
+    return records.replace_children(pipes, orders, fresh, customer.selectExpr("c_custkey % 60 AS source"), "id")
 
 
 @query("l6_audit_append", "SELECT user_id AS chain, count(*) AS n_events, CAST(NULL AS BIGINT) AS broken_at FROM events GROUP BY 1")
@@ -82,7 +98,7 @@ def l6(spark, sf):
 
 @query(
     "l11_return_faults",
-    """WITH w AS (SELECT DISTINCT o_custkey AS request_id, o_custkey % 5 AS control, o_orderkey AS k FROM orders WHERE o_orderstatus <> 'O'), c AS (SELECT o_custkey AS request_id, o_orderkey AS k, 1 + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN o_orderkey % 17 = 0 THEN 99 ELSE o_custkey % 5 END AS other FROM orders WHERE o_orderkey % 13 <> 0),
+    """WITH w AS (SELECT DISTINCT o_custkey AS request_id, o_custkey % 5 AS control, o_orderkey AS k FROM orders WHERE o_orderstatus <> 'O'), c AS (SELECT o_custkey AS request_id, o_orderkey AS k, 1 + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 THEN 99 ELSE o_custkey % 5 END AS other FROM orders WHERE o_orderkey % 13 <> 0),
     b AS (SELECT coalesce(w.request_id, c.request_id) AS request_id, w.k IS NOT NULL AS wanted, n, control, other FROM w FULL JOIN c ON c.request_id = w.request_id AND c.k = w.k),
     s AS (SELECT request_id, count(*) FILTER (wanted AND n IS NULL) AS missing, count(*) FILTER (wanted AND n > 1) AS repeated, count(*) FILTER (wanted AND other <> control) AS other_control, count(*) FILTER (NOT wanted) AS ignored, count(*) FILTER (wanted) AS reserved FROM b GROUP BY 1)
     SELECT request_id, missing, repeated, other_control, ignored, CASE WHEN missing + repeated > 0 THEN 'INCOMPLETE' WHEN other_control > 0 THEN 'OTHER_CONTROL' ELSE 'COMPLETE' END AS status FROM s WHERE reserved > 0""",
@@ -90,7 +106,7 @@ def l6(spark, sf):
 def l11(spark, sf):
     o = table(spark, sf, "orders")
     reserved = o.where("o_orderstatus <> 'O'").selectExpr("o_custkey AS request_id", "concat('C', o_custkey % 5) AS control_id", "concat('p', o_orderkey) AS point_id")
-    back = o.where("o_orderkey % 13 <> 0").selectExpr("o_custkey AS request_id", "CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE concat('c', o_custkey % 5) END AS control_id", "concat('P', o_orderkey) AS point_id", "o_orderkey % 11 = 0 AS twice")
+    back = o.where("o_orderkey % 13 <> 0").selectExpr("o_custkey AS request_id", "CASE WHEN o_orderkey % 17 = 0 THEN 'X' WHEN o_orderkey % 19 = 0 THEN NULL ELSE concat('c', o_custkey % 5) END AS control_id", "concat('P', o_orderkey) AS point_id", "o_orderkey % 11 = 0 AS twice")
     return records.return_faults(reserved, back.drop("twice").unionByName(back.where("twice").drop("twice")))
 
 
@@ -117,10 +133,23 @@ def l15(spark, sf):
     return records.attach_once(rows.where("path % 3 = 0"), rows)
 
 
-@query("c13_accepted", f"SELECT control_id, {r('avg(northing)')} AS northing, {r('avg(easting)')} AS easting, {r('avg(elevation)')} AS elevation, count(*) AS n FROM {CONTROL} WHERE include GROUP BY 1 HAVING count(*) > 25")
+@query(
+    "l15_attachments",
+    """WITH f AS (SELECT doc_id % 50 AS object_id, sha256(coalesce(text, '')) AS sha256, doc_id AS path FROM documents), k AS (SELECT object_id, sha256, min(path) AS kept FROM f WHERE path % 3 = 0 GROUP BY 1, 2), n AS (SELECT * FROM f WHERE path % 3 <> 0),
+    p AS (SELECT object_id, sha256, min(path) AS first FROM n GROUP BY 1, 2)
+    SELECT n.object_id, n.sha256, n.path, coalesce(kept, first) AS stored_path, kept IS NULL AND n.path = first AS copied FROM n JOIN p ON p.object_id = n.object_id AND p.sha256 = n.sha256 LEFT JOIN k ON k.object_id = n.object_id AND k.sha256 = n.sha256""",
+)
+def l15_attachments(spark, sf):
+    """Every file is attached; two thirds of the documents come to objects that have the others."""
+    rows = table(spark, sf, "documents").selectExpr("doc_id % 50 AS object_id", "sha2(coalesce(text, ''), 256) AS sha256", "doc_id AS path")
+    return records.attachments(rows.where("path % 3 = 0").withColumnRenamed("path", "stored_path"), rows.where("path % 3 <> 0"))
+
+
+@query("c13_accepted", ORACLE_SQL["b4_accepted_control"])
 def c13(spark, sf):
-    """Controls with over twenty-five shots count as passing here."""
-    return records.accepted_rows(control.control_means(control_observations(spark, sf)).withColumn("passes", F.col("n") > 25))
+    """Accepted controls as the export projects them."""
+    obs = read_shots(spark, sf)
+    return control.accepted_control(control.control_qc(obs, htol=0.15, vtol=0.15, most_pdop=46), obs)
 
 
 _NAMES = "CASE o_orderkey % 4 WHEN 0 THEN 'Survey Points ' || o_custkey || '.csv' WHEN 1 THEN 'job' || o_custkey || '_fieldbook_page_' || (o_orderkey % 30) || '.pdf' WHEN 2 THEN 'C:\\scans\\Acme-' || o_custkey || ' p12345.JPG' ELSE 'pg' END"
