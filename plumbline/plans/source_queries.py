@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import drawings, pairing
+from plumbline.operators import drawings, pairing, reference_networks
 from plumbline.plans.bindings import query, r, table
+from plumbline.sources import geometry
 
 _TURN = "radians(30.0 * ({0} % 12))"
 
@@ -68,3 +69,46 @@ def d17(spark, sf):
         "c_custkey AS seq",
     )
     return pairing.pair_files(surveys, books)
+
+
+@query(
+    "a18_geometry_blobs",
+    f"""WITH s AS (SELECT s_nationkey, s_suppkey % 97 AS x, s_suppkey % 89 AS y, s_acctbal AS z FROM supplier)
+    SELECT s_nationkey AS nation, CASE s_nationkey % 3 WHEN 0 THEN 'MultiPoint' WHEN 1 THEN 'LineString' ELSE 'MultiLineString' END AS kind, count(*) AS vertices, {r('sum(CAST(x AS DOUBLE))')} AS sum_x, {r('sum(CAST(y AS DOUBLE))')} AS sum_y,
+        CASE WHEN s_nationkey % 2 = 0 THEN {r('sum(z)')} END AS sum_z, 2263 AS srs_id, CAST(NULL AS VARCHAR) AS fault FROM s GROUP BY s_nationkey""",
+)
+def a18(spark, sf):
+    """Suppliers of a nation as one geometry, written as a GeoPackage blob and read back."""
+    rows = table(spark, sf, "supplier").selectExpr("s_nationkey AS nation", "CAST(s_suppkey % 97 AS DOUBLE) AS x", "CAST(s_suppkey % 89 AS DOUBLE) AS y", "s_acctbal AS z", "s_suppkey")
+    listed = rows.groupBy("nation").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "x", "y", "z"))).alias("p"))
+    n = F.size("p")
+    every, all_of, halves = F.sequence(F.lit(1), n), F.array(n), F.when(n > 1, F.array((n / 2).cast("int"), n)).otherwise(F.array(n))
+    which = F.col("nation") % 3
+    rings = F.when(which == 0, every).when(which == 1, all_of).otherwise(halves)
+    shapes = listed.select(
+        "nation", F.when(which == 0, "MultiPoint").when(which == 1, "LineString").otherwise("MultiLineString").alias("kind"), F.col("p.x").alias("xs"), F.col("p.y").alias("ys"),
+        F.when(F.col("nation") % 2 == 0, F.col("p.z")).alias("zs"), rings.alias("rings"), F.when(which == 1, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.size(rings))).alias("parts"),
+    )
+    read = geometry.geometries(geometry.encoded(shapes, ["nation"], ">", 2263), "blob")
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return read.select("nation", "kind", F.size("xs").cast("long").alias("vertices"), add("xs").alias("sum_x"), add("ys").alias("sum_y"), add("zs").alias("sum_z"), "srs_id", "fault")
+
+
+@query(
+    "j3_solver_comparison",
+    """WITH m AS (SELECT greatest(max(s_suppkey) // 8 - 1, 0) AS last FROM supplier), s AS (SELECT least(greatest(s_suppkey - 1, 0) // 8, last) AS network_id FROM supplier, m)
+    SELECT CAST(network_id AS BIGINT) AS network_id, true AS converged, true AS reference_converged, 'PASS' AS status FROM s GROUP BY network_id HAVING count(*) > 2""",
+)
+def j3(spark, sf):
+    """Both adjustments of every ring agree."""
+    from plumbline.plans.surface_queries import _rings
+
+    rows = reference_networks.compare_adjustments(*_rings(spark, sf))
+    return rows.select(F.col("network_id").cast("long").alias("network_id"), "converged", "reference_converged", "status")
+
+
+@query("j3_reference_adjustment")
+def j3_reference(spark, sf):
+    from plumbline.plans.surface_queries import _rings
+
+    return reference_networks.adjust_control(*_rings(spark, sf))

@@ -61,3 +61,27 @@ def test_job_keys(spark, name, key):
 def test_pipe_rows(spark):
     rows = spark.createDataFrame([("a", [(1.0, "PVC"), (2.0, None)]), ("b", []), ("c", None)], "point_id string, pipes array<struct<dip:double,material:string>>")
     assert [tuple(r) for r in records.pipe_rows(rows).collect()] == [("a", 1, 1.0, "PVC"), ("a", 2, 2.0, None)]
+
+
+def test_a_refresh_that_brings_nothing_takes_rows_and_children(spark):
+    current = spark.createDataFrame([(1, "fieldbook", "a"), (2, "manual", "b"), (3, None, "c"), (4, "gis", "d")], "id int, source string, value string")
+    none, names = current.limit(0), spark.createDataFrame([("fieldbook",), ("absent",)], "source string")
+    assert sorted(r.id for r in records.replace_by_source(current, none, refreshed=names).collect()) == [2, 3, 4]
+    assert sorted(r.id for r in records.replace_by_source(current, none).collect()) == [1, 2, 3, 4]
+    pipes = spark.createDataFrame([(1, 1, "PVC"), (1, 2, "RCP"), (2, 1, "DIP"), (9, 1, "CMP")], "id int, pipe_index int, material string")
+    fresh = spark.createDataFrame([(7, 1, "HDPE")], pipes.schema)
+    assert sorted((r.id, r.pipe_index) for r in records.replace_children(pipes, current, fresh, names, "id").collect()) == [(2, 1), (7, 1), (9, 1)]
+
+
+def test_a_returned_shot_without_control_is_refused(spark):
+    schema = "request_id int, control_id string, point_id string"
+    want = spark.createDataFrame([(1, "CP1", "10A"), (1, "CP1", "10B"), (2, "CP2", "20A"), (3, "CP3", "30A")], schema)
+    came = spark.createDataFrame([(1, "cp1", "10a"), (1, None, "10B"), (2, "  ", "20A"), (3, "CP3 ", " 30a"), (3, None, "31A")], schema)
+    assert {r.request_id: (r.status, r.other_control, r.ignored) for r in records.return_faults(want, came).collect()} == {1: ("OTHER_CONTROL", 1, 0), 2: ("OTHER_CONTROL", 1, 0), 3: ("COMPLETE", 0, 1)}
+
+
+def test_every_call_attaches_and_equal_files_are_stored_once(spark):
+    files = spark.createDataFrame([(1, "x", "p"), (1, "y", "q"), (1, "y", "a"), (2, "x", "p"), (1, "y", "a")], "object_id int, sha256 string, path string")
+    kept = spark.createDataFrame([(1, "x", "stored/x"), (1, "x", "later/x")], "object_id int, sha256 string, stored_path string")
+    got = sorted((r.object_id, r.sha256, r.path, r.stored_path, r.copied) for r in records.attachments(kept, files).collect())
+    assert got == [(1, "x", "p", "later/x", False), (1, "y", "a", "a", True), (1, "y", "a", "a", True), (1, "y", "q", "a", False), (2, "x", "p", "p", True)]
