@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import drawings, pairing, reference_networks
+from plumbline.operators import drawings, pairing, redaction, reference_networks
 from plumbline.plans.bindings import query, r, table
 from plumbline.sources import geometry
 
@@ -112,3 +112,13 @@ def j3_reference(spark, sf):
     from plumbline.plans.surface_queries import _rings
 
     return reference_networks.adjust_control(*_rings(spark, sf))
+
+
+@query(
+    "i11_redaction",
+    """SELECT event_id, '{"detail":{"apiKey":"<redacted>","list":[{"Password":"<redacted>","kind":"' || event_type || '"},[' || CAST(user_id AS VARCHAR) || ',null]]},"token":"<redacted>","user":' || CAST(user_id AS VARCHAR) || '}' AS body FROM events""",
+)
+def i11(spark, sf):
+    """Events as nested JSON, with hidden values at three depths."""
+    body = """concat('{"user": ', user_id, ', "token": {"x": [', event_id, ']}, "detail": {"apiKey": "k', event_id, '", "list": [{"kind": "', event_type, '", "Password": ', value, '}, [', user_id, ', null]]}}') AS body"""
+    return redaction.redact(table(spark, sf, "events").selectExpr("event_id", body), "event_id", "body")
