@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.tokens import added_pattern, added_tokens, count_pretoken, vocabulary_paths
 
-#: Pre-tokens in a leaf block when a tree is built; a block that grows past GROWN times that has the tree built anew.
+#: Pre-tokens in a leaf block when a tree is built; a block that grows past GROWN times that is spread over its neighbours.
 BLOCK = 64
 GROWN = 8
 #: Characters after a pre-token's end that the pattern may have looked at.
@@ -64,34 +64,57 @@ class Counter(dict):
 
 
 class TokenTree:
-    """Segment tree of one document: leaves are blocks of pre-tokens, nodes hold sums of characters and of tokens."""
+    """Segment tree of one document: leaves are blocks of pre-tokens with their text, nodes hold sums of characters and of tokens.
+
+    The text lies in the blocks alone, so an edit touches those around it and
+    the sums above them, however long the document is.  A block that has grown
+    too large is spread over the smallest subtree with room.
+    """
 
     def __init__(self, text: str, counter: Counter, leaves: tuple[list[int], list[int]] | None = None):
-        self.text, self.counter = text, counter
+        self.counter = counter
         if leaves is None:
             tokens = list(counter.pretokens(text))
             leaves = ([len(t) for t in tokens], [counter[t] for t in tokens])
         self.encoded = 0
-        self._build(*leaves)
-
-    def _build(self, chars: list[int], counts: list[int]) -> None:
-        self.blocks = [(chars[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(chars), BLOCK)] or [([], [])]
-        self.width = 1 << (len(self.blocks) - 1).bit_length()
-        self.sums = [[0] * (2 * self.width) for _ in range(2)]
-        for i, block in enumerate(self.blocks):
-            for s, values in zip(self.sums, block):
-                s[self.width + i] = sum(values)
-        for s in self.sums:
-            for i in range(self.width - 1, 0, -1):
-                s[i] = s[2 * i] + s[2 * i + 1]
+        self._build(text, *leaves)
+
+    def _build(self, text: str, chars: list[int], counts: list[int], width: int = 1) -> None:
+        while width * BLOCK < len(chars):
+            width *= 2
+        self.width = width
+        self.sums = [[0] * (2 * width) for _ in range(2)]
+        self.blocks: list[tuple[list[int], list[int], str]] = [([], [], "")] * width
+        self._fill(0, width, text, chars, counts)
+
+    def _fill(self, first: int, width: int, text: str, chars: list[int], counts: list[int]) -> None:
+        """Spread pre-tokens evenly over the blocks of a subtree (a block at least BLOCK, as far as they go), and sum up."""
+        each, at = max(BLOCK, -(-len(chars) // width)), 0
+        for k in range(width):
+            own = chars[k * each : (k + 1) * each]
+            size = sum(own)
+            self.blocks[first + k] = (own, counts[k * each : (k + 1) * each], text[at : at + size])
+            at += size
+            for s, values in zip(self.sums, self.blocks[first + k]):
+                s[self.width + first + k] = sum(values)
+        low, high = self.width + first, self.width + first + width - 1
+        while low > 1:
+            low, high = low // 2, high // 2
+            for s in self.sums:
+                for node in range(low, high + 1):
+                    s[node] = s[2 * node] + s[2 * node + 1]
 
     @property
     def tokens(self) -> int:
         return self.sums[1][1]
 
+    @property
+    def text(self) -> str:
+        return "".join(b[2] for b in self.blocks)
+
     def leaves(self) -> tuple[list[int], list[int]]:
         """Characters and tokens of all pre-tokens in order: the state to store."""
-        return [n for chars, _ in self.blocks for n in chars], [n for _, counts in self.blocks for n in counts]
+        return [n for b in self.blocks for n in b[0]], [n for b in self.blocks for n in b[1]]
 
     def _find(self, place: int) -> tuple[int, int, int]:
         """Block, index in it, and start of the pre-token that holds the character at ``place`` (or the last one)."""
@@ -110,46 +133,75 @@ class TokenTree:
         return block, last, start
 
     def edit(self, position: int, delete: int, insert: str) -> None:
-        """Replace ``delete`` characters at ``position`` by ``insert``; both are cut to what the text has."""
-        position = min(max(position, 0), len(self.text))
-        delete = min(max(delete, 0), len(self.text) - position)
+        """Replace ``delete`` characters at ``position`` by ``insert``; both are cut to what the text has.
+
+        Pre-tokens are found in a window of the text that begins at the first
+        one which may change; it grows while they could have looked beyond it.
+        """
+        total = self.sums[0][1]
+        position = min(max(position, 0), total)
+        delete = min(max(delete, 0), total - position)
         if not delete and not insert:
             return
-        shift = len(insert) - delete
-        self.text = self.text[:position] + insert + self.text[position + delete :]
-        block, index, start = self._find(max(0, position - self.counter.back))
-        old, b, i = start, block, index
-        new_chars, new_counts, met, end = [], [], False, start
-        for token in self.counter.pretokens(self.text, start):
-            new_chars.append(len(token))
-            new_counts.append(self.counter[token])
-            end += len(token)
-            if end < position + len(insert):
-                continue
-            while old < end - shift and b < len(self.blocks):
-                chars = self.blocks[b][0]
-                if i < len(chars):
-                    old += chars[i]
-                    i += 1
-                else:
-                    b, i = b + 1, 0
-            if old == end - shift:
-                met = True
+        shift, back = len(insert) - delete, self.counter.back
+        block, index, start = self._find(max(0, position - back))
+        window, after, stop = self.blocks[block][2][sum(self.blocks[block][0][:index]) :], block + 1, 0
+        stop, parts = start + len(window), [window]
+        while stop < position + delete:
+            parts.append(self.blocks[after][2])
+            stop += len(parts[-1])
+            after += 1
+        window = "".join(parts)
+        window = window[: position - start] + insert + window[position - start + delete :]
+        old, b, i, more = start, block, index, 1
+        new_chars, new_counts, met, end = [], [], False, 0
+        while not met:
+            whole = stop >= total
+            for token in self.counter.pretokens(window, end):
+                if not whole and end + len(token) > len(window) - back:
+                    break
+                end += len(token)
+                new_chars.append(len(token))
+                new_counts.append(self.counter[token])
+                if start + end < position + len(insert):
+                    continue
+                while old < start + end - shift and b < self.width:
+                    chars = self.blocks[b][0]
+                    if i < len(chars):
+                        old += chars[i]
+                        i += 1
+                    else:
+                        b, i = b + 1, 0
+                if old == start + end - shift:
+                    met = True
+                    break
+            if met or whole:
                 break
+            parts = [window]
+            for _ in range(more):
+                if after < self.width:
+                    parts.append(self.blocks[after][2])
+                    stop += len(parts[-1])
+                    after += 1
+            window, more = "".join(parts), 2 * more
         if not met:
-            b, i = len(self.blocks) - 1, len(self.blocks[-1][0])
+            b, i = self.width - 1, len(self.blocks[-1][0])
+        elif b == self.width:
+            b, i = self.width - 1, len(self.blocks[-1][0])
         self.encoded += len(new_chars)
-        self._replace(block, index, b, i, new_chars, new_counts)
+        self._replace(block, index, b, i, window[:end], new_chars, new_counts)
 
-    def _replace(self, block: int, index: int, to_block: int, to_index: int, chars: list[int], counts: list[int]) -> None:
+    def _replace(self, block: int, index: int, to_block: int, to_index: int, text: str, chars: list[int], counts: list[int]) -> None:
         """Put new pre-tokens in place of those from ``(block, index)`` up to ``(to_block, to_index)``."""
-        rest = [values[to_index:] for values in self.blocks[to_block]]
+        first, last = self.blocks[block], self.blocks[to_block]
+        kept, rest = sum(first[0][:index]), sum(last[0][:to_index])
         for b in range(block + 1, to_block + 1):
-            self.blocks[b] = ([], [])
-        first = self.blocks[block]
-        self.blocks[block] = (first[0][:index] + chars + rest[0], first[1][:index] + counts + rest[1])
+            self.blocks[b] = ([], [], "")
+        self.blocks[block] = (first[0][:index] + chars + last[0][to_index:], first[1][:index] + counts + last[1][to_index:], first[2][:kept] + text + last[2][rest:])
         if len(self.blocks[block][0]) > GROWN * BLOCK:
-            self._build(*self.leaves())
+            for b in range(block + 1, to_block + 1):
+                self._sum_up(b)
+            self._spread(block)
             return
         for b in range(block, to_block + 1):
             node = self.width + b
@@ -162,6 +214,27 @@ class TokenTree:
                     s[node] = s[2 * node] + s[2 * node + 1]
             changed = {n // 2 for n in changed} - {0}
 
+    def _sum_up(self, block: int) -> None:
+        node = self.width + block
+        for s, values in zip(self.sums, self.blocks[block]):
+            s[node] = sum(values)
+        while node > 1:
+            node //= 2
+            for s in self.sums:
+                s[node] = s[2 * node] + s[2 * node + 1]
+
+    def _spread(self, block: int) -> None:
+        """Spread a block over the smallest subtree around it that then has GROWN / 4 times BLOCK a block at most; if none has, over a tree of twice the width."""
+        size = 1
+        while size < self.width:
+            size *= 2
+            first = block // size * size
+            part = self.blocks[first : first + size]
+            if sum(len(p[0]) for p in part) <= size * max(1, GROWN // 4) * BLOCK:
+                self._fill(first, size, "".join(p[2] for p in part), [n for p in part for n in p[0]], [n for p in part for n in p[1]])
+                return
+        self._build(self.text, *self.leaves(), 2 * self.width)
+
 
 EDITS = "array<struct<position:int,remove:int,insert:string>>"
 _STATE = "array<int>"

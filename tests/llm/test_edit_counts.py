@@ -41,6 +41,39 @@ def test_only_the_touched_region_is_encoded_again():
     assert 0 < tree.encoded < 10
 
 
+@pytest.mark.parametrize("block", [1, 3])
+def test_windows_and_blocks_grow(monkeypatch, block):
+    """Long pre-tokens, many insertions in one place, and deletions over many blocks, in tiny blocks."""
+    monkeypatch.setattr(edit_counts, "BLOCK", block)
+    rnd, counter = random.Random(2), edit_counts.Counter(PATHS)
+    text = "x" * 500 + " " * 300 + "word 's " * 40
+    tree = edit_counts.TokenTree(text, counter)
+    for k in range(150):
+        at = rnd.choice([250, 650, len(text) // 2, rnd.randrange(len(text) + 1)])
+        e = (at, rnd.choice((0, 0, 1, 2, 90 if k % 9 == 0 else 0)), rnd.choice(("a b c ", " ", "", "'ll", "zz", "<|endoftext|>", "<|end", "oftext|>")))
+        text = edited(text, [e])
+        tree.edit(*e)
+        assert tree.text == text and tree.tokens == len(encode(text, PATHS))
+        assert tree.leaves()[0] == [len(t) for t in counter.pretokens(text)]
+        assert all(s[i] == s[2 * i] + s[2 * i + 1] for s in tree.sums for i in range(1, tree.width))
+        assert all(len(b[2]) == sum(b[0]) for b in tree.blocks)
+
+
+def test_time_of_an_edit_does_not_follow_the_text():
+    """A thousand edits in texts of 0.1 and 4 million characters; twice the time allows for deeper trees and colder memory."""
+    import time
+
+    counter, took = edit_counts.Counter(PATHS), {}
+    for n in (100_000, 4_000_000):
+        tree, rnd = edit_counts.TokenTree("some words, and more. " * (n // 22), counter), random.Random(3)
+        places = [rnd.randrange(n - 100) for _ in range(1000)]
+        began = time.process_time()
+        for place in places:
+            tree.edit(place, 3, " new text")
+        took[n] = time.process_time() - began
+    assert took[4_000_000] < 2 * took[100_000] + 0.05
+
+
 EDITS = "doc_id long, seq int, position int, remove int, insert string, text string"
 
 
