@@ -35,6 +35,7 @@ RETRIES = 4
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _FOOTER = struct.Struct("<8sQQQ")
 _MAGIC = b"PLMEDIA1"
+_SEAL = struct.Struct("<8sI")
 #: Number of an archive of a task, start of its directory, and its members: what planning needs to know, in one manifest for each task.
 LISTED = np.dtype([("number", "<u4"), ("start", "<u8"), ("count", "<u8")])
 READERS = 32
@@ -100,11 +101,10 @@ def feature(samples: np.ndarray) -> str:
 
 
 class _Archive:
-    """Writes one archive under a name of its own attempt and moves it to its final name when complete."""
+    """Writes one archive under a name of its own attempt; nothing reads it before a manifest names that attempt."""
 
-    def __init__(self, files: pafs.FileSystem, path: str, attempt: int):
-        self.files, self.path, self.temporary = files, path, f"{path}.{attempt}.part"
-        self.out, self.entries, self.size = files.open_output_stream(self.temporary), [], 0
+    def __init__(self, files: pafs.FileSystem, path: str):
+        self.out, self.entries, self.size = files.open_output_stream(path), [], 0
 
     def add(self, doc_id: int | None, n_bytes: int, media: bytes) -> None:
         self.out.write(media)
@@ -116,15 +116,19 @@ class _Archive:
         self.out.write(directory)
         self.out.write(_FOOTER.pack(_MAGIC, self.size, len(self.entries), zlib.crc32(directory)))
         self.out.close()
-        self.files.move(self.temporary, self.path)
+
+
+def _archive_path(stem: str, attempt: int, number: int) -> str:
+    return f"{stem}.{attempt}-{number:06d}.arc"
 
 
 def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> int:
     """Store every row's payload in archives under ``folder`` (a URI that all executors reach); returns how many members were written.
 
-    A task that runs again writes the same archives and replaces them whole;
-    what a lost attempt leaves keeps a ``.part`` name, which nothing reads.
-    Beside its archives each task writes one manifest of them.
+    Every attempt of a task writes archives of its own and, when all are
+    closed, one manifest of them.  Of a task's whole manifests the last
+    attempt's counts, so a task that runs again, whether the first run was lost
+    or had finished, is read once; nothing is renamed or replaced.
     Nulls: a null text is an empty one, a null doc_id is kept as null.
     """
     files, root = arrow_files(folder)
@@ -133,7 +137,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
     def run(batches):
         files, root = arrow_files(folder)
         context = TaskContext.get()
-        part, attempt = context.partitionId(), context.taskAttemptId()
+        stem, attempt = f"{root}/part-{context.partitionId():06d}", context.taskAttemptId()
         current, listed, members = None, [], 0
 
         def done():
@@ -143,7 +147,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if current is None:
-                    current = _Archive(files, f"{root}/part-{part:06d}-{len(listed):06d}.arc", attempt)
+                    current = _Archive(files, _archive_path(stem, attempt, len(listed)))
                 payload, n_bytes = payload_of(text.as_py())
                 current.add(doc_id, n_bytes, to_png(payload))
                 members += 1
@@ -153,7 +157,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         if current is not None:
             done()
         if listed:
-            write_manifest(files, f"{root}/part-{part:06d}", attempt, listed)
+            write_manifest(files, stem, attempt, listed)
         yield pa.RecordBatch.from_arrays([pa.array([members], pa.int64())], ["members"])
 
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, "members long")
@@ -161,11 +165,17 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
 
 
 def write_manifest(files: pafs.FileSystem, stem: str, attempt: int, listed: list[tuple[int, int, int]]) -> None:
-    """One file that lists a task's archives, complete or not there."""
-    temporary = f"{stem}.{attempt}.part"
-    with files.open_output_stream(temporary) as out:
-        out.write(np.array(listed, LISTED).tobytes())
-    files.move(temporary, f"{stem}.idx")
+    """One file that lists an attempt's archives, with a checksum at its end that tells whether it is whole."""
+    body = np.array(listed, LISTED).tobytes()
+    with files.open_output_stream(f"{stem}.{attempt}.idx") as out:
+        out.write(body + _SEAL.pack(_MAGIC, zlib.crc32(body)))
+
+
+def read_manifest(body: bytes) -> np.ndarray | None:
+    """What a manifest lists; None if it was cut off."""
+    if len(body) < _SEAL.size or _SEAL.unpack(body[-_SEAL.size :]) != (_MAGIC, zlib.crc32(body[: -_SEAL.size])):
+        return None
+    return np.frombuffer(body[: -_SEAL.size], LISTED)
 
 
 @dataclass
@@ -186,19 +196,27 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[DirectoryRange]:
         """One range for about ``rangeBytes`` of members.  Reads the tasks' manifests, many at once; no archive is opened."""
         files, root = arrow_files(self.folder)
-        found = sorted(i.path for i in files.get_file_info(pafs.FileSelector(root)) if i.path.endswith(".idx"))
+        found = []
+        for i in files.get_file_info(pafs.FileSelector(root)):
+            stem, _, attempt = i.path.removesuffix(".idx").rpartition(".")
+            if i.path.endswith(".idx") and attempt.isdigit():
+                found.append((stem, int(attempt), i.path))
 
-        def listed(path: str) -> np.ndarray:
+        def listed(path: str) -> np.ndarray | None:
             with files.open_input_file(path) as f:
-                return np.frombuffer(f.read(), LISTED)
+                return read_manifest(f.read())
 
-        out = []
+        whole: dict[str, tuple[int, np.ndarray]] = {}
         with ThreadPoolExecutor(READERS) as readers:
-            for path, manifest in zip(found, readers.map(listed, found)):
-                for number, start, count in manifest.tolist():
-                    step = max(1, count * self.range_bytes // max(1, start))
-                    archive = f"{path[:-4]}-{number:06d}.arc"
-                    out += [DirectoryRange(archive, start + a * ENTRY.itemsize, start + min(count, a + step) * ENTRY.itemsize) for a in range(0, count, step)]
+            for (stem, attempt, _), manifest in zip(sorted(found), readers.map(listed, [path for _, _, path in sorted(found)])):
+                if manifest is not None:
+                    whole[stem] = attempt, manifest
+        out = []
+        for stem, (attempt, manifest) in sorted(whole.items()):
+            for number, start, count in manifest.tolist():
+                step = max(1, count * self.range_bytes // max(1, start))
+                archive = _archive_path(stem, attempt, number)
+                out += [DirectoryRange(archive, start + a * ENTRY.itemsize, start + min(count, a + step) * ENTRY.itemsize) for a in range(0, count, step)]
         return out or [DirectoryRange("", 0, 0)]
 
     def read(self, partition: DirectoryRange) -> Iterator[pa.RecordBatch]:

@@ -104,3 +104,20 @@ def test_planning_reads_manifests_and_opens_no_archive(tmp_path):
     ranges = media.ArchiveReader({"path": f"file://{tmp_path}"}).partitions()
     assert len({r.path for r in ranges}) == 10_000 and len(ranges) == 10_000 * 8
     assert sum(r.end - r.begin for r in ranges) == 10_000 * 5000 * media.ENTRY.itemsize
+
+
+def test_a_partition_that_runs_twice_is_read_once(spark, tmp_path):
+    """After a finished run, a second attempt (lost executor, speculation) can write and commit; a third that is cut off changes nothing."""
+    folder = f"file://{tmp_path}"
+    rows = spark.createDataFrame([(k, f"text {k}", "", "") for k in range(40)], SCHEMA).repartition(2)
+    for _ in range(2):
+        assert media.write_archives(rows, folder) == 40
+    manifests = sorted(p.name for p in tmp_path.glob("*.idx"))
+    assert len(manifests) == 4
+    spark.dataSource.register(media.ArchiveSource)
+    read = lambda: sorted(r.doc_id for r in spark.read.format("media_archive").load(folder).collect())
+    assert read() == list(range(40))
+    last = max(tmp_path.glob("part-000001.*.idx"), key=lambda p: int(p.name.split(".")[1]))
+    (tmp_path / "part-000001.999999999.idx").write_bytes(last.read_bytes()[:-2])
+    (tmp_path / "part-000001.999999999-000000.arc").write_bytes(b"half")
+    assert read() == list(range(40))
