@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.arrow import fold
+from plumbline.storage import materialise, scope
 
 BITS = 18
 FACTORS = 4
@@ -225,9 +226,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS)
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, bits: int = BITS) -> Machine:
     """Learn from the bounded sample: of an id's documents one is used, however often the id is there.
 
-    At most ``most`` rows of terms meet in one task, and what comes back has
-    the fixed size of a machine.
+    At most ``most`` rows of terms meet in one task, without the terms that
+    fewer than LEAST_ROWS of them have (Spark counts those first; the list of
+    the others is bounded by the hash), and what comes back has the fixed size
+    of a machine.
     """
+    with scope(docs.sparkSession):
+        return _fit(docs, labels, most, bits)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, most: int, bits: int) -> Machine:
     sample = F.broadcast(training_rows(docs, labels, most))
     chosen = docs.select("doc_id", "text").join(sample, "doc_id")
 
@@ -239,7 +247,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, bits: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = chosen.select("doc_id", "text", "toxic").mapInArrow(hashed, f"doc_id {kind}, toxic int, terms array<int>")
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")).repartition(1)
+    rows = materialise(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")), "training-terms")
+    common = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
+    marks = np.zeros(1 << bits, bool)
+    marks[common.select("term").toArrow().column(0).to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def prune(batches):
+        for batch in batches:
+            found = [np.array(x, np.int32) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[shared.value[x]] for x in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
+
+    rows = rows.mapInArrow(prune, f"doc_id {kind}, toxic int, terms array<int>").repartition(1)
 
     def learn(batches):
         seen = [b for b in batches if b.num_rows]
