@@ -211,3 +211,17 @@ def f9(spark, sf):
     """The events of ``f8_rod_events`` in runs of 500 rows, greedily grouped."""
     events = f8(spark, sf).selectExpr("first_seq div 500 AS run_id", "chain_id", "first_seq", "last_seq", "shift", "first_seq * 10.0D AS northing", "chain_id * 5.0D AS easting")
     return rodshift.correlated(events).select("run_id", "chain_id", "first_seq", "last_seq", "grp")
+
+
+@query("f10_scored_candidates")
+def f10_scored(spark, sf):
+    """The events of ``f8_rod_events`` in runs of 500 rows, with hazards, setups and points of other roles among their rows, scored by the full rule."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("label").orderBy("northing", "point_id")
+    rows = places(spark, sf).withColumn("k", F.row_number().over(w).cast("long")).selectExpr("k div 500 AS run_id", "label AS chain_id", "k", "k * 10 + label AS seq", "k * 10.0D AS northing", "label * 5.0D AS easting")
+    role = "CASE WHEN k % 40 = 19 AND chain_id = 3 THEN 'setup' WHEN k % 120 = 65 AND chain_id = 4 THEN 'ditch' WHEN k % 400 = 100 THEN 'structure' WHEN k % 90 = 25 AND chain_id = 7 THEN 'unknown' ELSE 'surface' END AS role"
+    points = rows.selectExpr("run_id", "seq", "northing", "easting", role)
+    nodes = rows.selectExpr("run_id", "chain_id", "seq", "CASE WHEN k % 40 BETWEEN 20 AND 29 THEN 1.83D ELSE 0.0D END AS offset", "concat('F', chain_id % 6) AS feature")
+    events = f8(spark, sf).selectExpr("first_seq div 500 AS run_id", "first_seq * 10 + chain_id AS first_seq", "last_seq * 10 + chain_id AS last_seq", "chain_id", "shift", "first_seq * 10.0D AS northing", "chain_id * 5.0D AS easting", "recovered")
+    return rodshift.rod_candidates(points, nodes, events, rodshift.Correlation(rows=120), confirmed=True)
