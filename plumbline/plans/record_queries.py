@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import ids
-from plumbline.operators import control, keyed, records
+from plumbline.operators import audit, control, keyed, records
 from plumbline.plans import control_queries  # noqa: F401
 from plumbline.plans.bindings import CONTROL, FOOT, FOOT_SQL, ORACLE_SQL, PLACES, control_observations, places, query, r, read_shots, table, version_sql, versions
 
@@ -162,3 +162,25 @@ _NAMES = "CASE o_orderkey % 4 WHEN 0 THEN 'Survey Points ' || o_custkey || '.csv
 def i8(spark, sf):
     name = F.expr(_NAMES.replace("||", "||").replace("\\", "\\\\"))
     return table(spark, sf, "orders").select("o_orderkey", ids.job_key(name).alias("job"))
+
+
+@query(
+    "l6_audit_chain",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS chain_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq,
+            '{"action":"' || event_type || '","actor":"u' || (user_id % 7) || '","chain_id":"' || user_id || '","details_json":"{}","event_id":"' || event_id || '","hash_version":1,"module":"Topo","object_id":"' || (event_id % 100) || '","object_type":"point","prev_hash":"' AS head,
+            '","revision":' || (event_id % 4) || ',"seq":' AS middle, ',"ts_utc":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '"}' AS tail FROM events),
+    h(chain_id, seq, last_hash) AS (SELECT DISTINCT chain_id, CAST(0 AS BIGINT), '0000000000000000000000000000000000000000000000000000000000000000' FROM e
+        UNION ALL SELECT e.chain_id, CAST(e.seq AS BIGINT), sha256(head || last_hash || middle || e.seq || tail) FROM h JOIN e ON e.chain_id = h.chain_id AND e.seq = h.seq + 1)
+    SELECT chain_id, max(seq) AS n_events, max_by(last_hash, seq) AS last_hash, CAST(NULL AS BIGINT) AS broken_at FROM h GROUP BY chain_id""",
+)
+def l6_chain(spark, sf):
+    """Events are appended in two parts, the second carried on from the tails of the first; then all chains are verified."""
+    rows = table(spark, sf, "events").selectExpr(
+        "user_id AS chain_id", "event_id AS place", "event_id", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ts_utc", "concat('u', user_id % 7) AS actor", "'Topo' AS module", "event_type AS action", "'point' AS object_type",
+        "event_id % 100 AS object_id", "event_id % 4 AS revision", "CAST(NULL AS STRING) AS details_json",
+    )
+    half = rows.agg(F.expr("percentile_approx(place, 0.5)")).first()[0] or 0
+    none = rows.limit(0).selectExpr("CAST(chain_id AS STRING) AS chain_id", "0L AS seq", "'' AS event_hash")
+    first = audit.append(none, rows.where(F.col("place") <= half))
+    second = audit.append(audit.tails(first), rows.where(F.col("place") > half))
+    return audit.verify(first.unionByName(second))
