@@ -282,13 +282,9 @@ def regroup(obs: DataFrame, tolerance: float, vertical: float | None = None, rev
     that is null or blank leaves the majority's, and the suggested point id.
     """
     from plumbline.functions import ids
-    from plumbline.operators.graph import connected_components
-    from plumbline.operators.surfaces import clusters, grid_pairs
+    from plumbline.operators.surfaces import clusters, layered_clusters
 
-    if vertical is None:
-        found = clusters(obs, tolerance, "observation_id")
-    else:
-        found = connected_components(grid_pairs(obs, tolerance, "observation_id").where(F.col("dz").isNull() | (F.abs("dz") <= vertical)), "id_a", "id_b")
+    found = clusters(obs, tolerance, "observation_id") if vertical is None else layered_clusters(obs, tolerance, vertical, "observation_id")
     base = ids.base_control_id(F.coalesce(F.nullif(F.trim("control_id"), F.lit("")), F.col("point_id")))
     rows = obs.withColumn("base", base).join(found.select(F.col("node").alias("observation_id"), "component"), "observation_id", "left")
     votes = rows.where("component is not null").groupBy("component", "base").agg(F.count(F.lit(1)).alias("n"), F.avg("northing").alias("mid_n"), F.avg("easting").alias("mid_e"), F.collect_set(ids.shot_suffix(F.col("point_id"), F.col("base"))).alias("letters"))

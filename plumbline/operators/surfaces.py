@@ -115,6 +115,32 @@ def clusters(points: DataFrame, radius: float, key: str = "point_id") -> DataFra
     return connected_components(inside.unionByName(across).unionByName(same))
 
 
+def layered_clusters(points: DataFrame, radius: float, vertical: float, key: str = "point_id") -> DataFrame:
+    """``clusters`` whose steps also bridge at most ``vertical`` in height, where both points have one.
+
+    Points of equal coordinates are cut into layers where their sorted heights
+    leave a gap of more than ``vertical``; one without height ties all of its
+    place together.  Inside a layer's span every height has a member within
+    ``vertical``, so two layers of different places are linked exactly if
+    their spans come that near.  Only layers are compared, so n shots at one
+    place make no n^2 pairs.
+    """
+    rows = points.where("northing is not null and easting is not null").select(F.col(key).alias("id"), F.col("northing").cast("double").alias("n"), F.col("easting").cast("double").alias("e"), F.col("elevation").cast("double").alias("z"))
+    bare = F.max(F.col("z").isNull()).over(Window.partitionBy("n", "e"))
+    by_height = Window.partitionBy("n", "e").orderBy("z", "id")
+    gap = F.col("z") - F.lag("z").over(by_height) > vertical
+    rows = rows.withColumns({"bare": bare, "new": F.coalesce(gap, F.lit(False)).cast("long")})
+    rows = rows.withColumn("layer", F.when(F.col("bare"), 0).otherwise(F.sum("new").over(by_height)))
+    span = lambda f: F.when(~F.bool_or("bare"), f("z"))
+    layers = rows.groupBy("n", "e", "layer").agg(F.min("id").alias("head"), span(F.min).alias("low"), span(F.max).alias("high"))
+    side = lambda tag: layers.select(F.col("head").alias(f"id_{tag}"), F.col("n").alias(f"n{tag}"), F.col("e").alias(f"e{tag}"), F.col("low").alias(f"low_{tag}"), F.col("high").alias(f"high_{tag}"))
+    apart = F.greatest("low_a", "low_b") - F.least("high_a", "high_b")
+    near = F.col("low_a").isNull() | F.col("low_b").isNull() | (apart <= vertical)
+    across = _near(side("a"), side("b"), radius).where(F.col("id_a") < F.col("id_b")).where(near & (F.col("distance") > 0)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    same = rows.join(layers.select("n", "e", "layer", "head"), ["n", "e", "layer"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    return connected_components(across.unionByName(same))
+
+
 def neighbours(points: DataFrame, radius: float, key: str = "point_id") -> DataFrame:
     """Both directions of ``grid_pairs``: ``(point, neighbour, distance, dz)`` with dz as neighbour minus point."""
     p = grid_pairs(points, radius, key)
@@ -139,10 +165,16 @@ def rod_busts(points: DataFrame, radius: float, increments: tuple[float, ...] =
 
     Neighbours at distance zero don't count.  ``confidence`` weighs closeness
     to the increment, slope to the nearest neighbour, and their number.
+
+    All points of one place have the same neighbours, so places, not points,
+    are put beside them.
     """
-    near = neighbours(points.where("elevation is not null"), radius, key).where("distance > 0")
-    stats = near.groupBy("point").agg(F.count(F.lit(1)).alias("n"), F.median("dz").alias("offset"), F.min_by("distance", F.struct("distance", "neighbour")).alias("nearest"))
-    stats = stats.where("n >= 2").withColumn("delta", -F.col("offset"))
+    rows = _placed(points.where("elevation is not null"), key, "b")
+    places = rows.select(F.col("nb").alias("na"), F.col("eb").alias("ea")).distinct()
+    near = _near(places, rows, radius).where("distance > 0")
+    stats = near.groupBy("na", "ea").agg(F.count(F.lit(1)).alias("n"), F.median("zb").alias("middle"), F.min_by("distance", F.struct("distance", "id_b")).alias("nearest")).where("n >= 2")
+    own = rows.select(F.col("id_b").alias("point"), F.col("nb").alias("na"), F.col("eb").alias("ea"), "zb")
+    stats = own.join(stats, ["na", "ea"]).withColumn("delta", F.col("zb") - F.col("middle"))
     options = F.array(*[F.struct(F.abs(F.abs("delta") - i).alias("error"), F.lit(i).alias("increment")) for i in increments])
     stats = stats.withColumn("match", F.array_min(options)).withColumn("slope", F.abs("delta") / F.col("nearest") * 100)
     hits = stats.where((F.abs("delta") >= least) & (F.col("match.error") <= tolerance) & (F.col("slope") >= slope_percent))
