@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import drawings, pairing, redaction, reference_networks
 from plumbline.plans.bindings import query, r, table
-from plumbline.sources import geometry
+from plumbline.sources import geometry, tables
 
 _TURN = "radians(30.0 * ({0} % 12))"
 
@@ -122,3 +122,33 @@ def i11(spark, sf):
     """Events as nested JSON, with hidden values at three depths."""
     body = """concat('{"user": ', user_id, ', "token": {"x": [', event_id, ']}, "detail": {"apiKey": "k', event_id, '", "list": [{"kind": "', event_type, '", "Password": ', value, '}, [', user_id, ', null]]}}') AS body"""
     return redaction.redact(table(spark, sf, "events").selectExpr("event_id", body), "event_id", "body")
+
+
+_STAGED_SQL = """w AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS point_id, o_totalprice AS northing, CASE WHEN o_orderkey % 19 <> 0 THEN o_totalprice / 2 END AS easting FROM orders),
+    v AS (SELECT *, point_id = '' OR easting IS NULL AS invalid FROM w), f AS (SELECT *, min(CASE WHEN NOT invalid THEN seq END) OVER (PARTITION BY point_id) AS first FROM v),
+    s AS (SELECT seq, nullif(point_id, '') AS point_id, northing, CASE WHEN invalid THEN 'INVALID' WHEN seq > first THEN 'DUPLICATE' ELSE 'VALID' END AS status FROM f), x AS (SELECT CAST(c_custkey AS VARCHAR) AS point_id FROM customer WHERE c_acctbal < 0)"""
+
+
+def _staged(spark, sf):
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey AS seq", "CASE WHEN o_orderkey % 23 = 0 THEN ' ' ELSE concat(' ', o_custkey) END AS point_id", "o_totalprice AS northing", "CASE WHEN o_orderkey % 19 <> 0 THEN o_totalprice / 2 END AS easting")
+    return table(spark, sf, "customer").where("c_acctbal < 0").selectExpr("c_custkey AS point_id"), tables.staged(rows, "seq")
+
+
+@query("a3_commit", f"WITH {_STAGED_SQL} SELECT point_id, seq, {r('northing')} AS northing FROM s WHERE status = 'VALID' AND point_id NOT IN (SELECT point_id FROM x)")
+def a3(spark, sf):
+    """Orders as staged points of their customers: the first of each goes in, unless the customer owes money (exists already)."""
+    return tables.commit_staged(*_staged(spark, sf)).select("point_id", "seq", "northing")
+
+
+@query("a3_conflicts", f"WITH {_STAGED_SQL} SELECT point_id, count(*) AS rows FROM s WHERE status <> 'INVALID' AND (status = 'DUPLICATE' OR point_id IN (SELECT point_id FROM x)) GROUP BY 1")
+def a3_conflicts(spark, sf):
+    return tables.commit_conflicts(*_staged(spark, sf))
+
+
+@query(
+    "a3_summary",
+    f"""WITH {_STAGED_SQL}, t AS (SELECT *, point_id IN (SELECT point_id FROM x) AS there FROM s)
+    SELECT count(*) FILTER (status = 'VALID' AND NOT there) AS inserted, count(DISTINCT CASE WHEN status <> 'INVALID' AND (there OR status = 'DUPLICATE') THEN point_id END) AS conflicts, count(*) FILTER (status = 'INVALID') AS skipped, 'COMMITTED_WITH_REVIEW' AS status FROM t""",
+)
+def a3_summary(spark, sf):
+    return tables.commit_summary(*_staged(spark, sf))

@@ -85,20 +85,51 @@ def canonical_points(spark: SparkSession, path: str) -> DataFrame:
     return rows.drop("_z")
 
 
+def staged(rows: DataFrame, order: str) -> DataFrame:
+    """Rows (point_id, northing, easting, ...) with a status: INVALID without id or coordinates; of valid ones with the same id (blanks around it aside) the first by ``order`` is VALID and others are DUPLICATE."""
+    name = F.trim(F.coalesce(F.col("point_id").cast("string"), F.lit("")))
+    valid = (name != "") & F.col("northing").isNotNull() & F.col("easting").isNotNull()
+    first = F.min(F.when(F.col("_valid"), F.col(order))).over(Window.partitionBy("_name"))
+    marked = rows.withColumns({"_name": name, "_valid": valid})
+    status = F.when(~F.col("_valid"), "INVALID").when(F.col(order) > first, "DUPLICATE").otherwise("VALID")
+    return marked.withColumn("status", status).withColumn("point_id", F.when(F.col("_name") != "", F.col("_name"))).drop("_name", "_valid")
+
+
 def staged_points(spark: SparkSession, path: str) -> DataFrame:
-    """Points of a delimited file, leniently: every row with a status (VALID, INVALID, DUPLICATE)."""
+    """Points of a delimited file, leniently: every row with its line's place (``seq``) and a status (VALID, INVALID, DUPLICATE).
+
+    Of repeated ids the first line counts, so one file is read at a time.
+    """
     raw = _read(spark, path)
+    if len(raw.inputFiles()) > 1:
+        raise ValueError("one file at a time: the order of several isn't known")
     names = _mapping(raw.columns, strict=False)
     col = lambda n: F.col(f"`{names[n]}`") if n in names else F.lit(None).cast("string")
-    rows = raw.select(col("point_id").alias("point_id"), *[finite(col(n)).alias(n) for n in ("northing", "easting", "elevation")], col("description").alias("description"))
-    seen = F.row_number().over(Window.partitionBy("point_id").orderBy("northing", "easting"))
-    invalid = F.coalesce(F.trim("point_id"), F.lit("")).eqNullSafe("") | F.col("northing").isNull() | F.col("easting").isNull()
-    return rows.withColumn("_seen", seen).withColumn("status", F.when(invalid, "INVALID").when(F.col("_seen") > 1, "DUPLICATE").otherwise("VALID")).drop("_seen")
+    rows = raw.select(F.monotonically_increasing_id().alias("seq"), col("point_id").alias("point_id"), *[finite(col(n)).alias(n) for n in ("northing", "easting", "elevation")], col("description").alias("description"))
+    return staged(rows, "seq")
 
 
 def commit_staged(existing: DataFrame, staged: DataFrame) -> DataFrame:
     """Valid staged points that aren't there yet."""
-    return staged.where("status = 'VALID'").drop("status").join(existing.select("point_id"), "point_id", "left_anti")
+    return staged.where("status = 'VALID'").drop("status").join(existing.select(F.col("point_id").cast("string").alias("point_id")), "point_id", "left_anti").select(*[c for c in staged.columns if c != "status"])
+
+
+def commit_conflicts(existing: DataFrame, staged: DataFrame) -> DataFrame:
+    """Ids that a commit leaves out for review: those that exist, and those that the file repeats, with the number of their rows."""
+    there = existing.select(F.col("point_id").cast("string").alias("point_id")).distinct().withColumn("_there", F.lit(True))
+    left = staged.where("status != 'INVALID'").join(there, "point_id", "left").where("_there or status = 'DUPLICATE'")
+    return left.groupBy("point_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def commit_summary(existing: DataFrame, staged: DataFrame) -> DataFrame:
+    """One row: points inserted, ids in conflict, rows skipped as invalid, and COMMITTED or COMMITTED_WITH_REVIEW."""
+    there = existing.select(F.col("point_id").cast("string").alias("point_id")).distinct().withColumn("_there", F.lit(True))
+    rows = staged.join(there, "point_id", "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
+    valid, invalid = F.col("status") == "VALID", F.col("status") == "INVALID"
+    sums = rows.agg(
+        F.count_if(valid & ~F.col("_there")).alias("inserted"), F.countDistinct(F.when(~invalid & (F.col("_there") | (F.col("status") == "DUPLICATE")), F.col("point_id"))).alias("conflicts"), F.count_if(invalid).alias("skipped")
+    )
+    return sums.withColumn("status", F.when(F.col("conflicts") + F.col("skipped") > 0, "COMMITTED_WITH_REVIEW").otherwise("COMMITTED"))
 
 
 def whitespace_points(spark: SparkSession, path: str) -> DataFrame:
