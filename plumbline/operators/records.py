@@ -142,23 +142,32 @@ def return_faults(reserved: DataFrame, returned: DataFrame) -> DataFrame:
     return sums.where("reserved > 0").select("request_id", "missing", "repeated", "other_control", "ignored", status.alias("status"))
 
 
-def manual_selections(points: DataFrame, selections: DataFrame) -> DataFrame:
+def manual_selections(points: DataFrame, selections: DataFrame, htol: float | None = None, vtol: float | None = None) -> DataFrame:
     """Mean of the three points that each selection (selection_id, point_a, point_b, point_c) names, in that order, and its largest horizontal residual.
 
     A selection whose ids aren't three distinct ones, of points that occur
-    exactly once with all coordinates, has no mean and is INVALID.
+    exactly once with all coordinates, has no mean and is INVALID.  With
+    tolerances (both), a valid one is PASS if all three residuals are within
+    them, else REVIEW, and ``max_v`` is its largest vertical residual.
     """
+    if (htol is None) != (vtol is None):
+        raise ValueError("give both tolerances or none")
     once = points.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("northing", "easting", "elevation")])
     names = ("point_a", "point_b", "point_c")
     each = selections.select("selection_id", F.posexplode(F.array(*names)).alias("k", "point_id")).join(once, "point_id", "left")
     ok = (F.col("n") == 1) & F.col("northing").isNotNull() & F.col("easting").isNotNull() & F.col("elevation").isNotNull()
     sums = each.groupBy("selection_id").agg(
         F.count_if(F.coalesce(ok, F.lit(False))).alias("good"), F.countDistinct("point_id").alias("distinct"), *[F.avg(c).alias(f"mean_{c[0]}") for c in ("northing", "easting")], F.avg("elevation").alias("mean_z"),
-        F.collect_list(F.struct("northing", "easting")).alias("p"),
+        F.collect_list(F.struct("northing", "easting", "elevation")).alias("p"),
     )
     valid = (F.col("good") == 3) & (F.col("distinct") == 3)
     far = F.array_max(F.transform("p", lambda p: F.sqrt((p["northing"] - F.col("mean_n")) ** 2 + (p["easting"] - F.col("mean_e")) ** 2)))
-    return sums.select("selection_id", *[F.when(valid, F.col(c)).alias(c) for c in ("mean_n", "mean_e", "mean_z")], F.when(valid, far).alias("max_h"), F.when(valid, "OK").otherwise("INVALID").alias("status"))
+    means = [F.when(valid, F.col(c)).alias(c) for c in ("mean_n", "mean_e", "mean_z")]
+    if htol is None:
+        return sums.select("selection_id", *means, F.when(valid, far).alias("max_h"), F.when(valid, "OK").otherwise("INVALID").alias("status"))
+    high = F.array_max(F.transform("p", lambda p: F.abs(p["elevation"] - F.col("mean_z"))))
+    status = F.when(~valid, "INVALID").when((far <= htol) & (high <= vtol), "PASS").otherwise("REVIEW")
+    return sums.select("selection_id", *means, F.when(valid, far).alias("max_h"), F.when(valid, high).alias("max_v"), status.alias("status"))
 
 
 def attach_once(existing: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import ids
-from plumbline.operators import audit, control, keyed, records
+from plumbline.operators import audit, control, keyed, records, sequential
 from plumbline.plans import control_queries  # noqa: F401
 from plumbline.plans.bindings import CONTROL, FOOT, FOOT_SQL, ORACLE_SQL, PLACES, control_observations, places, query, r, read_shots, table, version_sql, versions
 
@@ -184,3 +184,54 @@ def l6_chain(spark, sf):
     first = audit.append(none, rows.where(F.col("place") <= half))
     second = audit.append(audit.tails(first), rows.where(F.col("place") > half))
     return audit.verify(first.unionByName(second))
+
+
+@query(
+    "l13_manual_verdict",
+    f"""WITH p AS (SELECT * FROM {PLACES} WHERE point_id % 20 <> 7), s AS (SELECT vec_id AS selection_id, vec_id AS a, CASE WHEN vec_id % 15 = 0 THEN vec_id ELSE vec_id + 1 END AS b, vec_id + 2 AS c FROM embeddings),
+    j AS (SELECT selection_id, a.northing AS n1, a.easting AS e1, a.elevation AS z1, b.northing AS n2, b.easting AS e2, b.elevation AS z2, c.northing AS n3, c.easting AS e3, c.elevation AS z3, s.a <> s.b AS ok FROM s LEFT JOIN p a ON a.point_id = s.a LEFT JOIN p b ON b.point_id = s.b LEFT JOIN p c ON c.point_id = s.c),
+    m AS (SELECT *, ok AND n1 IS NOT NULL AND n2 IS NOT NULL AND n3 IS NOT NULL AS valid, (n1 + n2 + n3) / 3 AS n, (e1 + e2 + e3) / 3 AS e, (z1 + z2 + z3) / 3 AS z FROM j),
+    h AS (SELECT *, greatest(sqrt((n1 - n) ** 2 + (e1 - e) ** 2), sqrt((n2 - n) ** 2 + (e2 - e) ** 2), sqrt((n3 - n) ** 2 + (e3 - e) ** 2)) AS far, greatest(abs(z1 - z), abs(z2 - z), abs(z3 - z)) AS high FROM m)
+    SELECT selection_id, {r('CASE WHEN valid THEN far END')} AS max_h, {r('CASE WHEN valid THEN high END')} AS max_v, CASE WHEN NOT valid THEN 'INVALID' WHEN far <= 90 AND high <= 60 THEN 'PASS' ELSE 'REVIEW' END AS status FROM h""",
+)
+def l13_verdict(spark, sf):
+    p = places(spark, sf)
+    chosen = p.selectExpr("point_id AS selection_id", "point_id AS point_a", "CASE WHEN point_id % 15 = 0 THEN point_id ELSE point_id + 1 END AS point_b", "point_id + 2 AS point_c")
+    return records.manual_selections(p.where("point_id % 20 <> 7"), chosen, 90.0, 60.0).select("selection_id", "max_h", "max_v", "status")
+
+
+_BOOK_SQL = """b AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence_no, event_id % 500 AS point_id, CASE WHEN event_id % 11 <> 0 THEN value END AS backsight, CASE WHEN event_id % 7 <> 0 THEN value / 2 END AS foresight FROM events)"""
+
+
+def _level_book(spark, sf):
+    return table(spark, sf, "events").selectExpr(
+        "user_id AS run_id", "CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS sequence_no", "event_id % 500 AS point_id", "CASE WHEN event_id % 11 <> 0 THEN value END AS backsight", "CASE WHEN event_id % 7 <> 0 THEN value / 2 END AS foresight"
+    )
+
+
+@query(
+    "l10_recheck_sights",
+    f"""WITH {_BOOK_SQL}, a AS (SELECT run_id, max(sequence_no) // 3 + 1 AS setup_no, run_id % 3 AS layout FROM b GROUP BY run_id),
+    k AS (SELECT run_id, setup_no, side, CASE layout WHEN 0 THEN setup_no WHEN 1 THEN 2 * setup_no - CASE side WHEN 'BS' THEN 1 ELSE 0 END ELSE setup_no + CASE side WHEN 'BS' THEN 0 ELSE 1 END END AS sequence_no FROM a, (VALUES ('BS'), ('FS')) AS v(side)),
+    j AS (SELECT k.*, point_id, coalesce(CASE side WHEN 'BS' THEN backsight ELSE foresight END IS NOT NULL, false) AS there FROM k LEFT JOIN b ON b.run_id = k.run_id AND b.sequence_no = k.sequence_no)
+    SELECT run_id, CAST(setup_no AS BIGINT) AS setup_no, side, CAST(sequence_no AS BIGINT) AS sequence_no, point_id, bool_and(there) OVER (PARTITION BY run_id) AS complete FROM j""",
+)
+def l10(spark, sf):
+    """One setup of every level book is to be rechecked, in one of three layouts of rows."""
+    book = _level_book(spark, sf)
+    layout = "CASE run_id % 3 WHEN 0 THEN 'differential_setups' WHEN 1 THEN 'separate_sights' ELSE 'station_rows' END AS layout"
+    asked = book.groupBy("run_id").agg(F.max("sequence_no").alias("last")).selectExpr("run_id", layout, "last div 3 + 1 AS setup_no")
+    return sequential.recheck_sights(book, asked)
+
+
+@query(
+    "l9_replaced_sights",
+    f"""WITH {_BOOK_SQL}, t AS (SELECT run_id, sequence_no, CASE WHEN point_id % 2 = 0 THEN 'BS' ELSE 'FS' END AS side, point_id * 1.5 AS reading FROM b WHERE point_id % 9 = 4)
+    SELECT b.run_id, b.sequence_no, b.point_id, {r("CASE WHEN side = 'BS' THEN CAST(reading AS DOUBLE) ELSE backsight END")} AS backsight, {r("CASE WHEN side = 'FS' THEN CAST(reading AS DOUBLE) ELSE foresight END")} AS foresight
+    FROM b LEFT JOIN t ON t.run_id = b.run_id AND t.sequence_no = b.sequence_no""",
+)
+def l9(spark, sf):
+    """Some sights of the level books come back twice; the later reading replaces just its sight."""
+    book = _level_book(spark, sf)
+    back = book.where("point_id % 9 = 4").selectExpr("run_id", "sequence_no", "CASE WHEN point_id % 2 = 0 THEN 'BS' ELSE 'FS' END AS side", "explode(array(struct(CAST(-1 AS DOUBLE) AS reading, 1 AS seq), struct(CAST(point_id * 1.5 AS DOUBLE) AS reading, 2 AS seq))) AS e")
+    return sequential.replaced_sights(book, back.select("run_id", "sequence_no", "side", "e.reading", "e.seq"))

@@ -85,3 +85,14 @@ def test_every_call_attaches_and_equal_files_are_stored_once(spark):
     kept = spark.createDataFrame([(1, "x", "stored/x"), (1, "x", "later/x")], "object_id int, sha256 string, stored_path string")
     got = sorted((r.object_id, r.sha256, r.path, r.stored_path, r.copied) for r in records.attachments(kept, files).collect())
     assert got == [(1, "x", "p", "later/x", False), (1, "y", "a", "a", True), (1, "y", "a", "a", True), (1, "y", "q", "a", False), (2, "x", "p", "p", True)]
+
+
+def test_manual_selections_with_tolerances(spark):
+    points = spark.createDataFrame([("a", 0.0, 0.0, 1.0), ("b", 0.3, 0.0, 1.0), ("c", 0.0, 0.3, 1.3), ("d", 9.0, 0.0, 1.0), ("e", 0.0, 0.0, None), ("b2", 0.0, 0.0, 1.0), ("b2", 0.0, 0.0, 1.0)], "point_id string, northing double, easting double, elevation double")
+    chosen = spark.createDataFrame([(1, "a", "b", "c"), (2, "a", "b", "d"), (3, "a", "b", "e"), (4, "a", "b", "b2"), (5, "a", "a", "b"), (6, "a", "b", "gone")], "selection_id int, point_a string, point_b string, point_c string")
+    got = {r.selection_id: (r.status, None if r.max_v is None else round(r.max_v, 6)) for r in records.manual_selections(points, chosen, 0.25, 0.21).collect()}
+    assert got == {1: ("PASS", 0.2), 2: ("REVIEW", 0.0), 3: ("INVALID", None), 4: ("INVALID", None), 5: ("INVALID", None), 6: ("INVALID", None)}
+    tight = {r.selection_id: r.status for r in records.manual_selections(points, chosen, 0.25, 0.15).collect()}
+    assert tight[1] == "REVIEW"
+    with pytest.raises(ValueError):
+        records.manual_selections(points, chosen, 0.25)
