@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.arrow import fold
+from plumbline.llm.arrow import fold, frugal
 from plumbline.storage import materialise, scope
 
 BITS = 18
@@ -235,6 +235,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, bits: int
         return _fit(docs, labels, most, bits)
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a list column without nulls, and the n+1 places where its lists end."""
+    return column.flatten().to_numpy(), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+
+
 def _fit(docs: DataFrame, labels: DataFrame, most: int, bits: int) -> Machine:
     sample = F.broadcast(training_rows(docs, labels, most))
     chosen = docs.select("doc_id", "text").join(sample, "doc_id")
@@ -246,7 +251,7 @@ def _fit(docs: DataFrame, labels: DataFrame, most: int, bits: int) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = chosen.select("doc_id", "text", "toxic").mapInArrow(hashed, f"doc_id {kind}, toxic int, terms array<int>")
+    rows = chosen.select("doc_id", "text", "toxic").mapInArrow(frugal(hashed), f"doc_id {kind}, toxic int, terms array<int>")
     rows = materialise(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")), "training-terms")
     common = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
     marks = np.zeros(1 << bits, bool)
@@ -255,15 +260,18 @@ def _fit(docs: DataFrame, labels: DataFrame, most: int, bits: int) -> Machine:
 
     def prune(batches):
         for batch in batches:
-            found = [np.array(x, np.int32) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[shared.value[x]] for x in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
+            flat, ends = _lists(batch.column(2))
+            keep = shared.value[flat]
+            kept = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)][ends].astype(np.int32)), pa.array(flat[keep]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], ["doc_id", "toxic", "terms"])
 
-    rows = rows.mapInArrow(prune, f"doc_id {kind}, toxic int, terms array<int>").repartition(1)
+    rows = rows.mapInArrow(frugal(prune), f"doc_id {kind}, toxic int, terms array<int>").repartition(1)
 
     def learn(batches):
         seen = [b for b in batches if b.num_rows]
         table = pa.Table.from_batches(seen).sort_by([("doc_id", "ascending")]) if seen else None
-        terms = [np.array(x, np.int32) for x in table.column("terms").to_pylist()] if table else []
+        flat, ends = _lists(table.column("terms").combine_chunks()) if table else (None, [0])
+        terms = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
         labels = np.array(table.column("toxic").to_pylist(), float) if table else np.zeros(0)
         inner = np.array([zlib.crc32(str(i).encode()) // HELD_OUT[0] % INNER[0] == INNER[1] for i in table.column("doc_id").to_pylist()]) if table else None
         made = train(terms, labels, bits, inner=inner)
@@ -271,7 +279,7 @@ def _fit(docs: DataFrame, labels: DataFrame, most: int, bits: int) -> Machine:
         blobs = [np.array([made.bias]).tobytes(), used.astype("<i4").tobytes(), made.weights[used].astype("<f4").tobytes(), made.factors[used].astype("<f4").tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(range(4), pa.int32())], ["blob", "part"])
 
-    blobs = {r.part: bytes(r.blob) for r in rows.mapInArrow(learn, "blob binary, part int").collect()}
+    blobs = {r.part: bytes(r.blob) for r in rows.mapInArrow(frugal(learn), "blob binary, part int").collect()}
     weights, factors = np.zeros(1 << bits, np.float32), np.zeros((1 << bits, FACTORS), np.float32)
     used = np.frombuffer(blobs[1], "<i4")
     weights[used] = np.frombuffer(blobs[2], "<f4")
