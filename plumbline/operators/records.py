@@ -15,13 +15,13 @@ def merged_points(points: DataFrame, order: str = "seq") -> DataFrame:
     return points.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def merge_issues(points: DataFrame, order: str = "seq") -> DataFrame:
-    """Later rows of a point id that differ from its first one in place or code (without case), with that row's order value."""
+def merge_issues(points: DataFrame, order: str = "seq", place: tuple[str, ...] = ("northing", "easting", "elevation")) -> DataFrame:
+    """Later rows of a point id that differ from its first one in ``place`` or code (without case), with that row's order value."""
     w = Window.partitionBy("point_id").orderBy(order)
     first = lambda c: F.first(c).over(w)
     code = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     same = code(F.col("code")).eqNullSafe(code(first("code")))
-    for c in ("northing", "easting", "elevation"):
+    for c in place:
         same = same & F.col(c).eqNullSafe(first(c))
     return points.withColumns({"_same": same, "first_seq": first(order)}).where("not _same").select("point_id", order, "first_seq")
 

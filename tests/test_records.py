@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ids
 from plumbline.operators import keyed, records
+from plumbline.plans.registry import QUERIES
 
 POINT = "point_id string, seq int, northing double, easting double, elevation double, code string"
 
@@ -17,6 +18,12 @@ def test_first_point_wins_and_others_are_issues(spark):
     assert records.merged_points(frame.limit(0)).count() == records.merge_issues(frame.limit(0)).count() == 0
 
 
+def test_users_of_one_point_differ_as_the_sql_says(spark, tmp_path):
+    rows = [(0, 5), (12, 905), (24, 905), (13, 905), (36, 1805)]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["d23_merge_issues"](spark, str(tmp_path)).collect()] == [(5, 13, 0)]
+
+
 def test_overlay_and_changes(spark):
     rows = [("1", 0.0, 0.0, "A", "m"), ("2", float("nan"), 0.0, "A", "m"), ("3", 0.0, 0.0, None, "m"), ("4", 0.0, None, "A", "m"), ("5", 0.0, 0.0, "A", "ft")]
     frame = spark.createDataFrame(rows, "point_id string, northing double, easting double, crs string, horizontal_units string")
