@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from plumbline.functions import ids
 from plumbline.operators.graph import connected_components
-from plumbline.storage import materialise, scope
+from plumbline.storage import in_order, materialise, scope
 
 #: Weights of shared words and of letters in a row, what a shared number adds, digits such a number has, and the bounds of a pair.
 WORDS, LETTERS, NUMBER, DIGITS = 0.55, 0.45, 0.18, 3
@@ -105,7 +105,7 @@ def _chosen(edges: DataFrame, min_score: float, min_margin: float) -> DataFrame:
             decide()
         yield given()
 
-    ordered = edges.select("component", "seq", "survey_key", "book_key", "score").repartition("component").sortWithinPartitions("component", "seq", "survey_key")
+    ordered = in_order(edges.select("component", "seq", "survey_key", "book_key", "score"), "component", "seq", "survey_key")
     return ordered.mapInArrow(run, "survey_key string, book_key string, score double")
 
 

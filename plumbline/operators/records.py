@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.storage import in_order
+
 
 def merged_points(points: DataFrame, order: str = "seq") -> DataFrame:
     """The first row of each point id."""
@@ -100,7 +102,7 @@ def append_events(tails: DataFrame, events: DataFrame, chain: str, order: str, *
     rows = events.select(chain, order, *[f for f in fields if f not in (chain, order)], payload.alias("_payload"))
     rows = rows.join(tails.select(F.col(chain), F.col("seq").alias("_seq"), F.col("event_hash").alias("_hash")), chain, "left")
     kept = [c for c in rows.columns if not c.startswith("_")]
-    ordered = rows.repartition(chain).sortWithinPartitions(chain, order)
+    ordered = in_order(rows, chain, order)
 
     def fold(batches):
         at, seq, last = None, 0, ""

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.cells import around_keys, cell_key
+from plumbline.storage import in_order
 
 #: Rows to a bucket of the event groups.
 START_BUCKET = 1 << 16
@@ -112,7 +113,7 @@ def shift_events(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame
 
     kind = nodes.schema["chain_id"].dataType.simpleString()
     rows = nodes.where("elevation is not null").selectExpr("chain_id", "CAST(seq AS BIGINT) AS seq", "CAST(chainage AS DOUBLE) AS chainage", "CAST(elevation AS DOUBLE) AS elevation")
-    ordered = rows.repartition("chain_id").sortWithinPartitions("chain_id", "seq")
+    ordered = in_order(rows, "chain_id", "seq")
     return ordered.mapInArrow(run, f"chain_id {kind}, first_seq long, last_seq long, n_points long, shift double, scatter double, recovered boolean")
 
 
@@ -188,7 +189,7 @@ def correlated(events: DataFrame, limits: Correlation = Correlation(), run: str
     columns = [run, "first_seq", "last_seq", "chain_id", "shift", "northing", "easting"]
     extra = [c for c in events.columns if c not in columns]
     rows = events.select(*columns, *extra)
-    ordered = rows.repartition(run).sortWithinPartitions(run, "first_seq", "chain_id")
+    ordered = in_order(rows, run, "first_seq", "chain_id")
 
     def group(batches):
         at, groups, number = None, [], 0

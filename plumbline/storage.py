@@ -15,6 +15,7 @@ from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 _open = threading.local()
@@ -69,6 +70,16 @@ def materialise(df: DataFrame, tag: str, hand_on: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_order(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """All rows of a key in one task, by ``key`` and ``order``, for what folds a stream of them.
+
+    They are dealt by a hash of the key: dealing by the key itself is left out
+    behind a join on it, and that join's parts may then be read where they lie
+    or split, so that one key's rows come in several places.
+    """
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete what ``fresh_path`` named, through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
