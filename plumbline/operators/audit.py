@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.storage import in_order
+
 #: Version of the payload, hash before the first event, and fields of an event with what stands for a missing one.
 VERSION, GENESIS = 1, "0" * 64
 FIELDS = {"event_id": "", "ts_utc": "", "actor": "", "module": "", "action": "", "object_type": "", "object_id": "", "revision": 0, "details_json": "{}"}
@@ -42,7 +44,7 @@ def append(tails: DataFrame, events: DataFrame) -> DataFrame:
     hash.
     """
     rows = _columns(events).join(tails.select(F.col("chain_id").cast("string").alias("chain_id"), F.col("seq").alias("_seq"), F.col("event_hash").alias("_hash")), "chain_id", "left")
-    ordered = rows.repartition("chain_id").sortWithinPartitions("chain_id", "place", "event_id")
+    ordered = in_order(rows, "chain_id", "place", "event_id")
 
     def fold(batches):
         at, seq, last = None, 0, GENESIS

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import audit
+from plumbline.operators import audit, records
 
 SCHEMA = "chain_id string, place long, event_id string, ts_utc string, actor string, module string, action string, object_type string, object_id string, revision int, details_json string, extra int"
 
@@ -47,6 +47,23 @@ def test_parts_continue_a_chain(spark):
     assert all(b is None for _, b in told.values()) and sum(n for n, _ in told.values()) == 82
 
 
+def test_chains_stay_whole_behind_a_join_on_the_chain(spark):
+    wide = spark.range(0, 4000, 1, 8).selectExpr("id % 50 AS chain_id", "id AS place", "id AS event_id", "'t' AS ts_utc", "'a' AS actor", "'m' AS module", "'EDIT' AS action", "'point' AS object_type", "id AS object_id", "1L AS revision", "'{}' AS details_json")
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id % 50 AS chain", "id AS place", "'x' AS action")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = audit.append(none(spark), wide.where("place < 900"))
+        second = audit.append(audit.tails(first), wide.where("place >= 900"))
+        assert {(r.n_events, r.broken_at) for r in audit.verify(first.unionByName(second)).collect()} == {(80, None)}
+        tails = rows.where("place < 50").selectExpr("chain", "1L AS seq", "'h' AS event_hash").groupBy("chain").agg(F.max("seq").alias("seq"), F.max("event_hash").alias("event_hash"))
+        more = records.append_events(tails, rows.where("place >= 50"), "chain", "place", "action")
+        # A join's parts may be split or read where they lie, so a chain's rows are dealt once more.
+        assert all(df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == n for df, n in ((second, 2), (more, 1)))
+        assert {(r.n, r.low, r.high) for r in more.groupBy("chain").agg(F.countDistinct("seq").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).collect()} == {(79, 2, 80)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_changes_gaps_and_foreign_rows_break_a_chain(spark):
     chain = audit.append(none(spark), events(spark, [row("c", k) for k in range(6)]))
     broken = lambda df: audit.verify(df).first().broken_at
