@@ -8,6 +8,7 @@ Observations have ``control_id``, ``observation_id``, ``northing``,
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from plumbline.functions import measures
 
 TOLERANCE = 0.10
 TRIPLET_TOLERANCE = 0.045
+#: Triplets of a partition: few enough to be ranked in a task's memory.
+TRIPLETS_A_TASK = 500_000
 
 
 def _weight(sigma: Column) -> Column:
@@ -87,8 +90,16 @@ def triplets(rows: DataFrame, most: int = 100_000) -> DataFrame:
     Controls with more than ``most`` combinations have none here: they need
     review, and ``best_triplets`` reports them so.  ``failures`` and
     ``missing`` are those of the three shots, where ``rows`` has counted them.
+
+    Rows are few beside their triplets, so they are dealt by the number of
+    these: partitions by the rows' size would hold more than can be ranked
+    without spilling.
     """
     w = Window.partitionBy("control_id")
+    n = F.count(F.lit(1)).cast("double")
+    made = n * (n - 1) * (n - 2) / 6
+    total = rows.groupBy("control_id").agg(F.when(made <= most, made).otherwise(0.0).alias("made")).agg(F.sum("made")).first()[0] or 0.0
+    rows = rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / TRIPLETS_A_TASK)), "control_id")
     counted = [c for c in ("failures", "missing") if c in rows.columns]
     keep = ["control_id", "observation_id", "northing", "easting", "elevation", "observed", "n", "ord", *counted]
     rows = rows.withColumns({"ord": F.row_number().over(w.orderBy("observed", "observation_id")), "n": F.count(F.lit(1)).over(w)}).select(*keep)
@@ -131,6 +142,12 @@ def ranked_triplets(
     tolerance ratios, the maxima, the RMS values (a zero or missing vertical
     RMS comes last), and the ids.
     """
+    three, order = _judged(rows, htol, vtol, gap_minutes, most, require_metadata, **limits)
+    return three.withColumn("rank", F.row_number().over(Window.partitionBy("control_id").orderBy(*order)))
+
+
+def _judged(rows: DataFrame, htol: float, vtol: float, gap_minutes: float, most: int, require_metadata: bool, **limits) -> tuple[DataFrame, list[Column]]:
+    """Triplets with what ``ranked_triplets`` judges of them, and the columns of their order of merit."""
     if any(c in rows.columns for c in METADATA):
         rows = shot_checks(rows.withColumns({c: F.lit(None).cast("double") for c in METADATA if c not in rows.columns}), **limits)
     three = triplets(rows, most)
@@ -149,12 +166,18 @@ def ranked_triplets(
         F.when(F.col("rms_v") == 0, infinite).otherwise(F.coalesce("rms_v", infinite)),
         F.col("id_a"), F.col("id_b"), F.col("id_c"),
     ]
-    return three.withColumn("rank", F.row_number().over(Window.partitionBy("control_id").orderBy(*order)))
+    return three, order
 
 
 def control_qc(rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int = 100_000, require_metadata: bool = False, **limits) -> DataFrame:
-    """One row a control with all of its best triplet: PASS, RESHOOT, or REVIEW when it has too many combinations, and why."""
-    best = ranked_triplets(rows, htol, vtol, gap_minutes, most, require_metadata, **limits).where("rank = 1").drop("n")
+    """One row a control with all of its best triplet: PASS, RESHOOT, or REVIEW when it has too many combinations, and why.
+
+    The best is the least by the order of ``ranked_triplets``: a minimum needs
+    no triplet to be kept or sorted.
+    """
+    three, order = _judged(rows, htol, vtol, gap_minutes, most, require_metadata, **limits)
+    least = F.min(F.struct(*[c.alias(f"_{k}") for k, c in enumerate(order)], *[c for c in three.columns if c not in ("control_id", "n")]))
+    best = three.groupBy("control_id").agg(least.alias("m")).select("control_id", *[f"m.{c}" for c in three.columns if c not in ("control_id", "n")], F.lit(1).alias("rank"))
     sizes = rows.groupBy("control_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
     too_many = n * (n - 1) * (n - 2) / 6 > most
@@ -177,12 +200,15 @@ def accepted_control(qc: DataFrame, obs: DataFrame) -> DataFrame:
     """
     shot = obs.select("observation_id", F.coalesce(F.nullif(F.trim("point_id"), F.lit("")), F.col("observation_id").cast("string")).alias("point"), F.coalesce(F.trim("description"), F.lit("")).alias("code"))
     passed = qc.where("status = 'PASS'")
-    each = passed.select("control_id", F.posexplode(F.array("id_a", "id_b", "id_c")).alias("k", "observation_id")).join(shot, "observation_id")
-    shots = F.array_sort(F.collect_list(F.struct("k", "point", "code")))
-    names = each.groupBy("control_id").agg(shots.alias("s"))
+    kept = ("mean_northing", "mean_easting", "mean_elevation", "max_h", "max_v", "field_status", "least_gap_minutes", "status")
+    # Each passing control goes along with its three shots, so the triplets are judged once.
+    each = passed.select("control_id", F.struct(*kept).alias("q"), F.posexplode(F.array("id_a", "id_b", "id_c")).alias("k", "observation_id")).join(shot, "observation_id", "left")
+    found = F.when(F.col("point").isNotNull(), F.struct("k", "point", "code"))
+    names = each.groupBy("control_id").agg(F.array_sort(F.collect_list(found)).alias("s"), F.first("q").alias("q"))
     codes = F.array_remove(F.array_distinct(F.col("s.code")), "")
-    names = names.select("control_id", F.array_join("s.point", ";").alias("source_observations"), F.array_join(codes, ";").alias("code"))
-    return passed.join(names, "control_id", "left").select(
+    any_shot = F.size("s") > 0
+    named = names.select("control_id", "q.*", F.when(any_shot, F.array_join("s.point", ";")).alias("source_observations"), F.when(any_shot, F.array_join(codes, ";")).alias("code"))
+    return named.select(
         "control_id", F.col("mean_northing").alias("northing"), F.col("mean_easting").alias("easting"), F.col("mean_elevation").alias("elevation"), "code", F.col("max_h").alias("horizontal_residual"), F.col("max_v").alias("vertical_residual"),
         "source_observations", F.col("field_status").alias("field_qc_status"), F.col("least_gap_minutes").alias("minimum_time_gap_minutes"), F.col("status").alias("qc_status"),
     )

@@ -62,3 +62,14 @@ def test_a_confirmed_review_with_blank_ids_takes_the_majority(spark, blank):
     reviews = spark.createDataFrame([("3", "confirmed", blank, blank)], "observation_id string, status string, assigned_control_id string, assigned_point_id string")
     out = {r.observation_id: (r.control_id, r.point_id, r.source) for r in control.regroup(obs, 0.5, reviews=reviews).collect()}
     assert out["3"] == ("100", "100C", "MANUAL")
+
+
+def test_triplets_are_dealt_by_their_number_and_the_best_is_a_minimum(spark, monkeypatch):
+    monkeypatch.setattr(control, "TRIPLETS_A_TASK", 100)
+    rows = spark.range(240).selectExpr("id % 20 AS control_id", "id AS observation_id", "(id * 7919) % 13 * 0.01D AS northing", "(id * 104729) % 11 * 0.01D AS easting", "CASE WHEN id % 9 <> 0 THEN (id * 31) % 7 * 0.01D END AS elevation", "timestamp_seconds(id * 5000) AS observed")
+    ranked = control.ranked_triplets(rows, htol=0.05, vtol=0.05)
+    assert ranked.rdd.getNumPartitions() == 44  # 20 controls of 220 triplets
+    best = control.control_qc(rows, htol=0.05, vtol=0.05)
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 3  # the order of the three shots alone
+    columns = ("control_id", "id_a", "id_b", "id_c", "max_h", "max_v", "rms_v", "passes", "field_status")
+    assert sorted(map(str, best.select(*columns).collect())) == sorted(map(str, ranked.where("rank = 1").select(*columns).collect())) and best.count() == 20
