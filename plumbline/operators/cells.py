@@ -11,12 +11,12 @@ def key_of(cn: Column, ce: Column) -> Column:
     return F.shiftleft(cn.cast("long"), 32).bitwiseXOR(ce.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def cell_key(n: Column, e: Column, size: float) -> Column:
+def cell_key(n: Column, e: Column, size: float | Column) -> Column:
     """The cell of a place."""
     return key_of(F.floor(n / size), F.floor(e / size))
 
 
-def around_keys(n: Column, e: Column, size: float) -> Column:
+def around_keys(n: Column, e: Column, size: float | Column) -> Column:
     """The nine cells at and around a place, as an array."""
     cn, ce = F.floor(n / size), F.floor(e / size)
     return F.array(*[key_of(cn + i, ce + j) for i in (-1, 0, 1) for j in (-1, 0, 1)])

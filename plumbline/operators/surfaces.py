@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from plumbline.operators.cells import around_keys, cell_key, key_of, segment_cells
 from plumbline.operators.graph import connected_components
 
+#: How often ``nearest_neighbours`` halves its radius.
+HALVES = 6
+
 
 def polygon_measures(vertices: DataFrame, key: str = "polygon_id", order: str = "seq") -> DataFrame:
     """Area, perimeter, centroid and orientation; vertices are taken relative to the polygon's first one."""
@@ -152,9 +155,22 @@ def nearest_neighbours(points: DataFrame, radius: float, k: int = 6, key: str =
 
     Of points at one place only the first ``k + 1`` by id can be among
     anyone's nearest, so only those are put up as neighbours.
+
+    A point looks as far as a cell around it that has ``k + 1`` points is
+    wide: the smallest of cells whose diagonals are ``radius`` and its halves
+    (``radius`` where none has them).  So the denser points lie, the fewer
+    cells they meet in.
     """
     placed = _placed(points, key, "b").withColumn("at_place", F.row_number().over(Window.partitionBy("nb", "eb").orderBy("id_b"))).where(F.col("at_place") <= k + 1).drop("at_place")
-    near = _near(_placed(points, key, "a"), placed, radius).where("id_a != id_b")
+    reaches = F.array(*[F.struct(F.lit(radius / 2**i).alias("reach"), F.lit(i > 0).alias("half")) for i in range(HALVES + 1)])
+    at_all = lambda rows: rows.withColumn("r", F.explode(reaches)).select(*rows.columns, "r.*")
+    inside = lambda tag: cell_key(F.col(f"n{tag}"), F.col(f"e{tag}"), F.col("reach") / 2**0.5 * (1 - 1e-9)).alias("own")
+    full = at_all(placed).where("half").groupBy("reach", inside("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).select("reach", "own", F.lit(True).alias("full"))
+    looked = at_all(_placed(points, key, "a")).withColumn("own", inside("a")).join(full, ["reach", "own"], "left").where("full or not half")
+    looking = looked.groupBy("id_a", "na", "ea").agg(F.min("reach").alias("reach"))
+    met = looking.withColumn("cell", F.explode(around_keys(F.col("na"), F.col("ea"), F.col("reach")))).join(at_all(placed).withColumn("cell", cell_key(F.col("nb"), F.col("eb"), F.col("reach"))), ["reach", "cell"])
+    distance = F.sqrt((F.col("na") - F.col("nb")) ** 2 + (F.col("ea") - F.col("eb")) ** 2)
+    near = met.withColumn("distance", distance).where((F.col("distance") <= F.col("reach")) & (F.col("id_a") != F.col("id_b")))
     w = Window.partitionBy("point").orderBy("distance", "neighbour")
     ranked = near.select(F.col("id_a").alias("point"), F.col("id_b").alias("neighbour"), "distance").withColumn("place", F.row_number().over(w))
     return ranked.where(F.col("place") <= k).select("point", "place", "neighbour", "distance")

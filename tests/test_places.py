@@ -78,3 +78,20 @@ def test_several_files_have_no_order(spark, tmp_path):
     assert control_files.level_book(spark, str(tmp_path / "a.csv")).count() == 2
     with pytest.raises(ValueError, match="one file"):
         control_files.level_book(spark, str(tmp_path))
+
+
+def test_dense_points_look_no_farther_than_they_need(spark):
+    import math
+    import random
+
+    rng = random.Random(8)
+    at = [(rng.gauss(0, 3), rng.gauss(0, 3)) for _ in range(400)] + [(rng.uniform(-60, 60), rng.uniform(-60, 60)) for _ in range(80)] + [(1.0, 1.0)] * 9
+    frame = spark.createDataFrame([(k, n, e, 0.0) for k, (n, e) in enumerate(at)], "point_id long, northing double, easting double, elevation double")
+    found = surfaces.nearest_neighbours(frame, 20.0)
+    want = set()
+    for k, (n, e) in enumerate(at):
+        near = sorted((d, j) for j, (y, x) in enumerate(at) if j != k and (d := math.sqrt((n - y) ** 2 + (e - x) ** 2)) <= 20)[:6]
+        want |= {(k, place, j) for place, (_, j) in enumerate(near, 1)}
+    assert {(r.point, r.place, r.neighbour) for r in found.collect()} == want
+    # Within 20 there are some 150,000 pairs; the cells by which points meet are those of their own reach.
+    assert "reach" in found._jdf.queryExecution().optimizedPlan().toString()
