@@ -217,7 +217,9 @@ def station_offset(points: DataFrame, segments: DataFrame, limit: float) -> Data
 
     Segments have ``seq``, ``n1, e1, n2, e2`` and ``station``.  They are put
     in the cells that they pass within ``limit``; a point looks only in its
-    own cell.
+    own cell.  It looks twice: for its least distance, a number that is
+    reduced as the pairs are made, and then for what lies at that distance.
+    So no pair is kept or sorted.
     """
     seg = segment_cells(segments, limit, limit)
     pts = points.select("point_id", "northing", "easting", cell_key(F.col("northing"), F.col("easting"), limit).alias("cell"))
@@ -225,10 +227,16 @@ def station_offset(points: DataFrame, segments: DataFrame, limit: float) -> Data
     length2 = dn * dn + de * de
     pn, pe = F.col("northing") - F.col("n1"), F.col("easting") - F.col("e1")
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (pn * dn + pe * de) / length2))
-    rows = pts.join(seg.where(length2 > 0), "cell").withColumn("t", t)
     off_n, off_e = pn - F.col("t") * dn, pe - F.col("t") * de
-    rows = rows.withColumns({"distance": F.sqrt(off_n * off_n + off_e * off_e), "side": F.signum(dn * pe - de * pn), "along": F.col("station") + F.col("t") * F.sqrt(length2)}).where(F.col("distance") <= limit)
-    best = rows.groupBy("point_id").agg(F.min_by(F.struct("seq", "along", (-F.col("side") * F.col("distance")).alias("offset")), F.struct(F.round("distance", 9), F.col("seq"))).alias("m"))
+
+    def beside(some: DataFrame) -> DataFrame:
+        rows = some.join(seg.where(length2 > 0), "cell").withColumn("t", t)
+        rows = rows.withColumns({"distance": F.sqrt(off_n * off_n + off_e * off_e), "side": F.signum(dn * pe - de * pn), "along": F.col("station") + F.col("t") * F.sqrt(length2)}).where(F.col("distance") <= limit)
+        return rows.withColumn("rounded", F.round("distance", 9))
+
+    nearest = beside(pts).groupBy("point_id").agg(F.min("rounded").alias("least"))
+    rows = beside(pts.join(nearest, "point_id")).where("rounded = least")
+    best = rows.groupBy("point_id").agg(F.min_by(F.struct("seq", "along", (-F.col("side") * F.col("distance")).alias("offset")), "seq").alias("m"))
     return best.select("point_id", F.col("m.seq").alias("seq"), F.col("m.along").alias("station"), F.col("m.offset").alias("offset"))
 
 

@@ -95,3 +95,12 @@ def test_dense_points_look_no_farther_than_they_need(spark):
     assert {(r.point, r.place, r.neighbour) for r in found.collect()} == want
     # Within 20 there are some 150,000 pairs; the cells by which points meet are those of their own reach.
     assert "reach" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_nearest_of_many_segments_is_reduced_without_sorting_pairs(spark):
+    points = spark.createDataFrame([(1, 0.0, 5.0), (2, 3.0, 5.0), (3, 90.0, 5.0), (4, 1.0, 5.0)], "point_id long, northing double, easting double")
+    lines = spark.createDataFrame([(7, 0.0, 0.0, 0.0, 10.0, 100.0), (5, 2.0, 0.0, 2.0, 10.0, 200.0), (6, 2.0, 10.0, 2.0, 0.0, 300.0)], "seq long, n1 double, e1 double, n2 double, e2 double, station double")
+    found = surfaces.station_offset(points, lines, 15.0)
+    assert {tuple(r) for r in found.collect()} == {(1, 7, 105.0, 0.0), (2, 5, 205.0, 1.0), (4, 5, 205.0, -1.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(rounded" in plan
