@@ -325,8 +325,10 @@ def regroup(obs: DataFrame, tolerance: float, vertical: float | None = None, rev
     decided = other & F.coalesce(F.col("review").isin("CONFIRMED", "REASSIGNED", "REJECTED"), F.lit(False))
     free = other & ~decided & (F.col("letter") != "") & ~F.array_contains("letters", F.col("letter"))
     rows = rows.withColumns({"other": other, "decided": decided, "free": F.coalesce(free, F.lit(False))})
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("component", "letter", "free").orderBy("observation_id")))
-    taken = F.col("free") & (F.col("turn") == 1)
+    # A cluster may be the whole table: its first free shot of each letter is a minimum, not a rank among all its rows.
+    takers = rows.where("free").groupBy("component", "letter").agg(F.min("observation_id").alias("observation_id")).select("observation_id", F.lit(True).alias("first"))
+    rows = rows.join(takers, "observation_id", "left")
+    taken = F.col("free") & F.coalesce("first", F.lit(False))
     manual = F.col("decided") & (F.col("review") != "REJECTED")
     suggested = F.when(F.col("letter") != "", F.concat("majority", "letter"))
     flag = (

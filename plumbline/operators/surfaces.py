@@ -104,7 +104,7 @@ def clusters(points: DataFrame, radius: float, key: str = "point_id") -> DataFra
     Points of equal coordinates are one place.  Places in one cell that is
     small enough (its diagonal is ``radius``) are all linked, so each is tied
     to the cell's first place; only pairs of places in different cells are
-    compared.
+    compared, and what is kept of them is which cells they link.
     """
     rows = points.where("northing is not null and easting is not null")
     places = rows.groupBy(F.col("northing").cast("double").alias("n"), F.col("easting").cast("double").alias("e")).agg(F.min(key).alias("id"))
@@ -113,7 +113,9 @@ def clusters(points: DataFrame, radius: float, key: str = "point_id") -> DataFra
     heads = places.groupBy("own").agg(F.min("id").alias("head"))
     inside = places.join(heads, "own").select(F.col("id").alias("a"), F.col("head").alias("b"))
     side = lambda tag: places.select(F.col("id").alias(f"id_{tag}"), F.col("n").alias(f"n{tag}"), F.col("e").alias(f"e{tag}"), F.col("own").alias(f"own_{tag}"))
-    across = _near(side("a"), side("b"), radius).where("own_a != own_b and id_a < id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    across = _near(side("a"), side("b"), radius).where("own_a < own_b").select("own_a", "own_b").distinct()
+    head = lambda c, of: heads.select(F.col("own").alias(f"own_{c}"), F.col("head").alias(of))
+    across = across.join(head("a", "a"), "own_a").join(head("b", "b"), "own_b").select("a", "b")
     same = rows.join(places, (rows["northing"] == places["n"]) & (rows["easting"] == places["e"])).select(rows[key].alias("a"), F.col("id").alias("b"))
     return connected_components(inside.unionByName(across).unionByName(same))
 

@@ -139,3 +139,28 @@ def test_pipes_of_one_place_meet_other_places_once(spark, monkeypatch):
             wanted[i, k] = (best[1], best[2], -best[0], best[3])
     assert {k: (found.get(k), wanted.get(k)) for k in found.keys() | wanted.keys() if found.get(k) != wanted.get(k)} == {}
     assert len(wanted) > 40
+
+
+def test_clusters_keep_one_link_of_two_cells(spark, monkeypatch):
+    """600 places in a small square are a few cells; the links between them don't grow with the places."""
+    from plumbline.operators import graph, surfaces
+
+    rng = random.Random(2)
+    rows = [(i, rng.uniform(0, 20), rng.uniform(0, 20), None) for i in range(600)] + [(1000 + i, 100.0 + 20 * i, 0.0, None) for i in range(3)]
+    written, sizes = graph.materialise, {}
+    monkeypatch.setattr(graph, "materialise", lambda df, tag, **k: (lambda out: sizes.setdefault(tag, out.count()) and out)(written(df, tag, **k)))
+    found = {r.node: r.component for r in surfaces.clusters(spark.createDataFrame(rows, "point_id long, northing double, easting double, elevation double"), 8.0).collect()}
+    assert {k: v for k, v in found.items() if k < 1000} == dict.fromkeys(range(600), 0)
+    assert sizes["edges"] < 800
+
+
+def test_regroup_ranks_no_whole_cluster(spark):
+    """The first free shot of a letter takes it, the later ones don't, and no window gathers a cluster's shots."""
+    from plumbline.operators import control
+
+    rows = [(i, "7A", 0.0) for i in range(5)] + [(i, "8B", 0.0) for i in (9, 7, 8)] + [(20, "8A", 0.0), (30, "9C", 500.0)]
+    obs = spark.createDataFrame([(i, None, p, n, 0.0, None) for i, p, n in rows], "observation_id long, control_id string, point_id string, northing double, easting double, elevation double")
+    out = control.regroup(obs, 1.0)
+    got = {r.observation_id: (r.point_id, r.flag) for r in out.collect()}
+    assert got[7] == ("7B", "PROBABLE_MISNUMBER") and {got[8], got[9]} == {("8B", "SPATIAL_ID_CONFLICT")} and got[20] == ("8A", "SPATIAL_ID_CONFLICT") and got[30] == ("9C", None)
+    assert "observation_id" not in "".join(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line)
