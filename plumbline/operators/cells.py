@@ -22,8 +22,8 @@ def around_keys(n: Column, e: Column, size: float | Column) -> Column:
     return F.array(*[key_of(cn + i, ce + j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
 
-def segment_cells(segments: DataFrame, size: float, reach: float) -> DataFrame:
-    """``segments`` (n1, e1, n2, e2) with a row for each ``cell`` that they pass within ``reach``.
+def segment_cells(segments: DataFrame, size: float, reach: float, listed: bool = False) -> DataFrame:
+    """``segments`` (n1, e1, n2, e2) with a row for each ``cell`` that they pass within ``reach``; with ``listed`` each row has all of them, too (``cells``).
 
     A segment is cut into pieces no longer than a cell and each piece's box is
     widened, so the rows follow its length, not its box.
@@ -39,4 +39,6 @@ def segment_cells(segments: DataFrame, size: float, reach: float) -> DataFrame:
         return F.flatten(F.transform(F.sequence(low("n"), high("n")), across))
 
     whole = segments.where("n1 is not null and e1 is not null and n2 is not null and e2 is not null")
-    return whole.withColumn("cell", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), piece)))))
+    found = whole.withColumn("cells", F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), piece))))
+    rows = found.withColumn("cell", F.explode("cells"))
+    return rows if listed else rows.drop("cells")

@@ -250,14 +250,19 @@ def duplicate_segments(segments: DataFrame) -> DataFrame:
 
 
 def crossings(segments: DataFrame, cell: float) -> DataFrame:
-    """Pairs of segments that cross properly (not at an end), by the grid cells that they pass; each pair once."""
-    boxed = segment_cells(segments, cell, cell * 1e-9)
-    side = lambda s: boxed.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("seq", "n1", "e1", "n2", "e2")])
+    """Pairs of segments that cross properly (not at an end), by the grid cells that they pass; each pair once.
+
+    Two that pass several cells together are a pair in the least of those, so
+    pairs are neither kept nor moved to make them distinct; ``seq`` is unique.
+    """
+    boxed = segment_cells(segments, cell, cell * 1e-9, listed=True)
+    side = lambda s: boxed.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("seq", "n1", "e1", "n2", "e2", "cells")])
     turn = lambda an, ae, bn, be, cn, ce: (F.col(be) - F.col(ae)) * (F.col(cn) - F.col(an)) - (F.col(bn) - F.col(an)) * (F.col(ce) - F.col(ae))
     d1, d2 = turn("n1_a", "e1_a", "n2_a", "e2_a", "n1_b", "e1_b"), turn("n1_a", "e1_a", "n2_a", "e2_a", "n2_b", "e2_b")
     d3, d4 = turn("n1_b", "e1_b", "n2_b", "e2_b", "n1_a", "e1_a"), turn("n1_b", "e1_b", "n2_b", "e2_b", "n2_a", "e2_a")
-    pairs = side("a").join(side("b"), "cell").where("seq_a < seq_b").where((d1 * d2 < 0) & (d3 * d4 < 0))
-    return pairs.select("seq_a", "seq_b").distinct()
+    first = F.col("cell") == F.array_min(F.array_intersect("cells_a", "cells_b"))
+    pairs = side("a").join(side("b"), "cell").where("seq_a < seq_b").where((d1 * d2 < 0) & (d3 * d4 < 0)).where(first)
+    return pairs.select("seq_a", "seq_b")
 
 
 def slope_catch(ground: DataFrame, design: DataFrame, centre: DataFrame, key: str = "section_id") -> DataFrame:

@@ -104,3 +104,17 @@ def test_the_nearest_of_many_segments_is_reduced_without_sorting_pairs(spark):
     assert {tuple(r) for r in found.collect()} == {(1, 7, 105.0, 0.0), (2, 5, 205.0, 1.0), (4, 5, 205.0, -1.0)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "min(rounded" in plan
+
+
+def test_crossings_are_made_once(spark):
+    """Flat crossings pass many cells together: each is one pair, without a grouping of the pairs."""
+    from plumbline.operators import surfaces
+
+    rows = [(i, 0.0, 0.3 * i, 400.0, 3.0 - 0.3 * i) for i in range(11)] + [(50, 200.0, -10.0, 200.0, 10.0), (60, 0.0, 0.0, 400.0, 300.0)]
+    out = surfaces.crossings(spark.createDataFrame(rows, "seq long, n1 double, e1 double, n2 double, e2 double"), 50.0)
+    got = sorted((r.seq_a, r.seq_b) for r in out.collect())
+    turn = lambda a, b, c: (b[1] - a[1]) * (c[0] - a[0]) - (b[0] - a[0]) * (c[1] - a[1])
+    ends = [(r[0], r[1:3], r[3:5]) for r in rows]
+    want = [(i, j) for i, a, b in ends for j, c, d in ends if i < j and turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0]
+    assert len(want) > 50 and got == sorted(want)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
