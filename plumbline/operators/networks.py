@@ -24,6 +24,18 @@ def _bounded(rows: DataFrame, key: str, most: int) -> DataFrame:
     return fitting.select(*[F.col(c).alias(c) for c in rows.columns])
 
 
+def dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """``_bounded`` rows, dealt by network to a fixed number of tasks.
+
+    A network is few bytes and much work: left to itself, Spark joins small
+    partitions by their bytes and solves all networks in one task.  The number
+    isn't that of a join, which would make Spark leave the dealing out.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism) + 1
+    return _bounded(rows, key, most).repartition(parts, key)
+
+
 def _robust(r: np.ndarray, k: float) -> np.ndarray:
     return np.minimum(1.0, k / np.maximum(np.abs(r), 1e-12))
 
@@ -72,8 +84,8 @@ def adjust_levels(points: DataFrame, observations: DataFrame, robust: bool = Fal
         return out
 
     kind = points.schema["network_id"].dataType.simpleString()
-    left = _bounded(points, "network_id", MOST_POINTS).groupBy("network_id")
-    right = _bounded(observations, "network_id", MOST_OBSERVATIONS).groupBy("network_id")
+    left = dealt(points, "network_id", MOST_POINTS).groupBy("network_id")
+    right = dealt(observations, "network_id", MOST_OBSERVATIONS).groupBy("network_id")
     return left.cogroup(right).applyInPandas(solve, f"network_id {kind}, point_id string, elevation double, sigma double, dof long, sigma0 double")
 
 
@@ -114,10 +126,11 @@ def solve_control(points: pd.DataFrame, obs: pd.DataFrame, robust: bool = False,
     free = sorted(points.loc[~points.fixed, "point_id"])
     column = {p: 2 * i for i, p in enumerate(free)}
     sigma = obs.sigma.to_numpy(float)
+    seen = list(obs.itertuples())
     weight = np.ones(len(obs))
     for _ in range(rounds):
         a, r = np.zeros((len(obs), 2 * len(free))), np.zeros(len(obs))
-        for i, o in enumerate(obs.itertuples()):
+        for i, o in enumerate(seen):
             diff = _model(o.kind, xy, o) - o.value
             r[i] = (diff if o.kind == "distance" else (diff + 180) % 360 - 180) / sigma[i]
             for point, (dn, de) in _gradient(o.kind, xy, o).items():
@@ -162,8 +175,8 @@ def adjust_control(points: DataFrame, observations: DataFrame, robust: bool = Fa
         return out
 
     kind = points.schema["network_id"].dataType.simpleString()
-    left = _bounded(points, "network_id", MOST_POINTS).groupBy("network_id")
-    right = _bounded(observations, "network_id", MOST_OBSERVATIONS).groupBy("network_id")
+    left = dealt(points, "network_id", MOST_POINTS).groupBy("network_id")
+    right = dealt(observations, "network_id", MOST_OBSERVATIONS).groupBy("network_id")
     return left.cogroup(right).applyInPandas(solve, f"network_id {kind}, point_id string, northing double, easting double, semi_major double, semi_minor double, azimuth double, dof long, sigma0 double")
 
 
@@ -184,6 +197,6 @@ def snoop(points: DataFrame, observations: DataFrame, threshold: float = 3.0, mo
         return pd.DataFrame(rows, columns=["network_id", "step", "ord", "standardised"])
 
     kind = points.schema["network_id"].dataType.simpleString()
-    left = _bounded(points, "network_id", MOST_POINTS).groupBy("network_id")
-    right = _bounded(observations, "network_id", MOST_OBSERVATIONS).groupBy("network_id")
+    left = dealt(points, "network_id", MOST_POINTS).groupBy("network_id")
+    right = dealt(observations, "network_id", MOST_OBSERVATIONS).groupBy("network_id")
     return left.cogroup(right).applyInPandas(solve, f"network_id {kind}, step long, ord long, standardised double")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.networks import ELLIPSE_95, MOST_OBSERVATIONS, MOST_POINTS, _bounded, solve_control
+from plumbline.operators.networks import ELLIPSE_95, MOST_OBSERVATIONS, MOST_POINTS, dealt, solve_control
 
 #: Fixed value: how far the two adjustments may lie apart in each of the compared figures.
 AGREEMENT = 1e-4
@@ -150,7 +150,7 @@ def compare(points: pd.DataFrame, obs: pd.DataFrame, robust: bool = False, agree
 
 def _cogrouped(points: DataFrame, observations: DataFrame, solver, columns: str) -> DataFrame:
     kind = points.schema["network_id"].dataType.simpleString()
-    left, right = (_bounded(df, "network_id", most).groupBy("network_id") for df, most in ((points, MOST_POINTS), (observations, MOST_OBSERVATIONS)))
+    left, right = (dealt(df, "network_id", most).groupBy("network_id") for df, most in ((points, MOST_POINTS), (observations, MOST_OBSERVATIONS)))
     return left.cogroup(right).applyInPandas(solver, f"network_id {kind}, {columns}")
 
 

@@ -164,3 +164,13 @@ def test_regroup_ranks_no_whole_cluster(spark):
     got = {r.observation_id: (r.point_id, r.flag) for r in out.collect()}
     assert got[7] == ("7B", "PROBABLE_MISNUMBER") and {got[8], got[9]} == {("8B", "SPATIAL_ID_CONFLICT")} and got[20] == ("8A", "SPATIAL_ID_CONFLICT") and got[30] == ("9C", None)
     assert "observation_id" not in "".join(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line)
+
+
+def test_small_networks_are_solved_in_several_tasks(spark):
+    """Networks are few bytes, so that partitions joined by their size would leave one task to solve them all."""
+    from plumbline.operators import networks, reference_networks
+
+    rings = surface_queries.rings(spark.range(1, 161).select(F.col("id").alias("s_suppkey")))
+    for solve, most in ((networks.snoop, 20), (networks.adjust_control, 20), (reference_networks.compare_adjustments, 20)):
+        rows = solve(*rings).select("network_id", F.spark_partition_id().alias("task")).distinct().collect()
+        assert len({r.network_id for r in rows}) == most and len({r.task for r in rows}) > 4
