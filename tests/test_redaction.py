@@ -42,3 +42,16 @@ def test_other_words_and_an_empty_table(spark):
     frame = spark.createDataFrame([(1, '{"Pin": 4, "token": 5}')], "id int, body string")
     assert redaction.redact(frame, "id", "body", ("pin",)).first().body == '{"Pin":"<redacted>","token":5}'
     assert redaction.redact(frame.limit(0), "id", "body").count() == 0
+
+
+def test_shallow_texts_are_redacted_in_their_rows(spark, monkeypatch):
+    """Texts of up to six levels are never taken apart; one that is deeper doesn't change how the others are read."""
+    shallow = [(1, '{"b":[{"Key":{"x":[1]}},[],{}],"a":null}'), (2, "no json"), (3, None), (4, '[[[[[{"z":"\\u0000","token":[[1]]}]]]]]'), (5, "3")]
+    written, tags = redaction.materialise, []
+    monkeypatch.setattr(redaction, "materialise", lambda df, tag, **k: tags.append(tag) or written(df, tag, **k))
+    want = {1: '{"a":null,"b":[{"Key":"<redacted>"},[],{}]}', 2: "no json", 3: None, 4: '[[[[[{"token":"<redacted>","z":"\\u0000"}]]]]]', 5: "3"}
+    out = redaction.redact(spark.createDataFrame(shallow, "id int, body string"), "id", "body")
+    assert {r.id: r.body for r in out.collect()} == want and tags == ["json-texts"]
+    deep = [(6, '[[[[[[[[{"a":{"secret":1},"b":2}]]]]]]]]')]
+    out = redaction.redact(spark.createDataFrame(shallow + deep, "id int, body string"), "id", "body")
+    assert {r.id: r.body for r in out.collect()} == want | {6: '[[[[[[[[{"a":{"secret":"<redacted>"},"b":2}]]]]]]]]'} and "json-level" in tags
