@@ -15,6 +15,11 @@ def _running(run: str, order: str):
     return Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def _azimuth(angle: Column) -> Column:
+    """Degrees from 0 on, as the reference and SQL reduce them: an angle below 0 by no more than the last bit of a sum is 360, which ``pmod`` reduces once more."""
+    return angle - 360.0 * F.floor(angle / 360.0)
+
+
 def _correction(method: str, closure: Column, setups: Column, all_setups: Column, distance: Column, all_distance: Column) -> Column:
     by_setups = setups / F.greatest(all_setups, F.lit(1))
     by_distance = F.when(all_distance > 0, F.when(setups == 0, 0.0).otherwise(distance / F.when(all_distance > 0, all_distance))).otherwise(by_setups)
@@ -185,7 +190,7 @@ def horizontal_alignment(elements: DataFrame, start_n: float, start_e: float, az
     return rows.select(
         key, order, (F.col("end_station") - F.col("run")).alias("start_station"), "end_station",
         (F.col("end_n") - F.col("dn")).alias("start_n"), (F.col("end_e") - F.col("de")).alias("start_e"), "end_n", "end_e",
-        F.pmod(F.col("out") - F.col("turn"), F.lit(360.0)).alias("azimuth_in"), F.pmod("out", F.lit(360.0)).alias("azimuth_out"),
+        _azimuth(F.col("out") - F.col("turn")).alias("azimuth_in"), _azimuth(F.col("out")).alias("azimuth_out"),
     )
 
 
@@ -225,7 +230,7 @@ def points_at_stations(elements: DataFrame, stations: DataFrame, key: str = "ali
     value = lambda c: F.when(inside, c)
     return first.select(
         key, "station", value(F.col("start_n") + chord * F.cos(along)).alias("northing"), value(F.col("start_e") + chord * F.sin(along)).alias("easting"),
-        value(F.pmod(F.col("azimuth_in") + sign * F.degrees(sweep), F.lit(360.0))).alias("azimuth"), value(F.col("element")).alias("element"),
+        value(_azimuth(F.col("azimuth_in") + sign * F.degrees(sweep))).alias("azimuth"), value(F.col("element")).alias("element"),
     )
 
 

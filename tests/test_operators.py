@@ -158,6 +158,13 @@ def test_alignment(spark):
     assert math.isclose(out[2].end_station, 1125 + 25 * math.pi) and math.isclose(out[2].end_n, 150) and math.isclose(out[2].end_e, 75) and math.isclose(out[2].azimuth_out, 90)
 
 
+def test_an_azimuth_just_below_north_is_reduced_as_by_the_reference(spark):
+    rows = [("a", 1, "curve", None, 50.0, 0.1, "LEFT"), ("a", 2, "curve", None, 50.0, 0.2, "LEFT"), ("a", 3, "tangent", 25.0, None, None, None)]
+    out = sequential.horizontal_alignment(spark.createDataFrame(rows, "alignment_id string, seq int, kind string, length double, radius double, delta_deg double, direction string"), 0.0, 0.0, 0.3, 1000.0).orderBy("seq").collect()
+    below = 0.3 + (-0.1 - 0.2)
+    assert below < 0 and (out[1].azimuth_out, out[2].azimuth_in, out[2].azimuth_out) == (below % 360.0,) * 3 == (360.0,) * 3
+
+
 def test_curve_stakes(spark):
     out = sequential.curve_stakes(spark.createDataFrame([("c", 1000.0, 100.0, 90.0)], "curve_id string, pc_station double, radius double, delta_deg double"), 50.0)
     assert sorted(round(r.station, 4) for r in out.collect()) == [1000, 1050, 1100, 1150, 1157.0796]
