@@ -1,8 +1,11 @@
 """Pairs of survey files and field books by their names: equal job keys, then clear similarity.
 
-Names meet where they share a word; only such pairs are scored, and an upper
-bound from words and lengths leaves most of them out before their letters are
-compared.
+Only names that share a word are scored.  Names that share two words or more
+meet by their first two.  Names that share one word alone meet only where
+their lengths let them reach the score; where that takes all letters of the
+longer name but one, they meet by what is left without a letter, so a word
+that many names have makes no pair of all of them.  An upper bound from words
+and lengths leaves out more before letters are compared.
 """
 
 from __future__ import annotations
@@ -37,31 +40,78 @@ def _letters(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+_NUMBER = rf"^[0-9]{{{DIGITS},}}$"
+
+
 def _bonus(a: Column, b: Column) -> Column:
-    number = rf"^[0-9]{{{DIGITS},}}$"
-    shared = F.array_intersect(F.filter(a, lambda w: w.rlike(number)), F.filter(b, lambda w: w.rlike(number)))
+    shared = F.array_intersect(F.filter(a, lambda w: w.rlike(_NUMBER)), F.filter(b, lambda w: w.rlike(_NUMBER)))
     return F.when(F.size(shared) > 0, NUMBER).otherwise(0.0)
 
 
-def candidates(surveys: DataFrame, books: DataFrame, least: float) -> DataFrame:
-    """``(survey_key, book_key, score)`` of the keys that share a word and score ``least`` or more; both sides have distinct keys (column ``key``).
+def _words(key: str) -> Column:
+    return F.array_sort(F.array_distinct(F.split(key, " ")))
+
+
+def _by_two_words(surveys: DataFrame, books: DataFrame) -> DataFrame:
+    """Pairs that share two words or more, once each: by the first two they share."""
+    two = "flatten(transform({0}, (v, i) -> transform(slice({0}, i + 2, size({0})), w -> concat(v, ' ', w))))"
+    side = lambda df, w: df.withColumn("two", F.explode(F.expr(two.format(w))))
+    met = side(surveys, "survey_words").join(side(books, "book_words"), "two")
+    first = F.array_join(F.slice(F.array_intersect("survey_words", "book_words"), 1, 2), " ")
+    return met.where(F.col("two") == first).select("survey_key", "least", "book_key")
+
+
+def _by_one_word(surveys: DataFrame, books: DataFrame) -> DataFrame:
+    """Pairs that share one word alone and are long enough alike to reach ``least``.
+
+    What a word's books look like (length, number of words) is joined first.
+    It says how many letters a pair must have in order in both names.  If that
+    is all of the longer name but one at least, both names without a letter
+    (or the shorter one whole) are equal, so they meet there; else all of that
+    look meet.
+    """
+    a = surveys.select("survey_key", "least", F.length("survey_key").alias("la"), F.size("survey_words").alias("na"), F.explode("survey_words").alias("word"))
+    b = books.select("book_key", F.length("book_key").alias("lb"), F.size("book_words").alias("nb"), F.explode("book_words").alias("word"))
+    la, lb = F.col("la"), F.col("lb")
+    number = F.when(F.col("word").rlike(_NUMBER), NUMBER).otherwise(0.0)
+    needed = (F.col("least") - 1e-9 - WORDS / (F.col("na") + F.col("nb") - 1) - number) / LETTERS * (la + lb) / 2
+    # Two names of one length aren't equal, so they differ in a letter.
+    most = F.least(la, lb) - (la == lb).cast("int")
+    looks = a.join(b.select("word", "lb", "nb").distinct(), "word").withColumn("needed", needed).where(F.col("needed") <= most)
+    looks = materialise(looks.select("survey_key", "least", "la", "word", "lb", "nb", (F.col("needed") > F.greatest(la, lb) - 2).alias("near")), "name-looks")
+    far = looks.where("not near").join(b, ["word", "lb", "nb"]).select("survey_key", "least", "book_key")
+    near = looks.where("near")
+    less = "transform(sequence(1, length({0})), i -> concat(left({0}, i - 1), substring({0}, i + 1, length({0}))))"
+    rest = lambda key, cut: F.explode(F.array_distinct(F.when(cut, F.expr(less.format(key))).otherwise(F.array(key))))
+    spot = F.xxhash64("word", "lb", "nb", "cut", "rest").alias("spot")
+    own = near.withColumns({"cut": F.greatest(la, lb), "rest": rest("survey_key", la >= lb)}).select("survey_key", "least", spot)
+    # Longer surveys look for these books whole, others for what is left of them.
+    wanted = near.select("word", "lb", "nb", F.greatest(la, lb).alias("cut")).distinct()
+    other = b.join(wanted, ["word", "lb", "nb"]).withColumn("rest", rest("book_key", lb == F.col("cut"))).select("book_key", spot)
+    return far.unionByName(own.join(other, "spot").select("survey_key", "least", "book_key").distinct())
+
+
+def candidates(surveys: DataFrame, books: DataFrame) -> DataFrame:
+    """``(survey_key, book_key, score)`` of the keys that share a word and score ``least`` or more, a column of the surveys; both sides have distinct keys (column ``key``), of which none is on both.
 
     The score is 0.55 times the share of common words, 0.45 times the share of
     letters in matching blocks, and 0.18 for a common number of three digits
     or more; one at most.
     """
-    words = lambda df, tag: df.select(F.col("key").alias(f"{tag}_key"), F.array_distinct(F.split("key", " ")).alias(f"{tag}_words"))
-    a, b = words(surveys, "survey"), words(books, "book")
-    met = a.withColumn("word", F.explode("survey_words")).join(b.withColumn("word", F.explode("book_words")), "word")
-    x, y = F.col("survey_words"), F.col("book_words")
-    # Of several shared words the least one lets a pair through, so each pair is made once.
-    met = met.where(F.col("word") == F.array_min(F.array_intersect(x, y)))
-    common = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    bonus = _bonus(x, y)
+    spark = surveys.sparkSession
+    a = surveys.select(F.col("key").alias("survey_key"), "least", _words("key").alias("survey_words"))
+    b = books.select(F.col("key").alias("book_key"), _words("key").alias("book_words"))
+    x, y = _words("survey_key"), _words("book_key")
+    both = F.array_intersect(x, y)
+    one = _by_one_word(a, b).where(F.size(both) == 1)
+    met = _by_two_words(a, b).unionByName(one)
     la, lb = F.length("survey_key"), F.length("book_key")
-    met = met.withColumns({"common": common, "bonus": bonus}).where(WORDS * F.col("common") + LETTERS * 2 * F.least(la, lb) / (la + lb) + F.col("bonus") >= least - 1e-9)
-    scored = met.select("survey_key", "book_key", F.least(F.lit(1.0), WORDS * F.col("common") + LETTERS * _letters("survey_key", "book_key") + F.col("bonus")).alias("score"))
-    return scored.where(F.col("score") >= least)
+    met = met.withColumns({"common": F.size(both) / F.size(F.array_union(x, y)), "bonus": _bonus(x, y)})
+    met = met.where(WORDS * F.col("common") + LETTERS * 2 * F.least(la, lb) / (la + lb) + F.col("bonus") >= F.col("least") - 1e-9)
+    # Pairs are few bytes, but comparing their letters takes long: they are dealt to a fixed number of tasks.
+    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("survey_key", "book_key"))
+    scored = met.select("survey_key", "book_key", "least", F.least(F.lit(1.0), WORDS * F.col("common") + LETTERS * _letters("survey_key", "book_key") + F.col("bonus")).alias("score"))
+    return scored.where(F.col("score") >= F.col("least")).drop("least")
 
 
 def _chosen(edges: DataFrame, min_score: float, min_margin: float) -> DataFrame:
@@ -122,10 +172,11 @@ def pair_files(survey_files: DataFrame, book_files: DataFrame, min_score: float
     empty side leaves all unmatched.
 
     Names that share no word aren't compared: they score 0.45 at most, which
-    changes nothing while ``min_score - min_margin`` is 0.45 or more.  A word
-    that many names of both sides share makes as many pairs to look at as the
-    product of its counts; pairs are only counted against the bound there,
-    unless they could score.
+    changes nothing while ``min_score - min_margin`` is 0.45 or more.  Names
+    that share two words, or one where so few letters would do that names
+    can't meet by them (with these bounds mostly a number, or names of
+    unlike length), are all looked at: as many pairs as the product of the
+    counts of those words.
     """
     spark = survey_files.sparkSession
     with scope(spark):
@@ -134,10 +185,12 @@ def pair_files(survey_files: DataFrame, book_files: DataFrame, min_score: float
         exact = surveys.where("key is not null").join(keyed, F.col("key") == F.col("book_key"))
         left = surveys.where("key is not null").join(keyed, F.col("key") == F.col("book_key"), "left_anti")
         free = keyed.join(surveys.select("key"), F.col("key") == F.col("book_key"), "left_anti")
-        found = candidates(left.select("key"), free.select(F.col("book_key").alias("key")), min(min_score, min_score - min_margin))
-        found = materialise(found, "name-pairs")
-        able = found.groupBy("survey_key").agg(F.max("score").alias("best")).where(F.col("best") >= min_score).select("survey_key")
-        edges = found.join(able, "survey_key").join(left.select(F.col("key").alias("survey_key"), F.col("first_seq").alias("seq")), "survey_key")
+        others = free.select(F.col("book_key").alias("key"))
+        found = materialise(candidates(left.select("key", F.lit(float(min_score)).alias("least")), others), "name-pairs")
+        # Only what comes within the margin of a book that could be taken makes a survey ambiguous, so lower scores are looked for no farther than that.
+        bars = found.groupBy(F.col("survey_key").alias("key")).agg((F.min("score") - min_margin - 1e-9).alias("least")).where(F.col("least") < min_score)
+        rivals = candidates(materialise(bars, "name-bars"), others).where(F.col("score") < min_score)
+        edges = found.unionByName(rivals).join(left.select(F.col("key").alias("survey_key"), F.col("first_seq").alias("seq")), "survey_key")
         edges = materialise(edges, "name-edges")
         linked = connected_components(edges.select(F.concat(F.lit("s "), "survey_key").alias("a"), F.concat(F.lit("b "), "book_key").alias("b")))
         linked = linked.select(F.expr("substring(node, 3)").alias("survey_key"), "component").where("node like 's %'")

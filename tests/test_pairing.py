@@ -4,6 +4,9 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from plumbline.operators import pairing
 
 ROLES = {"survey", "surveys", "points", "point", "pts", "raw", "data", "fieldbook", "field", "book", "notes", "scan", "photo"}
@@ -92,3 +95,33 @@ def test_three_hundred_names_equal_brute_force(spark):
     want = brute(surveys, books)
     assert got == want and {v[2] for v in want.values()} == {"PAIRED", "AMBIGUOUS", "UNMATCHED"}
     assert sum(v[2] == "PAIRED" and v[1] < 1 for v in want.values()) > 20
+
+
+def test_a_word_that_all_names_share_pairs_no_more_letters_than_could_score(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen.add(len(a))
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+    monkeypatch.setattr(pairing, "_letters", counted)
+    rng = random.Random(17)
+    surveys = [f"oakton {rng.randrange(1000, 99999)}_points.csv" for _ in range(150)]
+    books = [f"oakton-{rng.randrange(1000, 99999)}.pdf" for _ in range(100)]
+    for k, name in enumerate(surveys[:60]):
+        number = re.findall("[0-9]+", name)[0]
+        other = {0: f"{number[1]}{number[0]}{number[2:]}", 1: number[:-1], 2: f"{number}7", 3: f"{number[:2]}9{number[3:]}", 4: number}[k % 5]
+        books.append(f"oakton {other}.pdf" if k % 5 < 4 else f"{other} page {k}.jpg")
+        books.append(f"ashton {number}.pdf" if k % 3 else f"oakton east {number}.pdf")
+    got, _, _ = found(spark, surveys, books)
+    want = brute(surveys, books)
+    assert got == want and {v[2] for v in want.values()} == {"PAIRED", "AMBIGUOUS", "UNMATCHED"}
+    assert 0 < seen.value < len(surveys) * len(books) / 10
+
+
+def test_a_rival_below_the_score_makes_ambiguous(spark):
+    surveys, books = ["oakton 12345.csv"], ["ashton 12345.pdf", "oakton 12346.pdf"]
+    kept = score("oakton 12345", "ashton 12345"), score("oakton 12345", "oakton 12346")
+    assert kept[0] >= 0.62 > kept[1] > kept[0] - 0.25
+    assert found(spark, surveys, books, min_margin=0.25)[0] == brute(surveys, books, margin=0.25) == {"oakton 12345": (None, None, "AMBIGUOUS")}
