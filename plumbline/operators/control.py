@@ -14,11 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import measures
+from plumbline.storage import materialise, scope
 
 TOLERANCE = 0.10
 TRIPLET_TOLERANCE = 0.045
 #: Triplets of a partition: few enough to be ranked in a task's memory.
 TRIPLETS_A_TASK = 500_000
+#: Combinations of a control up to which each is judged, also where only the best are asked for.
+EACH = 100_000
+#: Shots of a grid cell that one task pairs.
+CELL_SHOTS = 2_000
+#: What triplets take from a shot, and the sums of its checks.
+SHOT, COUNTED = ("observation_id", "northing", "easting", "elevation", "observed", "n", "ord"), ("failures", "missing")
 
 
 def _weight(sigma: Column) -> Column:
@@ -84,41 +91,75 @@ def control_summary(obs: DataFrame, solutions: DataFrame) -> DataFrame:
     return spans.join(newest, "control_id", "left")
 
 
-def triplets(rows: DataFrame, most: int = 100_000) -> DataFrame:
+def _combinations(n: Column) -> Column:
+    """How many three-row combinations ``n`` rows (a double) have."""
+    return n * (n - 1) * (n - 2) / 6
+
+
+def _minutes(x: Column, y: Column) -> Column:
+    return F.abs(F.unix_timestamp(y.cast("timestamp")) - F.unix_timestamp(x.cast("timestamp"))) / 60.0
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """What triplets need of each row, with its place in row order (``ord``) and the number of its control's rows (``n``)."""
+    w = Window.partitionBy("control_id")
+    keep = ["control_id", *SHOT, *[c for c in COUNTED if c in rows.columns]]
+    return rows.withColumns({"ord": F.row_number().over(w.orderBy("observed", "observation_id")), "n": F.count(F.lit(1)).over(w)}).select(*keep)
+
+
+def triplets(rows: DataFrame, most: int | None = None) -> DataFrame:
     """All three-row combinations of each control, in row order (``observed``, ``observation_id``), with their statistics.
 
-    Controls with more than ``most`` combinations have none here: they need
-    review, and ``best_triplets`` reports them so.  ``failures`` and
-    ``missing`` are those of the three shots, where ``rows`` has counted them.
+    A caller may set a limit: controls with more than ``most`` combinations
+    have none then, and ``best_triplets`` reports that they need review.
+    ``failures`` and ``missing`` are those of the three shots, where ``rows``
+    has counted them.
+    """
+    return _each(rows, _sizes(rows, most)[0], most)
+
+
+def _sizes(rows: DataFrame, most: int | None, each: int | None = None) -> tuple[float, bool]:
+    """The combinations of all controls that have no more than ``most``, and whether one has more than ``each``; the others with more than that aren't counted."""
+    made = _combinations(F.count(F.lit(1)).cast("double"))
+    sizes = rows.groupBy("control_id").agg(made.alias("made"))
+    if most is not None:
+        sizes = sizes.where(F.col("made") <= most)
+    large = F.col("made") > each if each is not None else F.lit(False)
+    total, any_large = sizes.agg(F.sum(F.when(~large, F.col("made"))), F.bool_or(large)).first()
+    return total or 0.0, bool(any_large)
+
+
+def _each(rows: DataFrame, total: float, most: int | None) -> DataFrame:
+    """``triplets``, of which there are ``total``.
 
     Rows are few beside their triplets, so they are dealt by the number of
     these: partitions by the rows' size would hold more than can be ranked
     without spilling.
     """
-    w = Window.partitionBy("control_id")
-    n = F.count(F.lit(1)).cast("double")
-    made = n * (n - 1) * (n - 2) / 6
-    total = rows.groupBy("control_id").agg(F.when(made <= most, made).otherwise(0.0).alias("made")).agg(F.sum("made")).first()[0] or 0.0
     rows = rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / TRIPLETS_A_TASK)), "control_id")
-    counted = [c for c in ("failures", "missing") if c in rows.columns]
-    keep = ["control_id", "observation_id", "northing", "easting", "elevation", "observed", "n", "ord", *counted]
-    rows = rows.withColumns({"ord": F.row_number().over(w.orderBy("observed", "observation_id")), "n": F.count(F.lit(1)).over(w)}).select(*keep)
-    rows = rows.where(F.col("n") * (F.col("n") - 1) * (F.col("n") - 2) / 6 <= most)
-    a, b, c = (rows.select("control_id", *[F.col(k).alias(f"{k}_{s}") for k in keep[1:]]) for s in "abc")
-    three = a.join(b, "control_id").where("ord_a < ord_b").join(c, "control_id").where("ord_b < ord_c")
+    rows = _numbered(rows)
+    if most is not None:
+        rows = rows.where(_combinations(F.col("n").cast("double")) <= most)
+    a, b, c = (rows.select("control_id", *[F.col(k).alias(f"{k}_{s}") for k in rows.columns[1:]]) for s in "abc")
+    return _measured(a.join(b, "control_id").where("ord_a < ord_b").join(c, "control_id").where("ord_b < ord_c"))
+
+
+def _measured(three: DataFrame) -> DataFrame:
+    """Statistics of triplets, whose columns of each shot end in _a, _b and _c."""
+    counted = [c for c in COUNTED if f"{c}_a" in three.columns]
     col = lambda k: [F.col(f"{k}_{s}") for s in "abc"]
     mean = {k: sum(col(k)[1:], col(k)[0]) / 3 for k in ("northing", "easting", "elevation")}
     three = three.withColumns({f"mean_{k}": m for k, m in mean.items()})
     h = [F.sqrt((n - F.col("mean_northing")) ** 2 + (e - F.col("mean_easting")) ** 2) for n, e in zip(col("northing"), col("easting"))]
     v = [F.abs(z - F.col("mean_elevation")) for z in col("elevation")]
-    minutes = lambda x, y: F.abs(F.unix_timestamp(y.cast("timestamp")) - F.unix_timestamp(x.cast("timestamp"))) / 60.0
     ta, tb, tc = col("observed")
     return three.select(
         "control_id", "n_a", *[F.col(f"observation_id_{s}").alias(f"id_{s}") for s in "abc"], *[F.col(f"mean_{k}") for k in mean],
         F.greatest(*h).alias("max_h"), F.greatest(*v).alias("max_v"),
         F.sqrt((h[0] * h[0] + h[1] * h[1] + h[2] * h[2]) / 3).alias("rms_h"), F.sqrt((v[0] * v[0] + v[1] * v[1] + v[2] * v[2]) / 3).alias("rms_v"),
-        F.least(minutes(ta, tb), minutes(tb, tc), minutes(ta, tc)).alias("least_gap_minutes"),
-        *[(sum(col(c)[1:], col(c)[0]) if c in counted else F.lit(0)).cast("long").alias(c) for c in ("failures", "missing")],
+        F.least(_minutes(ta, tb), _minutes(tb, tc), _minutes(ta, tc)).alias("least_gap_minutes"),
+        *[(sum(col(c)[1:], col(c)[0]) if c in counted else F.lit(0)).cast("long").alias(c) for c in COUNTED],
+        *[c for c in ("kind", "limit") if c in three.columns],
     ).withColumnRenamed("n_a", "n")
 
 
@@ -126,9 +167,9 @@ METADATA = ("epoch_count", "duration_seconds", "satellite_count", "pdop", "hdop"
 
 
 def ranked_triplets(
-    rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int = 100_000, require_metadata: bool = False, **limits,
+    rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int | None = None, require_metadata: bool = False, top: int | None = None, **limits,
 ) -> DataFrame:
-    """Triplets in order of merit within each control.
+    """Triplets in order of merit within each control: all, or the ``top`` first.
 
     Field status: FAIL if any of the three shots fails a check of
     ``shot_checks`` (with ``limits``) or two are nearer in time than
@@ -142,21 +183,24 @@ def ranked_triplets(
     tolerance ratios, the maxima, the RMS values (a zero or missing vertical
     RMS comes last), and the ids.
     """
-    three, order = _judged(rows, htol, vtol, gap_minutes, most, require_metadata, **limits)
-    return three.withColumn("rank", F.row_number().over(Window.partitionBy("control_id").orderBy(*order)))
+    three, order = _judged(rows, htol, vtol, gap_minutes, most, require_metadata, top, **limits)
+    ranked = three.withColumn("rank", F.row_number().over(Window.partitionBy("control_id").orderBy(*order)))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
-def _judged(rows: DataFrame, htol: float, vtol: float, gap_minutes: float, most: int, require_metadata: bool, **limits) -> tuple[DataFrame, list[Column]]:
-    """Triplets with what ``ranked_triplets`` judges of them, and the columns of their order of merit."""
+def _judged(rows: DataFrame, htol: float, vtol: float, gap_minutes: float, most: int | None, require_metadata: bool, top: int | None, **limits) -> tuple[DataFrame, list[Column]]:
+    """Triplets with what ``ranked_triplets`` judges of them, and the columns of their order of merit.
+
+    With ``top``, controls with over EACH combinations have only triplets among
+    which their ``top`` best are.
+    """
     if any(c in rows.columns for c in METADATA):
         rows = shot_checks(rows.withColumns({c: F.lit(None).cast("double") for c in METADATA if c not in rows.columns}), **limits)
-    three = triplets(rows, most)
     coordinate = F.coalesce((F.col("max_h") <= htol) & (F.col("max_v") <= vtol), F.lit(False))
     close = F.coalesce(F.col("least_gap_minutes") < gap_minutes - 1e-9, F.lit(False))
     status = F.when((F.col("failures") > 0) | close, "FAIL").when((F.col("missing") > 0) | F.col("least_gap_minutes").isNull(), "UNVERIFIED").otherwise("PASS")
-    three = three.withColumns({"coordinate_pass": coordinate, "field_status": status})
     eligible = F.col("field_status") == "PASS" if require_metadata else F.col("field_status") != "FAIL"
-    three = three.withColumn("passes", F.col("coordinate_pass") & eligible)
+    judge = lambda three: three.withColumns({"coordinate_pass": coordinate, "field_status": status}).withColumn("passes", F.col("coordinate_pass") & eligible)
     infinite = F.lit(float("inf"))
     order = [
         F.when(F.col("passes"), 0).otherwise(1),
@@ -166,28 +210,189 @@ def _judged(rows: DataFrame, htol: float, vtol: float, gap_minutes: float, most:
         F.when(F.col("rms_v") == 0, infinite).otherwise(F.coalesce("rms_v", infinite)),
         F.col("id_a"), F.col("id_b"), F.col("id_c"),
     ]
-    return three, order
+    total, any_large = _sizes(rows, most, None if top is None else EACH)
+    if not any_large:
+        return judge(_each(rows, total, most)), order
+    made = _combinations(F.col("n").cast("double"))
+    large = _numbered(rows).where((made > EACH) & (F.lit(True) if most is None else made <= most))
+    three = judge(_each(rows, total, EACH))
+    return three.unionByName(_nearest(large, top, htol, vtol, gap_minutes, judge, order).select(*three.columns)), order
+
+
+def _interleaved(*cells: Column) -> Column:
+    """The bits of three numbers below 2^20 in turn: what is near in this order mostly is near in place."""
+
+    def spread(v: Column) -> Column:
+        for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    a, b, c = map(spread, cells)
+    return a.bitwiseOR(F.shiftleft(b, 1)).bitwiseOR(F.shiftleft(c, 2))
+
+
+def _limits(shots: DataFrame, top: int, htol: float, vtol: float, judge, key: Column) -> DataFrame:
+    """The ``top``-th best of some triplets of each control (``limit``, a key of the order of merit), which none of its ``top`` best goes behind; null if there are fewer.
+
+    Those triplets are of shots near each other along a curve through their
+    places, and of shots of one place in order of their ids.
+    """
+    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))
+    tolerance = {"northing": htol, "easting": htol, "elevation": vtol}
+    span = shots.groupBy("control_id").agg(*[F.percentile_approx(finite(c), [0.05, 0.95]).alias(f"{c}_s") for c in tolerance])
+    width = F.greatest(*[(F.get(f"{c}_s", 1) - F.get(f"{c}_s", 0)) / t for c, t in tolerance.items()])
+    span = span.withColumn("width", F.when(width > 0, width).otherwise(1.0))
+    last = 2**20 - 1
+    part = lambda c, t: F.coalesce(F.floor(F.least(F.greatest((finite(c) - F.get(f"{c}_s", 0)) / t / F.col("width"), F.lit(0.0)), F.lit(1.0)) * last).cast("long"), F.lit(0))
+    # Equal shots at one time rarely make a triplet that passes.
+    placed = shots.where("twin = 1 or kind = 2").join(span, "control_id").withColumn("at", _interleaved(*[part(c, t) for c, t in tolerance.items()]))
+    placed = placed.withColumn("stretch", F.floor(F.col("at") / 2.0**60 * F.ceil(F.col("n") / 4096)))
+    near = Window.partitionBy("control_id", "kind", "stretch").orderBy("at", "ord")
+    same = Window.partitionBy("control_id", "kind", *tolerance).orderBy("observation_id")
+    shot = F.struct("ord", *[c for c in (*SHOT, *COUNTED) if c != "ord" and c in shots.columns])
+    steps = (1, 2, 4, 8, 16, 32)
+    leads = [placed.select("control_id", shot.alias("s"), F.array(*[F.lead(shot, k).over(w) for k in steps]).alias("others")) for w in (near, same)]
+    two = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for q in range(len(steps)) for p in range(q)]))
+    some = leads[0].unionByName(leads[1]).withColumn("two", two).select("control_id", "s", F.get("others", F.col("two.p")).alias("s_p"), F.get("others", F.col("two.q")).alias("s_q"))
+    some = some.where("s_q is not null").select("control_id", F.array_sort(F.array("s", "s_p", "s_q")).alias("t"))
+    some = some.select("control_id", *[F.get("t", F.lit(k))[c].alias(f"{c}_{s}") for k, s in enumerate("abc") for c in (*SHOT, *COUNTED) if c in shots.columns])
+    keyed = judge(_measured(some)).select("control_id", key.alias("key"))
+    best = keyed.withColumn("k", F.dense_rank().over(Window.partitionBy("control_id").orderBy("key"))).where(F.col("k") <= top)
+    return best.groupBy("control_id").agg(F.when(F.max("k") == top, F.max("key")).alias("limit"))
+
+
+def _nearest(rows: DataFrame, top: int, htol: float, vtol: float, gap_minutes: float, judge, order: list[Column]) -> DataFrame:
+    """Judged triplets of each control, its ``top`` best among them, without making all combinations.
+
+    None of the best goes behind the limit of ``_limits``.  So for each field
+    status there is a tolerance ratio that they don't exceed, and their shots
+    lie within twice that of each other: they are found by grid cells of that
+    size, for PASS and UNVERIFIED among the shots that can have it.  Where
+    there is no such ratio (no limit, places that aren't numbers, or a status
+    of which all triplets go before the limit) all combinations are made.
+
+    Of shots that are equal in place, time and checks the first ids go before
+    the others, so no more than can all be in one triplet or the best are kept.
+    """
+    spark, infinite = rows.sparkSession, F.lit(float("inf"))
+    key = F.struct(*[c.alias(f"_{k}") for k, c in enumerate(order)])
+    fails, lacks = (F.col(c) > 0 if c in rows.columns else F.lit(False) for c in COUNTED)
+    places = ["northing", "easting", "elevation"]
+    twins = Window.partitionBy("control_id", *places, "observed", fails, lacks).orderBy("observation_id")
+    kinds = F.array(*[F.when(~fails & ~lacks, 0), F.when(~fails, 1), F.lit(2)])
+    shots = rows.withColumn("twin", F.row_number().over(twins)).where(F.col("twin") <= top + 2).withColumn("kind", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
+
+    number = lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+    far = lambda *c: F.greatest(*[F.max(F.when(number(k), F.abs(k))) for k in c], F.lit(0.0))
+    sizes = rows.groupBy("control_id").agg(far("northing", "easting").alias("far_h"), far("elevation").alias("far_v"), F.bool_or(~number("northing") | ~number("easting")).alias("odd"))
+    with scope(spark):
+        shots = materialise(shots, "triplet-shots")
+        known = _limits(shots, top, htol, vtol, judge, key).join(sizes, "control_id", "right")
+        last, status, ratio = (F.col(f"limit._{k}") for k in range(3))
+        over = F.greatest(ratio, F.lit(1.0))
+        passing = last == 0
+        ratios = [
+            F.when(status == 0, F.when(passing, ratio).otherwise(over)).when(passing, 1.0).otherwise(infinite),
+            F.when(status == 0, F.when(~passing, 1.0)).when(status == 1, F.when(passing, ratio).otherwise(over)).otherwise(infinite),
+            F.when(status == 2, ratio),
+        ]
+        ratios = [F.when(F.col("limit").isNull() | (c.isNotNull() & (F.isnan(c) | (F.col("odd") & ~passing))), infinite).otherwise(c) for c in ratios]
+        known = known.select("control_id", "limit", "far_h", "far_v", F.posexplode(F.array(*ratios)).alias("kind", "ratio")).where("ratio is not null")
+        # The last bits of a mean don't count.
+        reach = lambda t, c: F.greatest(2 * F.col("ratio") * t * (1 + 1e-9) + 1e-13 * F.col(c), F.lit(1e-290))
+        known = known.select("control_id", "kind", "limit", "ratio", reach(htol, "far_h").alias("reach_h"), reach(vtol, "far_v").alias("reach_v"))
+        shots = shots.drop("twin").join(known, ["control_id", "kind"]).where((F.col("ratio") == infinite) | (number("northing") & number("easting") & number("elevation")))
+        cell = lambda c, r: F.when(F.col("ratio") == infinite, F.lit(0)).otherwise(F.floor(F.col(c) / F.col(r)).cast("long"))
+        cells = {"cn": cell("northing", "reach_h"), "ce": cell("easting", "reach_h"), "cz": cell("elevation", "reach_v")}
+        shots = materialise(shots.withColumns(cells), "triplet-searches", hand_on=True)
+
+    mine = [c for c in (*SHOT, *COUNTED) if c in rows.columns]
+    two = _pairs(shots.where("ratio > 0"), mine, mine, [*cells], gap_minutes)
+    third = two.select("control_id", "kind", "ord_a", *[F.col(f"{c}_b").alias(f"{c}_c") for c in mine])
+    # Without a failure the second shot needs a third one that is late enough.
+    two = two.where((F.col("kind") == 2) | F.col("observed_b").isNull() | (_minutes(F.col("observed_b"), F.col("end")) >= gap_minutes - 1e-9)).drop("end")
+    three = two.join(third, ["control_id", "kind", "ord_a"]).where(_near("b", "c", gap_minutes))
+    three = three.unionByName(_tied(shots.where("ratio = 0"), top, mine, [*cells], gap_minutes, fails, lacks).select(*three.columns))
+    three = judge(_measured(three))
+    return three.where((order[1] == F.col("kind")) & F.coalesce(key <= F.col("limit"), F.lit(True)))
+
+
+def _near(a: str, b: str, gap_minutes: float) -> Column:
+    """Whether two shots, in row order, can be of one triplet of their search."""
+    apart = lambda k: F.abs(F.col(f"{k}_{a}") - F.col(f"{k}_{b}"))
+    close = (apart("northing") <= F.col("reach_h")) & (apart("easting") <= F.col("reach_h")) & (apart("elevation") <= F.col("reach_v"))
+    gap = _minutes(F.col(f"observed_{a}"), F.col(f"observed_{b}"))
+    in_time = (F.col("kind") == 2) | gap.isNull() | (gap >= gap_minutes - 1e-9)
+    return (F.col(f"ord_{a}") < F.col(f"ord_{b}")) & ((F.col("ratio") == float("inf")) | close) & in_time
+
+
+def _pairs(shots: DataFrame, first: list[str], second: list[str], cells: list[str], gap_minutes: float, begin: Column | None = None) -> DataFrame:
+    """Pairs of near shots, of which the first fulfils ``begin``; what is kept of each ends in _a and _b.
+
+    ``end`` is the latest time of the search.  A crowded cell is dealt over several tasks.
+    """
+    crowd = shots.groupBy("control_id", "kind", *cells).agg(F.count(F.lit(1)).alias("crowd"), F.max("observed").alias("end"))
+    crowd = crowd.groupBy("control_id", "kind").agg(F.ceil(F.max("crowd") / CELL_SHOTS).cast("int").alias("deals"), F.max("end").alias("end"))
+    shots = shots.join(crowd, ["control_id", "kind"])
+    around = F.when((F.col("ratio") == 0) | (F.col("ratio") == float("inf")), F.array(F.lit(0))).otherwise(F.array(*map(F.lit, (-1, 0, 1))))
+    a = shots if begin is None else shots.where(begin)
+    a = a.select("control_id", "kind", "limit", "ratio", "reach_h", "reach_v", "end", *cells, F.pmod(F.hash("ord"), "deals").alias("deal"), *[F.col(c).alias(f"{c}_a") for c in first])
+    for c in cells:
+        a = a.withColumn(f"_{c}", F.explode(around)).withColumn(c, F.col(c) + F.col(f"_{c}")).drop(f"_{c}")
+    b = shots.select("control_id", "kind", *cells, F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), *[F.col(c).alias(f"{c}_b") for c in second])
+    return a.join(b, ["control_id", "kind", *cells, "deal"]).where(_near("a", "b", gap_minutes)).drop(*cells, "deal")
+
+
+def _tied(shots: DataFrame, top: int, mine: list[str], cells: list[str], gap_minutes: float, fails: Column, lacks: Column) -> DataFrame:
+    """Triplets of shots at one place, for searches whose best have no residual at all.
+
+    These differ by their ids alone.  So none of the best begins behind the
+    first id of the limit, and of the second shots that have a third one the
+    ``top`` first are enough for each first shot.
+    """
+    places = ["northing", "easting", "elevation"]
+    w = Window.partitionBy("control_id", "kind", *places)
+    gap = lambda x, y: _minutes(F.col(x), y) if isinstance(y, Column) else _minutes(F.col(x), F.col(y))
+    close = lambda g: F.coalesce(g < gap_minutes - 1e-9, F.lit(False))
+    shots = shots.withColumns({
+        "fails": fails, "lacks": lacks, "last": F.max("ord").over(w), "last_failing": F.max(F.when(fails, F.col("ord"))).over(w), "latest": F.max("observed").over(w),
+        "latest_lacking": F.max(F.when(lacks, F.col("observed"))).over(w), "crowded": close(gap("observed", F.lead("observed").over(w.orderBy("ord")))),
+    })
+    two = _pairs(shots, [*mine, "fails", "lacks"], [*mine, "fails", "lacks", "last", "last_failing", "latest", "latest_lacking", "crowded"], cells, gap_minutes, F.coalesce(F.col("observation_id") <= F.col("limit")["_7"], F.lit(True)))
+    for c in places:
+        two = two.where(F.col(f"{c}_a") == F.col(f"{c}_b"))
+    if gap_minutes > 1e-9:
+        later = lambda t: F.coalesce((t > F.col("observed_b")) & (gap("observed_b", t) >= gap_minutes - 1e-9), F.lit(False))
+        third = (
+            F.when(F.col("kind") == 0, later(F.col("latest_b")))
+            .when(F.col("kind") == 1, F.col("observed_b").isNull() | later(F.when(F.col("lacks_a") | F.col("lacks_b"), F.col("latest_b")).otherwise(F.col("latest_lacking_b"))))
+            .otherwise(F.col("fails_a") | F.col("fails_b") | close(gap("observed_a", "observed_b")) | F.coalesce(F.col("ord_b") < F.col("last_failing_b"), F.lit(False)) | F.col("crowded_b"))
+        )
+        by_id = Window.partitionBy("control_id", "kind", "ord_a").orderBy("observation_id_b")
+        two = two.where((F.col("ord_b") < F.col("last_b")) & third).withColumn("k", F.row_number().over(by_id)).where(F.col("k") <= top)
+    at = shots.select("control_id", "kind", *[F.col(c).alias(f"{c}_c") for c in mine], *[F.col(c).alias(f"{c}_b") for c in places])
+    return two.join(at, ["control_id", "kind", *[f"{c}_b" for c in places]]).where(_near("b", "c", gap_minutes))
 
 
-def control_qc(rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int = 100_000, require_metadata: bool = False, **limits) -> DataFrame:
-    """One row a control with all of its best triplet: PASS, RESHOOT, or REVIEW when it has too many combinations, and why.
+def control_qc(rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int | None = None, require_metadata: bool = False, **limits) -> DataFrame:
+    """One row a control with all of its best triplet: PASS, RESHOOT, or REVIEW when it has more combinations than a caller's limit ``most``, and why.
 
     The best is the least by the order of ``ranked_triplets``: a minimum needs
     no triplet to be kept or sorted.
     """
-    three, order = _judged(rows, htol, vtol, gap_minutes, most, require_metadata, **limits)
+    three, order = _judged(rows, htol, vtol, gap_minutes, most, require_metadata, 1, **limits)
     least = F.min(F.struct(*[c.alias(f"_{k}") for k, c in enumerate(order)], *[c for c in three.columns if c not in ("control_id", "n")]))
     best = three.groupBy("control_id").agg(least.alias("m")).select("control_id", *[f"m.{c}" for c in three.columns if c not in ("control_id", "n")], F.lit(1).alias("rank"))
     sizes = rows.groupBy("control_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
-    too_many = n * (n - 1) * (n - 2) / 6 > most
+    too_many = F.lit(False) if most is None else _combinations(n.cast("double")) > most
     status = F.when(n < 3, "RESHOOT").when(too_many, "REVIEW").when(F.col("passes"), "PASS").otherwise("RESHOOT")
     reason = F.when(n < 3, "FEWER_THAN_THREE_SHOTS").when(too_many, "TOO_MANY_COMBINATIONS").when(F.col("passes"), "").when(~F.col("coordinate_pass"), "OUT_OF_TOLERANCE").otherwise("FIELD_CHECKS")
     return sizes.join(best, "control_id", "left").withColumns({"status": status, "reason": reason})
 
 
-def best_triplets(rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int = 100_000, require_metadata: bool = False, **limits) -> DataFrame:
-    """One row a control: PASS with its best triplet, RESHOOT, or REVIEW when it has too many combinations."""
+def best_triplets(rows: DataFrame, htol: float = TRIPLET_TOLERANCE, vtol: float = TRIPLET_TOLERANCE, gap_minutes: float = 60.0, most: int | None = None, require_metadata: bool = False, **limits) -> DataFrame:
+    """One row a control: PASS with its best triplet, RESHOOT, or REVIEW when it has more combinations than a caller's limit."""
     found = control_qc(rows, htol, vtol, gap_minutes, most, require_metadata, **limits)
     return found.select("control_id", "n", "id_a", "id_b", "id_c", "max_h", "max_v", "field_status", "status")
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import datetime
+import random
+
 import pytest
 
 from plumbline.operators import control
@@ -73,3 +76,44 @@ def test_triplets_are_dealt_by_their_number_and_the_best_is_a_minimum(spark, mon
     assert best._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 3  # the order of the three shots alone
     columns = ("control_id", "id_a", "id_b", "id_c", "max_h", "max_v", "rms_v", "passes", "field_status")
     assert sorted(map(str, best.select(*columns).collect())) == sorted(map(str, ranked.where("rank = 1").select(*columns).collect())) and best.count() == 20
+
+
+def many_shots(spark):
+    """Controls of 30 shots: places that pass or don't, few places, one place, one hour, checks that fail or can't be made, missing heights, and a blunder."""
+    rng = random.Random(11)
+    start, rows = datetime.datetime(2024, 1, 1), []
+    numbers = rng.sample(range(9000), 270)
+    good = lambda: (300, None, 5, 2.0)
+    mixed = lambda: (rng.choice([None, 100, 400]), None, rng.choice([None, 4, 9]), 2.0)
+    box = lambda s: lambda k: (5e5 + rng.uniform(0, s), rng.uniform(0, s), rng.uniform(0, s))
+    few = lambda k: (rng.randrange(3) * 0.001, 5.0, rng.randrange(2) * 0.001)
+    one = lambda k: (1.0, 2.0, 3.0)
+    kinds = {
+        "close": (box(0.3), 900, good), "wide": (box(30), 900, mixed), "few": (few, 900, mixed), "few days": (few, 3, mixed), "one": (one, 900, good), "one mixed": (one, 4, mixed), "one hour": (one, 0.9, good),
+        "no heights": (lambda k: (*box(0.1)(k)[:2], rng.choice([None, 0.01])), 900, good), "blunder": (lambda k: (0.0, 0.0, 0.0) if k == 7 else box(0.1)(k), 900, mixed),
+    }
+    for name, (place, hours, checks) in kinds.items():
+        for k in range(30):
+            rows.append((name, numbers.pop(), *place(k), start + datetime.timedelta(seconds=rng.randrange(int(hours * 3600))), *checks()))
+    return spark.createDataFrame(rows, "control_id string, observation_id int, northing double, easting double, elevation double, observed timestamp, epoch_count int, duration_seconds double, satellite_count int, pdop double")
+
+
+def test_the_best_of_many_combinations_are_found_without_all_of_them(spark, monkeypatch):
+    rows = many_shots(spark)
+    ranked = control.ranked_triplets(rows).where("rank <= 4")
+    wanted = sorted(map(str, ranked.collect()))
+    best = sorted(map(str, control.control_qc(rows).collect()))
+    monkeypatch.setattr(control, "EACH", 100)
+    monkeypatch.setattr(control, "CELL_SHOTS", 8)
+    assert sorted(map(str, control.ranked_triplets(rows, top=4).select(*ranked.columns).collect())) == wanted and len(wanted) == 36
+    assert sorted(map(str, control.control_qc(rows).collect())) == best and len(best) == 9
+
+
+def test_a_control_of_many_shots_is_judged_like_any_other(spark):
+    """90 shots have 117,480 combinations.  Shots lie the nearer the earlier; the first four were too short."""
+    rows = [("1", f"1-{k}", f"1{k}", "CP", k * k * 0.001, 0.0, 0.0, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=2 * k), 300 if k > 3 else 10, None, 5, 2.0) for k in range(90)]
+    obs = spark.createDataFrame(rows, SCHEMA)
+    qc = control.control_qc(obs)
+    best = qc.first()
+    assert (best.n, best.status, best.reason, best.id_a, best.id_b, best.id_c) == (90, "PASS", "", "1-4", "1-5", "1-6")
+    assert [r.source_observations for r in control.accepted_control(qc, obs).collect()] == ["14;15;16"]
