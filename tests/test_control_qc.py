@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import datetime
+import itertools
+import math
 import random
 
 import pytest
 
 from plumbline.operators import control
+from plumbline.plans.registry import QUERIES
 
 SCHEMA = "control_id string, observation_id string, point_id string, description string, northing double, easting double, elevation double, observed timestamp, epoch_count int, duration_seconds double, satellite_count int, pdop double"
 
@@ -117,3 +120,38 @@ def test_a_control_of_many_shots_is_judged_like_any_other(spark):
     best = qc.first()
     assert (best.n, best.status, best.reason, best.id_a, best.id_b, best.id_c) == (90, "PASS", "", "1-4", "1-5", "1-6")
     assert [r.source_observations for r in control.accepted_control(qc, obs).collect()] == ["14;15;16"]
+
+
+def large_customer(spark, folder):
+    """Orders of one customer, a day apart: 90 shots with 117,480 combinations."""
+    spark.range(1, 91).selectExpr("id AS o_orderkey", "7L AS o_custkey", "id * id * 13.37D AS o_totalprice", "timestamp_seconds(id * 86400) AS o_orderdate").write.parquet(f"{folder}/orders.parquet")
+
+
+def order_of_merit(most_pdop=46, tolerance=0.15):
+    """The ids of all triplets of ``large_customer``, the best first, with the largest horizontal residual and whether they pass."""
+    foot, found = 1200 / 3937 / 100, []
+    shot = {}
+    for k in range(1, 91):
+        price, epochs, seconds = k * k * 13.37, None if k % 13 == 0 else 280 + k * 7 % 600, None if k % 3 == 0 else 290 + k % 40
+        satellites = None if k % 29 == 0 else 4 + k % 12
+        short = (epochs is not None or seconds is not None) and not ((epochs or 0) >= 300 or (seconds or 0) >= 300)
+        fails = short or (satellites is not None and satellites < 5) or k % 50 > most_pdop
+        lacks = (epochs is None and seconds is None) or satellites is None
+        shot[k] = price % 97 * foot, price % 89 * foot, None if k % 17 == 0 else price % 83 * foot, fails, lacks
+    for ids in itertools.combinations(shot, 3):
+        n, e, z, fails, lacks = zip(*(shot[k] for k in ids))
+        mean = [sum(c[1:], c[0]) / 3 for c in (n, e)]
+        h = [math.sqrt((a - mean[0]) ** 2 + (b - mean[1]) ** 2) for a, b in zip(n, e)]
+        v = None if None in z else [abs(a - sum(z[1:], z[0]) / 3) for a in z]
+        rms_h, rms_v = (math.inf if x is None else math.sqrt(sum(a * a for a in x) / 3) for x in (h, v))
+        max_h, max_v = max(h), math.inf if v is None else max(v)
+        status = 2 if any(fails) else 1 if any(lacks) else 0
+        passes = max_h <= tolerance and max_v <= tolerance and status < 2
+        found.append((not passes, status, max(max_h, max_v) / tolerance, max_h, max_v, rms_h, rms_v or math.inf, ids))
+    return [(x[-1], round(x[3], 4), not x[0]) for x in sorted(found)]
+
+
+def test_the_best_triplet_of_a_large_customer(spark, tmp_path):
+    large_customer(spark, tmp_path)
+    (r,) = QUERIES["d21_best_triplet"](spark, str(tmp_path)).collect()
+    assert ((r.id_a, r.id_b, r.id_c), r.max_h, r.status == "PASS") == order_of_merit()[0] and r.n == 90
