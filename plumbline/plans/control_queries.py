@@ -101,7 +101,7 @@ def d21(spark, sf):
 
 @query("g2_top_alternatives", _TRIPLETS + f" SELECT control_id, CAST(rank AS INTEGER) AS rank, id_a, id_b, id_c, {r('max_h')} AS max_h, passes FROM q WHERE rank <= 10")
 def g2(spark, sf):
-    return control.ranked_triplets(read_shots(spark, sf), htol=0.15, vtol=0.15, most_pdop=46).where("rank <= 10").select("control_id", "rank", "id_a", "id_b", "id_c", "max_h", "passes")
+    return control.ranked_triplets(read_shots(spark, sf), htol=0.15, vtol=0.15, most_pdop=46, top=10).select("control_id", "rank", "id_a", "id_b", "id_c", "max_h", "passes")
 
 
 _QC = (

@@ -155,3 +155,9 @@ def test_the_best_triplet_of_a_large_customer(spark, tmp_path):
     large_customer(spark, tmp_path)
     (r,) = QUERIES["d21_best_triplet"](spark, str(tmp_path)).collect()
     assert ((r.id_a, r.id_b, r.id_c), r.max_h, r.status == "PASS") == order_of_merit()[0] and r.n == 90
+
+
+def test_the_top_alternatives_of_a_large_customer(spark, tmp_path):
+    large_customer(spark, tmp_path)
+    rows = QUERIES["g2_top_alternatives"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [((r.id_a, r.id_b, r.id_c), r.max_h, r.passes) for r in rows] == order_of_merit()[:10] and [r.rank for r in rows] == list(range(1, 11))
